@@ -1,6 +1,6 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule is a predicate over statistics of one text. A bounded sample gives each rule's running
+Each rule is a predicate over statistics of one text. A sample of bounded expected size gives each rule's running
 time and the share of texts that it rejects; the cascade is one CASE that tries the rules in the
 order of rejections per second, so a text rejected by a cheap rule never pays for a costly one.
 The order changes the cost and the reported first reason only, never the verdict.
@@ -20,6 +20,7 @@ from augury.llm.common import SPACES, scratch_table, text_or_empty, words_of
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
 SAMPLE_ROWS = 2000
+SAMPLE_SEED = 5
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -104,11 +105,14 @@ BASE_RULES = ("too_short", "repeated_windows")
 
 
 def order_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by falling rejections per second, measured on at most sample_rows texts.
+    """The rules by falling rejections per second, measured on a row sample of about sample_rows texts.
 
-    Without any text the given order stays.
+    The sample is drawn in one scan without a shuffle. Without any text the given order stays.
     """
-    sample = scratch_table(docs.select(text_or_empty(text_col).alias("text")).limit(sample_rows), "rules").coalesce(1)
+    texts = docs.select(text_or_empty(text_col).alias("text"))
+    if (rows := texts.count()) > sample_rows:
+        texts = texts.sample(fraction=sample_rows / rows, seed=SAMPLE_SEED)
+    sample = scratch_table(texts, "rules").coalesce(1)
     text = F.col("text")
 
     def seconds(value: Column) -> tuple[float, int, int]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from augury.llm import exact_dedup, quality, sharding
+from augury.llm import exact_dedup, quality, sharding, simhash
 from augury.llm.common import LOWER, UPPER
 
 FOLDED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -30,6 +30,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("doc_id", *quality.STATS, "base_failed", "kept")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
 OP1_SQL = f"""
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, text_sha256
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_sharding": op2_sharding,
         "op5_quality_rules": op5_quality_rules,
+        "op9_simhash": op9_simhash,
     }
 
 
