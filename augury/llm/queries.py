@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from augury.llm import exact_dedup, quality, sharding, simhash
+from augury.llm import exact_dedup, packing, quality, repair, sharding, simhash, token_counts
 from augury.llm.common import LOWER, UPPER
 
 FOLDED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -30,10 +31,24 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("doc_id", *quality.STATS, "base_failed", "kept")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
+def op8_repair_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = repair.read_shards(repair.write_shards(documents(spark, sf_dir)))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(documents(spark, sf_dir))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 OP1_SQL = f"""
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, text_sha256
@@ -84,7 +99,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_sharding": op2_sharding,
         "op5_quality_rules": op5_quality_rules,
+        "op6_token_counts": op6_token_counts,
+        "op8_repair_output": op8_repair_output,
         "op9_simhash": op9_simhash,
+        "op10_packing": op10_packing,
     }
 
 

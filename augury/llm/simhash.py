@@ -222,7 +222,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows, with all their columns, whose id is the smallest of their component.
 
     Of rows repeated under that id with one text, one stays; an id whose rows have different texts
-    stays if one of them does. Rows with a null id stay if their whole component has null ids.
+    stays if one of them does. Null counts as one id: it stays if a component has null ids only.
     """
     found = near_duplicates(docs, id_col, text_col, radius)
     by_id = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count(F.lit(1)).alias("rows"))
