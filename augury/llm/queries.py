@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from augury.llm import exact_dedup, packing, quality, repair, sharding, simhash, token_counts
+from augury.llm import exact_dedup, langid, packing, quality, repair, sharding, simhash, token_counts
 from augury.llm.common import LOWER, UPPER
 
 FOLDED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -26,6 +26,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir).select("doc_id")).select("doc_id", "shard")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = quality.quality_stats(documents(spark, sf_dir))
     return stats.select("doc_id", *quality.STATS, "base_failed", "kept")
@@ -98,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_sharding": op2_sharding,
+        "op3_language_id": op3_language_id,
         "op5_quality_rules": op5_quality_rules,
         "op6_token_counts": op6_token_counts,
         "op8_repair_output": op8_repair_output,
