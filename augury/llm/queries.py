@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from augury.llm import exact_dedup, langid, packing, quality, repair, sharding, simhash, token_counts
+from augury.llm import exact_dedup, langid, packing, pii, quality, repair, sharding, simhash, token_counts
 from augury.llm.common import LOWER, UPPER
 
 FOLDED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -30,6 +30,15 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_email to n_phone count the base spans; n_added counts those that the transducers add."""
+    found = pii.spans(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: ~s["added"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter(base, lambda s: s["kind"] == F.lit(kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["added"])).cast("long").alias("n_added"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = quality.quality_stats(documents(spark, sf_dir))
     return stats.select("doc_id", *quality.STATS, "base_failed", "kept")
@@ -103,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_sharding": op2_sharding,
         "op3_language_id": op3_language_id,
+        "op4_pii": op4_pii,
         "op5_quality_rules": op5_quality_rules,
         "op6_token_counts": op6_token_counts,
         "op8_repair_output": op8_repair_output,
