@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from augury.llm import exact_dedup, langid, packing, pii, quality, repair, sharding, simhash, token_counts
+from augury.llm import exact_dedup, langid, mixing, packing, pii, quality, repair, sharding, simhash, token_counts
 from augury.llm.common import LOWER, UPPER
 
 FOLDED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -48,6 +48,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(documents(spark, sf_dir), corpus_pipeline.LEVELS, corpus_pipeline.WEIGHTS, share=0.6, max_epochs=2)
+    return mixed.select("doc_id", F.expr(corpus_pipeline.LEVELS["domain"]).alias("domain"), "lang", "source", F.col("__tokens").alias("tokens"), "epoch")
+
+
 def op8_repair_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = repair.read_shards(repair.write_shards(documents(spark, sf_dir)))
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -115,9 +120,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii": op4_pii,
         "op5_quality_rules": op5_quality_rules,
         "op6_token_counts": op6_token_counts,
+        "op7_mixing": op7_mixing,
         "op8_repair_output": op8_repair_output,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
