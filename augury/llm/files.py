@@ -74,8 +74,8 @@ def write_in_order(docs: DataFrame, id_col: str, text_col: str, folder: str, end
 
         for batch in batches:
             some, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 512):
-                for doc, data in zip(some[at : at + 512], tok.encode(texts[at : at + 512]), strict=True):
+            for at in range(0, len(texts), 2048):
+                for doc, data in zip(some[at : at + 2048], tok.encode(texts[at : at + 2048]), strict=True):
                     ids.append(doc)
                     encoded.append(data + end)
                     size += len(data) // 4 + 1

@@ -131,9 +131,9 @@ def pack(
         for part in batches:
             kind = part.schema.field(0).type
             texts, ids, losses = part.column(1).to_pylist(), part.column(0).to_pylist(), part.column(2).to_pylist()
-            for at in range(0, len(texts), 512):
-                encoded = tok.encode(texts[at : at + 512])
-                for doc, data, loss in zip(ids[at : at + 512], encoded, losses[at : at + 512], strict=True):
+            for at in range(0, len(texts), 2048):
+                encoded = tok.encode(texts[at : at + 2048])
+                for doc, data, loss in zip(ids[at : at + 2048], encoded, losses[at : at + 2048], strict=True):
                     data += end
                     n = len(data) // 4
                     for start, size, bearing in _cuts(n, n if loss is None else min(n, max(0, loss) + 1), max_tokens, most_loss):

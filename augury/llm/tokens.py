@@ -8,14 +8,16 @@ Parts are words, which repeat; each distinct one is encoded by the library once
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
 #: Entries of one generation of a memory; two are kept.
-GENERATION = 250_000
-GROUP_CHARS = 2_000_000
+GENERATION = 400_000
+GROUP_CHARS = 8_000_000
 #: What the pre-tokenizer's \s, \p{L} and \p{N} are below U+0250.
 _S = r"\t-\r \x85\xa0"
 _L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -85,45 +87,51 @@ class WordEncoder:
         rest = [p for p in pieces if p not in self._pieces]
         self._pieces.update(zip(rest, self._raw(rest), strict=True))
 
-    def _resolve(self, parts: set[str]) -> dict[str, bytes]:
-        """The ids of parts; each part is a text that may be encoded on its own."""
-        whole = [p for p in parts if _BEYOND.search(p)]
-        found = dict(zip(whole, self._raw(whole), strict=True))
-        cut = {p: _PIECES.findall(p) for p in parts if p not in found}
+    def _resolve(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts, each of which is a text that may be encoded on its own."""
+        beyond = [k for k, p in enumerate(parts) if _BEYOND.search(p)] if _BEYOND.search("".join(parts)) else []
+        raw = dict(zip(beyond, self._raw([parts[k] for k in beyond]), strict=True))
+        cut = list(map(_PIECES.findall, parts))
         known = self._pieces
-        if new := known.recall({x for xs in cut.values() for x in xs}):
+        if new := known.recall(set(chain.from_iterable(cut))):
             self._learn(list(new))
-        for p, xs in cut.items():
-            found[p] = known[xs[0]] if len(xs) == 1 else b"".join([known[x] for x in xs])
-        return found
+        ids = known.__getitem__
+        out = [ids(xs[0]) if len(xs) == 1 else b"".join(map(ids, xs)) for xs in cut]
+        for k, data in raw.items():
+            out[k] = data
+        return out
 
     def _fill(self, memory: _Memory, parts: set[str], blank: str) -> None:
-        if new := memory.recall(parts):
-            found = self._resolve({blank + p for p in new})
-            memory.update((p, found[blank + p]) for p in new)
+        if new := list(memory.recall(parts)):
+            memory.update(zip(new, self._resolve([blank + p for p in new]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= GROUP_CHARS):
-                size += len(texts[end])
-                end += 1
-            out += self._group(texts[at:end])
-            at = end
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and there are many long-lived entries to walk
+        try:
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and (end == at or size + len(texts[end]) <= GROUP_CHARS):
+                    size += len(texts[end])
+                    end += 1
+                out += self._group(texts[at:end])
+                at = end
+        finally:
+            if collects:
+                gc.enable()
         return out
 
     def _group(self, texts: list[str]) -> list[bytes]:
         cut = [_LONE_BLANK.split(t) if _ODD_BLANK.search(t) else t.split(" ") for t in texts]
         heads = [c[0] for c in cut]
-        self._fill(self._first, {h for h in heads if h}, "")
-        words: set[str] = set()
         for c in cut:
-            words.update(c[1:])
-        self._fill(self._words, words, " ")
+            del c[0]
+        self._fill(self._first, set(filter(None, heads)), "")
+        self._fill(self._words, set(chain.from_iterable(cut)), " ")
         first, word = self._first, self._words.__getitem__
-        return [(first[c[0]] if c[0] else b"") + b"".join(map(word, c[1:])) for c in cut]
+        return [(first[h] if h else b"") + b"".join(map(word, c)) for h, c in zip(heads, cut, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
