@@ -41,16 +41,19 @@ def make_folder(path: str) -> None:
     system.create_dir(at, recursive=True)
 
 
-def write_in_order(docs: DataFrame, id_col: str, text_col: str, folder: str, end_id: int, save, extra: str = "", tokenizer: str | None = None, special_as_text: bool = False, file_tokens: int = FILE_TOKENS) -> DataFrame:
-    """Encodes all texts in ascending order of id (nulls first, ties by text) into files; their manifest.
+def write_files(docs: DataFrame, id_col: str, text_col: str, folder: str, end_id: int, save, extra: str = "", tokenizer: str | None = None, special_as_text: bool = False, file_tokens: int = FILE_TOKENS, ordered: bool = True) -> DataFrame:
+    """Encodes all texts into files; their manifest.
 
-    Rows are dealt by ranges of the id, so the files of one task follow those of the task before.
+    Ordered: in ascending order of id, nulls first, ties by text. Rows are dealt by ranges of the
+    id, so the files of one task follow those of the task before. Else every task writes what it
+    reads, and no text is shuffled.
     save(path, ids, encoded) writes one file and returns its size and the values of the columns
     `extra`. Names are unique for each attempt: files of a lost task are not in the manifest.
     """
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    if ordered:
+        rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     schema = f"{MANIFEST}{', ' if extra else ''}{extra}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

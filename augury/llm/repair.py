@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from augury.llm.common import scratch_path
-from augury.llm.files import FILE_TOKENS, one_task_each, read_bytes, write_bytes, write_in_order
+from augury.llm.files import FILE_TOKENS, one_task_each, read_bytes, write_bytes, write_files
 
 MAGIC = b"REPAIR1\n"
 #: Symbols from here on are nonterminals; all ids are below it.
@@ -164,7 +164,7 @@ def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         write_bytes(path, data)
         return len(data), {}
 
-    manifest = write_in_order(docs, id_col, text_col, folder, end_id, save, tokenizer=tokenizer, file_tokens=file_tokens)
+    manifest = write_files(docs, id_col, text_col, folder, end_id, save, tokenizer=tokenizer, file_tokens=file_tokens)
     # A row per file of millions of tokens: the running sum over all of them is a small window.
     before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("first_token", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))

@@ -18,14 +18,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from augury.llm.common import scratch_path, scratch_table
-from augury.llm.files import FILE_TOKENS, read_bytes, write_bytes, write_in_order
+from augury.llm.files import FILE_TOKENS, read_bytes, write_bytes, write_files
 
 END_ID = 50_256
 BLOCK_IDS = 1 << 20
+#: Ids of the default vocabulary fit 16 bits.
+KIND = "<u2"
 
 
-def write_flat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, file_tokens: int = FILE_TOKENS) -> DataFrame:
-    """Writes flat files of little-endian unsigned 32-bit ids in ascending order of id; their manifest.
+def write_flat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, tokenizer: str | None = None, end_id: int = END_ID, file_tokens: int = FILE_TOKENS, kind: str = KIND) -> DataFrame:
+    """Writes flat files of ids, each task those of the rows it reads; their manifest.
 
     A special token's string in a text is ordinary text, so the end id stands at ends only. The
     manifest's column ids, an array, has the documents of each file in order; the files don't.
@@ -33,11 +35,14 @@ def write_flat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     folder = folder or scratch_path(docs.sparkSession, "flat")
 
     def save(path: str, ids: list, encoded: list[bytes]) -> tuple[int, dict]:
-        write_bytes(path, data := b"".join(encoded))
+        wide = np.frombuffer(b"".join(encoded), "<u4")
+        if len(wide) and int(wide.max()) > np.iinfo(kind).max:
+            raise ValueError(f"ids of this vocabulary don't fit {kind}")
+        write_bytes(path, data := wide.astype(kind).tobytes())
         return len(data), {"ids": list(ids)}
 
     extra = f"ids array<{docs.schema[id_col].dataType.simpleString()}>"
-    return write_in_order(docs, id_col, text_col, folder, end_id, save, extra, tokenizer, special_as_text=True, file_tokens=file_tokens)
+    return write_files(docs, id_col, text_col, folder, end_id, save, extra, tokenizer, special_as_text=True, file_tokens=file_tokens, ordered=False)
 
 
 def _positions(path: str, block: int, block_ids: int, end_id: int, kind: str) -> tuple[np.ndarray, int]:
@@ -47,7 +52,7 @@ def _positions(path: str, block: int, block_ids: int, end_id: int, kind: str) ->
     return np.flatnonzero(ids == end_id) + block * block_ids, len(ids)
 
 
-def scan(files: DataFrame, end_id: int = END_ID, block_ids: int = BLOCK_IDS, kind: str = "<u4") -> DataFrame:
+def scan(files: DataFrame, end_id: int = END_ID, block_ids: int = BLOCK_IDS, kind: str = KIND) -> DataFrame:
     """One row per document of the files (path, n_bytes): path, ordinal, start, n_tokens, complete.
 
     ordinal counts a file's documents from 0, start is the place of a document's first id, and
@@ -97,13 +102,13 @@ def scan(files: DataFrame, end_id: int = END_ID, block_ids: int = BLOCK_IDS, kin
     return rows.repartition("path", "block").mapInArrow(emit, "path string, ordinal long, start long, n_tokens long, complete boolean")
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, file_tokens: int = FILE_TOKENS) -> DataFrame:
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, file_tokens: int = FILE_TOKENS, kind: str = KIND) -> DataFrame:
     """doc_id and n_tokens of each row, counted in flat files that are written for it.
 
     Null texts count as empty, with 0 tokens; null ids and repeated rows get a row each. An empty
     table gives no rows.
     """
-    manifest = write_flat(docs, id_col, text_col, None, tokenizer, end_id, file_tokens)
+    manifest = write_flat(docs, id_col, text_col, None, tokenizer, end_id, file_tokens, kind)
     names = manifest.select("path", F.posexplode("ids").alias("ordinal", "doc_id"))
-    counted = scan(manifest.select("path", "n_bytes"), end_id)
+    counted = scan(manifest.select("path", "n_bytes"), end_id, kind=kind)
     return names.join(counted.withColumn("ordinal", F.col("ordinal").cast("int")), ["path", "ordinal"]).select("doc_id", "n_tokens")
