@@ -111,4 +111,5 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     manifest = write_flat(docs, id_col, text_col, None, tokenizer, end_id, file_tokens, kind)
     names = manifest.select("path", F.posexplode("ids").alias("ordinal", "doc_id"))
     counted = scan(manifest.select("path", "n_bytes"), end_id, kind=kind)
-    return names.join(counted.withColumn("ordinal", F.col("ordinal").cast("int")), ["path", "ordinal"]).select("doc_id", "n_tokens")
+    # The exploded manifest is as long as the input: never broadcast, whatever its files' size suggests.
+    return names.hint("merge").join(counted.withColumn("ordinal", F.col("ordinal").cast("int")), ["path", "ordinal"]).select("doc_id", "n_tokens")
