@@ -17,7 +17,7 @@ from augury.llm.common import scratch_table
 from augury.llm.tokens import default_tokenizer, encoder
 
 #: A file is closed when it has so many ids.
-FILE_TOKENS = 4_000_000
+FILE_TOKENS = 2_000_000
 MANIFEST = "part long, file long, path string, n_docs long, n_tokens long, n_bytes long"
 
 

@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 #: Entries of one generation of a memory; two are kept.
-GENERATION = 400_000
+GENERATION = 600_000
 GROUP_CHARS = 8_000_000
 #: What the pre-tokenizer's \s, \p{L} and \p{N} are below U+0250.
 _S = r"\t-\r \x85\xa0"
