@@ -90,16 +90,19 @@ def live_board(votes: DataFrame, outcomes: DataFrame, order: DataFrame, as_of: C
 
     outcomes: slot, cand, team, round; order: slot, team, round. The rank is 0 if the actual is not listed.
     """
-    spark = votes.sparkSession
     seen = outcomes.select("slot").unionByName(order.select("slot")).filter(F.col("slot") <= max_slot).agg(F.coalesce(F.max("slot"), F.lit(0)).alias("last"))
     length = F.least(F.lit(max_slot), F.greatest(F.lit(32), F.col("last")))
     spine = seen.select(F.explode(F.sequence(F.lit(1), length)).alias("slot"))
     board = consensus(open_votes(votes, outcomes), as_of, listed)
-    top = board.filter("rank = 1").select("slot", F.col("cand").alias("consensus_top1"), F.col("weighted_probability").alias("consensus_top1_probability"))
     o = outcomes.select("slot", F.col("cand").alias("actual"), F.col("team").alias("o_team"), F.col("round").alias("o_round"))
     d = order.select("slot", F.col("team").alias("d_team"), F.col("round").alias("d_round"))
-    hit = board.select("slot", F.col("cand").alias("actual"), F.col("rank").alias("hit"))
-    out = spine.join(o, "slot", "left").join(d, "slot", "left").join(top, "slot", "left").join(hit, ["slot", "actual"], "left")
+    first = F.col("rank") == 1
+    seen_at = board.join(o.select("slot", "actual"), "slot", "left").groupBy("slot").agg(
+        F.max(F.when(first, F.col("cand"))).alias("consensus_top1"),
+        F.max(F.when(first, F.col("weighted_probability"))).alias("consensus_top1_probability"),
+        F.max(F.when(F.col("cand") == F.col("actual"), F.col("rank"))).alias("hit"),
+    )
+    out = spine.join(o, "slot", "left").join(d, "slot", "left").join(seen_at, "slot", "left")
     use_order = F.col("o_team").isNull() & F.col("d_team").isNotNull()
     return out.select(
         "slot",

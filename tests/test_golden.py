@@ -143,3 +143,13 @@ def test_models_on_the_fixture_sizes(spark):
     got = models.position_vectors(models.train_position(rows), rows, ["row"])
     for r in got.groupBy("row").agg(F.sum("prob").alias("s"), F.min("prob").alias("lo")).collect():
         assert r.s == pytest.approx(1.0) and r.lo >= 0
+
+
+def test_prospects_and_staff(spark):
+    rows = spark.createDataFrame([(1, "Cam Ward QB | Miami"), (2, "cam ward jr. QB | Miami"), (3, "no prospect"), (4, "Travis Hunter CB | Colorado")], "pos int, t string")
+    got = html.prospects(rows, "pos", "t").orderBy("place").collect()
+    assert [(r.name, r.position, r.school, r.place) for r in got] == [("Cam Ward", "QB", "Miami", 1), ("Travis Hunter", "CB", "Colorado", 2)]
+    assert [r.prospect for r in got] == pytest.approx([1.0, 0.9])
+    page = '<th>General manager</th><td> <a href="/x">Ann Lee</a></td><meta name="description" content="Coach: Bob Ray, since">'
+    row = one(spark, a=html.staff(F.lit(page), "General manager"), b=html.staff(F.lit(page), "Coach"), c=html.staff(F.lit(page), "Owner"))
+    assert tuple(row) == ("Ann Lee", "Bob Ray", None)
