@@ -18,6 +18,8 @@ from augury.llm.tokens import default_tokenizer, encoder
 
 #: A file is closed when it has so many ids.
 FILE_TOKENS = 2_000_000
+#: Rows that are encoded at once.
+ROWS = 1024
 MANIFEST = "part long, file long, path string, n_docs long, n_tokens long, n_bytes long"
 
 
@@ -76,9 +78,9 @@ def write_files(docs: DataFrame, id_col: str, text_col: str, folder: str, end_id
             return row
 
         for batch in batches:
-            some, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 2048):
-                for doc, data in zip(some[at : at + 2048], tok.encode(texts[at : at + 2048]), strict=True):
+            for at in range(0, batch.num_rows, ROWS):
+                some, texts = (column.to_pylist() for column in batch.slice(at, ROWS).columns)
+                for doc, data in zip(some, tok.encode(texts), strict=True):
                     ids.append(doc)
                     encoded.append(data + end)
                     size += len(data) // 4 + 1

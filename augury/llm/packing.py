@@ -24,6 +24,8 @@ from augury.llm.tokens import default_tokenizer, encoder
 MAX_TOKENS = 1024
 MAX_SEGMENTS = 64
 BLOCK = 4096
+#: Rows that are encoded at once.
+ROWS = 1024
 #: sequence_id is the task's number times this, plus a count.
 PER_TASK = 1 << 40
 COLUMNS = "start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
@@ -130,10 +132,9 @@ def pack(
         kind = None
         for part in batches:
             kind = part.schema.field(0).type
-            texts, ids, losses = part.column(1).to_pylist(), part.column(0).to_pylist(), part.column(2).to_pylist()
-            for at in range(0, len(texts), 2048):
-                encoded = tok.encode(texts[at : at + 2048])
-                for doc, data, loss in zip(ids[at : at + 2048], encoded, losses[at : at + 2048], strict=True):
+            for at in range(0, part.num_rows, ROWS):
+                ids, texts, losses = (column.to_pylist() for column in part.slice(at, ROWS).columns)
+                for doc, data, loss in zip(ids, tok.encode(texts), losses, strict=True):
                     data += end
                     n = len(data) // 4
                     for start, size, bearing in _cuts(n, n if loss is None else min(n, max(0, loss) + 1), max_tokens, most_loss):

@@ -16,8 +16,8 @@ from itertools import chain
 import numpy as np
 
 #: Entries of one generation of a memory; two are kept.
-GENERATION = 600_000
-GROUP_CHARS = 8_000_000
+GENERATION = 250_000
+GROUP_CHARS = 4_000_000
 #: What the pre-tokenizer's \s, \p{L} and \p{N} are below U+0250.
 _S = r"\t-\r \x85\xa0"
 _L = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
