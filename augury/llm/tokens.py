@@ -11,7 +11,9 @@ import functools
 import gc
 import os
 import re
-from itertools import chain
+from collections.abc import Callable, Iterable
+from itertools import chain, compress, repeat
+from operator import is_
 
 import numpy as np
 
@@ -34,6 +36,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _odd_blank(text: str) -> bool:
+    """Whether a blank stands beside other white space; of that, only the line break needs no regular expression."""
+    if "  " in text or " \n" in text or "\n " in text:
+        return True
+    return not text.replace("\n", "").isprintable() and bool(_ODD_BLANK.search(text))
+
+
 class _Memory(dict):
     """Recent entries in two generations: what is used again moves to the younger one, the older one is forgotten."""
 
@@ -41,16 +50,23 @@ class _Memory(dict):
         super().__init__()
         self.older: dict[str, bytes] = {}
 
-    def recall(self, keys: set[str]) -> set[str]:
-        """Makes room, brings keys of the older generation back and returns those that are in neither."""
-        new = keys.difference(self)
-        if len(self) + len(new) > GENERATION:
-            self.older = dict(self)
-            self.clear()
-            new = keys
-        older = self.older
-        self.update((k, older[k]) for k in new if k in older)
-        return new.difference(self)
+    def values_of(self, keys: Iterable[str], make: Callable[[list[str]], Iterable[bytes]]) -> dict[str, bytes]:
+        """Distinct keys and their values, remembered ones or made."""
+        out = dict.fromkeys(keys)
+        found = list(map(self.get, out))
+        missing = list(compress(out, map(is_, found, repeat(None))))
+        out = dict(zip(out, found, strict=True))
+        if missing:
+            older = self.older
+            again = {k: older[k] for k in missing if k in older}
+            new = [k for k in missing if k not in again]
+            again.update(zip(new, make(new), strict=True))
+            if len(self) + len(again) > GENERATION:
+                self.older = dict(self)
+                self.clear()
+            self.update(again)
+            out.update(again)
+        return out
 
 
 class WordEncoder:
@@ -71,40 +87,37 @@ class WordEncoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces: those without white space inside in one call, a line each."""
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces: those without a line break are encoded in one call, a line each."""
+        out: dict[str, bytes] = {}
         plain = [p for p in pieces if p.strip() and "\n" not in p] if self._newline >= 0 else []
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
             ids = np.array(self._tok.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self._newline)
-            starts, ends = np.r_[0, cuts + 1], np.r_[cuts, len(ids)]
-            if len(starts) != len(some):  # a vocabulary that merges across lines
-                self._pieces.update(zip(some, self._raw(some), strict=True))
+            if len(cuts) + 1 != len(some):  # a vocabulary that merges across lines
+                out.update(zip(some, self._raw(some), strict=True))
                 continue
-            data = ids.tobytes()
-            self._pieces.update((p, data[4 * a : 4 * b]) for p, a, b in zip(some, starts.tolist(), ends.tolist(), strict=True))
-        rest = [p for p in pieces if p not in self._pieces]
-        self._pieces.update(zip(rest, self._raw(rest), strict=True))
+            data, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+            start = 0
+            for piece, end in zip(some, ends, strict=True):
+                out[piece] = data[start:end]
+                start = end + 4
+        rest = [p for p in pieces if p not in out]
+        out.update(zip(rest, self._raw(rest), strict=True))
+        return [out[p] for p in pieces]
 
     def _resolve(self, parts: list[str]) -> list[bytes]:
         """The ids of parts, each of which is a text that may be encoded on its own."""
         beyond = [k for k, p in enumerate(parts) if _BEYOND.search(p)] if _BEYOND.search("".join(parts)) else []
         raw = dict(zip(beyond, self._raw([parts[k] for k in beyond]), strict=True))
         cut = list(map(_PIECES.findall, parts))
-        known = self._pieces
-        if new := known.recall(set(chain.from_iterable(cut))):
-            self._learn(list(new))
-        ids = known.__getitem__
+        ids = self._pieces.values_of(chain.from_iterable(cut), self._learn).__getitem__
         out = [ids(xs[0]) if len(xs) == 1 else b"".join(map(ids, xs)) for xs in cut]
         for k, data in raw.items():
             out[k] = data
         return out
 
-    def _fill(self, memory: _Memory, parts: set[str], blank: str) -> None:
-        if new := list(memory.recall(parts)):
-            memory.update(zip(new, self._resolve([blank + p for p in new]), strict=True))
-
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         at = 0
@@ -124,14 +137,13 @@ class WordEncoder:
         return out
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        cut = [_LONE_BLANK.split(t) if _ODD_BLANK.search(t) else t.split(" ") for t in texts]
+        cut = [_LONE_BLANK.split(t) if _odd_blank(t) else t.split(" ") for t in texts]
         heads = [c[0] for c in cut]
         for c in cut:
             del c[0]
-        self._fill(self._first, set(filter(None, heads)), "")
-        self._fill(self._words, set(chain.from_iterable(cut)), " ")
-        first, word = self._first, self._words.__getitem__
-        return [(first[h] if h else b"") + b"".join(map(word, c)) for h, c in zip(heads, cut, strict=True)]
+        first = self._first.values_of(heads, self._resolve)
+        word = self._words.values_of(chain.from_iterable(cut), lambda parts: self._resolve([" " + p for p in parts])).__getitem__
+        return [first[h] + b"".join(map(word, c)) for h, c in zip(heads, cut, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
