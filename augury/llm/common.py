@@ -15,6 +15,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: A side of a join is broadcast up to so many rows of at most a few dozen bytes each.
 BROADCAST_ROWS = 500_000
+BATCH_BYTES = 8 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -58,6 +59,14 @@ def drop_scratch() -> None:
             return
 
 
+def batched_texts(rows: DataFrame) -> DataFrame:
+    """rows, after bounding what one Arrow batch holds in the session: whole texts are long, and every task has a batch."""
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name).removesuffix("b")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return rows
+
+
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from augury.llm.common import scratch_table
+from augury.llm.common import batched_texts, scratch_table
 from augury.llm.tokens import default_tokenizer, encoder
 
 #: A file is closed when it has so many ids.
@@ -90,7 +90,7 @@ def write_files(docs: DataFrame, id_col: str, text_col: str, folder: str, end_id
             yield pa.RecordBatch.from_pylist([close()], arrow_schema)
 
     arrow_schema = to_arrow_schema(_parse_datatype_string(schema))
-    return scratch_table(rows.mapInArrow(run, schema), "manifest")
+    return scratch_table(batched_texts(rows).mapInArrow(run, schema), "manifest")
 
 
 def one_task_each(manifest: DataFrame, key: str = "path") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from augury.llm.common import batched_texts
 from augury.llm.tokens import default_tokenizer, encoder
 
 MAX_TOKENS = 1024
@@ -156,4 +157,4 @@ def pack(
             yield batch(kind)
 
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {COLUMNS}"
-    return rows.mapInArrow(run, schema)
+    return batched_texts(rows).mapInArrow(run, schema)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from augury.llm.common import batched_texts
+
 KINDS = ("email", "ip", "card", "phone")
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 
@@ -224,7 +226,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kinds)], ["doc_id", "spans"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, spans {_SPANS}")
+    return batched_texts(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, spans {_SPANS}")
 
 
 def _redacted(text: str | None) -> str | None:
