@@ -32,7 +32,7 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV file with a header, every value read as text in the schema's columns, then cast; a byte order mark is dropped."""
     names = [f.name for f in T._parse_datatype_string(schema).fields]
     raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
+    raw = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
     missing = [F.lit(None).cast("string").alias(n) for n in names if n not in raw.columns]
     return typed(raw.select("*", *missing), schema)
 
