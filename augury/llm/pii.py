@@ -3,8 +3,9 @@
 Plain identifiers are found in the text as it is. Then transducers rewrite the text step by step
 and carry, for every character written, the span of source characters that it stands for:
 homoglyphs and invisible characters, spelled digits, at and dot disguises, letters that pose as
-digits. Identifiers found in the rewritten text are mapped back to source spans and added where
-they do not meet a plain one of their kind. Only texts with a sign of a disguise are rewritten.
+digits. Identifiers found in the rewritten text are mapped back to source spans and added unless
+they lie within a plain one of their kind; one that reaches beyond a plain one is added beside it.
+Only texts with a sign of a disguise are rewritten.
 """
 
 from __future__ import annotations
@@ -199,7 +200,7 @@ def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
         taken = [[s[1:] for s in base if s[0] == kind] for kind in range(len(KINDS))]
         for kind, a, b in plain_spans(tape.text):
             start, end = tape.source(a, b)
-            if not any(start < y and x < end for x, y in taken[kind]):
+            if not any(x <= start and end <= y for x, y in taken[kind]):
                 added.append((kind, start, end))
                 taken[kind].append((start, end))
     return base, sorted(added)

@@ -96,3 +96,20 @@ def test_edge_rows_query_and_redaction(spark, sf_dir):
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k) for w in want) for k in pii.KINDS]
         assert r.spans == ",".join(want)
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "plain", "source"),
+    [
+        ("x jаne@example.com y", "email", "ne@example.com", "jаne@example.com"),
+        ("x john@example.cоm y", "email", "john@example.c", "john@example.cоm"),
+        ("x first@example.co (dot) uk y", "email", "first@example.co", "first@example.co (dot) uk"),
+        ("host 192.168.1.1２ up", "ip", "192.168.1.1", "192.168.1.1２"),
+        ("call +49 30 1234567 eight nine zero ok", "phone", "+49 30 1234567", "+49 30 1234567 eight nine zero"),
+    ],
+)
+def test_wider_than_a_plain_span(text, kind, plain, source):
+    base, added = pii.find(text)
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in base] == [(kind, plain)]
+    assert [(pii.KINDS[k], text[a:b]) for k, a, b in added] == [(kind, source)]
+    assert pii._redacted(text) == text.replace(source, pii.MARKS[kind])
