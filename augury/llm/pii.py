@@ -5,7 +5,8 @@ and carry, for every character written, the span of source characters that it st
 homoglyphs and invisible characters, spelled digits, at and dot disguises, letters that pose as
 digits. Identifiers found in the rewritten text are mapped back to source spans and added unless
 they lie within a plain one of their kind; one that reaches beyond a plain one is added beside it.
-Only texts with a sign of a disguise are rewritten.
+Each
+transducer runs on the texts that hold what its pattern cannot match without.
 """
 
 from __future__ import annotations
@@ -70,25 +71,25 @@ class Tape:
 
     def __init__(self, text: str):
         self.text = text
-        self.start = list(range(len(text)))
-        self.end = list(range(1, len(text) + 1))
+        self.start: list[int] | None = None
+        self.end: list[int] | None = None
 
     def rewrite(self, pattern: re.Pattern, written: Callable[[re.Match], str]) -> None:
         """Replaces each match; every character written stands for the whole match."""
+        changes = [(m.span(), new) for m in pattern.finditer(self.text) if (new := written(m)) != m[0]]
+        if not changes:
+            return
+        if self.start is None:
+            self.start, self.end = list(range(len(self.text))), list(range(1, len(self.text) + 1))
         out, start, end, at = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            new = written(m)
-            if new == m[0]:
-                continue
-            a, b = m.span()
+        for (a, b), new in changes:
             out += [self.text[at:a], new]
             start += self.start[at:a] + [self.start[a]] * len(new)
             end += self.end[at:a] + [self.end[b - 1]] * len(new)
             at = b
-        if at:
-            self.text = "".join([*out, self.text[at:]])
-            self.start = start + self.start[at:]
-            self.end = end + self.end[at:]
+        self.text = "".join([*out, self.text[at:]])
+        self.start = start + self.start[at:]
+        self.end = end + self.end[at:]
 
     def source(self, a: int, b: int) -> tuple[int, int]:
         return self.start[a], self.end[b - 1]
@@ -136,10 +137,13 @@ _NAMES = (
 _DIGIT_OF = {name: str(d) for d, names in enumerate(_NAMES) for name in names.split()}
 _NAME = "(?:" + "|".join(sorted(_DIGIT_OF, key=len, reverse=True)) + ")"
 _TIMES = {"double": 2, "triple": 3}
-_ITEM = rf"(?:(?:double|triple)[ -])?{_NAME}"
-#: Three or more digits' names in a row; single ones are ordinary words.
-_SPELLED = re.compile(rf"\b{_ITEM}(?:(?:[ \t]|[,\-]|, )\n?{_ITEM}){{2,}}\b", re.I)
-_ITEMS = re.compile(rf"(?:(double|triple)[ -])?\b({_NAME})\b", re.I)
+_SEP = r"(?:\s++(?:[,\-]\s*+)?|[,\-]\s*+)"
+_ITEM = rf"(?:(?:double|triple)(?:\s++|-))?{_NAME}"
+#: Digits' names in a row, before digits or not: three or more, or two before digits; fewer are ordinary words.
+_SPELLED = re.compile(rf"\b{_ITEM}\b(?:{_SEP}{_ITEM}\b)++(?P<post>{_SEP}(?=[0-9]))?", re.I)
+#: Names after digits: two or more, or one that has digits on both sides.
+_AFTER = re.compile(rf"(?<=[0-9]){_SEP}{_ITEM}\b(?:{_SEP}{_ITEM}\b)*+(?P<post>{_SEP}(?=[0-9]))?", re.I)
+_ITEMS = re.compile(rf"(?:(double|triple)(?:\s++|-))?\b({_NAME})\b", re.I)
 #: One or two names beside digits or a spelled dot, as in an address part.
 _SHORT = re.compile(rf"(?<=[0-9]\.)[ ]?{_ITEM}(?: {_ITEM}){{0,2}}\b|\b{_ITEM}(?: {_ITEM}){{0,2}}(?=[ ]?(?:\.|dot|\(dot\)|\[dot\]|point)[ ]?(?:[0-9]|{_NAME}\b))", re.I)
 _PLUS = re.compile(r"\bplus[ -]?(?=[0-9])", re.I)
@@ -152,42 +156,65 @@ _AT_DOTTED = re.compile(r"(?<=[A-Za-z0-9_%+-])(?:[ \t]+@[ \t]*|[ \t]*@[ \t]+)(?=
 _DOT_BARE = re.compile(rf"(?<=[A-Za-z0-9-])[ \t]+(?:{_DOT_WORDS})[ \t]+(?=[A-Za-z0-9])", re.I)
 _DOT_DIGITS = re.compile(rf"(?<=[0-9])[ \t]*(?:{_DOT_WORDS})[ \t]*(?=[0-9]|{_NAME}\b)", re.I)
 _POSING = re.compile(r"(?<=[0-9])[OolI|]+(?=[0-9])")
-#: Cheap signs, in lower case, of an at or dot disguise; a text without any is not searched for one.
-_SIGNS = (" dot ", "dot)", "dot]", "dot}", "dot>", "(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "arroba", "(@", "[@", "{@", " @", "@ ", "(a)", "[a]", "&#", "&commat", "%40", " punkt ", " point ", " punto ", "(.", "[.")
+#: What a transducer cannot match without; texts that lack it are not searched with the whole pattern.
+_DOTS = tuple(_DOT_WORDS.split("|"))
+_AT_IN_MARKS = re.compile(r"[(\[{<][ \t]*(?:at|@|a|arroba|ät)[ \t]*[)\]}>]|&#0*64;|&commat;|%40", re.I)
+_DOT_IN_MARKS = re.compile(rf"[(\[{{<][ \t]*(?:{_DOT_WORDS}|\.)[ \t]*[)\]}}>]|&#0*46;|&period;", re.I)
+_DOT_BY_NAME = re.compile(rf"\.[ ]?{_ITEM}\b|(?<=[a-z])\.[ ]?[0-9]|(?<=[a-z] )\.[ ]?[0-9]", re.I)
+_AT_SPACED = re.compile(r"@[ \t]|[ \t]@")
+
+
+def _digits_of(names: str) -> str:
+    return "".join(_DIGIT_OF[x[2].lower()] * _TIMES.get((x[1] or "").lower(), 1) for x in _ITEMS.finditer(names))
 
 
 def _spelled(m: re.Match) -> str:
-    return "".join(_DIGIT_OF[x[2].lower()] * _TIMES.get((x[1] or "").lower(), 1) for x in _ITEMS.finditer(m[0]))
+    return _digits_of(m[0])
+
+
+def _run(m: re.Match) -> str:
+    if m["post"] is None and sum(1 for _ in _ITEMS.finditer(m[0])) < 3:
+        return m[0]
+    return _digits_of(m[0]) + (" " if m["post"] else "")
+
+
+def _after(m: re.Match) -> str:
+    if m["post"] is None and sum(1 for _ in _ITEMS.finditer(m[0])) < 2:
+        return m[0]
+    return " " + _digits_of(m[0]) + (" " if m["post"] else "")
 
 
 def rewritten(text: str) -> Tape | None:
-    """The text after all transducers; None if it shows no sign of a disguise."""
-    foreign = not text.isascii() and _FOREIGN.search(text)
-    low = text.lower()
-    signs = any(s in low for s in _SIGNS)
-    spelled = _SPELLED.search(text)
-    posing = _POSING.search(text)
-    if not (foreign or signs or spelled or posing):
-        return None
+    """The text after all transducers; None if none of them changes it."""
     tape = Tape(text)
-    if foreign:
+    if not text.isascii():
         tape.rewrite(_FOREIGN, _ascii_of)
-        low = tape.text.lower()
-        signs, spelled, posing = any(s in low for s in _SIGNS), _SPELLED.search(tape.text), _POSING.search(tape.text)
-    if spelled:
-        tape.rewrite(_SPELLED, _spelled)
-    if signs or spelled:
+    low = tape.text.lower()
+    dots = any(w in low for w in _DOTS)
+    marked = any(c in low for c in "([{<&")
+    tape.rewrite(_AFTER, _after)
+    tape.rewrite(_SPELLED, _run)
+    short = dots or _DOT_BY_NAME.search(tape.text)
+    if short:
         tape.rewrite(_SHORT, _spelled)
+    if dots:
         tape.rewrite(_DOT_DIGITS, lambda m: ".")
+    if short:
         tape.rewrite(_SHORT, _spelled)
+    if "plus" in low:
         tape.rewrite(_PLUS, lambda m: "+")
+    if (marked or "%40" in low) and _AT_IN_MARKS.search(tape.text):
         tape.rewrite(_AT_MARKED, lambda m: "@")
+    dot_marked = marked and _DOT_IN_MARKS.search(tape.text)
+    if (dots or dot_marked) and ("at" in low or "arroba" in low or "@" in low):
+        tape.rewrite(_AT_BARE, lambda m: "@")  # looks for the dot's disguise, so before that is rewritten
+    if dot_marked:
         tape.rewrite(_DOT_MARKED, lambda m: ".")
-        tape.rewrite(_AT_BARE, lambda m: "@")
+    if dots:
         tape.rewrite(_DOT_BARE, lambda m: ".")
+    if "@" in tape.text and _AT_SPACED.search(tape.text):
         tape.rewrite(_AT_DOTTED, lambda m: "@")
-    if posing:
-        tape.rewrite(_POSING, lambda m: "".join("0" if c in "Oo" else "1" for c in m[0]))
+    tape.rewrite(_POSING, lambda m: "".join("0" if c in "Oo" else "1" for c in m[0]))
     return tape if tape.text != text else None
 
 

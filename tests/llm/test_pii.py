@@ -113,3 +113,27 @@ def test_wider_than_a_plain_span(text, kind, plain, source):
     assert [(pii.KINDS[k], text[a:b]) for k, a, b in base] == [(kind, plain)]
     assert [(pii.KINDS[k], text[a:b]) for k, a, b in added] == [(kind, source)]
     assert pii._redacted(text) == text.replace(source, pii.MARKS[kind])
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("call plus 49 151 23456789 ok", "phone", "plus 49 151 23456789"),
+        ("call +49 30 one two 345 678 ok", "phone", "+49 30 one two 345 678"),
+        ("call plus 49 30 one 345 678 ok", "phone", "plus 49 30 one 345 678"),
+        ("call plus one four one five\nfive five five  zero one\tzero zero ok", "phone", "plus one four one five\nfive five five  zero one\tzero zero"),
+        ("host 192dot168dot0dot1 up", "ip", "192dot168dot0dot1"),
+        ("host 192.168.one.1 up", "ip", "192.168.one.1"),
+        ("write to user@example(punkt)de now", "email", "user@example(punkt)de"),
+        ("write to user@example[punto]com now", "email", "user@example[punto]com"),
+        ("write to user@example{.}com now", "email", "user@example{.}com"),
+        ("write to user@example&period;com now", "email", "user@example&period;com"),
+        ("write to user{a}example.com now", "email", "user{a}example.com"),
+        ("write to user<@>example.com now", "email", "user<@>example.com"),
+        ("write to user (ät) firma.de now", "email", "user (ät) firma.de"),
+        ("write to user at example(dot)com now", "email", "user at example(dot)com"),
+        ("mail bob\tat\texample\tdot\tcom now", "email", "bob\tat\texample\tdot\tcom"),
+    ],
+)
+def test_every_pattern_is_reached(text, kind, source):
+    assert (kind, source) in [(pii.KINDS[k], text[a:b]) for k, a, b in pii.find(text)[1]]
