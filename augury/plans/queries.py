@@ -292,12 +292,11 @@ _SCORED = _CF | {
 
 
 def _rows(t: Tables) -> DataFrame:
-    return candidates.features(t.candidates().filter("candidate_id < 150"), _need(t))
+    return candidates.features(t.candidates(), _need(t))
 
 
 @query(sql(f"SELECT team, candidate_id, name, position, {_r('prospect', 'star', 'team_need', 'gap_best', 'gap_position', 'fit_gap', 'need_vs_bpa')}, consensus_rank FROM cf", "needs", "candidates", **_CF))
 def candidate_features(t: Tables) -> DataFrame:
-    """The operator's candidate set is the first 150 prospects, as a draft board's is."""
     return six(_rows(t))
 
 
