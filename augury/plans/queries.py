@@ -223,8 +223,7 @@ def roster_need_features(t: Tables) -> DataFrame:
     )
 )
 def need_scores(t: Tables) -> DataFrame:
-    """Over one snap count in twenty, so that rooms are small enough for the risks to differ."""
-    return six(needs.score(needs.need_features(t.roster().filter(F.col("snaps") % 20 == 7))))
+    return six(needs.score(needs.need_features(t.roster())))
 
 
 _ADJ = {
@@ -235,7 +234,7 @@ _ADJ = {
 
 
 def _adjusted(t: Tables) -> DataFrame:
-    return needs.adjusted(t.needs(), t.roster().filter(F.col("snaps") % 20 == 7))
+    return needs.adjusted(t.needs(), t.roster())
 
 
 @query(sql(f"SELECT team, position, {_r('overall', 'strength', 'adjusted')} FROM adj", "roster", "needs", **_ADJ))

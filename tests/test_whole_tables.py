@@ -27,3 +27,8 @@ def test_candidates(spark, sf_dir, name):
 def test_player_model_scores_every_candidate(spark, sf_dir):
     parts, teams = (spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("part", "nation"))
     assert QUERIES["player_model"](spark, sf_dir).count() == parts * teams
+
+
+@pytest.mark.parametrize("name", ["need_scores", "roster_strength_adjusted_need", "top_needs"])
+def test_roster(spark, sf_dir, name):
+    same(spark, sf_dir, name, (" WHERE snaps % 20 = 7", ""))
