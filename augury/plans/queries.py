@@ -100,8 +100,7 @@ _THIN = "SELECT * FROM votes WHERE article % 97 = 0"
 
 @query(_landing_sql("ctx", "votes", thin=_THIN, ctx="SELECT * FROM thin v WHERE slot = 3 OR NOT EXISTS (SELECT 1 FROM thin w WHERE w.cand = v.cand AND w.slot = 3)"))
 def landing_context(t: Tables) -> DataFrame:
-    thin = t.votes().filter(F.col("article") % 97 == 0)
-    return six(consensus.landing(consensus.context_rows(thin, 3)))
+    return six(consensus.landing(consensus.context_rows(t.votes(), 3)))
 
 
 @query(
@@ -620,7 +619,8 @@ _LATEST = "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_numbe
 def upsert_latest(t: Tables) -> DataFrame:
     rows = t.events.select("user_id", "event_type", "event_id", "value")
     old = upserts.keep_latest(rows.filter("event_id % 3 = 0"), ["user_id", "event_type"], [F.col("event_id").desc()])
-    return upserts.upsert(old, rows.filter("event_id % 3 = 1"), ["user_id", "event_type"], "event_id")
+    new = rows.filter("coalesce(event_id % 3, 1) <> 0")  # every event that is not old
+    return upserts.upsert(old, new, ["user_id", "event_type"], "event_id")
 
 
 @query("SELECT item_id AS user_id, n AS name FROM (SELECT row_number() OVER (ORDER BY n) + 5 AS item_id, n FROM (SELECT DISTINCT event_type AS n FROM events WHERE event_type <> 'click')) UNION ALL SELECT 5, 'click'")
@@ -663,7 +663,7 @@ def json_props(t: Tables) -> DataFrame:
     )
 )
 def coverage_buckets(t: Tables) -> DataFrame:
-    rows = t.votes().filter(F.col("article") % (F.col("slot") + 1) == 0).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    rows = t.votes().groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
     top = rows.agg(F.max("n").alias("top"))
     r = F.col("n") / F.col("top")
     bucket = F.when(r >= 0.75, "high").when(r >= 0.5, "good").when(r >= 0.25, "fair").otherwise("low")

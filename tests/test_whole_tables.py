@@ -32,3 +32,15 @@ def test_player_model_scores_every_candidate(spark, sf_dir):
 @pytest.mark.parametrize("name", ["need_scores", "roster_strength_adjusted_need", "top_needs"])
 def test_roster(spark, sf_dir, name):
     same(spark, sf_dir, name, (" WHERE snaps % 20 = 7", ""))
+
+
+@pytest.mark.parametrize(
+    ("name", "cut", "whole"),
+    [
+        ("landing_context", " WHERE article % 97 = 0", ""),
+        ("coverage_buckets", " WHERE article % (slot + 1) = 0", ""),
+        ("upsert_latest", "event_id % 3 = 1", "event_id % 3 <> 0"),
+    ],
+)
+def test_votes_and_events(spark, sf_dir, name, cut, whole):
+    same(spark, sf_dir, name, (cut, whole))
