@@ -1,0 +1,132 @@
+"""Near copies by the Jaccard similarity of their sets of 5-word shingles.
+
+A text's set holds 32 bits of the XXH64 of each shingle. BANDS times ROWS minimum hashes are made of
+it, and the ROWS of a band give a cell; two texts at similarity s share one with a probability of
+1 - (1 - s^ROWS)^BANDS, 0.99993 at 0.8. Candidates only come from shared cells, and each is
+checked on the sets themselves, so that no pair below the similarity is linked.
+
+Every text is first compared with the smallest of each of its cells, which joins large groups with
+a number of pairs that is linear in their size. Texts that still share a cell without being
+connected are then compared with the NEXT ones in a random order of the cell.
+"""
+
+from __future__ import annotations
+
+from collections import deque
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from augury.llm import simhash
+from augury.llm.common import batched_texts, scratch_table
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 24, 5
+NEXT = 16
+BLOCK = 1024
+_RANDOM = np.random.default_rng(42)
+_TIMES = _RANDOM.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_PLUS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct 32-bit hashes of the shingles of one text."""
+    import xxhash
+
+    words = simhash._WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(simhash._FOLD))
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    if len(words) <= size:
+        spans = [(0, len(line))]
+    else:
+        spans = zip([0, *ends[: len(words) - size].tolist()], (ends[size - 1 :] - 1).tolist(), strict=True)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(line[a:b], simhash.SEED) & 0xFFFFFFFF for a, b in spans], np.uint32))
+
+
+def cells(hashes: np.ndarray) -> np.ndarray:
+    """One signed 64-bit cell for each band."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), BLOCK):
+        part = hashes[at : at + BLOCK].astype(np.uint64)
+        least = np.minimum(least, ((part[None, :] * _TIMES[:, None] + _PLUS[:, None]) >> np.uint64(20)).min(axis=1))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        out = (out ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (a digest of the set), cells and set for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), simhash.SEED) for s in sets], np.uint64).view(np.int64)
+            made = pa.array([cells(s) for s in sets], pa.list_(pa.int64())), pa.array([s.view(np.int32) for s in sets], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *made], ["doc_id", "fp", "cells", "set"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return batched_texts(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, cells array<long>, set array<int>")
+
+
+def _near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are at least that similar."""
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def _next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, fp, root) sorted by cell in; each with the NEXT of its cell that have other roots out."""
+    cell, last = None, deque(maxlen=NEXT)
+    for rows in batches:
+        a, b = [], []
+        for now, fp, root in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            if now != cell:
+                cell = now
+                last.clear()
+            for other, other_root in last:
+                if other_root != root:
+                    a.append(min(fp, other))
+                    b.append(max(fp, other))
+            last.append((fp, root))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def links(made: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) between values of fp, given doc_id, fp, cells and set as a table."""
+    sets = made.groupBy("fp").agg(F.any_value("set").alias("set"))
+    dealt = made.select("fp", F.explode("cells").alias("cell")).distinct()
+    firsts = dealt.groupBy("cell").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell", "a")
+    shared = scratch_table(dealt.join(firsts, "cell"), "cells")
+    pairs = scratch_table(shared.filter("a <> fp").select("a", F.col("fp").alias("b")).distinct(), "pairs")
+    if pairs.isEmpty():
+        return pairs
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    sets = scratch_table(sets.join(ends, "fp", "left_semi"), "sets")
+    near = scratch_table(_near(pairs, sets, similarity), "near")
+    roots = simhash.components(near)
+    rooted = shared.join(roots, shared["fp"] == roots["node"], "left").select("cell", "fp", F.coalesce("root", "fp").alias("root"))
+    mixed = rooted.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("cell")
+    rest = rooted.join(mixed, "cell", "left_semi").repartition("cell").sortWithinPartitions("cell", F.xxhash64("fp", "cell")).select("cell", "fp", "root")
+    more = scratch_table(rest.mapInArrow(_next, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    return near.unionByName(_near(more, sets, similarity))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id, the smallest id reachable, for each row."""
+    made = scratch_table(sketches(docs, id_col, text_col), "sketches")
+    return simhash.by_component(made.select("doc_id", "fp"), scratch_table(links(made, similarity), "links")).select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows, with all their columns, whose id is the smallest of their component; repeated and null ids as in simhash."""
+    return simhash.keep_least(docs, near_duplicates(docs, id_col, text_col, similarity), id_col, text_col)

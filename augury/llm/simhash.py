@@ -209,13 +209,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has a null component_id. An empty table gives no rows; other columns are not read.
     """
     prints = scratch_table(fingerprints(docs, id_col, text_col), "prints")
+    found = by_component(prints, links(prints, radius))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
+
+
+def by_component(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows (doc_id, fp) with component_id, the smallest id that the edges between values of fp reach."""
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(prints, radius))
+    roots = components(edges)
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     groups = scratch_table(rooted, "classes")
     ids = groups.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = groups.join(ids, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
+    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -224,7 +230,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of rows repeated under that id with one text, one stays; an id whose rows have different texts
     stays if one of them does. Null counts as one id: it stays if a component has null ids only.
     """
-    found = near_duplicates(docs, id_col, text_col, radius)
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, radius), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose id is its own component_id in found (doc_id, component_id)."""
     by_id = found.groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count(F.lit(1)).alias("rows"))
     by_id = scratch_table(by_id.filter("NOT stays OR rows > 1"), "lost")
     lost = broadcast_if_small(by_id.filter("NOT stays").select(F.col("doc_id").alias("__id")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from augury.llm import exact_dedup, mixing, packing, quality, simhash
+from augury.llm import exact_dedup, minhash, mixing, packing, quality
 from augury.llm.common import scratch_table
 
 #: The mix's tree. Sources with a number of 10 or more are curated, all others web crawls.
@@ -24,7 +24,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return minhash.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

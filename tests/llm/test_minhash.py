@@ -1,0 +1,35 @@
+"""The pipeline's near-dedup on planted copies, against exact similarities of 5-word shingles."""
+
+import random
+
+import corpus_pipeline
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_planted_copies(spark, sf_dir):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    texts = []
+    for changed in [1, 2, 3, 4, 5, 6, 7, 9, 12, 20] * 6:
+        words = [word() for _ in range(300)]
+        copy = list(words)
+        for at in rng.sample(range(300), changed):
+            copy[at] = word()
+        texts += [" ".join(words), " ".join(copy)]
+    hub = [word() for _ in range(300)]
+    for k in range(60):  # a group larger than the window of a cell
+        texts.append(" ".join([*hub[:290], *[word() for _ in range(10)]]))
+    sets = [shingles(t) for t in texts]
+    links = {(i, k) for i in range(len(sets)) for k in range(i) if len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k])}
+    root = list(range(len(texts)))
+    for i, k in sorted(links) * 3:
+        root[i] = root[k] = min(root[i], root[k])
+    rows = [(i, t, "en", "src1", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, sf_dir).collect()}
+    assert kept == {i for i, r in enumerate(root) if i == r}
+    assert len(kept) < len(texts) - 80
