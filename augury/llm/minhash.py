@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from augury.llm import simhash
-from augury.llm.common import batched_texts, scratch_table
+from augury.llm.common import batched_texts, broadcast_if_small, scratch_table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -103,15 +103,14 @@ def _next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(made: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Edges (a, b) between values of fp, given doc_id, fp, cells and set as a table."""
-    sets = made.groupBy("fp").agg(F.any_value("set").alias("set"))
-    dealt = made.select("fp", F.explode("cells").alias("cell")).distinct()
+    dealt = made.select("fp", "cells").dropDuplicates(["fp"]).select("fp", F.explode("cells").alias("cell"))
     firsts = dealt.groupBy("cell").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell", "a")
     shared = scratch_table(dealt.join(firsts, "cell"), "cells")
     pairs = scratch_table(shared.filter("a <> fp").select("a", F.col("fp").alias("b")).distinct(), "pairs")
     if pairs.isEmpty():
         return pairs
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = scratch_table(sets.join(ends, "fp", "left_semi"), "sets")
+    ends = broadcast_if_small(scratch_table(shared.select("fp").distinct(), "ends"))
+    sets = scratch_table(made.select("fp", "set").join(ends, "fp", "left_semi").groupBy("fp").agg(F.any_value("set").alias("set")), "sets")
     near = scratch_table(_near(pairs, sets, similarity), "near")
     roots = simhash.components(near)
     rooted = shared.join(roots, shared["fp"] == roots["node"], "left").select("cell", "fp", F.coalesce("root", "fp").alias("root"))
