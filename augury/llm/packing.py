@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from augury.llm.common import batched_texts
-from augury.llm.tokens import default_tokenizer, encoder
+from augury.llm.tokens import default_tokenizer, encoder, gather
 
 MAX_TOKENS = 1024
 MAX_SEGMENTS = 64
@@ -62,15 +62,30 @@ def place(sizes: np.ndarray, limits: np.ndarray) -> list[list[int]]:
     return bins
 
 
-def _cuts(n: int, loss: int, max_tokens: int, max_loss: int) -> list[tuple[int, int, int]]:
-    """(start, length, loss-bearing tokens) of the pieces of n tokens, the last `loss` of which bear loss."""
-    out, at = [], 0
-    while at < n:
-        free = max(0, n - loss - at)  # tokens before the first that bears loss
-        size = min(max_tokens, n - at, free + max_loss)
-        out.append((at, size, max(0, size - free)))
-        at += size
-    return out
+def _pieces(sizes: np.ndarray, loss: np.ndarray, max_tokens: int, max_loss: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, length, loss-bearing tokens) of the pieces of documents of so many tokens, the last `loss` of which bear loss.
+
+    A piece takes as many tokens as the limits allow. Whole pieces before the first token with
+    loss and after it are counted, not walked.
+    """
+    free = sizes - loss
+    # Without loss in the way: pieces of max_tokens up to the last one that ends before loss begins.
+    plain = free // max_tokens
+    rest = sizes - plain * max_tokens  # from here on, the first `lead` tokens bear none
+    lead = free - plain * max_tokens
+    first = np.minimum(np.minimum(rest, max_tokens), lead + max_loss)
+    step = min(max_tokens, max_loss)
+    after = rest - first
+    more = -(-after // step)
+    count = plain + (rest > 0) + more
+    doc = np.repeat(np.arange(len(sizes)), count)
+    k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    p, f, r = plain[doc], first[doc], rest[doc]
+    tail = k > p
+    start = np.where(tail, p * max_tokens + f + (k - p - 1) * step, k * max_tokens)
+    length = np.where(tail, np.minimum(step, sizes[doc] - start), np.where(k == p, f, max_tokens))
+    bearing = np.where(tail, length, np.where((k == p) & (r > 0), np.maximum(0, f - lead[doc]), 0))
+    return doc, start, length, bearing
 
 
 def pack(
@@ -97,64 +112,67 @@ def pack(
     limits = np.array([max_tokens, max_segments, most_loss], float)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.col(text_col).alias("text"),
         (F.col(loss_col).cast("long") if loss_col else F.lit(None).cast("long")).alias("loss"),
     )
     names = ["doc_id", *(c.split()[0] for c in COLUMNS.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        number = TaskContext.get().partitionId() * PER_TASK
-        done: list[tuple] = []
-        held: list[tuple] = []
-        held_bytes = done_bytes = 0
-
-        def close() -> None:
-            nonlocal number, held_bytes, done_bytes
-            for members in place(np.array([(p[2], 1, p[5]) for p in held], float).reshape(-1, 3), limits):
-                offset = 0
-                for k in members:
-                    done.append((*held[k], number, offset))
-                    offset += held[k][2]
-                number += 1
-            done_bytes += held_bytes
-            held_bytes = 0
+        tok, number = encoder(path), TaskContext.get().partitionId() * PER_TASK
+        held: list[tuple] = []  # columns of pieces that don't fill a sequence, and their ids
+        waiting = 0
+
+        def made(columns: tuple, flat: np.ndarray, sequence: np.ndarray, offset: np.ndarray) -> pa.RecordBatch:
+            docs_of, start, length, doc_tokens, bearing = columns
+            ends = np.concatenate(([0], 4 * np.cumsum(length))).astype(np.int64)
+            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat).astype("<u4", copy=False))])
+            numbers = (pa.array(x, pa.int64()) for x in (doc_tokens, bearing, sequence, offset))
+            return pa.RecordBatch.from_arrays([docs_of, pa.array(start, pa.int64()), pa.array(length, pa.int64()), ids.cast(pa.binary()), *numbers], names)
+
+        def close() -> pa.RecordBatch:
+            """The sequences of what is held."""
+            nonlocal number, waiting
+            docs_of = pa.concat_arrays([h[0][0] for h in held])
+            start, length, doc_tokens, bearing = (np.concatenate([h[0][k] for h in held]) for k in range(1, 5))
+            flat = np.concatenate([h[1] for h in held])
             held.clear()
-
-        def batch(kind: pa.DataType) -> pa.RecordBatch:
-            nonlocal done_bytes
-            cols = list(zip(*done, strict=True))
-            types = [kind, pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4]
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
-            done.clear()
-            done_bytes = 0
-            return made
-
-        kind = None
-        for part in batches:
-            kind = part.schema.field(0).type
-            for at in range(0, part.num_rows, ROWS):
-                ids, texts, losses = (column.to_pylist() for column in part.slice(at, ROWS).columns)
-                for doc, data, loss in zip(ids, tok.encode(texts), losses, strict=True):
-                    data += end
-                    n = len(data) // 4
-                    for start, size, bearing in _cuts(n, n if loss is None else min(n, max(0, loss) + 1), max_tokens, most_loss):
-                        piece = (doc, start, size, data[4 * start : 4 * (start + size)], n, bearing)
-                        if size == max_tokens:
-                            done.append((*piece, number, 0))
-                            done_bytes += 4 * size
-                            number += 1
-                        else:
-                            held.append(piece)
-                            held_bytes += 4 * size
-                    if len(held) >= BLOCK:
-                        close()
-                    if done_bytes > 8 << 20:
-                        yield batch(kind)
-        if held:
-            close()
-        if done:
-            yield batch(kind)
+            waiting = 0
+            bins = place(np.stack([length, np.ones_like(length), bearing], axis=1).astype(float), limits)
+            order = np.array([k for members in bins for k in members], np.int64)
+            many = np.array([len(members) for members in bins], np.int64)
+            sequence = number + np.repeat(np.arange(len(bins)), many)
+            upto = np.cumsum(length[order]) - length[order]
+            offset = upto - np.repeat(upto[np.cumsum(many) - many], many)
+            number += len(bins)
+            begins = np.cumsum(length) - length
+            columns = (docs_of.take(pa.array(order)), start[order], length[order], doc_tokens[order], bearing[order])
+            return made(columns, gather(flat, begins[order], length[order]), sequence, offset)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                flat, ends = tok.encode(part.column(1), end_id)
+                sizes = np.diff(ends, prepend=0)
+                known = part.column(2)
+                loss = np.minimum(sizes, np.maximum(0, known.fill_null(0).to_numpy(zero_copy_only=False)) + 1)
+                loss = np.where(known.is_null().to_numpy(zero_copy_only=False), sizes, loss)
+                doc, start, length, bearing = _pieces(sizes, loss, max_tokens, most_loss)
+                place_of = (ends - sizes)[doc] + start
+
+                def columns(which: np.ndarray, doc=doc, part=part, start=start, length=length, sizes=sizes, bearing=bearing) -> tuple:
+                    return part.column(0).take(pa.array(doc[which])), start[which], length[which], sizes[doc[which]], bearing[which]
+
+                full = np.flatnonzero(length == max_tokens)
+                if len(full):
+                    yield made(columns(full), gather(flat, place_of[full], length[full]), number + np.arange(len(full)), np.zeros(len(full), np.int64))
+                    number += len(full)
+                rest = np.flatnonzero(length < max_tokens)
+                held.append((columns(rest), gather(flat, place_of[rest], length[rest])))
+                waiting += len(rest)
+                if waiting >= BLOCK:
+                    yield close()
+        if waiting:
+            yield close()
 
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {COLUMNS}"
     return batched_texts(rows).mapInArrow(run, schema)

@@ -1,20 +1,24 @@
 """Token ids in grammar-compressed shards.
 
 Documents are encoded in ascending order of id; a file holds the ids of consecutive documents.
-Re-Pair works on the ids of one file: count adjacent pairs, give each of the most frequent ones a
-new nonterminal, replace their occurrences from the left, and start again, until no pair is
-frequent enough. A round takes up to ROUND_PAIRS pairs at once, counted on all ids of the file.
-
-A file is MAGIC, a line of JSON (the arrays' types and lengths), and the arrays one after another:
-doc_ids, id_valid, doc_tokens, left and right (the rules), lengths (tokens that each rule expands
-to), symbols (ids and nonterminals, in 16 bits if they fit), marks (tokens before every MARK-th
-symbol). Tokens from any place are decoded from the mark before it on.
+Re-Pair works on the ids of one file: count adjacent pairs, give each pair that occurs LEAST_COUNT
+times or more a new nonterminal, replace its occurrences, and start again, until no pair
+occurs that often. A round takes all such pairs at once. Where two occurrences overlap, the one of
+the more frequent pair is replaced; in a run of one pair every second one is, from the left. Every
+occurrence that is left shares a symbol with a replaced one, so a later round only counts the pairs
+that hold a symbol of the round before.
+
+A file is MAGIC, the length of a header as 8 bytes, the header (JSON: the arrays' types and
+lengths), and the arrays one after another: doc_ids, id_valid, doc_tokens, left and right (the
+rules), lengths (tokens that each rule expands to), symbols (ids and nonterminals, which start
+behind the file's largest id; in 16 bits if they fit), marks (tokens before every MARK-th symbol).
+Tokens from any place are decoded from the mark before it on; only that range is read.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,152 +26,236 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from augury.llm.common import scratch_path
-from augury.llm.files import FILE_TOKENS, one_task_each, read_bytes, write_bytes, write_files
+from augury.llm.files import FILE_TOKENS, deal_files, read_bytes, write_bytes, write_files
+from augury.llm.tokens import gather
 
-MAGIC = b"REPAIR1\n"
-#: Symbols from here on are nonterminals; all ids are below it.
-FIRST_RULE = 1 << 16
-ROUNDS = 8
-ROUND_PAIRS = 1024
+MAGIC = b"REPAIR2\n"
 LEAST_COUNT = 64
 MARK = 1024
+#: Pairs are first counted by a hash of so many bits; only those of a full bucket are counted exactly.
+BUCKET_BITS = 20
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT, first_rule: int = FIRST_RULE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules as n x 2, tokens that each rule expands to)."""
-    now = ids.astype(np.uint32)
-    rules: list[np.ndarray] = []
-    lengths: list[np.ndarray] = []
-    n_rules = 0
-    for _ in range(rounds):
-        if len(now) < 2:
-            break
-        # Symbols of frequent pairs are frequent themselves; only those get a row of the count table.
-        use = np.bincount(now)
-        often = np.flatnonzero(use >= least)
-        often = often[np.argsort(-use[often], kind="stable")[:2048]]
-        rank = np.full(len(use), -1, np.int32)
-        rank[often] = np.arange(len(often), dtype=np.int32)
-        ranks = rank[now]
-        both = (ranks[:-1] >= 0) & (ranks[1:] >= 0)
-        codes = np.where(both, ranks[:-1] * len(often) + ranks[1:], -1).astype(np.int32)
-        counts = np.bincount(codes[both], minlength=1)
-        top = np.flatnonzero(counts >= least)
-        top = top[np.argsort(-counts[top], kind="stable")[:ROUND_PAIRS]]
+def _frequent(codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes that occur at least so often, their counts, places of them in codes, number of the code at each place)."""
+    bucket = ((codes * _FACTOR) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+    full = np.bincount(bucket, minlength=1 << BUCKET_BITS) >= least
+    places = np.flatnonzero(full[bucket])
+    some = codes[places]
+    ordered = np.sort(some)
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(ordered)))
+    often = counts >= least
+    found, counts = ordered[first[often]], counts[often]
+    if not len(found):
+        return found, counts, places[:0], places[:0]
+    # The code of each place by its bucket; the few codes that share one with another are searched.
+    own = ((found * _FACTOR) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+    slot = np.zeros(1 << BUCKET_BITS, np.int32)
+    slot[own] = np.arange(len(found), dtype=np.int32)
+    number = slot[bucket[places]]
+    hidden = slot[own] != np.arange(len(found))
+    if hidden.any():
+        shared = np.zeros(1 << BUCKET_BITS, bool)
+        shared[own[hidden]] = True
+        search = np.flatnonzero(shared[bucket[places]])
+        number[search] = np.minimum(np.searchsorted(found, some[search]), len(found) - 1)
+    hit = found[number] == some
+    return found, counts, places[hit], number[hit]
+
+
+def _chosen(places: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the occurrences (ascending places, each of two symbols) are replaced: a maximal set without overlaps."""
+    out = np.zeros(len(places), bool)
+    left = np.arange(len(places))
+    for last in (False, False, True):
+        at, w = places[left], weight[left] if not last else np.zeros(len(left), np.int64)
+        joined = np.diff(at) == 1
+        lower = np.zeros(len(left), bool)  # beside a heavier one
+        lower[1:] |= joined & (w[1:] < w[:-1])
+        lower[:-1] |= joined & (w[:-1] < w[1:])
+        top = np.flatnonzero(~lower)
         if not len(top):
+            continue
+        # Tops side by side have one weight: every second one of a run.
+        starts = np.concatenate(([True], np.diff(at[top]) != 1))
+        run = np.maximum.accumulate(np.where(starts, np.arange(len(top)), 0))
+        taken = left[top[(np.arange(len(top)) - run) % 2 == 0]]
+        out[taken] = True
+        free = np.ones(len(left), bool)
+        position = np.searchsorted(left, taken)
+        free[position] = False
+        for side in (-1, 1):
+            beside = position + side
+            inside = (beside >= 0) & (beside < len(left))
+            beside, own = beside[inside], position[inside]
+            free[beside[np.abs(at[beside] - at[own]) == 1]] = False
+        left = left[free]
+        if not len(left):
             break
-        new = np.zeros(len(counts) + 1, np.uint32)  # the last entry is for code -1
-        new[top] = first_rule + n_rules + np.arange(len(top), dtype=np.uint32)
-        made = new[codes]
-        hits = np.flatnonzero(made)
-        # Occurrences in a run overlap: every second one is replaced, from the left.
-        starts = np.concatenate(([True], np.diff(hits) != 1))
-        run = np.maximum.accumulate(np.where(starts, np.arange(len(hits)), 0))
-        hits = hits[(np.arange(len(hits)) - run) % 2 == 0]
-        now[hits] = made[hits]
+    return out
+
+
+def compress(ids: np.ndarray, least: int = LEAST_COUNT, first_rule: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules as n x 2, tokens that each rule expands to). Symbols from first_rule on are nonterminals."""
+    now = ids.astype(np.uint32)
+    first_rule = int(now.max(initial=0)) + 1 if first_rule is None else first_rule
+    rules, lengths = [np.zeros((0, 2), np.uint32)], np.zeros(0, np.uint32)
+    newest = 0  # only pairs with a symbol from here on can have become frequent
+    while len(now) > 1:
+        if newest:
+            new = np.flatnonzero(now >= newest)
+            beside = np.zeros(len(now) + 1, bool)
+            beside[new] = True
+            beside[new + 1] = True  # at k: the pair (k - 1, k)
+            at = np.flatnonzero(beside[1:-1])
+            left, right = now[at], now[at + 1]
+        else:
+            left, right = now[:-1], now[1:]
+        found, counts, places, number = _frequent((left.astype(np.uint64) << np.uint64(32)) | right, least)
+        if not len(found):
+            break
+        places = at[places] if newest else places
+        chosen = _chosen(places, counts[number])
+        places, number = places[chosen], number[chosen]
+        is_used = np.bincount(number, minlength=len(found)) > 0
+        used, rule = np.flatnonzero(is_used), (np.cumsum(is_used) - 1)[number]
+        pair = np.stack([found[used] >> np.uint64(32), found[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        newest = first_rule + len(lengths)
+        now[places] = (newest + rule).astype(np.uint32)
         keep = np.ones(len(now), bool)
-        keep[hits + 1] = False
+        keep[places + 1] = False
         now = now[keep]
-        pair = np.stack([often[top // len(often)], often[top % len(often)]], axis=1).astype(np.uint32)
-        known = np.concatenate([np.zeros(0, np.uint32), *lengths])
-        size = lambda s: np.where(s < first_rule, 1, known[np.maximum(s.astype(np.int64) - first_rule, 0) % max(1, len(known))] if len(known) else 1)
+        size = np.concatenate((lengths, [1])).astype(np.uint32)  # the last entry is an id's
+        of = np.where(pair < first_rule, len(lengths), pair.astype(np.int64) - first_rule)
+        lengths = np.concatenate((lengths, size[of].sum(axis=1, dtype=np.uint32)))
         rules.append(pair)
-        lengths.append((size(pair[:, 0]) + size(pair[:, 1])).astype(np.uint32))
-        n_rules += len(top)
-    return now, np.concatenate([np.zeros((0, 2), np.uint32), *rules]), np.concatenate([np.zeros(0, np.uint32), *lengths])
-
-
-def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_rule: int = FIRST_RULE) -> np.ndarray:
-    """The ids that symbols stand for."""
-    at = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
-    flat = np.zeros(int(at[-1]), np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):  # a rule uses earlier rules only
-        p = at[k]
-        for s in (a, b):
-            n = 1 if s < first_rule else int(lengths[s - first_rule])
-            flat[p : p + n] = s if s < first_rule else flat[at[s - first_rule] : at[s - first_rule] + n]
-            p += n
-    plain = symbols < first_rule
-    rule = np.where(plain, 0, symbols.astype(np.int64) - first_rule)
-    size = np.where(plain, 1, lengths[rule] if len(lengths) else 1).astype(np.int64)
-    out = np.repeat(symbols.astype(np.uint32), size)
-    if len(lengths):
-        ends = np.cumsum(size)
-        inside = np.arange(len(out)) - np.repeat(ends - size, size)
-        where = np.flatnonzero(np.repeat(~plain, size))
-        out[where] = flat[np.repeat(at[rule], size)[where] + inside[where]]
+    return now, np.concatenate(rules), lengths
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
+    """The ids that symbols stand for, unfolded level by level; only rules that are met are read."""
+    now = symbols.astype(np.uint32)
+    while True:
+        ruled = now >= first_rule
+        where = np.flatnonzero(ruled)
+        if not len(where):
+            return now
+        pair = rules[now[where] - np.uint32(first_rule)]
+        out = np.empty(len(now) + len(where), np.uint32)
+        at = np.arange(len(now)) + np.cumsum(ruled) - ruled
+        out[at] = now
+        out[at[where]] = pair[:, 0]
+        out[at[where] + 1] = pair[:, 1]
+        now = out
+
+
+def expand_all(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first_rule: int) -> np.ndarray:
+    """What expand gives, for many symbols: every rule is unfolded once."""
+    if not len(rules):
+        return symbols.astype(np.uint32)
+    flat, ruled = expand(rules.reshape(-1), rules, first_rule), symbols >= first_rule
+    size = np.ones(len(symbols), np.int64)
+    rule = symbols[ruled].astype(np.int64) - first_rule
+    size[ruled] = lengths[rule]
+    begin = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint32)
+    whole = np.ones(len(out), bool)
+    whole[begin[~ruled]] = False
+    out[~whole] = symbols[~ruled]
+    out[whole] = gather(flat, (np.cumsum(lengths, dtype=np.int64) - lengths)[rule], size[ruled])
     return out
 
 
-def pack_file(doc_ids: list, encoded: list[bytes]) -> bytes:
-    ids = np.frombuffer(b"".join(encoded), "<u4")
+def pack_file(doc_ids: list, sizes: np.ndarray, ids: np.ndarray) -> bytes:
     symbols, rules, lengths = compress(ids)
-    size = np.ones(len(symbols), np.int64)
-    ruled = symbols >= FIRST_RULE
-    size[ruled] = lengths[symbols[ruled].astype(np.int64) - FIRST_RULE]
-    before = np.cumsum(size) - size
-    # Nonterminals are moved down behind the largest id if 16 bits then hold every symbol.
-    top = int(ids.max(initial=0)) + 1
+    first_rule = int(ids.max(initial=0)) + 1
+    of = np.where(symbols < first_rule, len(lengths), symbols.astype(np.int64) - first_rule)
+    size = np.append(lengths, np.uint32(1)).astype(np.int64)[of]
+    kind = "<u2" if first_rule + len(rules) <= 1 << 16 else "<u4"
     arrays = {
         "doc_ids": np.array([d if d is not None else 0 for d in doc_ids], "<i8"),
         "id_valid": np.array([d is not None for d in doc_ids], np.uint8),
-        "doc_tokens": np.array([len(e) // 4 for e in encoded], "<u4"),
-        "left": _moved(rules[:, 0], top),
-        "right": _moved(rules[:, 1], top),
+        "doc_tokens": np.asarray(sizes).astype("<u4"),
+        "left": rules[:, 0].astype(kind),
+        "right": rules[:, 1].astype(kind),
         "lengths": lengths.astype("<u4"),
-        "symbols": _moved(symbols, top),
-        "marks": before[::MARK].astype("<u8"),
+        "symbols": symbols.astype(kind),
+        "marks": (np.cumsum(size) - size)[::MARK].astype("<u8"),
     }
-    head = {"first_rule": top, "mark": MARK, "arrays": [[k, v.dtype.str, len(v)] for k, v in arrays.items()]}
-    return MAGIC + json.dumps(head).encode() + b"\n" + b"".join(v.tobytes() for v in arrays.values())
+    head = json.dumps({"first_rule": first_rule, "mark": MARK, "arrays": [[k, v.dtype.str, len(v)] for k, v in arrays.items()]}).encode()
+    return MAGIC + len(head).to_bytes(8, "little") + head + b"".join(v.tobytes() for v in arrays.values())
+
 
+class File:
+    """A file behind read(start, size); what is read is what is asked for."""
 
-def _moved(symbols: np.ndarray, top: int) -> np.ndarray:
-    low = np.where(symbols >= FIRST_RULE, symbols - np.uint32(FIRST_RULE) + np.uint32(top), symbols)
-    return low.astype("<u2" if low.max(initial=0) < 1 << 16 else "<u4")
+    def __init__(self, read: Callable[[int, int], bytes]):
+        begin = read(0, len(MAGIC) + 8)
+        if not begin.startswith(MAGIC):
+            raise ValueError("not a grammar-compressed token file")
+        at = len(begin)
+        n = int.from_bytes(begin[len(MAGIC) :], "little")
+        head, at = json.loads(read(at, n)), at + n
+        self.first_rule, self.mark, self._read = head["first_rule"], head["mark"], read
+        self._where: dict[str, tuple[int, np.dtype, int]] = {}
+        for name, kind, size in head["arrays"]:
+            self._where[name] = (at, np.dtype(kind), size)
+            at += size * np.dtype(kind).itemsize
 
+    def array(self, name: str, start: int = 0, stop: int | None = None) -> np.ndarray:
+        at, kind, size = self._where[name]
+        stop = size if stop is None else min(stop, size)
+        n = max(0, stop - start)
+        return np.frombuffer(self._read(at + start * kind.itemsize, n * kind.itemsize), kind, n)
 
-def open_file(data: bytes) -> tuple[int, dict[str, np.ndarray]]:
-    """(first nonterminal, arrays) of a file's bytes."""
-    if not data.startswith(MAGIC):
-        raise ValueError("not a grammar-compressed token file")
-    end = data.index(b"\n", len(MAGIC))
-    head, at, out = json.loads(data[len(MAGIC) : end]), end + 1, {}
-    for name, kind, n in head["arrays"]:
-        out[name] = np.frombuffer(data, kind, n, at)
-        at += out[name].nbytes
-    return head["first_rule"], out
+    def rules(self) -> np.ndarray:
+        return np.stack([self.array("left"), self.array("right")], axis=1).astype(np.uint32)
 
+    def tokens(self) -> np.ndarray:
+        return expand_all(self.array("symbols"), self.rules(), self.array("lengths"), self.first_rule)
 
-def decode_range(data: bytes, start: int, length: int) -> np.ndarray:
-    """The ids from `start` on, without expanding what lies before the nearest mark."""
-    first, a = open_file(data)
-    rules = np.stack([a["left"], a["right"]], axis=1).astype(np.uint32)
-    k = max(0, int(np.searchsorted(a["marks"], start, "right")) - 1)
-    last = int(np.searchsorted(a["marks"], start + length, "left"))
-    some = a["symbols"][k * MARK : last * MARK].astype(np.uint32)
-    skip = start - int(a["marks"][k]) if len(a["marks"]) else 0
-    return expand(some, rules, a["lengths"], first)[skip : skip + length]
+    def decode(self, start: int, length: int) -> np.ndarray:
+        """The ids from `start` on; symbols before the nearest mark are neither read nor unfolded."""
+        marks = self.array("marks")
+        if not len(marks) or length < 1:
+            return np.zeros(0, np.uint32)
+        k = max(0, int(np.searchsorted(marks, start, "right")) - 1)
+        last = int(np.searchsorted(marks, start + length, "left"))
+        skip = start - int(marks[k])
+        return expand(self.array("symbols", k * self.mark, last * self.mark), self.rules(), self.first_rule)[skip : skip + length]
+
+
+def open_file(path: str) -> File:
+    return File(lambda start, size: read_bytes(path, start, size))
+
+
+def of_bytes(data: bytes) -> File:
+    return File(lambda start, size: data[start : start + size])
 
 
 def write_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, tokenizer: str | None = None, end_id: int = 2, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Writes the files and returns their manifest: part, file, path, n_docs, n_tokens, n_bytes, first_token.
 
     first_token is the number of ids in all files before. Ids must be integers; null ids come
-    first, rows with one id are ordered by text; a null text is the end id alone. An empty table
-    gives no file. Other columns are not read.
+    first, rows with one id are in the order of a hash of their text; a null text is the end id
+    alone. Token ids may be anything below 2^31, end_id included. An empty table gives no file.
+    Other columns are not read.
     """
     folder = folder or scratch_path(docs.sparkSession, "repair")
 
-    def save(path: str, ids: list, encoded: list[bytes]) -> tuple[int, dict]:
-        data = pack_file(ids, encoded)
-        write_bytes(path, data)
+    def save(path: str, ids: list, sizes: np.ndarray, tokens: np.ndarray) -> tuple[int, dict]:
+        write_bytes(path, data := pack_file(ids, sizes, tokens))
         return len(data), {}
 
     manifest = write_files(docs, id_col, text_col, folder, end_id, save, tokenizer=tokenizer, file_tokens=file_tokens)
-    # A row per file of millions of tokens: the running sum over all of them is a small window.
-    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("first_token", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    # First over the parts, of which there are as many as tasks, then over the files of each.
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", ahead.alias("ahead"))
+    before = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return manifest.join(F.broadcast(parts), "part").withColumn("first_token", F.col("ahead") + F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).drop("ahead")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -176,20 +264,17 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, first_token in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                first, a = open_file(read_bytes(path))
-                ids = expand(a["symbols"].astype(np.uint32), np.stack([a["left"], a["right"]], axis=1).astype(np.uint32), a["lengths"], first).astype("<u4").tobytes()
-                ends = np.cumsum(a["doc_tokens"], dtype=np.int64)
-                starts = ends - a["doc_tokens"]
-                for at in range(0, len(ends), 2048):
-                    s, e = starts[at : at + 2048], ends[at : at + 2048]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(a["doc_ids"][at : at + 2048], mask=a["id_valid"][at : at + 2048] == 0),
-                            pa.array(s + first_token),
-                            pa.array(e - s),
-                            pa.array([ids[4 * x : 4 * y] for x, y in zip(s.tolist(), e.tolist(), strict=True)], pa.binary()),
-                        ],
-                        ["doc_id", "start", "n_tokens", "ids"],
-                    )
-
-    return one_task_each(manifest).select("path", "first_token").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+                data = read_bytes(path)
+                file = of_bytes(data)
+                ids = file.tokens().astype("<u4", copy=False)
+                doc_ids, valid = file.array("doc_ids"), file.array("id_valid")
+                ends = np.concatenate(([0], np.cumsum(file.array("doc_tokens"), dtype=np.int64)))
+                for at in range(0, len(doc_ids), 2048):
+                    e = ends[at : at + 2049]
+                    flat = pa.py_buffer(np.ascontiguousarray(ids[e[0] : e[-1]]))
+                    made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(e) - 1, [None, pa.py_buffer((4 * (e - e[0])).astype(np.int64)), flat])
+                    columns = [pa.array(doc_ids[at : at + 2048], mask=valid[at : at + 2048] == 0), pa.array(e[:-1] + first_token), pa.array(np.diff(e)), made.cast(pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
+
+    dealt = deal_files(manifest.select("path", "first_token", "n_bytes"))
+    return dealt.select("path", "first_token").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

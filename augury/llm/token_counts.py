@@ -34,11 +34,10 @@ def write_flat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     folder = folder or scratch_path(docs.sparkSession, "flat")
 
-    def save(path: str, ids: list, encoded: list[bytes]) -> tuple[int, dict]:
-        wide = np.frombuffer(b"".join(encoded), "<u4")
-        if len(wide) and int(wide.max()) > np.iinfo(kind).max:
+    def save(path: str, ids: list, sizes: np.ndarray, tokens: np.ndarray) -> tuple[int, dict]:
+        if int(tokens.max(initial=0)) > np.iinfo(kind).max:
             raise ValueError(f"ids of this vocabulary don't fit {kind}")
-        write_bytes(path, data := wide.astype(kind).tobytes())
+        write_bytes(path, data := tokens.astype(kind).tobytes())
         return len(data), {"ids": list(ids)}
 
     extra = f"ids array<{docs.schema[id_col].dataType.simpleString()}>"

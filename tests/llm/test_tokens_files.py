@@ -1,13 +1,16 @@
 import random
+import resource
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from augury.llm import packing, queries, repair, token_counts
-from augury.llm.tokens import WordEncoder, default_tokenizer
+from augury.llm import tokens
+from augury.llm.tokens import Encoder, default_tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, ids string, path string, start string"
 ODD = [
@@ -34,14 +37,50 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_word_memory_gives_the_library_s_ids(library, spark, sf_dir, monkeypatch):
-    monkeypatch.setattr("augury.llm.tokens.GENERATION", 500)
+def split(made):
+    ids, ends = made
+    return [ids[a:b].tolist() for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+
+
+@pytest.mark.parametrize("memory", [1 << 12, 1 << 26])
+def test_pieces_give_the_library_s_ids(library, spark, sf_dir, monkeypatch, memory):
+    monkeypatch.setattr("augury.llm.tokens.MEMORY_BYTES", memory)
+    monkeypatch.setattr("augury.llm.tokens.GROUP_BYTES", 5000)
     rng = random.Random(4)
-    texts = ["".join(rng.choice("ab'sé1² \n\t\xa0\x1c.日 <|") for _ in range(rng.randint(0, 14))) for _ in range(4000)]
-    texts += [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    mine = WordEncoder(default_tokenizer())
-    for got, text in zip(mine.encode(texts), texts, strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == ids_of(library, text), text
+    for alphabet in ("ab'sreétllvdm1² \n\t\r\x0b\xa0\x1c.日 <|!-\u3000à×", "a's \n.1", "x\x85é \u2003日 \n"):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(8000)]
+        texts += ["x <|endoftext|> y 's", "don't I'll we're ''s", "<|endoftext|>", None]
+        want = [e.ids for e in library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        assert split(Encoder(default_tokenizer()).encode(pa.array(texts, pa.string()))) == want
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    mine = Encoder(default_tokenizer())
+    for column in (pa.array(texts), pa.array(["cut off", *texts], pa.large_string()).slice(1)):
+        assert split(mine.encode(column, 7)) == [[*ids_of(library, t), 7] for t in texts]
+    assert split(mine.encode(pa.array([], pa.string()))) == []
+
+
+def test_other_pre_tokenizers_are_given_whole_texts(library, tmp_path):
+    import json
+
+    made = json.loads(open(default_tokenizer(), encoding="utf-8").read())
+    made["pre_tokenizer"]["use_regex"] = False
+    (tmp_path / "t.json").write_text(json.dumps(made), encoding="utf-8")
+    other = Tokenizer.from_file(str(tmp_path / "t.json"))
+    texts = ["one two  three", "a\nb", "", "it's 1.5"]
+    assert split(Encoder(str(tmp_path / "t.json")).encode(pa.array(texts))) == [other.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_texts_without_blanks_leave_no_memory():
+    """Long pieces don't repeat: 50 MB of them, each another one, must not stay in the worker."""
+    mine = Encoder(default_tokenizer())
+    rng = np.random.default_rng(0)
+    mine.encode(pa.array(["warm"]))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for _ in range(16):
+        points = rng.integers(0x4E00, 0x9FA5, (1000, 1000)).astype("<u4")
+        mine.encode(pa.array([row.tobytes().decode("utf-32-le") for row in points]))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200 << 10
+    assert mine._memory.bytes() <= 1.3 * tokens.MEMORY_BYTES
 
 
 def rows_of(spark, sf_dir):
@@ -59,23 +98,58 @@ def test_repair_files(spark, library, sf_dir):
             ids = [*ids_of(library, r[1]), 2]
             want.append((r[0], at, len(ids), crc(ids)))
             at += len(ids)
-        assert sorted(got, key=lambda r: r[1]) == want
+        assert sorted(got, key=lambda r: r[1]) == want, size
         if size == 40_000:
             files = manifest.collect()
             assert len(files) > 3 and sum(f.n_bytes for f in files) < 2.2 * at
 
 
+def pairs_left(symbols):
+    codes = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+    return int(np.unique(codes, return_counts=True)[1].max(initial=0))
+
+
 def test_grammar_round_trip_and_random_access():
     rng = np.random.default_rng(1)
-    for ids in (np.zeros(0, np.uint32), np.full(1001, 7, np.uint32), rng.integers(0, 20, 50_000).astype(np.uint32), rng.zipf(1.3, 30_000).clip(0, 50_000).astype(np.uint32), np.tile(rng.integers(0, 60_000, 90), 400).astype(np.uint32)):
+    cases = [
+        np.zeros(0, np.uint32),
+        np.full(1001, 7, np.uint32),
+        np.full(1 << 20, 3, np.uint32),
+        rng.integers(0, 20, 50_000).astype(np.uint32),
+        rng.zipf(1.3, 30_000).clip(0, 50_000).astype(np.uint32),
+        np.tile(rng.integers(0, 60_000, 90), 400).astype(np.uint32),
+        np.tile(rng.permutation(20_000), 100).astype(np.uint32),
+        np.tile(np.array([1, 2, 2, 1, 2**31 - 1, 70_000], np.uint32), 5000),
+        rng.integers(0, 2**31, 5000).astype(np.uint32),
+    ]
+    for ids in cases:
+        first = int(ids.max(initial=0)) + 1
         symbols, rules, lengths = repair.compress(ids)
-        assert (repair.expand(symbols, rules, lengths) == ids).all()
-        assert len(ids) == 0 or len(symbols) + len(rules) < len(ids)
-        data = repair.pack_file([1], [ids.astype("<u4").tobytes()])
+        assert (repair.expand(symbols, rules, first) == ids).all()
+        assert (repair.expand_all(symbols, rules, lengths, first) == ids).all()
+        assert pairs_left(symbols) < repair.LEAST_COUNT
+        assert [len(repair.expand(np.array([first + k], np.uint32), rules, first)) for k in range(0, len(rules), 997)] == lengths[::997].tolist()
+        data = repair.pack_file([1], np.array([len(ids)]), ids)
+        read = []
+        file = repair.File(lambda start, size, data=data, read=read: read.append(size) or data[start : start + size])
         for start, length in ((0, 10), (len(ids) // 3, 777), (max(0, len(ids) - 5), 5), (len(ids) // 2, 0)):
-            assert (repair.decode_range(data, start, length) == ids[start : start + length]).all()
+            assert (file.decode(start, length) == ids[start : start + length]).all()
+        if len(symbols) > 20_000:
+            read.clear()
+            file.decode(len(ids) // 2, 100)
+            assert sum(read) < len(data) / 2
     with pytest.raises(ValueError):
-        repair.open_file(b"something else")
+        repair.of_bytes(b"something else")
+
+
+def test_replaced_occurrences_are_a_maximal_set():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        places = np.flatnonzero(rng.random(60) < 0.7)
+        weight = rng.integers(1, 5, len(places))
+        chosen = set(places[repair._chosen(places, weight)].tolist())
+        assert all(p + 1 not in chosen for p in chosen)
+        assert all(chosen & {p - 1, p, p + 1} for p in places.tolist())
 
 
 def test_token_counts(spark, sf_dir):
@@ -143,6 +217,26 @@ def test_packing(spark, library, sf_dir):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def brute_pieces(n, loss, max_tokens, max_loss):
+    out, at = [], 0
+    while at < n:
+        free = max(0, n - loss - at)
+        size = min(max_tokens, n - at, free + max_loss)
+        out.append((at, size, max(0, size - free)))
+        at += size
+    return out
+
+
+def test_pieces_by_brute_force():
+    rng = np.random.default_rng(3)
+    for max_tokens, max_loss in ((10, 10), (10, 4), (7, 1), (5, 9)):
+        sizes = rng.integers(1, 60, 200)
+        loss = np.minimum(sizes, rng.integers(1, 60, 200))
+        got = packing._pieces(sizes, loss, max_tokens, max_loss)
+        want = [(k, *p) for k, (n, b) in enumerate(zip(sizes.tolist(), loss.tolist(), strict=True)) for p in brute_pieces(n, b, max_tokens, max_loss)]
+        assert list(zip(*(x.tolist() for x in got), strict=True)) == want
+
+
 def test_packing_of_instruction_data(spark, library, sf_dir):
     rows = [(k, r[1], r[2], "", "", "") for k, r in enumerate(rows_of(spark, sf_dir)[:80])]
     docs = spark.createDataFrame([(*r, k % 90 if k % 7 else None) for k, r in enumerate(rows)], f"{SCHEMA}, answer int")
