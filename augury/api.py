@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from augury.functions import scores as S
 from augury.functions import text as X
-from augury.operators import backtest, candidates, consensus, needs, probs
+from augury.functions.teams import team_aliases
+from augury.operators import backtest, candidates, consensus, ingest, models, needs, org, probs, upserts
+from augury.sources import html, registry
 
 
 def _within(name: str, value: int, low: int, high: int) -> int:
@@ -22,19 +24,78 @@ def _within(name: str, value: int, low: int, high: int) -> int:
 
 
 class Board:
-    def __init__(self, tables: dict[str, DataFrame], as_of: Column):
-        self._tables, self.as_of = tables, as_of
+    """tables by name; registry, if given, is where trained models and their runs are kept.
+
+    Methods that take something in replace the board's table and return it; the caller stores it.
+    """
+
+    def __init__(self, tables: dict[str, DataFrame], as_of: Column, registry: models.Registry | None = None):
+        self._tables, self.as_of, self.registry = dict(tables), as_of, registry
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._tables:
             raise KeyError(f"this board has no table {name}")
         return self._tables[name]
 
+    def _put(self, name: str, table: DataFrame) -> DataFrame:
+        self._tables[name] = table
+        return table
+
     def pick_consensus(self, slot: int | None = None, top_n: int = 5, board_aware: bool = False) -> DataFrame:
+        """With board_aware also whether anybody was taken before the slot, and how many votes that leaves out."""
         votes = self["votes"] if slot is None else self["votes"].filter(F.col("slot") == _within("slot", slot, 1, 400))
+        every = votes
         if board_aware:
             votes = consensus.open_votes(votes, self["outcomes"])
-        return consensus.consensus(votes, self.as_of, _within("top_n", top_n, 1, 50)).join(consensus.confidence(votes), "slot")
+        out = consensus.consensus(votes, self.as_of, _within("top_n", top_n, 1, 50)).join(consensus.confidence(votes), "slot")
+        if board_aware:
+            return out.join(consensus.excluded(every, self["outcomes"]), "slot")
+        return out.withColumns({"board_aware": F.lit(False), "excluded": F.lit(None).cast("long")})
+
+    def ingest(self, parsed: DataFrame) -> DataFrame:
+        """Takes parsed articles in (see operators.ingest); the rejected ones with their reasons."""
+        articles, picks, rejected = ingest.ingest(parsed, self["articles"], self["picks"], self["sources"], self["cycles"], self["teams"])
+        self._put("articles", articles)
+        self._put("picks", picks)
+        return rejected
+
+    def ingest_pages(self, pages: DataFrame, slug: str, draft_year: int | None = None) -> DataFrame:
+        """Reads pages (url, html) of a source and takes their articles in; pages with a fault and the rejected ones with their reasons."""
+        config = next((c for c in registry.SOURCES if c.slug == slug), registry.SourceConfig(slug))
+        registry.build_parser(slug, config.parser)
+        meta = html.metadata(pages, "url", "url", "html", config, draft_year)
+        found = pages.select("url", html.extracted(F.col("html")).alias("picks"))
+        fault = F.when(F.size("picks") == 0, "no picks were found").when(F.exists("picks", lambda p: p["overall_pick"] <= 0), "a pick's number is below 1")
+        both = meta.join(found, "url").withColumn("reason", fault)
+        year = F.coalesce("draft_year", F.year(self.as_of.cast("timestamp")))
+        parsed = both.filter("reason IS NULL").select(F.lit(slug).alias("source_slug"), F.col("url").alias("article_url"), "title", year.alias("draft_year"), "published", "picks")
+        rejected = self.ingest(parsed)
+        return both.filter("reason IS NOT NULL").select(F.lit(slug).alias("source_slug"), F.col("url").alias("article_url"), year.alias("draft_year"), "reason").unionByName(rejected)
+
+    def add_outcome(self, slot: int, name: str, round_number: int = 1, team: str | None = None) -> DataFrame:
+        """Adds an outcome as it is; a later one for the slot does not remove it, the latest counts where one is needed."""
+        old = self["outcomes"]
+        at = old.agg(F.coalesce(F.max("id"), F.lit(0)) + 1).first()[0]
+        row = old.sparkSession.range(1).select(
+            F.lit(_within("slot", slot, 1, 400)).alias("slot"), X.normalize(F.lit(name)).alias("cand"), F.lit(team).cast("string").alias("team"),
+            F.lit(round_number).alias("round"), F.lit(at).alias("id"),
+        )
+        return self._put("outcomes", old.unionByName(row))
+
+    def put_order(self, picks: DataFrame) -> DataFrame:
+        """Puts slots (slot, round, team) into the order, by slot; refuses teams that the board does not know."""
+        known = self["teams"].select(F.col("code").alias("team"))
+        new = picks.select("slot", "round", F.upper("team").alias("team"))
+        if unknown := [r.team for r in new.select("team").distinct().join(known, "team", "left_anti").orderBy("team").limit(10).collect()]:
+            raise ValueError(f"unknown teams: {', '.join(unknown)}")
+        columns = self["order"].columns
+        return self._put("order", upserts.upsert(self["order"], new.select(*columns), ["slot"], "round"))
+
+    def model_metadata(self) -> DataFrame:
+        """The newest run of each family of models."""
+        if self.registry is None:
+            raise KeyError("this board has no registry")
+        return self.registry.metadata()
 
     def landing_spots(self, name: str | None = None, top_n: int = 5, context_slot: int | None = None) -> DataFrame:
         votes = self["votes"]
@@ -60,16 +121,34 @@ class Board:
     def team_needs(self, n: int = 5) -> DataFrame:
         return needs.top_needs(needs.adjusted(self["needs"], self["roster"]), n=_within("n", n, 1, 50))
 
-    def position_vectors(self) -> DataFrame:
-        """Per team the default vector around its top need, guarded."""
+    def _model(self, family: str):
+        return self.registry.model(family) if self.registry is not None else None
+
+    def position_vectors(self, slot: int = 1) -> DataFrame:
+        """Per team a vector over positions, guarded: the trained model's, or the default one around the top need without a model."""
         top = needs.top_position(needs.adjusted(self["needs"], self["roster"])).withColumnsRenamed({"top_position": "top"})
-        return probs.guard(probs.default_vector(top, ["team"], "top"), top, ["team"])
+        if trained := self._model("position_model"):
+            context = top.select(
+                "team", F.col("top").alias("top_need_position"), F.col("top_need").alias("need_score"), F.lit(0.0).alias("board_scarcity_score"),
+                F.lit(0.0).alias("best_available_player_score"), F.lit(_within("slot", slot, 1, 400)).alias("overall_pick"), F.lit(1).alias("round_number"),
+            )
+            vectors = models.position_vectors(trained[0], context, ["team"])
+        else:
+            vectors = probs.default_vector(top, ["team"], "top")
+        return probs.guard(vectors, top, ["team"])
 
     def player_probabilities(self, slot: int = 1) -> DataFrame:
-        """Candidates per team by the heuristic, as many as the slot's rule allows."""
+        """Candidates per team by the trained model, or by the heuristic without one, as many as the slot's rule allows."""
         adjusted = needs.adjusted(self["needs"], self["roster"]).select("team", "position", F.col("adjusted").alias("need"))
         limit = 48 if _within("slot", slot, 1, 400) >= 33 else 24
-        return candidates.rank_by(candidates.score(candidates.features(self["candidates"], adjusted)), "probability", limit)
+        rows = candidates.score(candidates.features(self["candidates"], adjusted), F.lit(0.0))
+        if trained := self._model("player_model"):
+            named = rows.withColumnsRenamed({"team_need": "team_need_score", "prospect": "prospect_score", "star": "superstar_potential_score", "gap_best": "rank_gap_from_best_available", "gap_position": "rank_gap_within_position", "need_vs_bpa": "need_vs_bpa_gap"})
+            asked = named.drop("probability").withColumns({"positional_scarcity_score": F.lit(0.0), "consensus_rank": F.col("consensus_rank").cast("int")})
+            scored = models.player_probability(trained[0], asked).select("team", "candidate_id", F.col("probability_selected").alias("__p"))
+            rows = rows.join(scored, ["team", "candidate_id"]).withColumn("probability", F.col("__p")).drop("__p")
+            rows = rows.withColumn("override", S.override(F.col("team_need"), F.col("talent"), F.col("probability")))
+        return candidates.rank_by(rows, "probability", limit)
 
     def compare_with_consensus(self, slot: int) -> DataFrame:
         """Per team the model's and the consensus' first five names of a slot, and how far they disagree. Both are normalised."""
@@ -88,14 +167,64 @@ class Board:
         both = probs.zip_vectors(base, probs.org_adjusted(base, self.org_profile(), ["team"]), ["team"])
         return both.select("team", "label", F.col("a").alias("base"), F.col("b").alias("adjusted"), (F.col("b") - F.col("a")).alias("delta"))
 
+    def org_player_vectors(self, slot: int = 1) -> DataFrame:
+        """Per team its candidates re-weighted by the organisation's priors, with rank and component."""
+        rows = self.player_probabilities(slot).select("team", "candidate_id", "name", "position", "probability", "team_need", "talent", "context")
+        return org.player_vectors(rows, self.org_profile())
+
+    def backtest_demo(self) -> DataFrame:
+        """The evaluation of three fixed vectors by three models: how the figures of a real one look."""
+        spark = self["order"].sparkSession
+        return probs.evaluate({name: spark.createDataFrame(rows, "row_id int, label string, prob double") for name, rows in demo_vectors().items()}, spark.createDataFrame(list(enumerate(DEMO_TRUTH)), "row_id int, label string"), "row_id")
+
+    def draft_context(self) -> DataFrame:
+        """Per team its next slot and round without an outcome, and the latest completed round (1 if there is none)."""
+        order, done = self["order"], self["outcomes"]
+        seen = done.groupBy("round").agg(F.count(F.lit(1)).alias("seen"))
+        rounds = order.groupBy("round").agg(F.count(F.lit(1)).alias("slots")).join(seen, "round", "left")
+        latest = rounds.filter("coalesce(seen, 0) >= slots").agg(F.coalesce(F.max("round"), F.lit(1)).alias("latest_completed_round"))
+        free = order.join(done.select("slot"), "slot", "left_anti").groupBy("team").agg(F.min_by(F.struct("slot", "round"), "slot").alias("x"))
+        teams = order.select("team").distinct().join(free, "team", "left").join(F.broadcast(latest), how="cross")  # one row
+        return teams.select("team", "latest_completed_round", F.col("x.slot").alias("next_slot"), F.col("x.round").alias("next_round"))
+
     def team_history(self, lookback: int = 5) -> DataFrame:
-        """Candidates by team in the last years of the votes, newest and earliest slots first."""
+        """Candidates by team in the last years of the votes; place is 1 for the newest year and the latest slot."""
         years = F.add_months(self.as_of, -12 * _within("lookback", lookback, 1, 12))
         rows = self["votes"].filter((F.col("published") < self.as_of) & (F.col("published") >= years) & F.col("team").isNotNull())
-        return rows.groupBy("team", F.year("published").alias("year"), "slot", "cand").agg(F.count(F.lit(1)).alias("n"))
+        out = rows.groupBy("team", F.year("published").alias("year"), "slot", "cand").agg(F.count(F.lit(1)).alias("n"))
+        return consensus.ranked(out, ["team"], [F.desc("year"), F.desc("slot"), F.col("cand")], name="place")
 
-    def team_summary(self) -> DataFrame:
-        """One row per team: profile, first label after adjustment, next slot."""
+    def team_summary(self, slot: int = 1) -> DataFrame:
+        """One row per team: profile, first label after adjustment, next slot, first five players, their explanation, early history."""
         vectors = self.org_position_vectors().select("team", "label", F.col("adjusted").alias("prob"))
         first = consensus.ranked(vectors, ["team"], [F.round("prob", 9).desc(), F.col("label")], 1).select("team", "label", "prob")
-        return self.org_profile().join(first, "team", "left").join(self.next_slots(), "team", "left")
+        players = self.org_player_vectors(slot).filter("rank <= 5")
+        five = players.groupBy("team").agg(F.array_sort(F.collect_list(F.struct("rank", "name", "position", "adjusted", "component"))).alias("players"))
+        early = self.team_history().filter("slot <= 2").groupBy("team", "cand").agg(F.sum("n").alias("n"))
+        history = early.groupBy("team").agg(F.array_sort(F.collect_list(F.struct("cand", "n"))).alias("history"))
+        out = self.org_profile().join(first, "team", "left").join(self.next_slots(), "team", "left")
+        return out.join(five, "team", "left").join(org.explained(players), "team", "left").join(history, "team", "left")
+
+    def health(self) -> dict[str, str]:
+        return {"status": "ok"}
+
+
+def team_of(label: Column) -> Column:
+    """The code that a label names by itself, without a table of teams."""
+    return X.team_code(label, team_aliases())
+
+
+# The demonstration's truths, and each model's vectors over OT, QB, CB.
+DEMO_TRUTH = ("OT", "QB", "CB")
+DEMO = {
+    "base": ((0.4, 0.3, 0.3), (0.25, 0.5, 0.25), (0.3, 0.25, 0.45)),
+    "adjusted": ((0.5, 0.25, 0.25), (0.2, 0.55, 0.25), (0.25, 0.25, 0.5)),
+    "consensus": ((0.35, 0.35, 0.3), (0.22, 0.52, 0.26), (0.35, 0.25, 0.4)),
+}
+
+
+def demo_vectors() -> dict[str, list[tuple[int, str, float]]]:
+    """(row, label, probability) by model; the ensemble blends the consensus with the adjusted vectors."""
+    mixed = {"base": DEMO["base"], "adjusted": DEMO["adjusted"]}
+    mixed["ensemble"] = tuple(tuple(0.45 * c + 0.55 * a for c, a in zip(x, y, strict=True)) for x, y in zip(DEMO["consensus"], DEMO["adjusted"], strict=True))
+    return {name: [(k, label, p) for k, row in enumerate(rows) for label, p in zip(DEMO_TRUTH, row, strict=True)] for name, rows in mixed.items()}

@@ -151,3 +151,32 @@ def board_score(index: Column, n: Column) -> Column:
 
 def accuracy(exact: Column, team: Column, early: Column, distance: Column, rows: Column) -> Column:
     return F.greatest(F.lit(0.0), (4.0 * exact + 2.0 * team + early - 0.25 * distance) / F.greatest(F.lit(1.0), rows / 32.0))
+
+
+def rank_signal(rank: Column) -> Column:
+    """1 for the first of 300 down to 0; 0 without a rank."""
+    return F.coalesce(F.greatest(F.lit(0.0), 1 - rank / 300.0), F.lit(0.0))
+
+
+def grouped_explanation(need: Column, scarcity: Column, best: Column) -> dict[str, Column]:
+    """Components of a prediction's summary; what the summary lacks is 0."""
+    need, scarcity, best = (F.coalesce(c, F.lit(0.0)) for c in (need, scarcity, best))
+    return {"need_component": need, "talent_component": best, "context_component": (scarcity + best) / 2.0}
+
+
+# The groups of features of each family of models.
+FEATURE_GROUPS = {
+    "need_model": ("team_need", "roster_continuity", "age_curve", "experience_curve"),
+    "position_model": ("team_need", "pick_context", "board_context", "consensus_signals"),
+    "player_model": ("team_need", "prospect_quality", "superstar_signal", "rank_gap", "board_scarcity"),
+}
+
+
+def feature_groups(family: Column) -> Column:
+    table = F.create_map(*[x for k, v in FEATURE_GROUPS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return F.coalesce(F.try_element_at(table, family), F.array(F.lit("unknown")))
+
+
+def or_neutral(value: Column) -> Column:
+    """0.5 for null and for 0."""
+    return F.coalesce(F.nullif(value, F.lit(0)), F.lit(0.5)).cast("double")

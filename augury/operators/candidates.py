@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from augury.functions import scores as S
+from augury.functions import text as X
 from augury.operators.consensus import ranked
 
 UNRANKED = 300
@@ -23,13 +24,62 @@ def candidate_limit(slot: Column) -> Column:
     return F.when(slot >= 33, 48).otherwise(24)
 
 
+def _or(*values: Column) -> Column:
+    """The first that is neither null nor 0."""
+    return F.coalesce(*[F.nullif(v, F.lit(0)) for v in values[:-1]], values[-1])
+
+
+def default_candidates(prospects: DataFrame, taken: DataFrame, slot: int, limit: int | None = None, scan: int = 200) -> DataFrame:
+    """The candidates of a slot where none are given: the first `scan` prospects by rank, without those taken.
+
+    prospects: candidate_id, name, position, production, star, consensus_rank, big_board_rank,
+    positional_rank; taken: name, normalised. A prospect without a rank has its board rank, else its
+    place behind the slot. limit is by default that of the slot.
+    """
+    order = [F.col("consensus_rank").asc_nulls_last(), F.col("candidate_id")]
+    top = prospects.orderBy(*order).limit(scan)
+    top = top.withColumn("__place", F.row_number().over(Window.orderBy(*order)))  # at most `scan` rows
+    key = F.coalesce(F.nullif(X.normalize(F.col("name")), F.lit("")), F.lower(F.trim("name")))
+    left = top.withColumn("__key", key).join(F.broadcast(taken.select(F.col("name").alias("__key")).distinct()), "__key", "left_anti")
+    first = left.orderBy("__place").limit(limit if limit is not None else (48 if slot >= 33 else 24))
+    rows = first.select(
+        "candidate_id", "name", "position", F.coalesce("production", F.lit(0.0)).alias("prospect"), F.coalesce("star", F.lit(0.0)).alias("star"),
+        _or(F.col("consensus_rank"), F.col("big_board_rank"), F.lit(slot) + F.col("__place")).cast("long").alias("consensus_rank"),
+        _or(F.col("positional_rank"), F.lit(1)).cast("int").alias("best_rank_in_position"),
+    )
+    return rows.withColumn("best_available_rank", F.row_number().over(Window.orderBy("consensus_rank", "candidate_id")))
+
+
+def profile_candidates(prospects: DataFrame, limit: int = 12) -> DataFrame:
+    """The first prospects by rank for a team's profile; a score that is null or 0 is the market's, else 0.5."""
+    order = [F.col("consensus_rank").asc_nulls_last(), F.col("candidate_id")]
+    top = prospects.orderBy(*order).limit(limit).withColumn("__place", F.row_number().over(Window.orderBy(*order)))
+    return top.select(
+        "candidate_id", "name", "position", _or(F.col("production"), F.col("market"), F.lit(0.5)).alias("prospect"), _or(F.col("star"), F.lit(0.5)).alias("star"),
+        _or(F.col("consensus_rank"), F.col("__place")).cast("long").alias("consensus_rank"), _or(F.col("positional_rank"), F.lit(1)).cast("int").alias("best_rank_in_position"),
+    )
+
+
+def voted_candidates(board: DataFrame, votes: DataFrame, slot: int, limit: int) -> DataFrame:
+    """Candidates of a slot from its consensus (slot, cand, rank, weighted_probability), else from the names of all votes, in order of name."""
+    listed = board.filter(F.col("slot") == slot).select("cand", F.col("weighted_probability").alias("prospect"), F.col("rank").alias("__order"))
+    names = votes.select("cand").distinct().orderBy("cand").limit(limit).select("cand", F.lit(0.5).alias("prospect"), F.row_number().over(Window.orderBy("cand")).alias("__order"))
+    any_listed = listed.limit(1).select(F.lit(True).alias("__any"))
+    rest = names.join(F.broadcast(any_listed), how="left").filter("__any IS NULL").drop("__any")  # one row at most
+    rows = listed.unionByName(rest).orderBy("__order").limit(limit)
+    return rows.select(F.col("cand").alias("name"), "prospect", F.col("prospect").alias("star"), F.row_number().over(Window.orderBy("__order")).cast("long").alias("consensus_rank"))
+
+
 def features(candidates: DataFrame, needs: DataFrame) -> DataFrame:
-    """Each candidate for each team with needs (team, position, need): gaps to the best and to the need."""
+    """Each candidate for each team with needs (team, position, need): gaps to the best and to the need.
+
+    The teams are an array in a single row that is broadcast, and every candidate is exploded over it.
+    """
     best = candidates.agg(F.min("consensus_rank").alias("best"))
-    within = F.min("consensus_rank").over(Window.partitionBy("position"))
-    ranks = candidates.withColumn("best_in_position", within).join(F.broadcast(best), how="cross")  # one row
-    teams = needs.select("team").distinct()
-    rows = ranks.join(teams, how="cross").join(needs, ["team", "position"], "left")
+    within = candidates.groupBy("position").agg(F.min("consensus_rank").alias("best_in_position"))
+    teams = needs.agg(F.array_sort(F.collect_set("team")).alias("__teams"))
+    ranks = candidates.join(F.broadcast(best), how="cross").join(F.broadcast(teams), how="cross")  # one row each
+    rows = ranks.withColumn("team", F.explode("__teams")).join(within, "position", "left").join(needs, ["team", "position"], "left")
     need = F.coalesce("need", F.lit(0.25))
     rank = F.coalesce(F.nullif("consensus_rank", F.lit(0)), F.lit(UNRANKED)).cast("double")
     return rows.select(

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from augury.functions import scores as S
+from augury.functions import text as X
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], top: int | None = None, name: str = "rank") -> DataFrame:
@@ -24,6 +25,29 @@ def open_votes(votes: DataFrame, taken: DataFrame) -> DataFrame:
     return votes.join(t, (votes["cand"] == t["__cand"]) & (t["__slot"] < votes["slot"]), "left_anti")
 
 
+HELD_ROWS = 2_000
+
+
+def held(df: DataFrame, limit: int = HELD_ROWS) -> DataFrame:
+    """df as rows in the plan if it has at most so many, so that several uses don't compute it again; else df itself.
+
+    For tables with a row per slot, of which there are a few hundred.
+    """
+    rows = df.limit(limit + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= limit else df
+
+
+def excluded(votes: DataFrame, taken: DataFrame) -> DataFrame:
+    """Per slot with votes: whether anybody was taken before it, and how many of its votes that leaves out (null if nobody was)."""
+    t = taken.groupBy("cand").agg(F.min("slot").alias("__slot"))
+    first = t.agg(F.min("__slot").alias("__first"))
+    n = votes.groupBy("slot", "cand").agg(F.count(F.lit(1)).alias("n"))  # votes are counted before they are joined
+    gone = F.coalesce(F.sum(F.when(F.col("__slot") < F.col("slot"), F.col("n"))), F.lit(0))
+    rows = n.join(t, "cand", "left").groupBy("slot").agg(gone.alias("gone")).join(F.broadcast(first), how="cross")  # one row
+    aware = F.coalesce(F.col("__first") < F.col("slot"), F.lit(False))
+    return rows.select("slot", aware.alias("board_aware"), F.when(aware, F.col("gone")).alias("excluded"))
+
+
 def tally(votes: DataFrame, as_of: Column) -> DataFrame:
     """Per (slot, cand): rows n and the decayed weight w."""
     aged = S.decay(S.age_days(F.col("published"), as_of), F.col("tau"))
@@ -62,23 +86,42 @@ def context_rows(votes: DataFrame, slot: int) -> DataFrame:
 def landing(votes: DataFrame, top_n: int = 5) -> DataFrame:
     """Per candidate the likeliest teams. Votes without a team count in sample_size, not in shares."""
     known = F.col("team").isNotNull()
-    facts = votes.groupBy("cand").agg(
-        F.count(F.lit(1)).alias("sample_size"),
-        F.count_if(known).alias("known"),
-        F.count_distinct("team").alias("unique_teams"),
-        F.count_distinct(F.when(known, F.col("source"))).alias("unique_sources"),
-        F.count_distinct(F.when(known, F.col("article"))).alias("unique_articles"),
-        F.coalesce(F.min(F.when(known, F.col("slot"))), F.lit(256)).alias("earliest"),
+    # One row per candidate and article first: from there on distinct counts are plain counts of few rows.
+    per_article = votes.groupBy("cand", "article").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.collect_list("team").alias("teams"),
+        F.collect_set(F.when(known, F.col("source"))).alias("sources"),
+        F.min(F.when(known, F.col("slot"))).alias("first"),
     )
+    # Then rows of three kinds, so that one aggregation gives the teams, the sources and the totals of a candidate.
+    row = lambda kind, key, rows, known, first: F.struct(F.lit(kind).alias("kind"), key.alias("key"), rows.alias("rows"), known.alias("known"), first.alias("first"))
+    nothing = (F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("int"))
+    each = lambda kind, names: F.transform(names, lambda n: row(kind, n.cast("string"), F.lit(1).cast("long"), *nothing[1:]))
+    total = F.array(row("all", F.lit(None).cast("string"), F.col("rows"), F.size("teams").cast("long"), F.col("first").cast("int")))
+    tagged = per_article.select("cand", F.explode(F.concat(total, each("team", F.col("teams")), each("source", F.col("sources")))).alias("x")).select("cand", "x.*")
+    counted = tagged.groupBy("cand", "kind", "key").agg(F.sum("rows").alias("n"), F.sum("known").alias("known"), F.count_if(F.col("known") > 0).alias("articles"), F.min("first").alias("first"))
+    of = Window.partitionBy("cand")
+    is_kind = lambda kind: F.col("kind") == kind
+    facts = counted.withColumns(
+        {
+            "sample_size": F.max(F.when(is_kind("all"), F.col("n"))).over(of),
+            "known": F.max("known").over(of),
+            "unique_teams": F.count(F.when(is_kind("team"), 1)).over(of),
+            "unique_sources": F.count(F.when(is_kind("source"), 1)).over(of),
+            "unique_articles": F.max("articles").over(of),
+            "earliest": F.coalesce(F.min("first").over(of), F.lit(256)),
+        }
+    )
+    # A row per team; a candidate without a known one keeps the row of its totals.
+    facts = facts.filter(is_kind("team") | (is_kind("all") & (F.col("unique_teams") == 0)))
+    facts = facts.withColumnsRenamed({"key": "team"}).withColumn("n", F.when(is_kind("team"), F.col("n")))
     k = S.evidence_pool(F.col("unique_teams"), F.col("sample_size"), F.col("unique_sources"), F.col("unique_articles"), F.col("earliest"))
     k = F.greatest(F.col("unique_teams") + 1, k)
     low = (F.col("unique_teams") <= 1) | (F.col("sample_size") <= 4) | (F.col("unique_sources") <= 2)
     facts = facts.withColumns({"category_count": F.when(F.col("known") > 0, k).otherwise(0), "low_confidence": low | (F.col("known") == 0)})
     other = S.smoothed_other(F.col("known").cast("double"), F.col("unique_teams"), F.col("category_count"))
     facts = facts.withColumn("other_probability", F.when(F.col("known") > 0, other).otherwise(1.0))
-    teams = votes.filter(known).groupBy("cand", "team").agg(F.count(F.lit(1)).alias("n"))
-    out = facts.join(teams, "cand", "left")
-    out = out.withColumns(
+    out = facts.withColumns(
         {"probability": S.smoothed(F.col("n").cast("double"), F.col("known").cast("double"), F.col("category_count")), "raw_probability": F.col("n") / F.nullif(F.col("known"), F.lit(0))}
     )
     out = ranked(out, ["cand"], [F.round("probability", 9).desc_nulls_last(), F.col("team")], top_n)
@@ -90,6 +133,7 @@ def live_board(votes: DataFrame, outcomes: DataFrame, order: DataFrame, as_of: C
 
     outcomes: slot, cand, team, round; order: slot, team, round. The rank is 0 if the actual is not listed.
     """
+    outcomes, order = held(outcomes), held(order)
     seen = outcomes.select("slot").unionByName(order.select("slot")).filter(F.col("slot") <= max_slot).agg(F.coalesce(F.max("slot"), F.lit(0)).alias("last"))
     length = F.least(F.lit(max_slot), F.greatest(F.lit(32), F.col("last")))
     spine = seen.select(F.explode(F.sequence(F.lit(1), length)).alias("slot"))
@@ -115,6 +159,44 @@ def live_board(votes: DataFrame, outcomes: DataFrame, order: DataFrame, as_of: C
     )
 
 
+def accuracy(board: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """Of the board's slots with an actual and a team: how many, and how often the actual is first or listed.
+
+    listed (slot, cand, rank), if given, is a model's list, with its rates of first and of first five
+    beside the consensus'. Slots whose actual has no name count, as misses.
+    """
+    rows = board.filter("actual IS NOT NULL AND team IS NOT NULL").withColumn("key", X.name_key(F.col("actual")))
+    if listed is not None:
+        model = listed.groupBy("slot", X.name_key(F.col("cand")).alias("key")).agg(F.min("rank").alias("model_rank"))
+        rows = rows.join(model, ["slot", "key"], "left")
+    named = F.col("key") != ""
+    rate = lambda hit: F.avg(F.coalesce(named & hit, F.lit(False)).cast("double"))
+    rates = {"top1_rate": F.col("rank_of_actual") == 1, "top8_rate": F.col("rank_of_actual") > 0}
+    if listed is not None:
+        rates |= {"model_top1_rate": F.col("model_rank") == 1, "model_top5_rate": F.col("model_rank") <= 5}
+    return rows.agg(F.count(F.lit(1)).alias("announced"), *[rate(hit).alias(n) for n, hit in rates.items()])
+
+
+def round_report(board: DataFrame) -> DataFrame:
+    """The newest round with an actual: share of first ranks, slot of the biggest reach, slot of the best value.
+
+    The biggest reach is the first slot whose actual is not listed, else the first with rank 5 or later.
+    """
+    rows = board.filter("actual IS NOT NULL")
+    last = rows.agg(F.max("round").alias("round"))
+    rows = rows.join(F.broadcast(last), "round")  # one row
+    rank = F.col("rank_of_actual")
+    reach = F.coalesce(F.min(F.when(rank == 0, F.col("slot"))), F.min(F.when(rank >= 5, F.col("slot"))))
+    value = F.min_by("slot", F.when(rank > 0, F.struct(rank, F.col("slot"))))
+    return rows.agg(F.avg((rank == 1).cast("double")).alias("hit_rate"), reach.alias("biggest_reach"), value.alias("best_value"))
+
+
+def upcoming(order: DataFrame, outcomes: DataFrame, n: int = 4) -> DataFrame:
+    """The order's next `n` slots after the last one with an actual."""
+    last = outcomes.agg(F.coalesce(F.max("slot"), F.lit(0)).alias("__last"))
+    return order.join(F.broadcast(last), how="cross").filter(F.col("slot") > F.col("__last")).drop("__last").orderBy("slot").limit(n)  # one row
+
+
 def movement(before: DataFrame, now: DataFrame, key: str, value: str) -> DataFrame:
     """Keys whose value differs between two snapshots."""
     both = before.select(key, F.col(value).alias("old")).join(now.select(key, F.col(value).alias("new")), key)

@@ -57,6 +57,24 @@ def decaying(rows: DataFrame, key: list[str], order: list[Column], label: str) -
     return normalize(rows.select(*key, F.col(label).alias("label"), F.greatest(F.lit(0.01), 1 - 0.1 * index).alias("prob")), key)
 
 
+# The labels of a vector where nothing is known.
+UNIFORM = ("OT", "EDGE", "CB", "WR", "QB")
+
+
+def from_needs(teams: DataFrame, needs: DataFrame) -> DataFrame:
+    """team, label, prob of all teams: the needs (team, position, need) as shares; the same for each of UNIFORM where a team has none."""
+    own = normalize(needs.select("team", F.col("position").alias("label"), F.col("need").alias("prob")), ["team"])
+    bare = teams.select("team").distinct().join(needs.select("team").distinct(), "team", "left_anti")
+    same = bare.select("team", F.explode(F.array(*map(F.lit, UNIFORM))).alias("label"), F.lit(1 / len(UNIFORM)).alias("prob"))
+    return own.unionByName(same)
+
+
+def as_map(vectors: DataFrame, key: list[str]) -> DataFrame:
+    """key and ranked, an array of (label, prob) by falling probability, ties by label."""
+    sorted_ = F.array_sort(F.collect_list(F.struct((-F.round("prob", 9)).alias("o"), "label", "prob")))
+    return vectors.groupBy(*key).agg(F.transform(sorted_, lambda x: F.struct(x["label"].alias("label"), x["prob"].alias("prob"))).alias("ranked"))
+
+
 def evaluate(models: dict[str, DataFrame], truth: DataFrame, key: str) -> DataFrame:
     """Per model: log loss of the truth (key, label) and hit rates of the first and the first three labels."""
     parts = [df.select(F.lit(name).alias("model"), key, "label", "prob") for name, df in models.items()]

@@ -2,44 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from augury.functions import scores as S
 from augury.functions import text as X
 from augury.functions.teams import team_aliases
 from augury.operators import backtest, candidates, consensus, models, needs, probs, upserts
+from augury.plans.register import ORACLES, QUERIES, query, rounded, six
 from augury.plans.tables import Tables, consensus_ctes, sql
-from augury.sources import html, records
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    """Registers a function of Tables under its own name."""
-
-    def register(make: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[make.__name__] = lambda spark, sf_dir: make(Tables(spark, sf_dir))
-        if oracle:
-            ORACLES[make.__name__] = oracle
-        return make
-
-    return register
-
+from augury.sources import records
 
-def six(df: DataFrame, *skip: str) -> DataFrame:
-    """Doubles to six places."""
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" and c not in skip else F.col(c) for c, t in df.dtypes])
-
-
-def _r(*names: str) -> str:
-    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
-
-
-_PS = _r("probability", "weighted_probability", "other_probability")
+_PS = rounded("probability", "weighted_probability", "other_probability")
 _TOP = f"SELECT slot, rank::INT AS rank, cand, {_PS}, category_count::BIGINT AS category_count FROM c WHERE rank <= 5"
 
 
@@ -69,7 +43,7 @@ def _landing_sql(source: str, *names: str, **more: str) -> str:
         WHEN sample_size <= 6 THEN greatest(m + 1, least(10, 3 + 20 // (sample_size + 2)))
         ELSE least(32, greatest(m + 1, CASE WHEN src >= 3 THEN m + 1 WHEN src = 2 AND sample_size >= 10 THEN greatest(m + 1, least(k3, m + 2)) ELSE k3 END)) END"""
     return sql(
-        f"""SELECT cand, rank::INT AS rank, team, {_r("probability", "raw_probability")}, sample_size, m AS unique_teams, src AS unique_sources, arts AS unique_articles,
+        f"""SELECT cand, rank::INT AS rank, team, {rounded("probability", "raw_probability")}, sample_size, m AS unique_teams, src AS unique_sources, arts AS unique_articles,
             CASE WHEN known > 0 THEN k ELSE 0 END::BIGINT AS category_count,
             round(CASE WHEN known > 0 THEN 0.5 * (k - m) / (known + 0.5 * k) ELSE 1.0 END, 6) AS other_probability,
             m <= 1 OR sample_size <= 4 OR src <= 2 AS low_confidence
@@ -95,10 +69,7 @@ def landing_spots(t: Tables) -> DataFrame:
     return six(consensus.landing(t.votes()))
 
 
-_THIN = "SELECT * FROM votes WHERE article % 97 = 0"
-
-
-@query(_landing_sql("ctx", "votes", thin=_THIN, ctx="SELECT * FROM thin v WHERE slot = 3 OR NOT EXISTS (SELECT 1 FROM thin w WHERE w.cand = v.cand AND w.slot = 3)"))
+@query(_landing_sql("ctx", "votes", ctx="SELECT * FROM votes v WHERE slot = 3 OR NOT EXISTS (SELECT 1 FROM votes w WHERE w.cand = v.cand AND w.slot = 3)"))
 def landing_context(t: Tables) -> DataFrame:
     return six(consensus.landing(consensus.context_rows(t.votes(), 3)))
 
@@ -160,30 +131,52 @@ def board_movement(t: Tables) -> DataFrame:
     return consensus.movement(consensus.consensus(votes, t.as_of, 1), consensus.consensus(consensus.open_votes(votes, t.outcomes()), t.as_of, 1), "slot", "cand")
 
 
+_RANKED = """lb AS (SELECT o.slot, coalesce(o.team, d.team) AS team, CASE WHEN o.team IS NULL AND d.team IS NOT NULL THEN d.round ELSE coalesce(o.round, 1) END AS round, o.cand, coalesce(c.rank, 0) AS rank
+    FROM outcomes o LEFT JOIN draft_order d ON d.slot = o.slot LEFT JOIN c ON c.slot = o.slot AND c.cand = o.cand AND c.rank <= 8)"""
+
+
 @query(
     sql(
-        """SELECT count(*) AS announced, round(avg((coalesce(rank, 99) = 1)::INT::DOUBLE), 6) AS top1_rate, round(avg((coalesce(rank, 99) <= 8)::INT::DOUBLE), 6) AS top8_rate
-           FROM outcomes o LEFT JOIN c USING (slot, cand)""",
-        "votes", "outcomes", "open_votes", **consensus_ctes("open_votes", "c"),
-    )
+        f""", {_RANKED} SELECT count(*) AS announced, round(avg((rank = 1)::INT::DOUBLE), 6) AS top1_rate, round(avg((rank > 0)::INT::DOUBLE), 6) AS top8_rate,
+            round(avg((m.mr = 1)::INT::DOUBLE), 6) AS model_top1_rate, round(avg((m.mr <= 5)::INT::DOUBLE), 6) AS model_top5_rate
+            FROM (SELECT lb.*, coalesce((SELECT min(v.rn) FROM plain v WHERE v.slot = lb.slot AND v.cand = lb.cand AND v.rn <= 8), 99) AS mr FROM lb WHERE team IS NOT NULL) m""",
+        "votes", "outcomes", "draft_order", "open_votes", **consensus_ctes("open_votes", "c"),
+        plain="SELECT slot, cand, row_number() OVER (PARTITION BY slot ORDER BY count(*) DESC, cand) AS rn FROM open_votes GROUP BY 1, 2",
+    ).replace(")\n, lb", "),\nlb")
 )
 def live_accuracy(t: Tables) -> DataFrame:
-    board = consensus.live_board(t.votes(), t.outcomes(), t.order(), t.as_of).filter("actual IS NOT NULL")
-    rate = lambda k: F.avg(F.col("rank_of_actual").between(1, k).cast("double"))
-    return six(board.agg(F.count(F.lit(1)).alias("announced"), rate(1).alias("top1_rate"), rate(8).alias("top8_rate")))
+    """The consensus' rates beside those of a plain count of votes, which stands for a model's list."""
+    outcomes = consensus.held(t.outcomes())
+    board = consensus.live_board(t.votes(), outcomes, t.order(), t.as_of)
+    counts = consensus.open_votes(t.votes(), outcomes).groupBy("slot", "cand").agg(F.count(F.lit(1)).alias("n"))
+    return six(consensus.accuracy(board, consensus.ranked(counts, ["slot"], [F.desc("n"), F.col("cand")], 8)))
 
 
 @query(
     sql(
-        """SELECT round(avg(((coalesce(rank, 0)) BETWEEN 1 AND 8)::INT::DOUBLE), 6) AS hit_rate, min_by(o.slot, (-coalesce(rank, 99), o.slot)) AS biggest_reach,
-           min_by(o.slot, (coalesce(rank, 99), o.slot)) AS best_value FROM outcomes o LEFT JOIN c ON c.slot = o.slot AND c.cand = o.cand AND rank <= 8""",
-        "votes", "outcomes", "open_votes", **consensus_ctes("open_votes", "c"),
-    )
+        f""", {_RANKED} SELECT round(avg((rank = 1)::INT::DOUBLE), 6) AS hit_rate, coalesce(min(slot) FILTER (rank = 0), min(slot) FILTER (rank >= 5)) AS biggest_reach,
+            min_by(slot, rank * 1000 + slot) FILTER (rank > 0) AS best_value FROM lb WHERE round = (SELECT max(round) FROM lb)""",
+        "votes", "outcomes", "draft_order", "open_votes", **consensus_ctes("open_votes", "c"),
+    ).replace(")\n, lb", "),\nlb")
 )
 def round_report(t: Tables) -> DataFrame:
-    board = consensus.live_board(t.votes(), t.outcomes(), t.order(), t.as_of).filter("actual IS NOT NULL")
-    rank = F.coalesce(F.nullif("rank_of_actual", F.lit(0)), F.lit(99))
-    return six(board.agg(F.avg((F.col("rank_of_actual") > 0).cast("double")).alias("hit_rate"), F.min_by("slot", F.struct(-rank, F.col("slot"))).alias("biggest_reach"), F.min_by("slot", F.struct(rank, F.col("slot"))).alias("best_value")))
+    return six(consensus.round_report(consensus.live_board(t.votes(), t.outcomes(), t.order(), t.as_of)))
+
+
+@query(
+    sql(
+        """SELECT v.slot, (SELECT min(slot) FROM outcomes) < v.slot AS board_aware, CASE WHEN (SELECT min(slot) FROM outcomes) < v.slot THEN count(*) FILTER (EXISTS (SELECT 1 FROM outcomes o WHERE o.cand = v.cand AND o.slot < v.slot)) END AS excluded
+           FROM votes v GROUP BY v.slot""",
+        "votes", "outcomes",
+    )
+)
+def excluded_votes(t: Tables) -> DataFrame:
+    return consensus.excluded(t.votes(), t.outcomes())
+
+
+@query(sql("SELECT slot, team, round FROM draft_order WHERE slot > (SELECT max(slot) FROM outcomes) ORDER BY slot LIMIT 4", "outcomes", "draft_order"))
+def upcoming_slots(t: Tables) -> DataFrame:
+    return consensus.upcoming(t.order(), t.outcomes())
 
 
 @query(
@@ -204,16 +197,16 @@ _FEATURES = """SELECT team, position, count(*)::DOUBLE AS depth_count, sum(snaps
     coalesce(avg(experience), 0) AS avg_experience, coalesce(avg(starter::INT), 0)::DOUBLE AS starter_continuity, coalesce(avg(injured::INT), 0)::DOUBLE AS injury_burden FROM roster GROUP BY 1, 2"""
 
 
-@query(sql(f"SELECT team, position, {_r('depth_count', 'returning_snaps', 'returning_starts', 'avg_age', 'avg_experience', 'starter_continuity', 'injury_burden')} FROM f", "roster", f=_FEATURES))
+@query(sql(f"SELECT team, position, {rounded('depth_count', 'returning_snaps', 'returning_starts', 'avg_age', 'avg_experience', 'starter_continuity', 'injury_burden')} FROM f", "roster", f=_FEATURES))
 def roster_need_features(t: Tables) -> DataFrame:
     return six(needs.need_features(t.roster()))
 
 
 @query(
     sql(
-        f"SELECT team, position, {_r('snaps_risk', 'starts_risk', 'depth_risk', 'age_risk', 'experience_risk', 'continuity_risk', 'short_term', 'long_term')}, round(greatest(0, least(1, 0.55 * short_term + 0.45 * long_term))::DOUBLE, 6) AS overall FROM m2",
+        f"SELECT team, position, {rounded('snaps_risk', 'starts_risk', 'depth_risk', 'age_risk', 'experience_risk', 'continuity_risk', 'short_term', 'long_term')}, round(greatest(0, least(1, 0.55 * short_term + 0.45 * long_term))::DOUBLE, 6) AS overall FROM m2",
         "roster",
-        f=_FEATURES.replace("FROM roster", "FROM roster WHERE snaps % 20 = 7"),
+        f=_FEATURES,
         m="""SELECT *, greatest(0, least(1, 1 - returning_snaps / 3500))::DOUBLE AS snaps_risk, greatest(0, least(1, 1 - returning_starts / 85))::DOUBLE AS starts_risk,
             greatest(0, least(1, 1 - depth_count / 6))::DOUBLE AS depth_risk, greatest(0, least(1, (avg_age - 25) / 8))::DOUBLE AS age_risk,
             greatest(0, least(1, 1 - avg_experience / 6))::DOUBLE AS experience_risk, greatest(0, least(1, 1 - starter_continuity))::DOUBLE AS continuity_risk FROM f""",
@@ -226,7 +219,7 @@ def need_scores(t: Tables) -> DataFrame:
 
 
 _ADJ = {
-    "st": "SELECT team, upper(position) AS position, greatest(0, least(1, sum(snaps)::DOUBLE / 1600.0))::DOUBLE AS strength FROM roster WHERE snaps % 20 = 7 GROUP BY 1, 2",
+    "st": "SELECT team, upper(position) AS position, greatest(0, least(1, sum(snaps)::DOUBLE / 1600.0))::DOUBLE AS strength FROM roster GROUP BY 1, 2",
     "adj": """SELECT n.team, n.position, overall, coalesce(strength, 0.0)::DOUBLE AS strength, CASE WHEN coalesce(strength, 0.0) <= 0 THEN greatest(0, least(1, overall))
         ELSE greatest(0.04, least(0.99, overall * greatest(0.08, 1 - 0.72 * strength))) END::DOUBLE AS adjusted FROM needs n LEFT JOIN st USING (team, position)""",
 }
@@ -236,7 +229,7 @@ def _adjusted(t: Tables) -> DataFrame:
     return needs.adjusted(t.needs(), t.roster())
 
 
-@query(sql(f"SELECT team, position, {_r('overall', 'strength', 'adjusted')} FROM adj", "roster", "needs", **_ADJ))
+@query(sql(f"SELECT team, position, {rounded('overall', 'strength', 'adjusted')} FROM adj", "roster", "needs", **_ADJ))
 def roster_strength_adjusted_need(t: Tables) -> DataFrame:
     return six(_adjusted(t))
 
@@ -276,13 +269,11 @@ def _need(t: Tables) -> DataFrame:
 _CF = {
     "nd": "SELECT team, position, overall AS need FROM needs WHERE position <> 'PROMO'",
     "cf": """SELECT team, candidate_id, name, position, prospect, star, consensus_rank, coalesce(need, 0.25)::DOUBLE AS team_need,
-        (coalesce(nullif(consensus_rank, 0), 300) - (SELECT min(consensus_rank) FROM cs))::DOUBLE AS gap_best,
+        (coalesce(nullif(consensus_rank, 0), 300) - (SELECT min(consensus_rank) FROM candidates))::DOUBLE AS gap_best,
         (coalesce(nullif(consensus_rank, 0), 300) - min(consensus_rank) OVER (PARTITION BY position))::DOUBLE AS gap_position,
         abs(coalesce(need, 0.25) - prospect)::DOUBLE AS fit_gap, (coalesce(need, 0.25) - prospect)::DOUBLE AS need_vs_bpa
-        FROM cs CROSS JOIN (SELECT DISTINCT team FROM nd) LEFT JOIN nd USING (team, position)""",
-    "cs": "SELECT * FROM candidates WHERE candidate_id < 150",
+        FROM candidates CROSS JOIN (SELECT DISTINCT team FROM nd) LEFT JOIN nd USING (team, position)""",
 }
-_CF = {"nd": _CF["nd"], "cs": _CF["cs"], "cf": _CF["cf"]}
 _SCORED = _CF | {
     "hp": "SELECT *, greatest(0, least(1, 0.3 * team_need + 0.3 * prospect + 0.2 * star + 0.15 * greatest(0, 1 - coalesce(consensus_rank, 300) / 300.0::DOUBLE) + 0.025))::DOUBLE AS probability, (prospect + star) / 2 AS talent, (1 - least(1, gap_best / 32))::DOUBLE AS context FROM cf",
     "ov": "SELECT *, greatest(0, least(1, greatest(0, 1 - team_need) * greatest(0, least(1, (talent - 0.65) / 0.35)) * greatest(0, least(1, (probability - 0.2) / 0.8)) * 2.2))::DOUBLE AS override FROM hp",
@@ -293,12 +284,12 @@ def _rows(t: Tables) -> DataFrame:
     return candidates.features(t.candidates(), _need(t))
 
 
-@query(sql(f"SELECT team, candidate_id, name, position, {_r('prospect', 'star', 'team_need', 'gap_best', 'gap_position', 'fit_gap', 'need_vs_bpa')}, consensus_rank FROM cf", "needs", "candidates", **_CF))
+@query(sql(f"SELECT team, candidate_id, name, position, {rounded('prospect', 'star', 'team_need', 'gap_best', 'gap_position', 'fit_gap', 'need_vs_bpa')}, consensus_rank FROM cf", "needs", "candidates", **_CF))
 def candidate_features(t: Tables) -> DataFrame:
     return six(_rows(t))
 
 
-@query(sql(f"SELECT team, candidate_id, rank::INT AS rank, {_r('probability', 'talent', 'context')} FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY round(probability, 9) DESC, candidate_id) AS rank FROM hp) WHERE rank <= 24", "needs", "candidates", **_SCORED))
+@query(sql(f"SELECT team, candidate_id, rank::INT AS rank, {rounded('probability', 'talent', 'context')} FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY round(probability, 9) DESC, candidate_id) AS rank FROM hp) WHERE rank <= 24", "needs", "candidates", **_SCORED))
 def heuristic_player_rank(t: Tables) -> DataFrame:
     top = candidates.rank_by(candidates.score(_rows(t)), "probability", 24)
     return six(top.select("team", "candidate_id", "rank", "probability", "talent", "context"))
@@ -313,17 +304,21 @@ def superstar_override(t: Tables) -> DataFrame:
     sql(
         """SELECT team, list_sort(list_intersect(a, b)) AS common, len(list_filter(a, lambda x: NOT list_contains(b, x)))::INT AS only_a, len(list_filter(b, lambda x: NOT list_contains(a, x)))::INT AS only_b,
            round(1 - len(list_intersect(a, b)) / len(list_distinct(a || b))::DOUBLE, 6) AS disagreement
-           FROM (SELECT team, list(k) AS a FROM ra WHERE r <= 5 GROUP BY team) JOIN (SELECT team, list(k) AS b FROM rb WHERE r <= 5 GROUP BY team) USING (team)""",
-        "needs", "candidates", **_SCORED,
-        ra="SELECT team, candidate_id::VARCHAR AS k, row_number() OVER (PARTITION BY team ORDER BY round(probability, 9) DESC, candidate_id) AS r FROM hp",
-        rb="SELECT team, candidate_id::VARCHAR AS k, row_number() OVER (PARTITION BY team ORDER BY round(talent, 9) DESC, candidate_id) AS r FROM hp",
+           FROM (SELECT team, list(brand) AS a FROM ra WHERE r <= 5 GROUP BY team) JOIN nation ON n_name = team JOIN (SELECT slot, list(cand) AS b FROM c WHERE rank <= 5 GROUP BY slot) ON slot = n_nationkey % 7 + 1""",
+        "votes", "needs", "candidates", **_SCORED, **consensus_ctes("votes", "c"),
+        ra="""SELECT team, brand, row_number() OVER (PARTITION BY team ORDER BY round(p, 9) DESC, brand) AS r
+              FROM (SELECT team, p_brand AS brand, max(probability) AS p FROM hp JOIN part ON p_partkey = candidate_id GROUP BY 1, 2)""",
     )
 )
 def consensus_vs_model_jaccard(t: Tables) -> DataFrame:
-    rows = candidates.score(_rows(t)).withColumn("key", F.col("candidate_id").cast("string"))
-    a = candidates.name_list(candidates.rank_by(rows, "probability", 5), "team", "key", "rank", "a")
-    b = candidates.name_list(candidates.rank_by(rows, "talent", 5), "team", "key", "rank", "b")
-    return six(a.join(b, "team").select("team", *[c.alias(n) for n, c in candidates.compare(F.col("a"), F.col("b")).items()]))
+    """Per team the first five brands of its candidates against the consensus of a slot."""
+    brands = t.part.select(F.col("p_partkey").alias("candidate_id"), F.col("p_brand").alias("brand"))
+    model = candidates.score(_rows(t)).join(brands, "candidate_id").groupBy("team", "brand").agg(F.max("probability").alias("probability"))
+    model = consensus.ranked(model, ["team"], [F.round("probability", 9).desc(), F.col("brand")], 5)
+    a = candidates.name_list(model, "team", "brand", "rank", "a")
+    b = candidates.name_list(consensus.consensus(t.votes(), t.as_of), "slot", "cand", "rank", "b")
+    both = a.join(t.nation, F.col("n_name") == F.col("team")).join(b, F.col("slot") == F.col("n_nationkey") % 7 + 1)
+    return six(both.select("team", *[c.alias(n) for n, c in candidates.compare(F.col("a"), F.col("b")).items()]))
 
 
 _TOPS = "SELECT n_nationkey AS row_id, ['OT', 'EDGE', 'CB', 'WR', 'QB', 'S'][n_nationkey % 6 + 1] AS top, (n_nationkey % 10) / 10.0::DOUBLE + 0.05 AS top_need FROM nation"
@@ -386,7 +381,7 @@ def _priors(t: Tables) -> DataFrame:
     return org.select("team", *[c.alias(n) for n, c in S.priors({c: F.col(c) for c in org.columns if c != "team"}).items()])
 
 
-@query(sql(f"SELECT team, {_r('offense', 'defense', 'trenches', 'skill', 'need_follow', 'bpa', 'stability')} FROM pr", "org", **_PRIORS))
+@query(sql(f"SELECT team, {rounded('offense', 'defense', 'trenches', 'skill', 'need_follow', 'bpa', 'stability')} FROM pr", "org", **_PRIORS))
 def org_priors(t: Tables) -> DataFrame:
     return six(_priors(t))
 
@@ -540,14 +535,34 @@ _SEED = "list_sum(list_transform(string_split(n_name, ''), lambda x: ascii(x)))"
 
 
 @query(
-    f"""SELECT n_name AS team, position, round(greatest(0.2, least(0.98, 0.35 + 0.07 * (i % 5) + ({_SEED} % 10) / 100.0::DOUBLE + greatest(0.0, 16 - least(16, n_nationkey)) / 40.0::DOUBLE))::DOUBLE, 6) AS need
-        FROM nation, (SELECT p_type AS position, row_number() OVER (ORDER BY p_type) - 1 AS i FROM (SELECT DISTINCT p_type FROM part))"""
+    f"""SELECT n_name AS team, position, round(greatest(0.2, least(0.98, greatest(0.2, least(0.95, 0.2 + ((seed + 11 * i) % 100) / 100.0::DOUBLE * 0.75))
+            + CASE WHEN first IS NULL THEN 0.0 ELSE greatest(0, 16 - least(16, first)) / 40.0::DOUBLE END))::DOUBLE, 6) AS need
+        FROM (SELECT n_name, {_SEED} AS seed, CASE WHEN n_nationkey % 4 <> 3 THEN n_nationkey END AS first FROM nation),
+             (SELECT p_type AS position, row_number() OVER (ORDER BY p_type) - 1 AS i FROM (SELECT DISTINCT p_type FROM part))"""
 )
 def teams_positions_cross(t: Tables) -> DataFrame:
+    """Teams with a key that is 3 modulo 4 have no slot of their own."""
     seed = F.aggregate(F.filter(F.split("n_name", ""), lambda c: c != ""), F.lit(0), lambda a, c: a + F.ascii(c))
     types = t.part.select("p_type").distinct().agg(F.array_sort(F.collect_set("p_type")).alias("all")).select(F.posexplode("all").alias("i", "position"))
     rows = t.nation.join(F.broadcast(types), how="cross")  # a handful of positions
-    return six(rows.select(F.col("n_name").alias("team"), "position", records.baseline_need(seed, F.col("i"), F.col("n_nationkey")).alias("need")))
+    first = F.when(F.col("n_nationkey") % 4 != 3, F.col("n_nationkey"))
+    return six(rows.select(F.col("n_name").alias("team"), "position", records.baseline_need(seed, F.col("i"), first).alias("need")))
+
+
+@query(
+    sql(
+        """SELECT team, position, round(CASE WHEN position = wanted THEN 0.95 ELSE 0.35 + 0.07 * (i % 5) END, 4)::DOUBLE AS short_term, round(greatest(0.2, CASE WHEN position = wanted THEN 0.95 ELSE 0.35 + 0.07 * (i % 5) END - 0.1), 4)::DOUBLE AS long_term,
+           round(CASE WHEN position = wanted THEN 0.95 ELSE 0.35 + 0.07 * (i % 5) END, 4)::DOUBLE AS overall
+           FROM (SELECT team, max_by(position, overall * 1000 - ascii(position)) AS wanted FROM needs GROUP BY team) JOIN (SELECT p_type AS position, row_number() OVER (ORDER BY p_type) - 1 AS i FROM (SELECT DISTINCT p_type FROM part)) ON TRUE""",
+        "needs",
+    )
+)
+def needs_from_board(t: Tables) -> DataFrame:
+    """Needs by the list of positions, the one that a board gives the team first; here the board gives its top need."""
+    wanted = t.needs().groupBy("team").agg(F.max_by("position", F.col("overall") * 1000 - F.ascii("position")).alias("wanted"))
+    types = t.part.select("p_type").distinct().agg(F.array_sort(F.collect_set("p_type")).alias("all")).select(F.posexplode("all").alias("i", "position"))
+    rows = wanted.join(F.broadcast(types), how="cross")  # a handful of positions
+    return rows.select("team", "position", *[c.alias(n) for n, c in records.board_need(F.col("i"), F.col("position") == F.col("wanted")).items()])
 
 
 @query("SELECT y::INT AS year, make_date(y - 1, 8, 1) AS start_date, make_date(y, 4, 25) AS draft_date FROM range(1980, 2031) t(y)")
@@ -585,21 +600,6 @@ def canonical_labels(t: Tables) -> DataFrame:
     return rows.select("id", X.position(F.col("p")).alias("position"), X.school(F.col("s")).alias("school"), X.team_code(F.col("t"), team_aliases()).alias("team"))
 
 
-_ALIASES = [("economy", 1), ("large economy", 2), ("promo", 3), ("standard", 4), ("stand", 5)]
-
-
-@query(
-    """SELECT p_partkey, alias, id FROM (SELECT p_partkey, alias, id, row_number() OVER (PARTITION BY p_partkey ORDER BY length(alias) DESC, alias) AS rn
-       FROM (SELECT p_partkey, lower(p_name || ' ' || p_type) AS label FROM part) JOIN (VALUES ('economy', 1::BIGINT), ('large economy', 2), ('promo', 3), ('standard', 4), ('stand', 5)) a(alias, id) ON contains(label, alias)) WHERE rn = 1"""
-)
-def team_alias_contains_join(t: Tables) -> DataFrame:
-    """The longest alias that a label contains; the alias side is a fixed list, broadcast."""
-    alias = F.broadcast(t.spark.createDataFrame(_ALIASES, "alias string, id long"))
-    rows = t.part.select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("label")).join(alias, F.contains("label", "alias"))
-    best = rows.groupBy("p_partkey").agg(F.min_by(F.struct("alias", "id"), F.struct(-F.length("alias"), F.col("alias"))).alias("x"))
-    return best.select("p_partkey", "x.alias", "x.id")
-
-
 @query("SELECT * FROM (VALUES ('HOU', 1995, 'TEN'), ('HOU', 2002, 'HOU'), ('LA', 2016, 'LAR'), (' stl', 1999, 'LAR'), ('SD', 2015, 'LAC'), ('OAK', 2019, 'LV'), ('BAL1', 1980, 'IND'), ('KC', 2020, 'KC')) v(code, season, team)")
 def historical_code_map(t: Tables) -> DataFrame:
     rows = t.spark.createDataFrame([("HOU", 1995), ("HOU", 2002), ("LA", 2016), (" stl", 1999), ("SD", 2015), ("OAK", 2019), ("BAL1", 1980), ("KC", 2020)], "code string, season int")
@@ -615,7 +615,7 @@ def content_hash_dedupe(t: Tables) -> DataFrame:
 _LATEST = "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events {}) WHERE rn = 1"
 
 
-@query(f"WITH o AS ({_LATEST.format('WHERE event_id % 3 = 0')}), n AS ({_LATEST.format('WHERE event_id % 3 = 1')}) SELECT * FROM n UNION ALL SELECT * FROM o WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM n)")
+@query(f"WITH o AS ({_LATEST.format('WHERE event_id % 3 = 0')}), n AS ({_LATEST.format('WHERE event_id % 3 <> 0')}) SELECT * FROM n UNION ALL SELECT * FROM o WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM n)")
 def upsert_latest(t: Tables) -> DataFrame:
     rows = t.events.select("user_id", "event_type", "event_id", "value")
     old = upserts.keep_latest(rows.filter("event_id % 3 = 0"), ["user_id", "event_type"], [F.col("event_id").desc()])
@@ -658,7 +658,7 @@ def json_props(t: Tables) -> DataFrame:
 @query(
     sql(
         """SELECT slot, n, CASE WHEN r >= 0.75 THEN 'high' WHEN r >= 0.5 THEN 'good' WHEN r >= 0.25 THEN 'fair' ELSE 'low' END AS bucket
-           FROM (SELECT slot, n, n / max(n) OVER ()::DOUBLE AS r FROM (SELECT slot, count(*) AS n FROM votes WHERE article % (slot + 1) = 0 GROUP BY slot))""",
+           FROM (SELECT slot, n, n / max(n) OVER ()::DOUBLE AS r FROM (SELECT slot, count(*) AS n FROM votes GROUP BY slot))""",
         "votes",
     )
 )
@@ -670,35 +670,6 @@ def coverage_buckets(t: Tables) -> DataFrame:
     return rows.join(F.broadcast(top), how="cross").select("slot", "n", bucket.alias("bucket"))
 
 
-@query(
-    r"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos)::INT AS rank, link FROM (
-        SELECT page_id, min(pos) AS pos, link FROM (SELECT page_id, i AS pos, CASE WHEN regexp_matches(h, '^https?://') THEN h ELSE regexp_extract(url, '^(https?://[^/]+)', 1) || CASE WHEN h LIKE '/%' THEN '' ELSE '/' END || h END AS link
-          FROM (SELECT page_id, url, unnest(l) AS h, unnest(range(len(l))) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS l FROM pages)) WHERE contains(lower(h), 'th')) GROUP BY page_id, link)"""
-)
-def html_links(t: Tables) -> DataFrame:
-    return html.links(t.pages, "page_id", "url", "html", "TH")
-
-
-@query(
-    r"""SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g')), ''), nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', '', 'g')), '')) AS title FROM pages"""
-)
-def html_meta(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", html.first_tag(F.col("html"), "h1", "title").alias("title"))
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, 1, 'Titans', 'Cam Ward', 'QB', 'Miami'), (2, 2, 'Browns', 'Travis Hunter', 'WR/CB', NULL), (3, NULL, NULL, NULL, NULL, NULL), (4, 12, 'New England', 'T.J. O''Neil', NULL, NULL)) v(id, pick, team, name, position, school)")
-def pick_lines(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(1, "1. Titans - Cam Ward, QB, Miami"), (2, " 2) Browns: Travis Hunter, WR/CB"), (3, "no line"), (4, "12 New England - T.J. O'Neil")], "id long, line string")
-    return rows.select("id", X.pick_line(F.col("line")).alias("x")).select("id", "x.*")
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, DATE '2026-03-04', 2026), (2, DATE '2025-04-07', 2025), (3, DATE '2024-11-30', 2024), (4, DATE '2023-01-02', 2023), (5, DATE '2022-09-09', 2022), (6, NULL, 2021), (7, NULL, NULL)) v(id, date, year)")
-def dates_and_years(t: Tables) -> DataFrame:
-    texts = ["2026-03-04", "Apr 7, 2025", "November 30, 2024", "2023-01-02T03:04:05", "posted 2022-09-09 late", "Mock of 2021", "none"]
-    rows = t.spark.createDataFrame(list(enumerate(texts, 1)), "id long, text string")
-    return rows.select("id", X.any_date(F.col("text")).cast("date").alias("date"), X.any_year(F.col("text")).alias("year"))
-
-
 @query(
     sql(
         """, g AS (SELECT 1 AS slot, (SELECT cand FROM c WHERE slot = 1 AND rank = 1) AS cand, [(SELECT cand FROM c WHERE slot = 1 AND rank = 1)] AS used
@@ -732,25 +703,4 @@ def result_page(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", "p_name", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey").offset(16).limit(8)
 
 
-@query()
-def position_model(t: Tables) -> DataFrame:
-    """Trains on orders up to 1999 and gives vectors of later ones."""
-    rows = t.orders.select(
-        "o_orderkey", F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("top_need_position"), F.col("o_orderstatus").alias("label_position"),
-        (F.col("o_totalprice") / 500000).alias("need_score"), F.lit(0.5).alias("board_scarcity_score"), (F.col("o_custkey") % 100 / 100.0).alias("best_available_player_score"),
-        (F.col("o_orderkey") % 257 + 1).cast("int").alias("overall_pick"), (F.col("o_orderkey") % 7 + 1).cast("int").alias("round_number"),
-    )
-    train, _, test = models.split_by_year(rows, "year", 1999, 1999)
-    return six(models.position_vectors(models.train_position(train), test, ["o_orderkey"]))
-
-
-@query()
-def player_model(t: Tables) -> DataFrame:
-    """Trains on one class, so with the flipped row, and scores every candidate row."""
-    rows = _rows(t).select(
-        "team", F.col("name").alias("candidate_player_name"), "candidate_id", "position", F.col("team_need").alias("team_need_score"), F.col("prospect").alias("prospect_score"), F.col("star").alias("superstar_potential_score"),
-        F.lit(0.5).alias("positional_scarcity_score"), F.col("consensus_rank").cast("int").alias("consensus_rank"), F.col("gap_best").alias("rank_gap_from_best_available"), F.col("gap_position").alias("rank_gap_within_position"),
-        "fit_gap", F.col("need_vs_bpa").alias("need_vs_bpa_gap"), F.lit(False).alias("selected_label"),
-    ).fillna({"consensus_rank": 300})
-    model = models.train_player(rows)
-    return six(models.player_probability(model, rows).select("team", "candidate_id", "probability_selected"))
+from augury.plans import intake, profiles  # noqa: E402, F401  they register their queries

@@ -25,7 +25,7 @@ class Tables:
 
     def _picks(self) -> DataFrame:
         rows = self.lineitem.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        rows = rows.join(self.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+        rows = rows.join(self.part.select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
         rows = rows.join(self.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
         return rows.join(self.nation.select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
 
@@ -52,8 +52,7 @@ class Tables:
         return slots.join(self.nation, F.col("slot") % 25 == F.col("n_nationkey")).select("slot", F.col("n_name").alias("team"), F.ceil(F.col("slot") / 8).cast("int").alias("round"))
 
     def roster(self) -> DataFrame:
-        rows = self._picks().join(self.part.select(F.col("p_partkey").alias("pk"), "p_type"), F.col("l_partkey") == F.col("pk"))
-        return rows.select(
+        return self._picks().select(
             F.col("n_name").alias("team"), F.col("p_type").alias("position"), F.col("l_quantity").cast("long").alias("snaps"), (F.col("l_returnflag") == "R").cast("int").alias("starts"),
             F.nullif((F.col("l_discount") * 100).cast("long"), F.lit(0)).cast("double").alias("age"), (F.col("l_tax") * 100).cast("long").cast("double").alias("experience"),
             F.when(F.col("l_linenumber") != 3, F.col("l_linestatus") == "F").alias("starter"), F.when(F.col("l_linenumber") != 4, F.col("l_returnflag") == "A").alias("injured"),
@@ -61,8 +60,8 @@ class Tables:
 
     def needs(self) -> DataFrame:
         """A fixed base need per nation and part type."""
-        types = self.part.select("p_type").distinct()
-        rows = self.nation.join(types, how="cross")
+        types = self.part.agg(F.collect_set("p_type").alias("types"))  # a handful of types, in one row
+        rows = self.nation.join(F.broadcast(types), how="cross").withColumn("p_type", F.explode("types"))
         value = 0.2 + ((F.col("n_nationkey") * 7 + F.length("p_type") * 13) % 80) / 100.0
         return rows.select(F.col("n_name").alias("team"), F.col("p_type").alias("position"), value.alias("overall"))
 
@@ -73,6 +72,14 @@ class Tables:
             F.round(0.95 * prospect, 6).alias("star"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_partkey") + 1).cast("long").alias("consensus_rank"),
         )
 
+    def prospects(self) -> DataFrame:
+        """Candidates with the other ranks and scores that a scouting table has; stars and ranks are missing here and there."""
+        more = self.part.select(
+            F.col("p_partkey").alias("candidate_id"), (F.col("p_size") / 50).alias("market"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey") + 5).otherwise(0).alias("big_board_rank"), (F.col("p_size") % 5).alias("positional_rank"),
+        )
+        known = self.candidates().withColumn("star", F.when(F.col("candidate_id") % 4 != 0, F.col("star")))
+        return known.withColumnRenamed("prospect", "production").join(more, "candidate_id")
+
     def org(self) -> DataFrame:
         """Features of a nation from its members; the coach has none for keys divisible by 4."""
         k = F.col("n_nationkey")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from augury.operators.upserts import upsert
+from augury.operators.consensus import movement
+from augury.operators.upserts import keep_latest
 
 
 def read_files(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
@@ -25,18 +26,85 @@ def windowed_counts(events: DataFrame, when: str, key: str, width: str = "1 day"
     return rows.groupBy(F.window(when, width).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def keep_outcomes(stream: DataFrame, path: str, checkpoint: str, key: list[str], version: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Upserts every batch into versions of a table, path/0, path/1, ...; last write wins per key.
+def _folders(spark: SparkSession, path: str) -> list[int]:
+    """The numbers that name the folders under a path, ascending, in whatever file system it is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(target):
+        return []
+    return sorted(int(n) for f in system.listStatus(target) if (n := f.getPath().getName()).isdigit())
 
-    Batch n is written from version n - 1, so a batch that is run again gives the same version.
-    then(table, n) may recompute a board.
+
+def _drop(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def table_at(spark: SparkSession, path: str, key: list[str], version: str, upto: int | None = None, schema: str | None = None) -> DataFrame | None:
+    """The table after batch `upto`, or after the last one: per key the newest batch's row with the highest version.
+
+    None before the first batch, unless a schema is given.
+    """
+    bases = [n for n in _folders(spark, f"{path}/base") if upto is None or n <= upto]
+    base = bases[-1] if bases else -1
+    changes = [n for n in _folders(spark, f"{path}/changes") if n > base and (upto is None or n <= upto)]
+    parts = [(base, f"{path}/base/{base}")] * bool(bases) + [(n, f"{path}/changes/{n}") for n in changes]
+    if not parts:
+        return spark.createDataFrame([], schema) if schema else None
+    rows = [spark.read.parquet(where).withColumn("__batch", F.lit(n)) for n, where in parts]
+    union = rows[0]
+    for more in rows[1:]:
+        union = union.unionByName(more)
+    return keep_latest(union, key, [F.desc("__batch"), F.col(version).desc_nulls_last()]).drop("__batch")
+
+
+def keep_outcomes(stream: DataFrame, path: str, checkpoint: str, key: list[str], version: str, then: Callable[[DataFrame, int], None] | None = None, fold_every: int = 20) -> StreamingQuery:
+    """Keeps the last row of every key that a stream of changes gives; table_at reads the table.
+
+    A batch writes its own rows only, so its cost follows its size and not the table's; every
+    fold_every batches the changes are folded into a new base, and what the base before it
+    held is removed. A batch that is run again writes the same. then(table, n) may recompute a board.
     """
 
     def run(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/{n - 1}") if n else batch.limit(0)
-        upsert(old, batch, key, version).write.mode("overwrite").parquet(f"{path}/{n}")
+        keep_latest(batch, key, [F.col(version).desc_nulls_last()]).write.mode("overwrite").parquet(f"{path}/changes/{n}")
+        table = table_at(spark, path, key, version, n)
+        if n % fold_every == fold_every - 1:
+            table.write.mode("overwrite").parquet(f"{path}/base/{n}")
+            old = [b for b in _folders(spark, f"{path}/base") if b < n]
+            for b in old[:-1]:
+                _drop(spark, f"{path}/base/{b}")
+            for c in _folders(spark, f"{path}/changes"):
+                if old and c <= old[-1]:
+                    _drop(spark, f"{path}/changes/{c}")
         if then:
-            then(spark.read.parquet(f"{path}/{n}"), n)
+            then(table, n)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def movement_feed(board_of: Callable[[DataFrame], DataFrame], folder: str, key: str, value: str, shown: int = 8) -> Callable[[DataFrame, int], None]:
+    """A hook for keep_outcomes: writes each batch's board to folder/board/n and its first `shown` moves since the one before to folder/moves/n."""
+
+    def then(table: DataFrame, n: int) -> None:
+        spark = table.sparkSession
+        board_of(table).write.mode("overwrite").parquet(f"{folder}/board/{n}")
+        before = [k for k in _folders(spark, f"{folder}/board") if k < n]
+        if before:
+            now = spark.read.parquet(f"{folder}/board/{n}")
+            moves = movement(spark.read.parquet(f"{folder}/board/{before[-1]}"), now, key, value)
+            moves.orderBy(key).limit(shown).write.mode("overwrite").parquet(f"{folder}/moves/{n}")
+
+    return then
+
+
+def running_accuracy(outcomes: DataFrame, listed: DataFrame) -> DataFrame:
+    """Of a stream of outcomes (slot, cand): how many, and how often a consensus (slot, cand, rank) has them first or listed.
+
+    An aggregate over the whole stream, for the output mode complete. The list is a table of a few names per slot.
+    """
+    ranks = F.broadcast(listed.select("slot", "cand", "rank"))
+    rows = outcomes.join(ranks, ["slot", "cand"], "left")
+    rate = lambda hit: F.avg(F.coalesce(hit, F.lit(False)).cast("double"))
+    return rows.groupBy().agg(F.count(F.lit(1)).alias("announced"), rate(F.col("rank") == 1).alias("top1_rate"), rate(F.col("rank") <= 8).alias("top8_rate"))

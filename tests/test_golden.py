@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from augury.functions import scores as S
 from augury.functions import text as X
-from augury.functions.teams import team_aliases, team_rows
+from augury.functions.teams import TEAMS, team_aliases
 from augury.operators import candidates, consensus, models, needs, probs
 from augury.sources import html
 
@@ -54,7 +54,7 @@ def test_text(spark):
     got = [r.n for r in rows.select("k", X.normalize(F.col("v")).alias("n")).orderBy("k").collect()]
     assert got == ["will johnson", "tj watt", "john  smith", "ohio st", "a b", None]
     aliases = team_aliases()
-    assert len(team_rows()) == 32 and aliases["jets"] == "NYJ" and aliases["green bay"] == "GB" and "new york" not in aliases
+    assert len(TEAMS) == 32 and aliases["jets"] == "NYJ" and aliases["green bay"] == "GB" and "new york" not in aliases
     got = one(spark, a=X.position(F.lit("de")), b=X.school(F.lit("Ohio St.")), c=X.team_code(F.lit("jets"), aliases), d=X.team_code(F.lit("New York Jets"), aliases), e=X.team_code(F.lit("Los Angeles"), aliases))
     assert tuple(got) == ("EDGE", "ohio state", "JETS", "NYJ", None)
     blob = one(spark, a=X.blob_parts(F.lit("Ann Lee - QB | Yale")), b=X.blob_parts(F.lit("Ann Lee-Ray, QB"), False))

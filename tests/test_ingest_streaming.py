@@ -39,21 +39,44 @@ def test_partition_overwrite(spark, tmp_path):
     assert sorted((r.cycle, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c")]
 
 
-def test_stream_of_outcomes_equals_batch(spark, sf_dir, tmp_path):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "value")
+SCHEMA = "event_id long, user_id long, event_type string, value double"
+
+
+def test_stream_of_outcomes_equals_batch(spark, tmp_path):
+    """Batches in a known order: the last write of a key wins, whatever its version; folding changes nothing."""
+    source = str(tmp_path / "in")
+    batches = [[(1, 1, "a", 1.0), (2, 1, "a", 2.0), (3, 2, "a", 3.0)], [(0, 1, "a", 9.0), (5, 3, "b", 5.0)], [(6, 2, "a", 6.0)], [(7, 9, "z", 7.0)], [(8, 3, "b", 8.0)]]
+    seen, key = {}, ["user_id", "event_type"]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = outcomes.read_files(spark, source, SCHEMA, 100)
+        run = outcomes.keep_outcomes(stream, str(tmp_path / "out"), str(tmp_path / "cp"), key, "event_id", lambda table, n: seen.update({n: sorted(map(tuple, table.collect()))}), fold_every=2)
+        run.awaitTermination()
+        want = {}
+        for earlier in batches[: n + 1]:
+            for r in sorted(earlier):
+                want[r[1], r[2]] = r
+        assert seen[n] == sorted(want.values())
+        assert sorted(map(tuple, outcomes.table_at(spark, str(tmp_path / "out"), key, "event_id").collect())) == seen[n]
+    assert list(seen) == [0, 1, 2, 3, 4]
+    assert outcomes._folders(spark, str(tmp_path / "out/base")) == [1, 3] and outcomes._folders(spark, str(tmp_path / "out/changes")) == [2, 3, 4]
+    assert outcomes.table_at(spark, str(tmp_path / "none"), key, "event_id") is None and outcomes.table_at(spark, str(tmp_path / "none"), key, "event_id", schema=SCHEMA).isEmpty()
+
+
+def test_movement_feed_and_running_accuracy(spark, tmp_path):
     source = str(tmp_path / "in")
-    for k in range(3):
-        events.filter(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(source)
-    seen = []
-    stream = outcomes.read_files(spark, source, "event_id long, user_id long, event_type string, value double")
-    run = outcomes.keep_outcomes(stream, str(tmp_path / "out"), str(tmp_path / "cp"), ["user_id", "event_type"], "event_id", lambda table, n: seen.append(n))
-    run.awaitTermination()
-    assert seen == [0, 1, 2]
-    # Files come in no fixed order and the last write wins, so the keys are the batch's; values are rows of the table.
-    last = spark.read.parquet(str(tmp_path / "out/2"))
-    assert last.select("user_id", "event_type").exceptAll(events.select("user_id", "event_type").distinct()).isEmpty()
-    assert last.count() == events.select("user_id", "event_type").distinct().count()
-    assert last.exceptAll(events.select(*last.columns)).isEmpty()
+    feed = outcomes.movement_feed(lambda t: t.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("top")), str(tmp_path / "feed"), "user_id", "top", 2)
+    for rows in ([(1, k, "a", 0.0) for k in range(5)], [(2, k, "b", 0.0) for k in (0, 2, 4)] + [(2, 1, "a", 0.0)]):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        run = outcomes.keep_outcomes(outcomes.read_files(spark, source, SCHEMA), str(tmp_path / "out"), str(tmp_path / "cp"), ["user_id", "event_id"], "event_id", feed)
+        run.awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "feed/moves/1")).orderBy("user_id").collect()] == [(0, "a", "b"), (2, "a", "b")]
+    listed = spark.createDataFrame([(k, "a", 1) for k in range(3)] + [(3, "a", 2), (0, "b", 2)], "slot long, cand string, rank int")
+    stream = outcomes.read_files(spark, source, SCHEMA).select(F.col("user_id").alias("slot"), F.col("event_type").alias("cand"))
+    q = outcomes.running_accuracy(stream, listed).writeStream.format("memory").queryName("accuracy").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    r = spark.table("accuracy").first()
+    assert (r.announced, round(r.top1_rate, 6), round(r.top8_rate, 6)) == (9, round(4 / 9, 6), round(6 / 9, 6))
 
 
 def test_streaming_dedupe_and_windows(spark, sf_dir, tmp_path):

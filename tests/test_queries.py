@@ -65,3 +65,23 @@ def test_board_awareness_never_adds_rows_and_mass_is_one(spark, sf_dir):
 def test_exclusion_is_a_hash_or_merge_join(spark, sf_dir):
     plan = QUERIES["consensus_board_aware"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "LeftAnti" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def scans(spark, sf_dir, name, table):
+    """How often the executed plan reads a table; what is planned for reuse counts once."""
+    out = QUERIES[name](spark, sf_dir)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum(f"{sf_dir}/{table}.parquet" in line and "Scan" in line for line in plan.splitlines())
+
+
+def test_large_tables_are_read_once_per_role(spark, sf_dir):
+    assert scans(spark, sf_dir, "landing_spots", "lineitem") == 1
+    assert scans(spark, sf_dir, "live_board", "lineitem") == 1  # the outcomes are rows of the plan
+    assert scans(spark, sf_dir, "need_scores", "part") == 1
+
+
+def test_no_cartesian_products(spark, sf_dir):
+    for name in ("candidate_features", "default_candidates", "resolve_teams", "team_alias_contains_join", "ingest_articles"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan, name
