@@ -5,16 +5,21 @@ and carry, for every character written, the span of source characters that it st
 homoglyphs and invisible characters, spelled digits, at and dot disguises, letters that pose as
 digits. Identifiers found in the rewritten text are mapped back to source spans and added unless
 they lie within a plain one of their kind; one that reaches beyond a plain one is added beside it.
-Each
-transducer runs on the texts that hold what its pattern cannot match without.
+Each transducer runs on the texts that hold what its pattern cannot match without.
+
+What marks a disguise ("(at)", "[dot]", "arroba") is always read as one. Bare words are ordinary
+prose as a rule: "at" needs a name before it and an address with a usual ending behind it, "dot" an
+@ before it and such an ending behind it, "plus" a number with the digits of a phone.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,28 +76,36 @@ class Tape:
 
     def __init__(self, text: str):
         self.text = text
-        self.start: list[int] | None = None
-        self.end: list[int] | None = None
+        self.start: np.ndarray | None = None
+        self.end: np.ndarray | None = None
 
     def rewrite(self, pattern: re.Pattern, written: Callable[[re.Match], str]) -> None:
         """Replaces each match; every character written stands for the whole match."""
-        changes = [(m.span(), new) for m in pattern.finditer(self.text) if (new := written(m)) != m[0]]
+        changes = [(*m.span(), new) for m in pattern.finditer(self.text) if (new := written(m)) != m[0]]
         if not changes:
             return
         if self.start is None:
-            self.start, self.end = list(range(len(self.text))), list(range(1, len(self.text) + 1))
-        out, start, end, at = [], [], [], 0
-        for (a, b), new in changes:
-            out += [self.text[at:a], new]
-            start += self.start[at:a] + [self.start[a]] * len(new)
-            end += self.end[at:a] + [self.end[b - 1]] * len(new)
-            at = b
+            self.start, self.end = np.arange(len(self.text), dtype=np.int32), np.arange(1, len(self.text) + 1, dtype=np.int32)
+        a, b = (np.array(x, np.int64) for x in list(zip(*changes, strict=True))[:2])
+        size = np.array([len(new) for _, _, new in changes], np.int64)
+        # Every character of the source is written as often as it is kept (once or not at all), a match's first as often as the new text is long.
+        times = np.ones(len(self.text), np.int64)
+        edges = np.zeros(len(self.text) + 1, np.int64)
+        edges[a] += 1
+        np.add.at(edges, b, -1)
+        times[np.cumsum(edges[:-1]) > 0] = 0
+        times[a] = size
+        last = np.arange(len(self.text))
+        last[a] = b - 1
+        self.start, self.end = np.repeat(self.start, times), np.repeat(self.end[last], times)
+        out, at = [], 0
+        for x, y, new in changes:
+            out += [self.text[at:x], new]
+            at = y
         self.text = "".join([*out, self.text[at:]])
-        self.start = start + self.start[at:]
-        self.end = end + self.end[at:]
 
     def source(self, a: int, b: int) -> tuple[int, int]:
-        return self.start[a], self.end[b - 1]
+        return int(self.start[a]), int(self.end[b - 1])
 
 
 # Letters of other scripts that look like a Latin letter or a sign.
@@ -108,7 +121,11 @@ _FOREIGN = re.compile("[\u00ad\u00b2\u00b3\u00b7\u00b9\u0250-\U0010ffff]")
 
 
 def _ascii_of(m: re.Match) -> str:
-    c = m[0]
+    return _plain(m[0])
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _plain(c: str) -> str:
     if c in _LOOKALIKES:
         return _LOOKALIKES[c]
     if _INVISIBLE.match(c):
@@ -146,14 +163,39 @@ _AFTER = re.compile(rf"(?<=[0-9]){_SEP}{_ITEM}\b(?:{_SEP}{_ITEM}\b)*+(?P<post>{_
 _ITEMS = re.compile(rf"(?:(double|triple)(?:\s++|-))?\b({_NAME})\b", re.I)
 #: One or two names beside digits or a spelled dot, as in an address part.
 _SHORT = re.compile(rf"(?<=[0-9]\.)[ ]?{_ITEM}(?: {_ITEM}){{0,2}}\b|\b{_ITEM}(?: {_ITEM}){{0,2}}(?=[ ]?(?:\.|dot|\(dot\)|\[dot\]|point)[ ]?(?:[0-9]|{_NAME}\b))", re.I)
-_PLUS = re.compile(r"\bplus[ -]?(?=[0-9])", re.I)
+#: Not in sums: no digit before it, and the digits of a phone behind it.
+_PLUS = re.compile(r"(?<![0-9])(?<![0-9][ .,%])\bplus[ -]?(?=[0-9](?:[ ().-]{0,2}[0-9]){8,14}(?![0-9]))", re.I)
 _DOT_WORDS = "dot|punkt|point|punto"
 _OPEN, _CLOSE = r"[ \t]*[(\[{<][ \t]*", r"[ \t]*[)\]}>][ \t]*"
 _AT_MARKED = re.compile(rf"(?<=[A-Za-z0-9._%+-]){_OPEN}(?:at|@|a|arroba|ät){_CLOSE}(?=[A-Za-z0-9])|(?:&#0*64;|&commat;|%40)", re.I)
 _DOT_MARKED = re.compile(rf"(?<=[A-Za-z0-9-]){_OPEN}(?:{_DOT_WORDS}|\.){_CLOSE}(?=[A-Za-z0-9])|(?:&#0*46;|&period;)", re.I)
-_AT_BARE = re.compile(rf"(?<=[A-Za-z0-9_%+-])[ \t]+(?:at|arroba|@)[ \t]+(?=[A-Za-z0-9-]+(?:[ \t]+(?:{_DOT_WORDS})[ \t]+|[ \t]*[(\[{{<][ \t]*(?:{_DOT_WORDS}|\.)))", re.I)
+# Endings of addresses that are no words of the four languages; the others only count where a sign marks them.
+_ENDINGS = "com|org|net|edu|gov|info|biz|co|uk|fr|eu|nl|ch|io|dev|app|pl|cz|ru|cn|jp|br|mx|ar|cl|ca|au"
+_MORE_ENDINGS = f"{_ENDINGS}|de|es|it|at|be|us|se|no|pt|ie|me|tv"
+# Words before "at" that are no one's name, in prose about a place, a time or an address on the web.
+_NO_NAMES = frozenset(
+    "a an the is are was were be been am it its he she they we you i me him her us them this that these those there here who what which where when how all any some none both each "
+    "look looks looked looking see sees saw seen meet meets met meeting sell sells sold buy buys bought shop shops shopped order orders ordered find finds found read reads visit visits visited "
+    "stay stays stayed stop stops stopped stand stands stood sit sits sat live lives lived work works worked arrive arrives arrived start starts started end ends ended begin began get got gets "
+    "go goes went come comes came join joins joined listed hosted published posted available online home page site website web store market price prices time times point day night up out in on "
+    "down over back not only just now then more less much many good well still even again also and or but if as so than too very once always never often offices shares traded works based".split()
+)
+_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+_BARE_DOT = r"[ \t]+dot[ \t]+"
+_NAMED_DOT = rf"[ \t]+(?:{_DOT_WORDS})[ \t]+"
+_SIGNED_DOT = rf"[ \t]*[(\[{{<][ \t]*(?:{_DOT_WORDS}|\.)[ \t]*[)\]}}>][ \t]*"
+#: "at" between a name and an address whose dots are spelled, marked or plain, up to a usual ending.
+_AT_BARE = re.compile(rf"(?<=[A-Za-z0-9_%+-])[ \t]+at[ \t]+(?={_LABEL}(?:(?:{_BARE_DOT}|\.){_LABEL})*(?:(?:{_BARE_DOT}|\.)(?:{_ENDINGS})|{_SIGNED_DOT}(?:{_MORE_ENDINGS}))\b)", re.I)
+_ARROBA = re.compile(rf"(?<=[A-Za-z0-9_%+-])[ \t]+(?:arroba|@)[ \t]+(?={_LABEL}(?:{_NAMED_DOT}|{_SIGNED_DOT}|\.)[A-Za-z0-9])", re.I)
 _AT_DOTTED = re.compile(r"(?<=[A-Za-z0-9_%+-])(?:[ \t]+@[ \t]*|[ \t]*@[ \t]+)(?=[A-Za-z0-9-]+\.[A-Za-z0-9])")
-_DOT_BARE = re.compile(rf"(?<=[A-Za-z0-9-])[ \t]+(?:{_DOT_WORDS})[ \t]+(?=[A-Za-z0-9])", re.I)
+_DOT_BARE = re.compile(rf"(?<=[A-Za-z0-9-]){_NAMED_DOT}(?=[A-Za-z0-9])", re.I)
+#: What stands before a spelled dot of an address, and behind it.
+_TO_THE_AT = re.compile(rf"@{_LABEL}(?:(?:\.|{_NAMED_DOT}){_LABEL})*$", re.I)
+_TO_THE_END = re.compile(rf"(?:{_LABEL}(?:\.|{_NAMED_DOT}))*?(?:{_MORE_ENDINGS})\b", re.I)
+#: The longest address.
+_REACH = 254
+_NAME_BEFORE = re.compile(r"[A-Za-z0-9._%+-]+$")
+_ASKED = re.compile(r"(?:e-?mails?|mail|contact|write(?: to)?|reach(?: me| us)?|address|adresse|correo|courriel|kontakt)(?: is| me| us| him| her| them| at| to| an| à| a)?[ \t:]+$|[:<(\"'][ \t]*$", re.I)
 _DOT_DIGITS = re.compile(rf"(?<=[0-9])[ \t]*(?:{_DOT_WORDS})[ \t]*(?=[0-9]|{_NAME}\b)", re.I)
 _POSING = re.compile(r"(?<=[0-9])[OolI|]+(?=[0-9])")
 #: What a transducer cannot match without; texts that lack it are not searched with the whole pattern.
@@ -184,6 +226,28 @@ def _after(m: re.Match) -> str:
     return " " + _digits_of(m[0]) + (" " if m["post"] else "")
 
 
+def _at(m: re.Match) -> str:
+    """A bare "at" is a sign where a name stands before it.
+
+    With a spelled or marked dot behind it any word that is no ordinary one is a name; before a
+    plain address, which prose has behind "at" as well, it has a sign or a digit in it, or was asked for.
+    """
+    left = m.string[max(0, m.start() - 96) : m.start()]
+    name = _NAME_BEFORE.search(left)[0]
+    if any(c in "0123456789._%+-" for c in name):
+        return "@"
+    if name.lower() in _NO_NAMES:
+        return m[0]
+    plain = re.match(rf"{_LABEL}(?:\.{_LABEL})+", m.string[m.end() : m.end() + _REACH])
+    return "@" if not plain or _ASKED.search(left[: len(left) - len(name)]) else m[0]
+
+
+def _dot(m: re.Match) -> str:
+    """A bare dot word is a dot within an address: behind an @, before a usual ending."""
+    left, right = m.string[max(0, m.start() - _REACH) : m.start()], m.string[m.end() : m.end() + _REACH]
+    return "." if "@" in left and _TO_THE_AT.search(left) and _TO_THE_END.match(right) else m[0]
+
+
 def rewritten(text: str) -> Tape | None:
     """The text after all transducers; None if none of them changes it."""
     tape = Tape(text)
@@ -206,12 +270,15 @@ def rewritten(text: str) -> Tape | None:
     if (marked or "%40" in low) and _AT_IN_MARKS.search(tape.text):
         tape.rewrite(_AT_MARKED, lambda m: "@")
     dot_marked = marked and _DOT_IN_MARKS.search(tape.text)
-    if (dots or dot_marked) and ("at" in low or "arroba" in low or "@" in low):
-        tape.rewrite(_AT_BARE, lambda m: "@")  # looks for the dot's disguise, so before that is rewritten
+    # Both look for the dot's disguise, so before that is rewritten.
+    if " at" in low or "\tat" in low:
+        tape.rewrite(_AT_BARE, _at)
+    if "arroba" in low or "@" in low:
+        tape.rewrite(_ARROBA, lambda m: "@")
     if dot_marked:
         tape.rewrite(_DOT_MARKED, lambda m: ".")
-    if dots:
-        tape.rewrite(_DOT_BARE, lambda m: ".")
+    if dots and "@" in tape.text:
+        tape.rewrite(_DOT_BARE, _dot)
     if "@" in tape.text and _AT_SPACED.search(tape.text):
         tape.rewrite(_AT_DOTTED, lambda m: "@")
     tape.rewrite(_POSING, lambda m: "".join("0" if c in "Oo" else "1" for c in m[0]))
@@ -224,12 +291,19 @@ def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     base = plain_spans(text)
     added: list[tuple[int, int, int]] = []
     if tape := rewritten(text):
-        taken = [[s[1:] for s in base if s[0] == kind] for kind in range(len(KINDS))]
+        # Spans of a kind don't overlap and come in order, in the text as in what is written of it.
+        known = [[s[1:] for s in base if s[0] == kind] for kind in range(len(KINDS))]
+        place, last = [0] * len(KINDS), [(-1, -1)] * len(KINDS)
         for kind, a, b in plain_spans(tape.text):
             start, end = tape.source(a, b)
-            if not any(x <= start and end <= y for x, y in taken[kind]):
+            own, at = known[kind], place[kind]
+            while at < len(own) and own[at][1] < end:
+                at += 1
+            place[kind] = at
+            within = at < len(own) and own[at][0] <= start
+            if not within and not (last[kind][0] <= start and end <= last[kind][1]):
                 added.append((kind, start, end))
-                taken[kind].append((start, end))
+                last[kind] = (start, end)
     return base, sorted(added)
 
 
