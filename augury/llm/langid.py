@@ -40,25 +40,32 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
 
 
-def _blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(code points, number of the text of each) in blocks; a long text is in several, each with the last two points of the one before."""
+def _blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(code points, number of the text of each, points that belong to the block before).
+
+    A long text is in several blocks, each after the first with the last two points of the one before.
+    """
     points, owner, size = [], [], 0
     for k, text in enumerate(texts):
         p = _points(f" {text} ")
+        if size and size + len(p) > BLOCK_CHARS:
+            yield np.concatenate(points), np.concatenate(owner), 0
+            points, owner, size = [], [], 0
+        if len(p) <= BLOCK_CHARS:
+            points.append(p)
+            owner.append(np.full(len(p), k, np.int32))
+            size += len(p)
+            continue
         for at in range(0, len(p), BLOCK_CHARS):
-            part = p[max(0, at - max(ORDERS) + 1) : at + BLOCK_CHARS] if at else p[:BLOCK_CHARS]
-            points.append(part)
-            owner.append(np.full(len(part), k, np.int32))
-            size += len(part)
-            if size >= BLOCK_CHARS:
-                yield np.concatenate(points), np.concatenate(owner)
-                points, owner, size = [], [], 0
+            before = min(at, max(ORDERS) - 1)
+            part = p[at - before : at + BLOCK_CHARS]
+            yield part, np.full(len(part), k, np.int32), before
     if points:
-        yield np.concatenate(points), np.concatenate(owner)
+        yield np.concatenate(points), np.concatenate(owner), 0
 
 
-def _grams(points: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, text) of the n-grams that lie within one text, order by order."""
+def _grams(points: np.ndarray, owner: np.ndarray, before: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, text) of the n-grams that lie within one text and end behind the first `before` points, order by order."""
     for n in ORDERS:
         if len(points) < n:
             continue
@@ -68,6 +75,7 @@ def _grams(points: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray,
             h = (h ^ points[k : k + m]) * np.uint32(_MIX[k])
             h ^= h >> np.uint32(15)
         inside = owner[:m] == owner[n - 1 :]
+        inside[: max(0, before - n + 1)] = False  # those were in the block before
         yield (h & np.uint32(BUCKETS - 1))[inside].astype(np.int64), owner[:m][inside].astype(np.int64)
 
 
@@ -79,8 +87,8 @@ def _train_side(spark_docs: DataFrame, lang_col: str, text_col: str) -> DataFram
             texts = batch.column(1).to_pylist()
             for lang in sorted(set(langs.tolist())):
                 of = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for points, owner in _blocks([texts[k] for k in np.flatnonzero(langs == lang)]):
-                    for buckets, _ in _grams(points, owner):
+                for block in _blocks([texts[k] for k in np.flatnonzero(langs == lang)]):
+                    for buckets, _ in _grams(*block):
                         of += np.bincount(buckets, minlength=BUCKETS)
         for lang, of in counts.items():
             used = np.flatnonzero(of)
@@ -91,18 +99,20 @@ def _train_side(spark_docs: DataFrame, lang_col: str, text_col: str) -> DataFram
 
 
 class Model:
-    """Languages in order and their log-probabilities, a float32 matrix of (buckets, languages)."""
+    """Languages in order, the logarithms of their shares of the texts, and a float32 matrix of log-probabilities (buckets, languages)."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
+    def __init__(self, languages: list[str], counts: np.ndarray, texts: np.ndarray | None = None):
         self.languages = languages
+        texts = np.ones(len(languages)) if texts is None else np.asarray(texts, float)
+        self.log_priors = np.log(texts / texts.sum()) if len(languages) else np.zeros(0)
         share = (counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=1, keepdims=True) if languages else np.zeros((0, BUCKETS))
         self.log_probs = np.ascontiguousarray(np.log(share).T.astype(np.float32))
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """Log-likelihoods (texts x languages) of all n-grams of each text."""
-        out = np.zeros((len(texts), len(self.languages)))
-        for points, owner in _blocks(texts):
-            for buckets, of in _grams(points, owner):
+        """Log-posteriors (texts x languages), up to a constant: the prior and all n-grams of each text."""
+        out = np.tile(self.log_priors, (len(texts), 1))
+        for block in _blocks(texts):
+            for buckets, of in _grams(*block):
                 first = int(of[0]) if len(of) else 0
                 cells = (of - first) * BUCKETS + buckets
                 width = (int(of[-1]) - first + 1) * BUCKETS if len(of) else 0
@@ -120,7 +130,7 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The likeliest language of each text and its share among all, per n-gram order even priors."""
+        """The likeliest language of each text and its share among all."""
         lettered = [k for k, t in enumerate(texts) if has_letter(t)]
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if lettered and self.languages:
@@ -135,24 +145,30 @@ class Model:
 
 
 def train(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> Model:
-    """Fits the model on about train_rows of the rows with a language, chosen by a hash of the id.
+    """Fits the model on about train_rows of the rows with a language, chosen by a hash of id and text.
 
-    The counts that reach the driver have at most (languages x BUCKETS) entries; more than
-    MAX_LANGUAGES languages are refused. Without labelled rows the model knows no language.
+    A language's prior is its share of the rows fitted on. The counts that reach the driver have at
+    most (languages x BUCKETS) entries: more than MAX_LANGUAGES languages, which a label column that
+    is no language has, are refused before anything is collected. Without labelled rows the model
+    knows no language.
     """
     labelled = labelled.filter(F.col(lang_col).isNotNull())
     rows = labelled.select(lang_col).count()
     if rows > train_rows:
         share = int(train_rows / rows * (1 << 30))
-        labelled = labelled.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < share)
+        labelled = labelled.filter(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) < share)
+    texts = labelled.groupBy(F.col(lang_col).cast("string").alias("lang")).count().limit(MAX_LANGUAGES + 1).collect()
+    if len(texts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    languages = sorted(r["lang"] for r in texts)
+    row = {lang: k for k, lang in enumerate(languages)}
+    priors = np.zeros(len(languages))
+    for r in texts:
+        priors[row[r["lang"]]] = r["count"]
     found = _train_side(labelled, lang_col, text_col).toPandas()
-    languages = sorted(found["lang"].unique().tolist())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES} are supported")
     counts = np.zeros((len(languages), BUCKETS))
-    row = {lang: k for k, lang in enumerate(languages)}
     counts[found["lang"].map(row).to_numpy(np.int64), found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy()
-    return Model(languages, counts)
+    return Model(languages, counts, priors)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
