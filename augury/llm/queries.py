@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from augury.llm import exact_dedup, langid, mixing, packing, pii, quality, repair, sharding, simhash, token_counts
-from augury.llm.common import LOWER, UPPER
+from augury.llm.common import LOWER, UPPER, scratch_table
 
 FOLDED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
@@ -49,8 +49,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(documents(spark, sf_dir), corpus_pipeline.LEVELS, corpus_pipeline.WEIGHTS, share=0.6, max_epochs=2)
-    return mixed.select("doc_id", F.expr(corpus_pipeline.LEVELS["domain"]).alias("domain"), "lang", "source", F.col("__tokens").alias("tokens"), "epoch")
+    levels = [F.expr(e).alias(n) for n, e in corpus_pipeline.LEVELS.items()]
+    sized = scratch_table(token_counts.measured(documents(spark, sf_dir).select("doc_id", *levels, "text"), "text", "tokens"), "measured")
+    return mixing.mix(sized, {n: n for n in corpus_pipeline.LEVELS}, corpus_pipeline.WEIGHTS, share=0.6, max_epochs=2, tokens=F.col("tokens"))
 
 
 def op8_repair_output(spark: SparkSession, sf_dir: str) -> DataFrame:

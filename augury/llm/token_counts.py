@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from augury.llm.common import scratch_path, scratch_table
+from augury.llm.common import batched_texts, scratch_path, scratch_table
 from augury.llm.files import FILE_TOKENS, read_bytes, write_bytes, write_files
+from augury.llm.tokens import default_tokenizer, encoder
 
 END_ID = 50_256
 BLOCK_IDS = 1 << 20
@@ -101,6 +102,22 @@ def scan(files: DataFrame, end_id: int = END_ID, block_ids: int = BLOCK_IDS, kin
     return rows.repartition("path", "block").mapInArrow(emit, "path string, ordinal long, start long, n_tokens long, complete boolean")
 
 
+def measured(rows: DataFrame, text_col: str, out: str = "n_tokens", tokenizer: str | None = None) -> DataFrame:
+    """rows with the number of ids of each text in place of the text, counted where the rows are; 0 for null."""
+    path = tokenizer or default_tokenizer()
+    kept = [c for c in rows.columns if c != text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = encoder(path)
+        for batch in batches:
+            _, ends = tok.encode(batch.column(len(kept)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(np.diff(ends, prepend=0), pa.int64())], [*kept, out])
+
+    rows = rows.select(*kept, text_col)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), f"`{out}` long"])
+    return batched_texts(rows).mapInArrow(run, schema)
+
+
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, file_tokens: int = FILE_TOKENS, kind: str = KIND) -> DataFrame:
     """doc_id and n_tokens of each row, counted in flat files that are written for it.
 

@@ -1,4 +1,5 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
@@ -6,7 +7,7 @@ from hypothesis import strategies as st
 
 from augury.llm import mixing, queries
 
-SCHEMA = "doc_id long, text string, a string, b string, n long, __level string"
+SCHEMA = "doc_id long, text string, a string, b string, n long, __level0 string"
 LEVELS = {"a": "a", "b": "b"}
 
 
@@ -40,8 +41,11 @@ def brute(rows, weights, total, epochs, seed):
     return plan, {k: sum(n for _, n in v) for k, v in leaves.items()}
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
 @pytest.mark.parametrize(("share", "epochs"), [(0.5, 1), (0.9, 3), (2.0, 3)])
-def test_prefixes_by_brute_force(spark, share, epochs):
+def test_prefixes_by_brute_force(spark, monkeypatch, share, epochs, most):
+    """With budgets made on the driver, and in a task per node."""
+    monkeypatch.setattr(mixing, "MAX_LEAVES", most)
     rows = [(k, f"t{k}", "wc"[k % 3 == 0], "xyz"[k % 7 % 3] if k % 11 else None, k * 37 % 101, "") for k in range(1500)]
     docs = spark.createDataFrame(rows, SCHEMA)
     weights = {("w",): 2.0, ("c",): 1.0, ("w", "x"): 4.0}
@@ -65,7 +69,7 @@ def test_prefixes_by_brute_force(spark, share, epochs):
                 break
             want.add((i, whole))
     assert {(r.doc_id, r.epoch) for r in got} == want and len(got) == len(want)
-    assert got[0].asDict().keys() == {"doc_id", "text", "a", "b", "n", "__level", "__tokens", "epoch"}
+    assert got[0].asDict().keys() == {"doc_id", "text", "a", "b", "n", "__level0", "epoch"}
 
 
 def test_edge_rows(spark):
@@ -77,11 +81,80 @@ def test_edge_rows(spark):
         mixing.mix(spark.createDataFrame([], SCHEMA), LEVELS, {})
 
 
+def test_names_of_ours(spark):
+    """Columns named as the operator's own keep their values, and the epoch gets another name."""
+    names = ["doc_id", "text", "a", "b", "epoch", "__tokens", "__epochs", "__order", "c0", "__taken"]
+    rows = [(k, "some words here", "p", "q" if k % 3 else None, 90 + k, "t", "e", k, "c", None) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, a string, b string, epoch long, __tokens string, __epochs string, __order long, c0 string, __taken boolean")
+    out = mixing.mix(docs, LEVELS, {}, share=1.5, max_epochs=2)
+    assert out.columns == [*names, "epoch_"] and out.count() == 60 and out.select(*names).exceptAll(docs.unionAll(docs)).isEmpty()
+    assert {(r.doc_id, r.epoch) for r in out.collect()} <= {(k, 90 + k) for k in range(40)} and {r.epoch_ for r in out.collect()} == {0, 1}
+    assert mixing.mix(docs, LEVELS, {}, share=1.0, epoch_col=None).columns == names
+
+
+def by_hand(docs, levels, weights, share, epochs, seed, order):
+    """What the query must take, without any of the module: budgets level by level, prefixes by sorting."""
+    held, rows = defaultdict(int), defaultdict(list)
+    for i, leaf, n in docs:
+        held[leaf] += n
+        rows[leaf].append((i, n))
+
+    def room(path):
+        return sum(n * epochs for leaf, n in held.items() if leaf[: len(path)] == path)
+
+    def pour(amount, kids):
+        """Shares by weight; whoever is full leaves, and the others share anew."""
+        out, open_ = dict.fromkeys(kids, Fraction(0)), [k for k in kids if room(k)]
+        left = min(Fraction(amount), Fraction(sum(map(room, open_))))
+        while open_ and left > 0:
+            total = sum(Fraction(weights.get(k, 1)) for k in open_)
+            full = [k for k in open_ if room(k) - out[k] <= left * Fraction(weights.get(k, 1)) / total]
+            if not full:
+                for k in open_:
+                    out[k] += left * Fraction(weights.get(k, 1)) / total
+                break
+            for k in full:
+                left -= room(k) - out[k]
+                out[k] = Fraction(room(k))
+            open_ = [k for k in open_ if k not in full]
+        return out
+
+    given = {(): Fraction(int(share * sum(held.values())))}
+    for depth in range(levels):
+        for node in [p for p in given if len(p) == depth]:
+            given.update(pour(given[node], sorted({leaf[: depth + 1] for leaf in held if leaf[:depth] == node})))
+    sure, unsure = Counter(), set()
+    for leaf in held:
+        whole, rest = divmod(given[leaf], held[leaf]) if held[leaf] else (0, 0)
+        for i, _ in rows[leaf]:
+            sure[i] += int(whole)
+        at = 0
+        for i, n in sorted(rows[leaf], key=lambda d: (order(seed, int(whole), d[0]), d[0])):
+            at += n
+            if abs(at - rest) <= levels + 1:  # shares are whole numbers there and fractions here
+                unsure.add(i)
+            if at > rest:
+                break
+            sure[i] += 1
+    return sure, unsure
+
+
 def test_query(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    from augury.llm.tokens import default_tokenizer
+
     out = queries.op7_mixing(spark, sf_dir)
     assert out.columns == ["doc_id", "domain", "lang", "source", "tokens", "epoch"]
     rows = out.collect()
+    library = Tokenizer.from_file(default_tokenizer())
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    words = {k: len([w for w in __import__("re").split("[ \t-\r]+", r.text or "") if w]) for k, r in docs.items()}
-    assert all(r.tokens == words[r.doc_id] and r.source == docs[r.doc_id].source for r in rows)
-    assert 0.3 < sum(r.tokens for r in rows) / sum(words.values()) <= 0.6
+    ids = {k: len(library.encode(r.text or "", add_special_tokens=False).ids) for k, r in docs.items()}
+    assert all(r.tokens == ids[r.doc_id] and r.source == docs[r.doc_id].source and r.lang == docs[r.doc_id].lang for r in rows)
+    domain = {k: "curated" if int("".join(c for c in r.source if c.isdigit()) or 0) >= 10 else "web" for k, r in docs.items()}
+    hashes = {(r.e, r.doc_id): r.h % 2**64 for e in range(3) for r in spark.createDataFrame([(k,) for k in docs], "doc_id long").selectExpr(f"{e} AS e", "doc_id", f"xxhash64({mixing.SEED}, CAST({e} AS LONG), doc_id) AS h").collect()}
+    leaves = [(k, (domain[k], r.lang or "", r.source or ""), ids[k]) for k, r in docs.items()]
+    sure, unsure = by_hand(leaves, 3, {("web", "en"): 3, ("curated", "en"): 3}, 0.6, 2, mixing.SEED, lambda seed, e, i: hashes[e, i])
+    got = Counter(r.doc_id for r in rows)
+    assert {k for k in docs if got[k] != sure[k]} <= unsure and len(unsure) < 0.1 * len(docs)
+    assert 0.3 < sum(r.tokens for r in rows) / sum(ids.values()) <= 0.6
