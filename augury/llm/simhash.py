@@ -9,9 +9,12 @@ Links. Two fingerprints at distance <= r differ by at most r in the sum, over th
 groups of segments; at most r groups can differ, so two groups have all population counts equal.
 Tile pairs that share no such pair of groups are never formed: every distinct fingerprint is
 dealt to one cell for each pair of groups, keyed by those counts, and only tiles of one cell meet.
-There, fingerprints are sorted by population count and cut into tiles; a tile pair whose counts
+A segment is one bit wide by default; its count is the bit itself, so by default the cells are
+those of exact matching on 32 of the 64 bits, block permutation by another name. Wider segments
+are a parameter and give larger cells. The method proper, skipping by population counts, works inside a
+cell: its fingerprints are sorted by population count and cut into tiles; a tile pair whose counts
 differ by more than r is skipped, any other is compared exactly with exclusive-or and bit counts.
-A segment is one bit wide by default, which makes the keys as selective as they can be.
+Cells of one fingerprint link nothing and never reach Python.
 
 A cell gives the edges of a spanning forest, not its pairs: no link between components is lost
 and no group gives more edges than members. A cell beyond CELL_ROWS is split into sub-cells, one
@@ -29,7 +32,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from augury.llm.common import LOWER, UPPER, batched_texts, broadcast_if_small, scratch_table
@@ -42,6 +45,8 @@ TILE = 2048
 #: Fingerprints of one cell that are compared in one task.
 CELL_ROWS = 20_000
 BLOCK = 200_000
+#: A key with more than this share of all rows is joined without a shuffle.
+SHARE = 0.001
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -60,12 +65,25 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     first, last = starts[:n].tolist(), (ends[size - 1 :] - 1).tolist() if len(words) >= size else [len(line)]
     digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
     for at in range(0, n, BLOCK):
-        h = [digest(line[a:b], SEED) for a, b in zip(first[at : at + BLOCK], last[at : at + BLOCK], strict=True)]
-        bits = np.unpackbits(np.array(h, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
+        ones += _ones(np.array([digest(line[a:b], SEED) for a, b in zip(first[at : at + BLOCK], last[at : at + BLOCK], strict=True)], "<u8"))
+    return _over_half(ones, n)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _over_half(ones: np.ndarray, n: int) -> int:
     return sum(1 << k for k in np.flatnonzero(2 * ones > n).tolist())
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes: the bits that over half of them have."""
+    ones = sum((_ones(hashes[at : at + BLOCK]) for at in range(0, len(hashes), BLOCK)), np.zeros(64, np.int64))
+    return _over_half(ones, len(hashes))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) for each row; a null text has no words."""
 
@@ -172,8 +190,8 @@ def links(fps: DataFrame, radius: int = RADIUS, segment_bits: int = SEGMENT_BITS
         pair_of = lambda other: F.xxhash64("cell", F.least(part, other), F.greatest(part, other))
         dealt = dealt.join(broadcast_if_small(large), "cell", "left")
         dealt = dealt.select("fp", F.explode(F.when(F.col("parts").isNull(), F.array("cell")).otherwise(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), pair_of))).alias("cell"))
-    # Cells of one row link nothing and are left out before the rows go to Python.
-    shared = dealt.repartition("cell").sortWithinPartitions("cell").select("cell", "fp")
+    # The count over a cell has the rows dealt and sorted by cell, as the comparison wants them.
+    shared = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cell"))).filter("n > 1").select("cell", "fp")
     return shared.mapInArrow(lambda batches: _edges(batches, radius), "a long, b long").distinct()
 
 
@@ -215,13 +233,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def by_component(prints: DataFrame, edges: DataFrame) -> DataFrame:
     """The rows (doc_id, fp) with component_id, the smallest id that the edges between values of fp reach."""
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     roots = components(edges)
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "copies")
     groups = scratch_table(rooted, "classes")
-    ids = groups.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = groups.join(ids, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    ids = groups.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    by_print = scratch_table(split_join(groups, ids, "root", "members").select("fp", "component_id", "copies"), "components")
+    return split_join(prints, by_print, "fp", "copies").select("doc_id", "fp", "component_id")
+
+
+def split_join(rows: DataFrame, table: DataFrame, key: str, n: str, share: float = SHARE) -> DataFrame:
+    """rows joined with table, which has one row per key and counts in n the rows of that key.
+
+    Keys with more than `share` of all rows, at most 1 / share of them, are broadcast and their rows
+    stay where they are; all other rows are shuffled.
+    """
+    total = table.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    often = table.filter(F.col(n) > share * total).drop(n)
+    rare = table.filter(F.col(n) <= share * total).drop(n)
+    heavy = rows.join(F.broadcast(often), key)
+    light = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(rare, key)
+    return heavy.unionByName(light)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

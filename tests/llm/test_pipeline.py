@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from augury.llm import mixing, quality
 from augury.llm.common import scratch_table
-from tests.llm.test_simhash import brute_components, brute_print
+from augury.llm.token_counts import measured
+from tests.llm.test_neardup import brute_components
 from tests.llm.test_tokens_files import check_packing
 
 
@@ -35,9 +36,9 @@ def test_stages(spark, sf_dir, stages):
     for i in sorted(rows[1]):
         last[rows[1][i].text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))] = i
     assert set(last.values()) == set(rows[2])
-    least = brute_components({i: brute_print(r.text) for i, r in rows[2].items()})
+    least = brute_components({i: r.text for i, r in rows[2].items()})
     assert set(least.values()) == set(rows[3])
-    sized = stages[3].withColumns({n: F.expr(e) for n, e in corpus_pipeline.LEVELS.items()} | {"n": mixing.word_count()}).collect()
+    sized = measured(stages[3].select("doc_id", *[F.expr(e).alias(n) for n, e in corpus_pipeline.LEVELS.items()], "text"), "text", "n").collect()
     held = defaultdict(int)
     for r in sized:
         held[(r.domain, r.lang, r.source)] += r.n
@@ -63,9 +64,13 @@ def test_run_and_empty(spark, sf_dir, stages, tmp_path):
 def test_nulls_repeats_and_clashing_names(spark, sf_dir):
     schema = "doc_id long, text string, lang string, source string, n_chars long, text_sha256 string, row long, fp long, component_id long, epoch long, keep_id long, words string"
     text = " ".join(f"w{k}" for k in range(80))
-    rows = [(i, t, lang, src, *[None] * 8) for i, t, lang, src in [(1, text, "en", "src1"), (1, text, "en", "src1"), (2, text.upper(), None, None), (None, text + " more", "en", "x"), (3, None, "en", "src2"), (4, "", None, "src3"), (5, "other " + " ".join(f"v{k}" for k in range(90)), "de", None)]]
+    rows = [(i, t, lang, src, *[None] * 7, "own") for i, t, lang, src in [(1, text, "en", "src1"), (1, text, "en", "src1"), (2, text.upper(), None, None), (None, text + " more", "en", "x"), (3, None, "en", "src2"), (4, "", None, "src3")]]
+    rows += [(10 + k, " ".join(f"v{k}-{j}" for j in range(90)), "de" if k % 2 else None, f"src{k % 3 * 9}", *[None] * 5, 7, 8, "own") for k in range(30)]
     docs = spark.createDataFrame(rows, schema)
+    before = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = scratch_table(stage(spark, docs, sf_dir), name)
-        assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
+        assert docs.columns == before.columns, name
+        assert docs.exceptAll(before).isEmpty(), name  # the user's values, also in columns named as the operators' own
+    assert {r.doc_id for r in docs.collect() if r.doc_id and r.doc_id < 10} <= {1, 2} and 20 < docs.count() < 32
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() > 0
