@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from augury.llm import exact_dedup, minhash, mixing, packing, quality
+from augury.llm import exact_dedup, mixing, neardup, packing, quality
 from augury.llm.common import scratch_table
 
 #: The mix's tree. Sources with a number of 10 or more are curated, all others web crawls.
@@ -24,11 +24,11 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.drop_near_duplicates(docs)
+    return neardup.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, LEVELS, WEIGHTS, share=SHARE).select(*docs.columns)
+    return mixing.mix(docs, LEVELS, WEIGHTS, share=SHARE, epoch_col=None)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ STAGES = [
     ("mixing", mix),
     ("packing", pack),
 ]
-#: Fingerprint links, budgets and packing are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
+#: Links of near copies, budgets and packing are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
