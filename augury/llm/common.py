@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +24,13 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; /tmp/checkpoints only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/augury-scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -45,9 +49,19 @@ def scratch_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch() -> None:
-    """Removes every scratch path of this driver. Frames that still read them must not be used any more."""
-    while _made:
+@contextlib.contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Removes, at its end, the scratch paths made within; what was computed from them must have been written by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        drop_scratch(before)
+
+
+def drop_scratch(keep: int = 0) -> None:
+    """Removes the scratch paths of this driver but the first `keep`. Frames that still read them must not be used any more."""
+    while len(_made) > keep:
         spark, path = _made.pop()
         jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
         if jvm is None or jsc is None:

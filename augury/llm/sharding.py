@@ -56,11 +56,13 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", shards: tuple[str, ..
     spark = docs.sparkSession
     names = F.element_at(F.array(*map(F.lit, shards)), F.col("owner").cast("int") + 1)
     table = spark.range(1).select(F.posexplode(F.split(F.lit(owners), ",")).alias("slot", "owner")).select(F.col("slot").cast("long").alias("__slot"), names.alias("__shard"))
-    placed = docs.withColumn("__slot", slot_of(F.col(id_col), slots)).join(F.broadcast(table), "__slot", "left")
-    return placed.withColumn("shard", F.col("__shard")).drop("__slot", "__shard")
+    placed = docs.join(F.broadcast(table), slot_of(docs[id_col], slots) == table["__slot"], "left")
+    shard = table["__shard"].alias("shard")
+    kept = [shard if c == "shard" else docs[f"`{c}`"] for c in docs.columns]
+    return placed.select(*kept, *([] if "shard" in docs.columns else [shard]))
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", shards: tuple[str, ...] = SHARDS, slots: int = SLOTS, files: int = 8) -> None:
-    """Writes one folder per shard; a shard's rows are dealt over at most `files` tasks."""
+    """Writes one folder per shard; a shard's rows are dealt over at most `files` tasks, whatever the ids, by all columns."""
     placed = assign_shards(docs, id_col, shards, slots)
-    placed.withColumn("__part", F.pmod(F.xxhash64(F.col(id_col)), F.lit(files))).repartition("shard", "__part").drop("__part").write.partitionBy("shard").parquet(path)
+    placed.repartition(F.col("shard"), F.pmod(F.xxhash64(*[f"`{c}`" for c in docs.columns if c != "shard"]), F.lit(files))).write.partitionBy("shard").parquet(path)
