@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from augury.llm.common import batched_texts
+from augury.llm.common import batched_texts, release_memory
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -194,6 +194,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 scores += some[1]
             columns = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "lang_pred", "score"])
+            release_memory()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), *(extra or []), F.col(text_col).alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])

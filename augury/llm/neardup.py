@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from augury.llm import simhash
-from augury.llm.common import batched_texts, broadcast_if_small, scratch_table
+from augury.llm.common import batched_texts, broadcast_if_small, release_memory, scratch_table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -88,6 +88,8 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             bits = np.array([simhash.majority(w) for w in wide], np.uint64).view(np.int64)
             made = pa.array([cells(s) for s in sets], pa.list_(pa.int64())), pa.array([s.view(np.int32) for s in sets], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(bits, pa.int64()), *made], ["doc_id", "fp", "bits", "cells", "set"])
+            del wide, sets, made
+            release_memory()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return batched_texts(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, bits long, cells array<long>, set array<int>")
@@ -170,6 +172,7 @@ def _compare(batches: Iterator[pa.RecordBatch], similarity: float, radius: int)
             held.append((*row, flat[ends[k] : ends[k + 1]].copy()))
     if held:
         yield close()
+    release_memory()
 
 
 def links(made: DataFrame, similarity: float = SIMILARITY, cell_bytes: int = CELL_BYTES, radius: int = RADIUS) -> DataFrame:

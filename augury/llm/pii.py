@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augury.llm.common import batched_texts
+from augury.llm.common import batched_texts, release_memory
 
 KINDS = ("email", "ip", "card", "phone")
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
@@ -326,6 +326,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 merged = sorted([(*s, False) for s in base] + [(*s, True) for s in added])
                 rows.append([{"kind": KINDS[k], "start": a, "end": b, "added": new} for k, a, b, new in merged])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kinds)], ["doc_id", "spans"])
+            release_memory()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return batched_texts(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, spans {_SPANS}")

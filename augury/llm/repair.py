@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from augury.llm.common import scratch_path
+from augury.llm.common import release_memory, scratch_path
 from augury.llm.files import FILE_TOKENS, deal_files, read_bytes, write_bytes, write_files
 from augury.llm.tokens import gather
 
@@ -275,6 +275,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     made = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(e) - 1, [None, pa.py_buffer((4 * (e - e[0])).astype(np.int64)), flat])
                     columns = [pa.array(doc_ids[at : at + 2048], mask=valid[at : at + 2048] == 0), pa.array(e[:-1] + first_token), pa.array(np.diff(e)), made.cast(pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
+                release_memory()
 
     dealt = deal_files(manifest.select("path", "first_token", "n_bytes"))
     return dealt.select("path", "first_token").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from augury.llm.common import release_memory
+
 #: Bytes that the remembered pieces, their ids and the table of them may take.
-MEMORY_BYTES = 80 << 20
+MEMORY_BYTES = 48 << 20
 #: What an entry takes beside its piece and its ids.
 ENTRY_BYTES = 160
 #: Longer pieces hardly repeat and are not remembered.
@@ -28,7 +30,7 @@ LONGEST = 64
 #: Words that the model is given at once.
 WORDS = 256
 #: Texts are encoded in groups of about so many bytes.
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 4 << 20
 _OTHER, _LETTER, _DIGIT, _SIGN, _BLANK, _SPACE = range(6)
 
 
@@ -83,7 +85,7 @@ def certain_cuts(data: np.ndarray) -> np.ndarray:
 
 
 class _Memory:
-    """Pieces and their ids, in one flat array; the least recently used half goes when it is full."""
+    """Pieces and their ids, in one flat array; when it is full, what was used in the fewest groups of texts goes, half of it or more."""
 
     def __init__(self) -> None:
         self.slots: dict[str, int] = {}
@@ -91,7 +93,7 @@ class _Memory:
         self.start = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
         self.used = np.zeros(1 << 14, np.int64)
-        self.n_ids = self.n = self.key_bytes = self.round = 0
+        self.n_ids = self.n = self.key_bytes = 0
 
     def bytes(self) -> int:
         return self.key_bytes + 4 * self.n_ids + ENTRY_BYTES * self.n
@@ -107,21 +109,20 @@ class _Memory:
         self.ids[self.n_ids : ids] = flat
         self.start[self.n : n] = self.n_ids + np.cumsum(sizes) - sizes
         self.size[self.n : n] = sizes
-        self.used[self.n : n] = self.round
+        self.used[self.n : n] = 1
         self.slots.update(zip(pieces, range(self.n, n), strict=True))
         self.n, self.n_ids, self.key_bytes = n, ids, self.key_bytes + sum(map(len, pieces))
 
     def forget(self) -> None:
-        """Keeps the half that was used last."""
+        """Keeps the half that was used most, and counts its uses half from now on."""
         used = self.used[: self.n]
         keep = used > np.median(used) if self.n else np.zeros(0, bool)
         pieces = list(compress(self.slots, keep.tolist()))  # slots are numbered in order
-        sizes, kept, number = self.size[: self.n][keep], used[keep], self.round
+        sizes, kept = self.size[: self.n][keep], used[keep]
         flat = gather(self.ids, self.start[: self.n][keep], sizes)
         self.__init__()
-        self.round = number
         self.add(pieces, sizes, flat)
-        self.used[: self.n] = kept
+        self.used[: self.n] = (kept + 1) // 2
 
 
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -217,6 +218,7 @@ class Encoder:
             ids.append(made[0])
             sizes.append(made[1])
             at = upto
+        release_memory()
         if not ids:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         return np.concatenate(ids), np.cumsum(np.concatenate(sizes))
@@ -250,11 +252,10 @@ class Encoder:
     def _entries(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, size) of each distinct piece in a flat array of ids, and that array."""
         memory = self._memory
-        memory.round += 1
         if memory.bytes() > MEMORY_BYTES:
             memory.forget()
         slot = np.fromiter(map(memory.slots.get, pieces, repeat(-1)), np.int64, len(pieces))
-        memory.used[slot[slot >= 0]] = memory.round
+        memory.used[slot[slot >= 0]] += 1
         missing = np.flatnonzero(slot < 0)
         new = list(map(pieces.__getitem__, missing.tolist()))
         sizes, ids = self._learn(new)
