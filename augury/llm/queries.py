@@ -68,6 +68,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations under all three limits; only what the assistant says bears loss."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    loss = F.when(F.col("role") != "assistant", 0)
+    examples = turns.select(F.concat_ws(":", "conv_id", "turn").alias("example"), "text", loss.alias("loss"))
+    pieces = packing.pack(examples, "example", max_tokens=1024, max_segments=16, max_loss=384, loss_col="loss")
+    return pieces.select(F.col("doc_id").alias("example"), "start", "length", "doc_tokens", "loss_tokens", "sequence_id", "offset")
+
+
 OP1_SQL = f"""
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, text_sha256
@@ -125,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repair_output": op8_repair_output,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
+        "instruction_packing": instruction_packing,
         "pipeline": corpus_pipeline.run,
     }
 

@@ -21,6 +21,9 @@ ODD = [
     (7, "日本語 ½ naïve\x1c \x85z", "x", "", "", ""),
     (7, "日本語 ½ naïve\x1c \x85z", "x", "", "", ""),
     (8, "the of " * 9000, "x", "", "", ""),
+    (11, "日本語の文章" * 3000, "x", "", "", ""),
+    (12, "ab1" * 8000, "x", "", "", ""),
+    (13, "word\n" * 5000, "x", "", "", ""),
 ]
 
 
@@ -255,3 +258,19 @@ def test_queries_give_the_contract_s_columns(spark, library, sf_dir):
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     whole = {k: [*ids_of(library, t), 0] for k, t in docs.items()}
     assert all(r.ids_crc32 == crc(whole[r.doc_id][r.start : r.start + r.length]) for r in out.collect())
+
+
+def test_all_three_limits_bind_in_instruction_data(spark, library, sf_dir):
+    rows = queries.instruction_packing(spark, sf_dir).collect()
+    turns = {f"{r.conv_id}:{r.turn}": r for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()}
+    by_sequence, by_example = defaultdict(list), defaultdict(int)
+    for r in rows:
+        by_sequence[r.sequence_id].append(r)
+        by_example[r.example] += r.length
+    assert by_example == {k: len(ids_of(library, r.text)) + 1 for k, r in turns.items()}
+    for r in rows:
+        end = r.start + r.length
+        assert r.loss_tokens == (r.length if turns[r.example].role == "assistant" else int(end == r.doc_tokens))
+    full = [(sum(p.length for p in ps), len(ps), sum(p.loss_tokens for p in ps)) for ps in by_sequence.values()]
+    assert all(a <= 1024 and b <= 16 and c <= 384 for a, b, c in full)
+    assert any(c > 350 and a < 900 for a, _, c in full)  # closed by its loss, not by its tokens
