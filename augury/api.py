@@ -72,6 +72,20 @@ class Board:
         rejected = self.ingest(parsed)
         return both.filter("reason IS NOT NULL").select(F.lit(slug).alias("source_slug"), F.col("url").alias("article_url"), year.alias("draft_year"), "reason").unionByName(rejected)
 
+    def run_ingestion(self, pages: DataFrame, slugs: list[str] | None = None) -> DataFrame:
+        """Takes in the first pages (source_slug, url, place, html) of every automated source, one source after another; one audit row per source."""
+        faults = None
+        for config in registry.SOURCES:
+            if not (config.active and config.automated) or (slugs is not None and config.slug not in slugs):
+                continue
+            own = pages.filter((F.col("source_slug") == config.slug) & (F.col("place") < ingest.MAX_URLS)).select("url", "html")
+            found = self.ingest_pages(own, config.slug).select("source_slug", F.col("article_url").alias("url"), F.col("reason").alias("fault"))
+            faults = found if faults is None else faults.unionByName(found)
+        known = self["sources"] if slugs is None else self["sources"].filter(F.col("slug").isin(slugs))
+        seen = pages.select("source_slug", "url", "place")
+        seen = seen.join(faults, ["source_slug", "url"], "left") if faults is not None else seen.withColumn("fault", F.lit(None).cast("string"))
+        return ingest.job_audit(seen, known)
+
     def add_outcome(self, slot: int, name: str, round_number: int = 1, team: str | None = None) -> DataFrame:
         """Adds an outcome as it is; a later one for the slot does not remove it, the latest counts where one is needed."""
         old = self["outcomes"]

@@ -23,12 +23,19 @@ def unseen(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
 
 
 def get_or_create(dim: DataFrame, names: DataFrame, name: str, ident: str) -> DataFrame:
-    """dim with a row for every name that it lacks; new ids follow the largest one, in order of name."""
-    new = unseen(names.select(name).distinct(), dim, [name])
+    """dim with a row for every name that it lacks; new ids follow the largest one, in order of name.
+
+    New names are numbered within those that begin alike, behind the number of all that come
+    before, so no task orders them all.
+    """
+    new = unseen(names.select(name).distinct(), dim, [name]).withColumn("__head", F.substring(name, 1, 2))
+    heads = new.groupBy("__head").agg(F.count(F.lit(1)).alias("__of"))
+    before = Window.orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as pairs of characters
+    heads = heads.select("__head", F.coalesce(F.sum("__of").over(before), F.lit(0)).alias("__before"))
     top = dim.agg(F.coalesce(F.max(ident), F.lit(0)).alias("__top"))
-    # New members of a dimension are few beside the facts: one ordered numbering.
-    numbered = new.withColumn("__n", F.row_number().over(Window.orderBy(name))).join(F.broadcast(top), how="cross")
-    return dim.select(ident, name).unionByName(numbered.select((F.col("__top") + F.col("__n")).alias(ident), name))
+    place = F.row_number().over(Window.partitionBy("__head").orderBy(name))
+    numbered = new.withColumn("__n", place).join(heads, "__head").join(F.broadcast(top), how="cross")  # one row
+    return dim.select(ident, name).unionByName(numbered.select((F.col("__top") + F.col("__before") + F.col("__n")).alias(ident), name))
 
 
 def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:

@@ -32,6 +32,15 @@ def test_upsert_is_idempotent(spark):
     assert upserts.unseen(new, old, ["k"]).count() == 1
 
 
+def test_new_members_are_numbered_in_order(spark):
+    names = ["b", "abc", "abd", "ab", "a", "zz", "é", "known", "b", ""]
+    dim = spark.createDataFrame([(41, "known")], "id long, name string")
+    got = upserts.get_or_create(dim, spark.createDataFrame([(n,) for n in names], "name string"), "name", "id")
+    want = sorted({*names} - {"known"}, key=lambda n: n.encode())
+    assert {r.name: r.id for r in got.collect()} == {"known": 41} | {n: 42 + k for k, n in enumerate(want)}
+    assert upserts.get_or_create(dim.limit(0), dim.select("name"), "name", "id").collect()[0].id == 1
+
+
 def test_partition_overwrite(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame([(1, "a"), (2, "b")], "cycle int, v string").write.partitionBy("cycle").parquet(path)

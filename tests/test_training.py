@@ -96,6 +96,11 @@ def test_writes_through_the_board(spark, tables):
     assert board["articles"].count() == 1 and {r.current_team_id for r in board["picks"].collect()} == {25}
     with pytest.raises(ValueError):
         board.ingest_pages(pages, "manual")
+    more_pages = pages.selectExpr("'espn' AS source_slug", "concat(url, 'x') AS url", "row_number() OVER (ORDER BY url) - 1 AS place", "html")
+    audit = {r.source_slug: r for r in board.run_ingestion(more_pages, ["espn", "yahoo", "manual"]).collect()}
+    assert (audit["espn"].discovered, audit["espn"].parsed, audit["espn"].errors, audit["espn"].status) == (3, 1, 2, "partial")
+    assert audit["yahoo"].status == "success" and audit["manual"].status == "skipped" and set(audit) == {"espn", "yahoo", "manual"}
+    assert board["articles"].count() == 2
     n = board["outcomes"].count()
     board.add_outcome(12, "Al Poe Jr.")
     assert board["outcomes"].count() == n + 1 and board["outcomes"].filter("slot = 12").first().cand == "al poe"
