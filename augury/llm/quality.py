@@ -36,8 +36,8 @@ def _blank_free(text: Column) -> Column:
     return F.translate(text, SPACES, "")
 
 
-def n_words(text: Column) -> Column:
-    return F.size(words_of(text)).cast("long")
+def n_words(words: Column) -> Column:
+    return F.size(words).cast("long")
 
 
 def word_chars(text: Column) -> Column:
@@ -55,7 +55,7 @@ def n_dup_lines(text: Column) -> Column:
     return _let(lines, lambda kept: F.size(kept) - F.size(F.array_distinct(kept))).cast("long")
 
 
-def n_repeat_words(text: Column) -> Column:
+def n_repeat_words(words: Column) -> Column:
     """Words in 3-word windows that occur twice or more in the text, the first occurrence included.
 
     Windows are compared by a 64-bit hash of their three words. Equal hashes are found by sorting
@@ -75,16 +75,16 @@ def n_repeat_words(text: Column) -> Column:
         found = _let(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), 0).otherwise(_let(spread(hs), covered)))
         return F.when(F.size(words) < 4, 0).otherwise(found)
 
-    return _let(words_of(text), count).cast("long")
+    return _let(words, count).cast("long")  # else the optimizer may put the split into the lambda, once a word
 
 
-STAT_OF: dict[str, Callable[[Column], Column]] = {
-    "n_words": n_words,
-    "word_chars": word_chars,
-    "n_symbols": n_symbols,
-    "n_dup_lines": n_dup_lines,
-    "n_repeat_words": n_repeat_words,
-}
+#: The statistics of a text, and those of its words.
+OF_TEXT: dict[str, Callable[[Column], Column]] = {"word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines}
+OF_WORDS: dict[str, Callable[[Column], Column]] = {"n_words": n_words, "n_repeat_words": n_repeat_words}
+
+
+def stat_of(name: str, text: Column, words: Column) -> Column:
+    return OF_TEXT[name](text) if name in OF_TEXT else OF_WORDS[name](words)
 
 
 @dataclass(frozen=True)
@@ -132,13 +132,18 @@ def order_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
         return list(rules)
     value = {}
     for rule in rules:
-        spent, hits, _ = seconds(rule.fails(lambda name: STAT_OF[name](text)))
+        spent, hits, _ = seconds(_judge(text, lambda stat, rule=rule: rule.fails(stat)))
         # To the next power of two: what differs by noise alone costs the same, and the given order decides.
         cost = 2.0 ** round(math.log2(max(spent - floor, FLOOR_S)))
         value[rule.name] = (hits / n) / cost
     return sorted(rules, key=lambda rule: -value[rule.name])
 
 
+def _judge(text: Column, verdict: Callable[[Callable[[str], Column]], Column]) -> Column:
+    """verdict(stat) on a text: its words are split once, and each statistic is computed where and if the verdict asks for it."""
+    return _let(words_of(text), lambda words: verdict(lambda name: stat_of(name, text, words)))
+
+
 def cascade(rules: list[Rule], stat: Callable[[str], Column]) -> Column:
     """The name of the first failing rule, null if none fails. CASE evaluates no rule after that."""
     out = F
@@ -150,12 +155,15 @@ def cascade(rules: list[Rule], stat: Callable[[str], Column]) -> Column:
 def quality_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per row: doc_id, the statistics, base_failed, failed_rule, kept.
 
+    Who wants the statistics has all of them computed; the cascade then only reads them. keep_good is
+    the form that stops at the first rule that fails.
     A null text counts as one without words. Rows are independent: repeated rows each get a row,
     null ids stay null, other columns are not read. An empty table gives no rows.
     """
     order = order_rules(docs, text_col, rules)
     text = text_or_empty(text_col)
-    stats = docs.select(F.col(id_col).alias("doc_id"), *[STAT_OF[name](text).alias(name) for name in STATS])
+    every = _judge(text, lambda stat: F.struct(*[stat(name).alias(name) for name in STATS]))
+    stats = docs.select(F.col(id_col).alias("doc_id"), every.alias("s")).select("doc_id", *[F.col(f"s.{name}").alias(name) for name in STATS])
     base = cascade([r for r in rules if r.name in BASE_RULES], F.col).isNotNull()
     return stats.withColumns({"base_failed": base, "failed_rule": cascade(order, F.col)}).withColumn("kept", F.col("failed_rule").isNull())
 
@@ -163,4 +171,5 @@ def quality_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows, with all their columns, that no rule rejects. Statistics are computed rule by rule, as far as needed."""
     text = text_or_empty(text_col)
-    return docs.filter(cascade(order_rules(docs, text_col, rules), lambda name: STAT_OF[name](text)).isNull())
+    order = order_rules(docs, text_col, rules)
+    return docs.filter(_judge(text, lambda stat: cascade(order, stat).isNull()))
