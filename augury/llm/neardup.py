@@ -178,8 +178,10 @@ def _compare(batches: Iterator[pa.RecordBatch], similarity: float, radius: int)
 def links(made: DataFrame, similarity: float = SIMILARITY, cell_bytes: int = CELL_BYTES, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) between values of fp, given doc_id, fp, bits, cells and set as a table."""
     dealt = made.select("fp", "bits", "cells").dropDuplicates(["fp"]).select("fp", "bits", F.explode("cells").alias("cell"))
-    firsts = dealt.groupBy("cell").agg(F.min(F.struct("fp", "bits")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell", "first")
-    shared = scratch_table(dealt.join(firsts, "cell").select("cell", "fp", "bits", F.col("first.fp").alias("a"), F.col("first.bits").alias("a_bits")), "cells")
+    firsts = dealt.groupBy("cell").agg(F.min(F.struct("fp", "bits")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell", "first", "n")
+    # A cell of very many texts is not dealt to one task: its first is broadcast.
+    firsts = scratch_table(firsts, "firsts")
+    shared = scratch_table(simhash.split_join(dealt, firsts, "cell", "n").select("cell", "fp", "bits", F.col("first.fp").alias("a"), F.col("first.bits").alias("a_bits")), "cells")
     within = F.bit_count(F.col("bits").bitwiseXOR(F.col("a_bits"))) <= radius
     pairs = scratch_table(shared.filter("a <> fp").filter(within).select("a", F.col("fp").alias("b")).distinct(), "pairs")
     ends = broadcast_if_small(scratch_table(shared.select("fp").distinct(), "ends"))
@@ -188,11 +190,12 @@ def links(made: DataFrame, similarity: float = SIMILARITY, cell_bytes: int = CEL
     roots = simhash.components(near)
     rooted = shared.join(roots, shared["fp"] == roots["node"], "left").select("cell", "fp", "bits", F.coalesce("root", "fp").alias("root"))
     mixed = rooted.groupBy("cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("cell")
+    mixed = broadcast_if_small(scratch_table(mixed, "mixed"))
     # Of a group's members with one set of cells the same edges come: a cell is compared once for all cells with its texts.
     rest = scratch_table(rooted.join(mixed, "cell", "left_semi").join(sets.select("fp", F.size("set").alias("n")), "fp"), "rest")
     held = rest.groupBy("cell").agg(F.sum("n").alias("size"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("of"), F.count(F.lit(1)).alias("rows"))
     once = held.groupBy("of", "rows", "size").agg(F.min("cell").alias("cell")).select("cell", F.ceil(F.col("size") * 4 / cell_bytes).cast("int").alias("parts"))
-    rest = rest.join(scratch_table(once, "once"), "cell").select("cell", "fp", "bits", "root", "parts")
+    rest = rest.join(broadcast_if_small(scratch_table(once, "once")), "cell").select("cell", "fp", "bits", "root", "parts")
     # A cell of several parts becomes one for each pair of them; a row goes to those of its own part.
     part = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
     pair_of = lambda other: F.xxhash64("cell", F.least(part, other), F.greatest(part, other))
