@@ -203,6 +203,10 @@ _DOTS = tuple(_DOT_WORDS.split("|"))
 _AT_IN_MARKS = re.compile(r"[(\[{<][ \t]*(?:at|@|a|arroba|ät)[ \t]*[)\]}>]|&#0*64;|&commat;|%40", re.I)
 _DOT_IN_MARKS = re.compile(rf"[(\[{{<][ \t]*(?:{_DOT_WORDS}|\.)[ \t]*[)\]}}>]|&#0*46;|&period;", re.I)
 _DOT_BY_NAME = re.compile(rf"\.[ ]?{_ITEM}\b|(?<=[a-z])\.[ ]?[0-9]|(?<=[a-z] )\.[ ]?[0-9]", re.I)
+#: In lower case and without alternatives in front, so that the search is one for " at".
+_AT_NEAR_DOT = re.compile(r" at[ \t]+[a-z0-9-]+(?:\.[a-z0-9]|[ \t]+dot\b|[ \t]*[(\[{<])")
+#: A digit's name behind another one or a digit, which both patterns of spelled digits need.
+_NAME_NEAR_NAME = re.compile(rf"(?:[0-9]|\b{_NAME}){_SEP}{_ITEM}\b")
 _AT_SPACED = re.compile(r"@[ \t]|[ \t]@")
 
 
@@ -256,8 +260,9 @@ def rewritten(text: str) -> Tape | None:
     low = tape.text.lower()
     dots = any(w in low for w in _DOTS)
     marked = any(c in low for c in "([{<&")
-    tape.rewrite(_AFTER, _after)
-    tape.rewrite(_SPELLED, _run)
+    if _NAME_NEAR_NAME.search(low):
+        tape.rewrite(_AFTER, _after)
+        tape.rewrite(_SPELLED, _run)
     short = dots or _DOT_BY_NAME.search(tape.text)
     if short:
         tape.rewrite(_SHORT, _spelled)
@@ -271,7 +276,7 @@ def rewritten(text: str) -> Tape | None:
         tape.rewrite(_AT_MARKED, lambda m: "@")
     dot_marked = marked and _DOT_IN_MARKS.search(tape.text)
     # Both look for the dot's disguise, so before that is rewritten.
-    if " at" in low or "\tat" in low:
+    if _AT_NEAR_DOT.search(low) or "\tat" in low:
         tape.rewrite(_AT_BARE, _at)
     if "arroba" in low or "@" in low:
         tape.rewrite(_ARROBA, lambda m: "@")
