@@ -16,8 +16,8 @@ checked on the sets, so that no pair below the similarity is linked.
 
 Every text is first compared with the smallest of each of its cells, which joins large groups with
 a number of pairs that is linear in their size. Cells that still hold texts of several groups then
-go to one task each, with their sets, and give the edges of a spanning forest; a cell whose sets
-are too large for that is split, one task for each pair of its parts. No pair of a cell is left out.
+go to one task each, with their sets, and give the edges of a spanning forest; a cell that
+is too large for that is split, one task for each pair of its parts. No pair of a cell is left out.
 """
 
 from __future__ import annotations
@@ -37,8 +37,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 RADIUS = 24
 TILE = 512
-#: Bytes of sets of one cell that one task holds.
+#: Bytes of sets of one cell that one task holds, and texts that it compares with one another.
 CELL_BYTES = 32 << 20
+CELL_ROWS = 2048
 #: Comparisons with one text, the smallest of many cells, that one task makes.
 HOT_PAIRS = 20_000
 BLOCK = 1024
@@ -175,7 +176,7 @@ def _compare(batches: Iterator[pa.RecordBatch], similarity: float, radius: int)
     release_memory()
 
 
-def links(made: DataFrame, similarity: float = SIMILARITY, cell_bytes: int = CELL_BYTES, radius: int = RADIUS) -> DataFrame:
+def links(made: DataFrame, similarity: float = SIMILARITY, cell_bytes: int = CELL_BYTES, cell_rows: int = CELL_ROWS, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) between values of fp, given doc_id, fp, bits, cells and set as a table."""
     dealt = made.select("fp", "bits", "cells").dropDuplicates(["fp"]).select("fp", "bits", F.explode("cells").alias("cell"))
     firsts = dealt.groupBy("cell").agg(F.min(F.struct("fp", "bits")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("cell", "first", "n")
@@ -194,7 +195,8 @@ def links(made: DataFrame, similarity: float = SIMILARITY, cell_bytes: int = CEL
     # Of a group's members with one set of cells the same edges come: a cell is compared once for all cells with its texts.
     rest = scratch_table(rooted.join(mixed, "cell", "left_semi").join(sets.select("fp", F.size("set").alias("n")), "fp"), "rest")
     held = rest.groupBy("cell").agg(F.sum("n").alias("size"), F.sum(F.xxhash64("fp").cast("decimal(38,0)")).alias("of"), F.count(F.lit(1)).alias("rows"))
-    once = held.groupBy("of", "rows", "size").agg(F.min("cell").alias("cell")).select("cell", F.ceil(F.col("size") * 4 / cell_bytes).cast("int").alias("parts"))
+    once = held.groupBy("of", "rows", "size").agg(F.min("cell").alias("cell")).select("cell", "rows", "size")
+    once = once.select("cell", F.ceil(F.greatest(F.col("size") * 4 / cell_bytes, F.col("rows") / cell_rows)).cast("int").alias("parts"))
     rest = rest.join(broadcast_if_small(scratch_table(once, "once")), "cell").select("cell", "fp", "bits", "root", "parts")
     # A cell of several parts becomes one for each pair of them; a row goes to those of its own part.
     part = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")

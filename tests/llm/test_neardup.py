@@ -44,8 +44,8 @@ def test_documents_by_brute_force(spark, sf_dir):
     assert len(set(want.values())) < len(want)
 
 
-@pytest.mark.parametrize("cell_bytes", [1 << 20, 4000])
-def test_cells_of_several_groups(spark, cell_bytes):
+@pytest.mark.parametrize(("cell_bytes", "cell_rows"), [(1 << 20, 2048), (4000, 2048), (1 << 20, 10)])
+def test_cells_of_several_groups(spark, cell_bytes, cell_rows):
     """Texts around 0.8 of one another, which the smallest of their cells does not join: none is lost, whatever the split of cells."""
     rng = random.Random(8)
     base = [f"b{k}" for k in range(120)]
@@ -57,7 +57,7 @@ def test_cells_of_several_groups(spark, cell_bytes):
         texts[k] = " ".join(words)
     docs = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string")
     made = scratch_table(neardup.sketches(docs), "sketches")
-    edges = scratch_table(neardup.links(made, cell_bytes=cell_bytes), "links")
+    edges = scratch_table(neardup.links(made, cell_bytes=cell_bytes, cell_rows=cell_rows), "links")
     got = {r.doc_id: r.component_id for r in simhash.by_component(made.select("doc_id", "fp"), edges).collect()}
     want = brute_components(texts)
     assert got == want and 1 < len(set(want.values())) < 150
