@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from augury.llm import exact_dedup, langid, mixing, packing, pii, quality, repair, sharding, simhash, token_counts
+from augury.llm import exact_dedup, importance, langid, mixing, packing, pii, quality, repair, sharding, simhash, token_counts, toxicity, veccodes
 from augury.llm.common import LOWER, UPPER, scratch_table
 
 FOLDED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -68,6 +68,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = veccodes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    digest = F.lit(books.sha256() if books else None).cast("string")
+    return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return importance.resample(documents(spark, sf_dir), target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.classify(documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations under all three limits; only what the assistant says bears loss."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -122,6 +138,57 @@ FROM s
 """
 
 
+def op11_sql(parts: int = veccodes.PARTS, entries: int = veccodes.ENTRIES, rounds: int = veccodes.ROUNDS, scale: int = veccodes.SCALE) -> str:
+    """Each round is a CTE of assignments and one of codebooks; vectors have one length, a multiple of parts."""
+    floored = "CAST((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+    distance = "CAST(list_sum(list_transform(list_zip(p.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    ctes = [
+        f"""q AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+        f"p AS MATERIALIZED (SELECT vec_id, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS x FROM q, range({parts}) t(part))",
+        f"s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM q ORDER BY vec_id LIMIT {entries})",
+        "b0 AS MATERIALIZED (SELECT part, e, x AS c FROM p JOIN s USING (vec_id))",
+    ]
+    for k in range(rounds + 1):
+        ctes.append(
+            f"""a{k} AS MATERIALIZED (SELECT vec_id, part, any_value(x) AS x, min(m).d AS d, min(m).e AS e FROM (
+                SELECT p.vec_id, p.part, p.x, {{'d': {distance}, 'e': b.e}} AS m FROM p JOIN b{k} b ON p.part = b.part) GROUP BY vec_id, part)"""
+        )
+        if k < rounds:
+            ctes.append(
+                f"""b{k + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(n.c, b.c) AS c FROM b{k} b LEFT JOIN (
+                    SELECT part, e, list(m ORDER BY i) AS c FROM (
+                      SELECT part, e, i, {floored} AS m FROM (SELECT part, e, unnest(x) AS v, unnest(range(len(x))) AS i FROM a{k}) GROUP BY part, e, i)
+                    GROUP BY part, e) n ON n.part = b.part AND n.e = b.e)"""
+            )
+    return f"""WITH {", ".join(ctes)},
+    f AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+           (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) FROM b{rounds}) AS codebooks_sha256
+    FROM f JOIN q USING (vec_id)"""
+
+
+def op12_sql(buckets: int = importance.BUCKETS, seed: int = importance.SEED, percent: int = importance.PERCENT, least: int = importance.MIN_WORDS, unit: int = importance.UNIT) -> str:
+    """crc32 comes from its bitwise rule, on distinct words."""
+    words = lambda side: rf"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM {side}"
+    return f"""
+    WITH crc AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t),
+    d AS MATERIALIZED (SELECT doc_id, {words("documents")}), a AS MATERIALIZED (SELECT {words("benchmark")}),
+    dw AS MATERIALIZED (SELECT doc_id, unnest(words) AS w FROM d), aw AS (SELECT unnest(words) AS w FROM a),
+    k AS MATERIALIZED (SELECT w, xor(list_reduce(list_transform(range(octet_length(encode(w))), lambda i: CAST('0x' || substr(hex(encode(w)), CAST(2 * i + 1 AS INT), 2) AS BIGINT)),
+            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % {buckets} AS b
+        FROM (SELECT DISTINCT w FROM (SELECT w FROM dw UNION ALL SELECT w FROM aw)), crc),
+    s AS (SELECT b, count(*) AS s FROM dw JOIN k USING (w) GROUP BY b), t AS (SELECT b, count(*) AS t FROM aw JOIN k USING (w) GROUP BY b),
+    g AS MATERIALIZED (SELECT r.b, CAST(floor({unit} * ln((coalesce(t, 0)::DOUBLE + 1) * ((SELECT count(*) FROM dw)::DOUBLE + {buckets}) / ((coalesce(s, 0)::DOUBLE + 1) * ((SELECT count(*) FROM aw)::DOUBLE + {buckets})))) AS BIGINT) AS gain
+        FROM range({buckets}) r(b) LEFT JOIN s USING (b) LEFT JOIN t USING (b)),
+    w AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS total FROM dw JOIN k USING (w) JOIN g USING (b) GROUP BY doc_id),
+    f AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n, coalesce(total, 0) AS total FROM d LEFT JOIN w USING (doc_id)),
+    m AS (SELECT doc_id, n AS n_features, CASE WHEN n = 0 THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS weight FROM f),
+    c AS (SELECT *, weight + CAST(floor(-{unit} * ln(-ln((CAST('0x' || sha256('{seed}:' || doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM m),
+    r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM c WHERE n_features >= {least})
+    SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM r) * {percent} // 100 THEN rank END AS rank FROM c LEFT JOIN r USING (doc_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -134,10 +201,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repair_output": op8_repair_output,
         "op9_simhash": op9_simhash,
         "op10_packing": op10_packing,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_importance": op12_importance,
+        "op13_toxicity": op13_toxicity,
         "instruction_packing": instruction_packing,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_sharding": op2_sql(), "op5_quality_rules": OP5_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_sharding": op2_sql(), "op5_quality_rules": OP5_SQL, "op11_vector_codes": op11_sql(), "op12_importance": op12_sql()}
