@@ -56,8 +56,13 @@ def tally(votes: DataFrame, as_of: Column) -> DataFrame:
 
 def consensus(votes: DataFrame, as_of: Column, top_n: int = 5) -> DataFrame:
     """slot, rank, cand, probability (of rows), weighted_probability, other_probability, category_count."""
+    return of_tally(tally(votes, as_of), top_n)
+
+
+def of_tally(tallied: DataFrame, top_n: int = 5) -> DataFrame:
+    """The consensus of rows of slot, cand, n, w, one for each slot and candidate."""
     slot = Window.partitionBy("slot")
-    both = tally(votes, as_of).withColumns({"m": F.count(F.lit(1)).over(slot), "tn": F.sum("n").over(slot), "tw": F.sum("w").over(slot)})
+    both = tallied.withColumns({"m": F.count(F.lit(1)).over(slot), "tn": F.sum("n").over(slot), "tw": F.sum("w").over(slot)})
     both = both.withColumn("k", F.greatest(F.col("m") + 1, S.slot_pool(F.col("slot")).cast("long")))
     both = both.withColumns(
         {

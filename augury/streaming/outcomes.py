@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from augury.operators.consensus import movement
+from augury.operators.stored import Store
 from augury.operators.upserts import keep_latest
 
 
@@ -26,75 +27,67 @@ def windowed_counts(events: DataFrame, when: str, key: str, width: str = "1 day"
     return rows.groupBy(F.window(when, width).alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _folders(spark: SparkSession, path: str) -> list[int]:
-    """The numbers that name the folders under a path, ascending, in whatever file system it is."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(target):
-        return []
-    return sorted(int(n) for f in system.listStatus(target) if (n := f.getPath().getName()).isdigit())
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def table_at(spark: SparkSession, path: str, key: list[str], version: str, upto: int | None = None, schema: str | None = None) -> DataFrame | None:
     """The table after batch `upto`, or after the last one: per key the newest batch's row with the highest version.
 
-    None before the first batch, unless a schema is given.
+    None before the first batch, unless a schema is given. Batches whose versions were removed are gone.
     """
-    bases = [n for n in _folders(spark, f"{path}/base") if upto is None or n <= upto]
-    base = bases[-1] if bases else -1
-    changes = [n for n in _folders(spark, f"{path}/changes") if n > base and (upto is None or n <= upto)]
-    parts = [(base, f"{path}/base/{base}")] * bool(bases) + [(n, f"{path}/changes/{n}") for n in changes]
-    if not parts:
+    store = Store(spark, path)
+    manifest = store.manifest()
+    if upto is not None and manifest["batches"].get(BATCHES, -1) > upto:
+        older = (m for v in reversed(store.versions()) if (m := store.manifest(v))["batches"].get(BATCHES, -1) <= upto)
+        manifest = next(older, {"tables": {}})
+    rows = store.read(CHANGES, manifest=manifest)
+    if rows is None:
         return spark.createDataFrame([], schema) if schema else None
-    rows = [spark.read.parquet(where).withColumn("__batch", F.lit(n)) for n, where in parts]
-    union = rows[0]
-    for more in rows[1:]:
-        union = union.unionByName(more)
-    return keep_latest(union, key, [F.desc("__batch"), F.col(version).desc_nulls_last()]).drop("__batch")
+    return _last(rows, key, version).drop("__batch")
+
 
+#: A store's table of changes, and the writer whose batches its versions count.
+CHANGES, BATCHES = "changes", "stream"
 
-def keep_outcomes(stream: DataFrame, path: str, checkpoint: str, key: list[str], version: str, then: Callable[[DataFrame, int], None] | None = None, fold_every: int = 20) -> StreamingQuery:
+
+def _last(rows: DataFrame, key: list[str], version: str) -> DataFrame:
+    return keep_latest(rows, key, [F.desc("__batch"), F.col(version).desc_nulls_last()])
+
+
+def keep_outcomes(stream: DataFrame, path: str, checkpoint: str, key: list[str], version: str, then: Callable[[DataFrame, int], None] | None = None, fold_every: int = 20, grace_s: float = 86_400) -> StreamingQuery:
     """Keeps the last row of every key that a stream of changes gives; table_at reads the table.
 
-    A batch writes its own rows only, so its cost follows its size and not the table's; every
-    fold_every batches the changes are folded into a new base, and what the base before it
-    held is removed. A batch that is run again writes the same. then(table, n) may recompute a board.
+    A batch adds its own rows only, so its cost follows its size and not the table's; every
+    fold_every batches all changes are folded into one folder. Each of them is one version of the
+    store at path: a batch or a fold that dies leaves the version before it, readers meet no half
+    written rows, and a batch that is run again changes nothing. Versions that were replaced go after
+    the grace period. then(table, n) may recompute a board; it is called again with a batch.
     """
 
     def run(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        keep_latest(batch, key, [F.col(version).desc_nulls_last()]).write.mode("overwrite").parquet(f"{path}/changes/{n}")
-        table = table_at(spark, path, key, version, n)
-        if n % fold_every == fold_every - 1:
-            table.write.mode("overwrite").parquet(f"{path}/base/{n}")
-            old = [b for b in _folders(spark, f"{path}/base") if b < n]
-            for b in old[:-1]:
-                _drop(spark, f"{path}/base/{b}")
-            for c in _folders(spark, f"{path}/changes"):
-                if old and c <= old[-1]:
-                    _drop(spark, f"{path}/changes/{c}")
+        store = Store(spark, path)
+        base = store.manifest()
+        fresh = keep_latest(batch, key, [F.col(version).desc_nulls_last()]).withColumn("__batch", F.lit(n).cast("long"))
+        if len(base["tables"].get(CHANGES, {"parts": []})["parts"]) < fold_every:
+            store.commit(append={CHANGES: fresh}, batch=(BATCHES, n), base=base)
+        elif store.commit(replace={CHANGES: _last(store.read(CHANGES, manifest=base).unionByName(fresh), key, version)}, batch=(BATCHES, n), base=base):
+            store.vacuum(grace_s)
         if then:
-            then(table, n)
+            then(table_at(spark, path, key, version, n), n)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def movement_feed(board_of: Callable[[DataFrame], DataFrame], folder: str, key: str, value: str, shown: int = 8) -> Callable[[DataFrame, int], None]:
-    """A hook for keep_outcomes: writes each batch's board to folder/board/n and its first `shown` moves since the one before to folder/moves/n."""
+def movement_feed(board_of: Callable[[DataFrame], DataFrame], path: str, key: str, value: str, shown: int = 8) -> Callable[[DataFrame, int], None]:
+    """A hook for keep_outcomes: keeps the board of the last batch and, with the batch's number, its first `shown` moves since the one before.
+
+    Both are tables of the store at path, board and moves, and change together.
+    """
 
     def then(table: DataFrame, n: int) -> None:
-        spark = table.sparkSession
-        board_of(table).write.mode("overwrite").parquet(f"{folder}/board/{n}")
-        before = [k for k in _folders(spark, f"{folder}/board") if k < n]
-        if before:
-            now = spark.read.parquet(f"{folder}/board/{n}")
-            moves = movement(spark.read.parquet(f"{folder}/board/{before[-1]}"), now, key, value)
-            moves.orderBy(key).limit(shown).write.mode("overwrite").parquet(f"{folder}/moves/{n}")
+        store = Store(table.sparkSession, path)
+        base = store.manifest()
+        before, now = store.read("board", manifest=base), board_of(table)
+        moves = movement(now.limit(0) if before is None else before, now, key, value).orderBy(key).limit(shown)
+        store.commit(replace={"board": now}, append={"moves": moves.withColumn("batch", F.lit(n).cast("long"))}, batch=("feed", n), base=base)
 
     return then
 

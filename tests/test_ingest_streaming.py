@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from augury.operators import upserts
+from augury.operators.stored import Store
 from augury.sources import records
 from augury.streaming import outcomes
 
@@ -68,7 +69,11 @@ def test_stream_of_outcomes_equals_batch(spark, tmp_path):
         assert seen[n] == sorted(want.values())
         assert sorted(map(tuple, outcomes.table_at(spark, str(tmp_path / "out"), key, "event_id").collect())) == seen[n]
     assert list(seen) == [0, 1, 2, 3, 4]
-    assert outcomes._folders(spark, str(tmp_path / "out/base")) == [1, 3] and outcomes._folders(spark, str(tmp_path / "out/changes")) == [2, 3, 4]
+    store = Store(spark, str(tmp_path / "out"))
+    assert [len(store.manifest(v)["tables"]["changes"]["parts"]) for v in store.versions()] == [1, 2, 1, 2, 1]
+    for n, want in seen.items():  # every batch can still be read
+        assert sorted(map(tuple, outcomes.table_at(spark, str(tmp_path / "out"), key, "event_id", n).collect())) == want
+    assert outcomes.table_at(spark, str(tmp_path / "out"), key, "event_id", -1) is None
     assert outcomes.table_at(spark, str(tmp_path / "none"), key, "event_id") is None and outcomes.table_at(spark, str(tmp_path / "none"), key, "event_id", schema=SCHEMA).isEmpty()
 
 
@@ -79,7 +84,8 @@ def test_movement_feed_and_running_accuracy(spark, tmp_path):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
         run = outcomes.keep_outcomes(outcomes.read_files(spark, source, SCHEMA), str(tmp_path / "out"), str(tmp_path / "cp"), ["user_id", "event_id"], "event_id", feed)
         run.awaitTermination()
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "feed/moves/1")).orderBy("user_id").collect()] == [(0, "a", "b"), (2, "a", "b")]
+    moves = Store(spark, str(tmp_path / "feed")).read("moves")
+    assert [tuple(r) for r in moves.orderBy("user_id").collect()] == [(0, "a", "b", 1), (2, "a", "b", 1)]
     listed = spark.createDataFrame([(k, "a", 1) for k in range(3)] + [(3, "a", 2), (0, "b", 2)], "slot long, cand string, rank int")
     stream = outcomes.read_files(spark, source, SCHEMA).select(F.col("user_id").alias("slot"), F.col("event_type").alias("cand"))
     q = outcomes.running_accuracy(stream, listed).writeStream.format("memory").queryName("accuracy").outputMode("complete").trigger(availableNow=True).start()
