@@ -17,6 +17,10 @@ from augury.operators import backtest, candidates, consensus, ingest, models, ne
 from augury.sources import html, registry
 
 
+#: A team's view lists so many candidates.
+PROFILE_CANDIDATES = 12
+
+
 def _within(name: str, value: int, low: int, high: int) -> int:
     if not low <= value <= high:
         raise ValueError(f"{name} must be from {low} to {high}, not {value}")
@@ -151,26 +155,59 @@ class Board:
             vectors = probs.default_vector(top, ["team"], "top")
         return probs.guard(vectors, top, ["team"])
 
-    def player_probabilities(self, slot: int = 1) -> DataFrame:
-        """Candidates per team by the trained model, or by the heuristic without one, as many as the slot's rule allows."""
+    def _prospects(self) -> DataFrame:
+        """The table of prospects, or the candidates as such: they have no other ranks."""
+        if "prospects" in self._tables:
+            return self["prospects"]
+        more = {"big_board_rank": "long", "positional_rank": "int", "market": "double"}
+        rows = self["candidates"].withColumnRenamed("prospect", "production")
+        return rows.withColumns({n: F.lit(None).cast(t) for n, t in more.items() if n not in rows.columns})
+
+    def _taken(self, board_aware: bool) -> DataFrame:
+        return self["outcomes"].filter(F.lit(board_aware)).select("slot", F.col("cand").alias("name"))
+
+    def candidate_lists(self, slot: int | None = None, board_aware: bool = False, given: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+        """The candidates of a slot, or of all slots of the order; see candidates.board_lists."""
+        order = self["order"].select("slot")
+        slots = order if slot is None else order.sparkSession.range(1).select(F.lit(_within("slot", slot, 1, 400)).alias("slot"))
+        return candidates.board_lists(self._prospects(), self._taken(board_aware), slots, given, limit)
+
+    def player_probabilities(self, slot: int = 1, board_aware: bool = False, given: DataFrame | None = None) -> DataFrame:
+        """A slot's candidates per team, by the trained model or by the heuristic without one.
+
+        They are the first by rank, as many as the slot's rule allows, or those given (name, position,
+        prospect, star, consensus_rank). With board_aware nobody is among them who was taken before
+        the slot; if that leaves nobody, they are those of an empty board.
+        """
+        return self._scored(self.candidate_lists(slot, board_aware, given))
+
+    def _scored(self, lists: DataFrame) -> DataFrame:
         adjusted = needs.adjusted(self["needs"], self["roster"]).select("team", "position", F.col("adjusted").alias("need"))
-        limit = 48 if _within("slot", slot, 1, 400) >= 33 else 24
-        rows = candidates.score(candidates.features(self["candidates"], adjusted), F.lit(0.0))
+        rows = candidates.score(candidates.features_by_slot(lists, adjusted), F.lit(0.0))
         if trained := self._model("player_model"):
             named = rows.withColumnsRenamed({"team_need": "team_need_score", "prospect": "prospect_score", "star": "superstar_potential_score", "gap_best": "rank_gap_from_best_available", "gap_position": "rank_gap_within_position", "need_vs_bpa": "need_vs_bpa_gap"})
             asked = named.drop("probability").withColumns({"positional_scarcity_score": F.lit(0.0), "consensus_rank": F.col("consensus_rank").cast("int")})
-            scored = models.player_probability(trained[0], asked).select("team", "candidate_id", F.col("probability_selected").alias("__p"))
-            rows = rows.join(scored, ["team", "candidate_id"]).withColumn("probability", F.col("__p")).drop("__p")
+            key = ["slot", "team", "best_available_rank"]
+            scored = models.player_probability(trained[0], asked).select(*key, F.col("probability_selected").alias("__p"))
+            rows = rows.join(scored, key).withColumn("probability", F.col("__p")).drop("__p")
             rows = rows.withColumn("override", S.override(F.col("team_need"), F.col("talent"), F.col("probability")))
-        return candidates.rank_by(rows, "probability", limit)
+        return consensus.ranked(rows, ["slot", "team"], [F.round("probability", 9).desc(), F.col("best_available_rank")])
 
-    def compare_with_consensus(self, slot: int) -> DataFrame:
-        """Per team the model's and the consensus' first five names of a slot, and how far they disagree. Both are normalised."""
-        model = self.player_probabilities(slot).filter("rank <= 5").withColumn("key", X.normalize(F.col("name")))
+    def compare_with_consensus(self, slot: int, board_aware: bool = False, given: DataFrame | None = None) -> DataFrame:
+        """Per team the model's and the consensus' first five names of a slot, how far they disagree, and what stands behind the model's first.
+
+        Both lists are normalised. The grouped components are those of the explanation, which knows
+        neither a need nor a best score: they are 0, as is the scarcity of a board without context.
+        """
+        ranked = self.player_probabilities(slot, board_aware, given)
+        model = ranked.filter("rank <= 5").withColumn("key", X.normalize(F.col("name")))
         a = candidates.name_list(model, "team", "key", "rank", "model")
-        votes = self.pick_consensus(slot).withColumn("key", X.normalize(F.col("cand")))
-        b = F.broadcast(candidates.name_list(votes, "slot", "key", "rank", "consensus"))  # one row
-        return a.join(b, how="cross").select("team", "model", "consensus", *[c.alias(n) for n, c in candidates.compare(F.col("model"), F.col("consensus")).items()])
+        votes = self.pick_consensus(slot, board_aware=board_aware).withColumn("key", X.normalize(F.col("cand")))
+        b = F.broadcast(candidates.name_list(votes, "slot", "key", "rank", "consensus").groupBy().agg(F.first("consensus").alias("consensus")))  # one row, also of no votes
+        first = ranked.filter("rank = 1").select("team", F.col("name").alias("top_player"), F.col("override").alias("top_override"))
+        both = a.join(b, how="cross").withColumn("consensus", F.coalesce("consensus", F.array().cast("array<string>"))).join(first, "team")
+        out = {n: c for n, c in candidates.compare(F.col("model"), F.col("consensus")).items()} | S.grouped_components(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+        return both.select("team", "model", "consensus", F.size(out["common"]).alias("agreement"), *[c.alias(n) for n, c in out.items()], "top_player", "top_override")
 
     def org_profile(self) -> DataFrame:
         org = self["org"]
@@ -181,10 +218,16 @@ class Board:
         both = probs.zip_vectors(base, probs.org_adjusted(base, self.org_profile(), ["team"]), ["team"])
         return both.select("team", "label", F.col("a").alias("base"), F.col("b").alias("adjusted"), (F.col("b") - F.col("a")).alias("delta"))
 
-    def org_player_vectors(self, slot: int = 1) -> DataFrame:
+    def _profile_lists(self, slot: int, board_aware: bool, given: DataFrame | None) -> DataFrame:
+        """The short list of a team's view: those given, else the first of the board as it stands, else the first prospects by rank."""
+        if given is None and board_aware:
+            return self.candidate_lists(slot, True, limit=PROFILE_CANDIDATES)
+        return self.candidate_lists(slot, board_aware, candidates.profile_candidates(self._prospects(), PROFILE_CANDIDATES) if given is None else given)
+
+    def org_player_vectors(self, slot: int = 1, board_aware: bool = False, given: DataFrame | None = None) -> DataFrame:
         """Per team its candidates re-weighted by the organisation's priors, with rank and component."""
-        rows = self.player_probabilities(slot).select("team", "candidate_id", "name", "position", "probability", "team_need", "talent", "context")
-        return org.player_vectors(rows, self.org_profile())
+        rows = self._scored(self._profile_lists(slot, board_aware, given))
+        return org.player_vectors(rows.select("team", "candidate_id", "name", "position", "probability", "team_need", "talent", "context", "best_available_rank"), self.org_profile())
 
     def backtest_demo(self) -> DataFrame:
         """The evaluation of three fixed vectors by three models: how the figures of a real one look."""
@@ -208,16 +251,19 @@ class Board:
         out = rows.groupBy("team", F.year("published").alias("year"), "slot", "cand").agg(F.count(F.lit(1)).alias("n"))
         return consensus.ranked(out, ["team"], [F.desc("year"), F.desc("slot"), F.col("cand")], name="place")
 
-    def team_summary(self, slot: int = 1) -> DataFrame:
-        """One row per team: profile, first label after adjustment, next slot, first five players, their explanation, early history."""
+    def team_summary(self, slot: int = 1, board_aware: bool = False, given: DataFrame | None = None) -> DataFrame:
+        """One row per team: profile, first label after adjustment, next slot, the first five players of the organisation, of the model and of the consensus, an explanation, early history."""
         vectors = self.org_position_vectors().select("team", "label", F.col("adjusted").alias("prob"))
         first = consensus.ranked(vectors, ["team"], [F.round("prob", 9).desc(), F.col("label")], 1).select("team", "label", "prob")
-        players = self.org_player_vectors(slot).filter("rank <= 5")
+        players = self.org_player_vectors(slot, board_aware, given).filter("rank <= 5")
         five = players.groupBy("team").agg(F.array_sort(F.collect_list(F.struct("rank", "name", "position", "adjusted", "component"))).alias("players"))
+        scored = self._scored(self._profile_lists(slot, board_aware, given)).filter("rank <= 5")
+        model = scored.groupBy("team").agg(F.array_sort(F.collect_list(F.struct("rank", "name", "position", "probability"))).alias("model_players"))
+        seen = self.pick_consensus(slot, board_aware=board_aware).agg(F.array_sort(F.collect_list(F.struct("rank", "cand", "probability", "weighted_probability"))).alias("consensus_players"))
         early = self.team_history().filter("slot <= 2").groupBy("team", "cand").agg(F.sum("n").alias("n"))
         history = early.groupBy("team").agg(F.array_sort(F.collect_list(F.struct("cand", "n"))).alias("history"))
-        out = self.org_profile().join(first, "team", "left").join(self.next_slots(), "team", "left")
-        return out.join(five, "team", "left").join(org.explained(players), "team", "left").join(history, "team", "left")
+        out = self.org_profile().join(first, "team", "left").join(self.next_slots(), "team", "left").join(F.broadcast(seen), how="cross")  # one row
+        return out.join(five, "team", "left").join(model, "team", "left").join(org.explained(players), "team", "left").join(history, "team", "left")
 
     def health(self) -> dict[str, str]:
         return {"status": "ok"}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,66 @@ def default_candidates(prospects: DataFrame, taken: DataFrame, slot: int, limit:
     return rows.withColumn("best_available_rank", F.row_number().over(Window.orderBy("consensus_rank", "candidate_id")))
 
 
+def board_lists(prospects: DataFrame, taken: DataFrame, slots: DataFrame, given: DataFrame | None = None, limit: int | None = None, scan: int = 200) -> DataFrame:
+    """The candidates of every slot: the first ones by rank of `scan` prospects, without those taken at earlier slots.
+
+    A top-k for each slot: the scanned prospects, with the slot at which each was taken, are one row
+    that is broadcast; a slot drops from it who was taken before and keeps the first of the rest, as
+    many as the slot's limit. A slot for which nobody is left has the list of an empty board.
+    taken: slot, name; slots: slot. given (name, position, prospect, star, consensus_rank, in any number
+    of rows that one request may hold) replaces the prospects, and then there is no limit. Out come
+    slot, the columns of default_candidates, and place, that in the scanned list.
+    """
+    key = lambda name: F.coalesce(F.nullif(X.normalize(name), F.lit("")), F.lower(F.trim(name)))
+    order = [F.col("consensus_rank").asc_nulls_last(), F.col("candidate_id")]
+    top = prospects.orderBy(*order).limit(scan)
+    top = top.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # at most `scan` rows
+    listed = _one_row(_dated(top.withColumn("__key", key(F.col("name"))), taken, key), "__all")
+    rows = slots.select("slot").distinct().join(F.broadcast(listed), how="cross")  # one row
+    count = F.lit(limit) if limit is not None else candidate_limit(F.col("slot"))
+    free = F.filter("__all", lambda x: x["taken_at"].isNull() | (x["taken_at"] >= F.col("slot")))
+    chosen = F.slice(F.when(F.size(free) > 0, free).otherwise(F.col("__all")), F.lit(1), count)
+    if given is not None:
+        names = ["name", "position", "prospect", "star", "consensus_rank"]
+        own = given.select(*[F.col(c) if c in given.columns else F.lit(None).alias(c) for c in ["candidate_id", *names, "positional_rank"]])
+        own = own.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))  # a request's rows
+        own = own.select("place", F.col("candidate_id").cast("long"), "name", "position", F.col("prospect").cast("double").alias("production"), F.col("star").cast("double"), F.col("consensus_rank").cast("long"), F.lit(None).cast("long").alias("big_board_rank"), F.col("positional_rank").cast("int"), key(F.col("name")).alias("__key"))
+        rows = rows.join(F.broadcast(_one_row(_dated(own, taken, key), "__given")), how="cross")  # one row
+        left = F.filter("__given", lambda x: x["taken_at"].isNull() | (x["taken_at"] >= F.col("slot")))
+        chosen = F.when(F.size(left) > 0, left).otherwise(F.slice("__all", F.lit(1), count))
+    rows = rows.select("slot", F.explode(chosen).alias("x")).select("slot", "x.*")
+    rank = _or(F.col("consensus_rank"), F.col("big_board_rank"), F.col("slot") + F.col("place")) if given is None else F.col("consensus_rank")
+    rows = rows.select(
+        "slot", "candidate_id", "name", "position", F.coalesce("production", F.lit(0.0)).alias("prospect"), F.coalesce("star", F.lit(0.0)).alias("star"),
+        rank.cast("long").alias("consensus_rank"), _or(F.col("positional_rank"), F.lit(1)).cast("int").alias("best_rank_in_position"), "place",
+    )
+    return ranked(rows, ["slot"], [F.col("consensus_rank").asc_nulls_last(), F.col("place")], name="best_available_rank")
+
+
+def _dated(rows: DataFrame, taken: DataFrame, key: Callable[[Column], Column]) -> DataFrame:
+    """rows with taken_at, the first slot at which their name was taken, null if it wasn't. rows are few, taken may be any number."""
+    first = taken.select(key(F.col("name")).alias("__key"), F.col("slot").alias("taken_at")).join(F.broadcast(rows.select("__key").distinct()), "__key", "left_semi")
+    first = first.groupBy("__key").agg(F.min("taken_at").alias("taken_at"))  # no more rows than rows has
+    return rows.join(F.broadcast(first), "__key", "left")
+
+
+_LISTED = ["place", "candidate_id", "name", "position", "production", "star", "consensus_rank", "big_board_rank", "positional_rank", "taken_at"]
+
+
+def _one_row(rows: DataFrame, alias: str) -> DataFrame:
+    listed = rows.select(F.col("place"), F.col("candidate_id").cast("long"), "name", "position", F.col("production").cast("double"), F.col("star").cast("double"), F.col("consensus_rank").cast("long"), F.col("big_board_rank").cast("long"), F.col("positional_rank").cast("int"), F.col("taken_at").cast("int"))
+    return listed.agg(F.array_sort(F.collect_list(F.struct(*_LISTED))).alias(alias))
+
+
+def features_by_slot(lists: DataFrame, needs: DataFrame) -> DataFrame:
+    """features, with each slot's own list as the candidates: gaps are to the best of the slot, for every team with needs."""
+    of_slot, of_position = Window.partitionBy("slot"), Window.partitionBy("slot", "position")
+    teams = needs.agg(F.array_sort(F.collect_set("team")).alias("__teams"))
+    rows = lists.withColumns({"best": F.min("consensus_rank").over(of_slot), "best_in_position": F.min("consensus_rank").over(of_position)})
+    rows = rows.join(F.broadcast(teams), how="cross").withColumn("team", F.explode("__teams"))  # one row
+    return _featured(rows.join(needs, ["team", "position"], "left"), "slot", "best_available_rank")
+
+
 def profile_candidates(prospects: DataFrame, limit: int = 12) -> DataFrame:
     """The first prospects by rank for a team's profile; a score that is null or 0 is the market's, else 0.5."""
     order = [F.col("consensus_rank").asc_nulls_last(), F.col("candidate_id")]
@@ -79,11 +141,14 @@ def features(candidates: DataFrame, needs: DataFrame) -> DataFrame:
     within = candidates.groupBy("position").agg(F.min("consensus_rank").alias("best_in_position"))
     teams = needs.agg(F.array_sort(F.collect_set("team")).alias("__teams"))
     ranks = candidates.join(F.broadcast(best), how="cross").join(F.broadcast(teams), how="cross")  # one row each
-    rows = ranks.withColumn("team", F.explode("__teams")).join(within, "position", "left").join(needs, ["team", "position"], "left")
+    return _featured(ranks.withColumn("team", F.explode("__teams")).join(within, "position", "left").join(needs, ["team", "position"], "left"))
+
+
+def _featured(rows: DataFrame, *more: str) -> DataFrame:
     need = F.coalesce("need", F.lit(0.25))
     rank = F.coalesce(F.nullif("consensus_rank", F.lit(0)), F.lit(UNRANKED)).cast("double")
     return rows.select(
-        "team", "candidate_id", "name", "position", "prospect", "star", "consensus_rank",
+        *more, "team", "candidate_id", "name", "position", "prospect", "star", "consensus_rank",
         need.alias("team_need"),
         (rank - F.coalesce("best", F.lit(UNRANKED))).alias("gap_best"),
         (rank - F.coalesce("best_in_position", F.lit(UNRANKED))).alias("gap_position"),
@@ -101,8 +166,8 @@ def score(rows: DataFrame, scarcity: Column | None = None) -> DataFrame:
     return rows.withColumn("override", S.override(F.col("team_need"), F.col("talent"), F.col("probability")))
 
 
-def rank_by(rows: DataFrame, value: str, n: int, by: str = "team") -> DataFrame:
-    return ranked(rows, [by], [F.round(value, 9).desc(), F.col("candidate_id")], n)
+def rank_by(rows: DataFrame, value: str, n: int, *by: str) -> DataFrame:
+    return ranked(rows, list(by or ("team",)), [F.round(value, 9).desc(), F.col("candidate_id")], n)
 
 
 def name_list(rows: DataFrame, by: str, name: str, rank: str, alias: str) -> DataFrame:

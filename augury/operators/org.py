@@ -46,12 +46,14 @@ PRIORS = ("offense", "defense", "trenches", "skill", "need_follow", "bpa", "stab
 def player_vectors(rows: DataFrame, prior: DataFrame) -> DataFrame:
     """Candidates of a team (team, candidate_id, name, position, probability) re-weighted by its priors.
 
-    New columns: component, adjusted (shares of the team's candidates) and rank, ties by candidate_id.
+    New columns: component, adjusted (shares of the team's candidates) and rank, ties by
+    best_available_rank if there is one, else by candidate_id.
     """
     both = rows.join(prior, "team").withColumn("component", S.org_component(F.col("position"), {n: F.col(n) for n in PRIORS}))
     both = both.withColumn("prob", F.col("probability"))
     both = reweigh(both, F.greatest(F.lit(0.0), 1 + 0.7 * (F.col("component") - 0.5)), ["team"]).withColumnRenamed("prob", "adjusted")
-    order = Window.partitionBy("team").orderBy(F.round("adjusted", 9).desc(), "candidate_id")
+    tie = "best_available_rank" if "best_available_rank" in rows.columns else "candidate_id"
+    order = Window.partitionBy("team").orderBy(F.round("adjusted", 9).desc(), tie)
     return both.withColumn("rank", F.row_number().over(order)).select(*rows.columns, "component", "adjusted", "rank", *PRIORS)
 
 

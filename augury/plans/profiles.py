@@ -36,6 +36,47 @@ def default_candidates(t: Tables) -> DataFrame:
     return candidates.default_candidates(t.prospects(), _taken(t), 40)
 
 
+_LISTS = {
+    "ps": f"SELECT * REPLACE (name || ' ' || candidate_id AS name) FROM ({_PROSPECTS})",
+    "sc": "SELECT * FROM (SELECT *, row_number() OVER (ORDER BY consensus_rank NULLS LAST, candidate_id)::INT AS place FROM ps) WHERE place <= 200",
+    "dr": "SELECT (p_partkey * 7 + p_size * 3) % 97 + 1 AS taken_at, p_partkey AS candidate_id FROM part",
+    "le": """SELECT d.slot, sc.*, row_number() OVER (PARTITION BY d.slot ORDER BY place) AS n FROM draft_order d, sc JOIN dr USING (candidate_id) WHERE taken_at >= d.slot""",
+    "bl": """SELECT slot, candidate_id, name, position, production AS prospect, coalesce(star, 0.0)::DOUBLE AS star, coalesce(nullif(consensus_rank, 0), nullif(big_board_rank, 0), slot + place)::BIGINT AS consensus_rank,
+        coalesce(nullif(positional_rank, 0), 1)::INT AS best_rank_in_position, place FROM le WHERE n <= CASE WHEN slot >= 33 THEN 48 ELSE 24 END""",
+    "bb": "SELECT *, row_number() OVER (PARTITION BY slot ORDER BY consensus_rank, place)::INT AS best_available_rank FROM bl",
+}
+
+
+def _lists(t: Tables) -> DataFrame:
+    return candidates.board_lists(t.board_prospects(), t.drafted(), t.order())
+
+
+@query(sql("SELECT * FROM bb", "draft_order", **_LISTS))
+def board_aware_candidates(t: Tables) -> DataFrame:
+    """The candidates of every slot of the order, without those taken before it."""
+    return _lists(t)
+
+
+@query(
+    sql(
+        """SELECT slot, team, rank::INT AS rank, candidate_id, round(probability, 6) AS probability, round(gap_best, 6) AS gap_best, round(gap_position, 6) AS gap_position FROM (
+             SELECT *, row_number() OVER (PARTITION BY slot, team ORDER BY round(probability, 9) DESC, candidate_id) AS rank FROM (
+               SELECT *, greatest(0, least(1, 0.3 * need + 0.3 * prospect + 0.2 * star + 0.15 * greatest(0, 1 - coalesce(consensus_rank, 300) / 300.0::DOUBLE) + 0.025))::DOUBLE AS probability FROM (
+                 SELECT bb.*, n_name AS team, coalesce(overall, 0.25)::DOUBLE AS need, (consensus_rank - min(consensus_rank) OVER (PARTITION BY bb.slot))::DOUBLE AS gap_best,
+                   (consensus_rank - min(consensus_rank) OVER (PARTITION BY bb.slot, bb.position))::DOUBLE AS gap_position
+                 FROM bb CROSS JOIN nation LEFT JOIN needs ON needs.team = n_name AND needs.position = bb.position)))
+           WHERE rank <= 5""",
+        "draft_order", "needs", **_LISTS,
+    )
+)
+def board_aware_ranking(t: Tables) -> DataFrame:
+    """For every slot and every team the five likeliest of the slot's candidates."""
+    need = t.needs().select("team", "position", F.col("overall").alias("need"))
+    rows = candidates.score(candidates.features_by_slot(_lists(t), need))
+    top = candidates.rank_by(rows, "probability", 5, "slot", "team")
+    return six(top.select("slot", "team", "rank", "candidate_id", "probability", "gap_best", "gap_position"))
+
+
 @query(
     f"""WITH p AS ({_PROSPECTS}), s AS (SELECT *, row_number() OVER (ORDER BY consensus_rank NULLS LAST, candidate_id) AS place FROM p)
         SELECT candidate_id, name, position, coalesce(nullif(production, 0), nullif(market, 0), 0.5)::DOUBLE AS prospect, coalesce(nullif(star, 0), 0.5)::DOUBLE AS star, coalesce(nullif(consensus_rank, 0), place)::BIGINT AS consensus_rank,

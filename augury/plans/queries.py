@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from augury.functions import scores as S
 from augury.functions import text as X
 from augury.functions.teams import team_aliases
-from augury.operators import backtest, candidates, consensus, models, needs, probs, upserts
+from augury.operators import backtest, candidates, consensus, models, needs, probs, tallies, upserts
 from augury.plans.register import ORACLES, QUERIES, query, rounded, six
 from augury.plans.tables import Tables, consensus_ctes, sql
 from augury.sources import records
@@ -38,6 +40,18 @@ def consensus_confidence(t: Tables) -> DataFrame:
     return consensus.confidence(t.votes())
 
 
+_EARLIER = "1999-06-01"
+
+
+@query(sql(_TOP, "votes", **consensus_ctes("votes", "c")))
+def consensus_of_tallies(t: Tables) -> DataFrame:
+    """The consensus from tallies: days up to an earlier one are one row, the later ones come on top."""
+    votes, earlier = t.votes(), F.lit(_EARLIER).cast("timestamp_ntz")
+    upto = (date.fromisoformat(_EARLIER) - date(1970, 1, 1)).days
+    state = tallies.compacted(tallies.daily(votes.filter(F.col("published") <= earlier)), upto)
+    return six(consensus.of_tally(tallies.at(state.unionByName(tallies.daily(votes.filter(F.col("published") > earlier))), t.as_of)))
+
+
 def _landing_sql(source: str, *names: str, **more: str) -> str:
     k1 = """CASE WHEN sample_size <= 4 THEN greatest(m + 1, least(32, 4 + 30 // (sample_size + 2)))
         WHEN sample_size <= 6 THEN greatest(m + 1, least(10, 3 + 20 // (sample_size + 2)))

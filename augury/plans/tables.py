@@ -80,6 +80,15 @@ class Tables:
         known = self.candidates().withColumn("star", F.when(F.col("candidate_id") % 4 != 0, F.col("star")))
         return known.withColumnRenamed("prospect", "production").join(more, "candidate_id")
 
+    def board_prospects(self) -> DataFrame:
+        """Prospects under names of their own."""
+        return self.prospects().withColumn("name", F.concat_ws(" ", "name", "candidate_id"))
+
+    def drafted(self) -> DataFrame:
+        """slot, name: the slots, up to 97, at which the prospects are taken."""
+        slot = (F.col("p_partkey") * 7 + F.col("p_size") * 3) % 97 + 1
+        return self.part.select(slot.cast("int").alias("slot"), F.concat_ws(" ", "p_name", "p_partkey").alias("name"))
+
     def org(self) -> DataFrame:
         """Features of a nation from its members; the coach has none for keys divisible by 4."""
         k = F.col("n_nationkey")
