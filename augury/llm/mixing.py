@@ -19,7 +19,7 @@ less than one document.
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,34 +29,34 @@ from augury.llm.token_counts import measured
 SEED = 7
 #: Bits of the hash that one cut goes by, and the number of cuts.
 HASH_BITS, DEPTH = 8, 3
-#: Leaves up to here are budgeted on the driver; more by the same rule in a task per node.
+#: Leaves up to here are budgeted on the driver; more by the same rule in windows.
 MAX_LEAVES = 200_000
 Path = tuple[str, ...]
 
 
 def water_fill(amount: int, weights: list[float], room: list[int]) -> list[int]:
-    """Whole shares of amount by weight, none above its room; what one cannot take the others share by weight."""
-    out = [0] * len(weights)
-    active = [k for k, w in enumerate(weights) if w > 0 and room[k] > 0]
-    left = min(amount, sum(room[k] for k in active))
-    while active:
-        total = sum(weights[k] for k in active)
-        full = [k for k in active if room[k] <= left * weights[k] / total]
-        if not full:
-            exact = {k: left * weights[k] / total for k in active}
-            for k in active:
-                out[k] = min(room[k], int(exact[k]))
-            rest = left - sum(out[k] for k in active)
-            for k in sorted(active, key=lambda k: (int(exact[k]) - exact[k], k)):
-                step = min(rest, 1, room[k] - out[k])
-                out[k] += step
-                rest -= step
-            break
-        for k in full:
-            out[k] = room[k]
-            left -= room[k]
-        active = [k for k in active if k not in set(full)]
-    return out
+    """Whole shares of amount by weight, none above its room; what one cannot take the others share by weight.
+
+    Children in order of room per weight are full up to the first whose share has room left.
+    """
+    w, r = np.asarray(weights, float), np.asarray(room, np.int64)
+    out = np.zeros(len(w), np.int64)
+    active = np.flatnonzero((w > 0) & (r > 0))
+    left = min(amount, int(r[active].sum()))
+    order = active[np.argsort(r[active] / w[active], kind="stable")]
+    taken, passed = np.cumsum(r[order]) - r[order], np.cumsum(w[order]) - w[order]
+    fits = r[order] * (w[order].sum() - passed) <= (left - taken) * w[order]
+    cut = int(np.argmin(fits)) if not fits.all() else len(order)
+    out[order[:cut]] = r[order[:cut]]
+    rest = np.sort(order[cut:])
+    if len(rest):
+        left -= int(out.sum())
+        exact = left * w[rest] / w[rest].sum()
+        out[rest] = np.minimum(r[rest], exact.astype(np.int64))
+        by_fraction = rest[np.argsort(np.floor(exact) - exact, kind="stable")]
+        more = by_fraction[out[by_fraction] < r[by_fraction]][: max(0, left - int(out[rest].sum()))]
+        out[more] += 1
+    return out.tolist()
 
 
 def budgets(tokens: dict[Path, int], weights: dict[Path, float], total: int, max_epochs: int = 1) -> dict[Path, int]:
@@ -79,8 +79,26 @@ def budgets(tokens: dict[Path, int], weights: dict[Path, float], total: int, max
     return {leaf: given[leaf] for leaf in tokens}
 
 
+def _shared(rows: DataFrame, path: list[str]) -> DataFrame:
+    """water_fill of each node's children (path, room, w, parent: the node's amount) by running sums: path, given."""
+    node, active = path[:-1], (F.col("w") > 0) & (F.col("room") > 0)
+    all_of = Window.partitionBy(*node)
+    before = all_of.orderBy(F.try_divide("room", "w"), path[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    upto = all_of.orderBy(F.try_divide("room", "w"), path[-1]).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.filter(active).withColumn("left", F.least(F.col("parent"), F.sum("room").over(all_of)))
+    fits = F.col("room") * (F.sum("w").over(all_of) - F.coalesce(F.sum("w").over(before), F.lit(0.0))) <= (F.col("left") - F.coalesce(F.sum("room").over(before), F.lit(0))) * F.col("w")
+    rows = rows.withColumn("fits", fits).withColumn("full", F.min("fits").over(upto))
+    part = lambda c: F.sum(F.when(F.col("full"), F.lit(0)).otherwise(F.col(c))).over(all_of)
+    rows = rows.withColumns({"left": F.col("left") - F.coalesce(F.sum(F.when(F.col("full"), F.col("room"))).over(all_of), F.lit(0))}).withColumn("exact", F.coalesce(F.try_divide(F.col("left") * F.col("w"), part("w")), F.lit(0.0)))
+    rows = rows.withColumn("given", F.when(F.col("full"), F.col("room")).otherwise(F.least(F.col("room"), F.floor("exact"))))
+    rows = rows.withColumn("rest", F.col("left") - part("given"))
+    may = ~F.col("full") & (F.col("given") < F.col("room"))
+    place = F.row_number().over(all_of.orderBy(F.when(may, 0).otherwise(1), F.floor("exact") - F.col("exact"), path[-1]))
+    return rows.select(*path, (F.col("given") + F.when(may & (place <= F.col("rest")), 1).otherwise(0)).cast("long").alias("given"))
+
+
 def budget_table(leaves: DataFrame, names: list[str], weights: dict[Path, float], total: int, max_epochs: int = 1) -> DataFrame:
-    """What budgets gives, for any number of leaves (names, n): names, n, given. A task holds the children of one node."""
+    """What budgets gives, for any number of leaves (names, n): names, n, given."""
     spark, depth = leaves.sparkSession, len(names)
     room = leaves.select(*names, "n", (F.col("n") * max_epochs).cast("long").alias("room"))
 
@@ -94,17 +112,11 @@ def budget_table(leaves: DataFrame, names: list[str], weights: dict[Path, float]
         below = levels[0].withColumn("room", F.when(F.col("w") > 0, F.col("room")).otherwise(0))
         levels.insert(0, weighted(below.groupBy(*names[:k]).agg(F.sum("room").alias("room")), k))
 
-    def share(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(by=list(rows.columns[: rows.columns.get_loc("room")])).reset_index(drop=True)
-        rows["given"] = water_fill(int(rows["parent"][0]), rows["w"].tolist(), [int(r) for r in rows["room"]])
-        return rows.drop(columns=["room", "w", "parent"])
-
     given = spark.createDataFrame([(int(total),)], "given long")
     for k, level in enumerate(levels, 1):
         above = given.withColumnRenamed("given", "parent")
         rows = level.join(above, names[: k - 1]) if k > 1 else level.join(F.broadcast(above), how="cross")  # one row
-        schema = ", ".join([*(f"{n} string" for n in names[:k]), "given long"])
-        given = scratch_table(rows.groupBy(*names[: k - 1]).applyInPandas(share, schema), "budget")
+        given = scratch_table(_shared(rows, names[:k]), "budget")
     return given.join(leaves.select(*names, "n"), names)
 
 

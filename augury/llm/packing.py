@@ -23,7 +23,8 @@ from augury.llm.common import batched_texts
 from augury.llm.tokens import default_tokenizer, encoder, gather
 
 MAX_TOKENS = 1024
-MAX_SEGMENTS = 64
+#: Every piece has a token, so this binds only where a caller asks for less.
+MAX_SEGMENTS = MAX_TOKENS
 BLOCK = 4096
 #: Rows that are encoded at once.
 ROWS = 1024

@@ -167,7 +167,7 @@ _SHORT = re.compile(rf"(?<=[0-9]\.)[ ]?{_ITEM}(?: {_ITEM}){{0,2}}\b|\b{_ITEM}(?:
 _PLUS = re.compile(r"(?<![0-9])(?<![0-9][ .,%])\bplus[ -]?(?=[0-9](?:[ ().-]{0,2}[0-9]){8,14}(?![0-9]))", re.I)
 _DOT_WORDS = "dot|punkt|point|punto"
 _OPEN, _CLOSE = r"[ \t]*[(\[{<][ \t]*", r"[ \t]*[)\]}>][ \t]*"
-_AT_MARKED = re.compile(rf"(?<=[A-Za-z0-9._%+-]){_OPEN}(?:at|@|a|arroba|ät){_CLOSE}(?=[A-Za-z0-9])|(?:&#0*64;|&commat;|%40)", re.I)
+_AT_MARKED = re.compile(rf"(?<=[A-Za-z0-9._%+-]){_OPEN}(?:at|@|arroba|ät){_CLOSE}(?=[A-Za-z0-9])|(?:&#0*64;|&commat;|%40)", re.I)
 _DOT_MARKED = re.compile(rf"(?<=[A-Za-z0-9-]){_OPEN}(?:{_DOT_WORDS}|\.){_CLOSE}(?=[A-Za-z0-9])|(?:&#0*46;|&period;)", re.I)
 # Endings of addresses that are no words of the four languages; the others only count where a sign marks them.
 _ENDINGS = "com|org|net|edu|gov|info|biz|co|uk|fr|eu|nl|ch|io|dev|app|pl|cz|ru|cn|jp|br|mx|ar|cl|ca|au"
@@ -184,6 +184,10 @@ _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _BARE_DOT = r"[ \t]+dot[ \t]+"
 _NAMED_DOT = rf"[ \t]+(?:{_DOT_WORDS})[ \t]+"
 _SIGNED_DOT = rf"[ \t]*[(\[{{<][ \t]*(?:{_DOT_WORDS}|\.)[ \t]*[)\]}}>][ \t]*"
+#: A bracketed "a" is in code, statutes and markup as well: here an address with a usual ending is behind it, and no page of the web.
+_A_MARKED = re.compile(
+    rf"(?<=[A-Za-z0-9._%+-]){_OPEN}a{_CLOSE}(?!www\.)(?={_LABEL}(?:(?:{_BARE_DOT}|{_SIGNED_DOT}|\.){_LABEL})*(?:(?:{_BARE_DOT}|{_SIGNED_DOT}|\.)(?:{_MORE_ENDINGS}))(?![A-Za-z0-9_(\[-]))", re.I
+)
 #: "at" between a name and an address whose dots are spelled, marked or plain, up to a usual ending.
 _AT_BARE = re.compile(rf"(?<=[A-Za-z0-9_%+-])[ \t]+at[ \t]+(?={_LABEL}(?:(?:{_BARE_DOT}|\.){_LABEL})*(?:(?:{_BARE_DOT}|\.)(?:{_ENDINGS})|{_SIGNED_DOT}(?:{_MORE_ENDINGS}))\b)", re.I)
 _ARROBA = re.compile(rf"(?<=[A-Za-z0-9_%+-])[ \t]+(?:arroba|@)[ \t]+(?={_LABEL}(?:{_NAMED_DOT}|{_SIGNED_DOT}|\.)[A-Za-z0-9])", re.I)
@@ -197,10 +201,15 @@ _REACH = 254
 _NAME_BEFORE = re.compile(r"[A-Za-z0-9._%+-]+$")
 _ASKED = re.compile(r"(?:e-?mails?|mail|contact|write(?: to)?|reach(?: me| us)?|address|adresse|correo|courriel|kontakt)(?: is| me| us| him| her| them| at| to| an| à| a)?[ \t:]+$|[:<(\"'][ \t]*$", re.I)
 _DOT_DIGITS = re.compile(rf"(?<=[0-9])[ \t]*(?:{_DOT_WORDS})[ \t]*(?=[0-9]|{_NAME}\b)", re.I)
-_POSING = re.compile(r"(?<=[0-9])[OolI|]+(?=[0-9])")
+_POSING = re.compile(r"(?<=[0-9])[OolI]+(?=[0-9])")
+#: Four parts, each with a digit: letters that pose as digits may stand at their edges.
+_POSING_PARTS = re.compile(r"(?<![A-Za-z0-9.])(?=[0-9.]*+[OolI])(?:[OolI]*+[0-9][0-9OolI]*+\.){3}[OolI]*+[0-9][0-9OolI]*+(?![A-Za-z0-9])(?!\.[A-Za-z0-9])")
+#: A number with a fraction, before a spelled dot and behind it: "1.5 point 2.3" is no address.
+_FRACTION_BEFORE, _FRACTION_AFTER = re.compile(r"(?<![0-9.])[0-9]+\.[0-9]+$"), re.compile(r"[0-9]+\.[0-9]+(?![0-9.])")
 #: What a transducer cannot match without; texts that lack it are not searched with the whole pattern.
 _DOTS = tuple(_DOT_WORDS.split("|"))
-_AT_IN_MARKS = re.compile(r"[(\[{<][ \t]*(?:at|@|a|arroba|ät)[ \t]*[)\]}>]|&#0*64;|&commat;|%40", re.I)
+_A_IN_MARKS = re.compile(r"[(\[{<][ \t]*a[ \t]*[)\]}>]", re.I)
+_AT_IN_MARKS = re.compile(r"[(\[{<][ \t]*(?:at|@|arroba|ät)[ \t]*[)\]}>]|&#0*64;|&commat;|%40", re.I)
 _DOT_IN_MARKS = re.compile(rf"[(\[{{<][ \t]*(?:{_DOT_WORDS}|\.)[ \t]*[)\]}}>]|&#0*46;|&period;", re.I)
 _DOT_BY_NAME = re.compile(rf"\.[ ]?{_ITEM}\b|(?<=[a-z])\.[ ]?[0-9]|(?<=[a-z] )\.[ ]?[0-9]", re.I)
 #: In lower case and without alternatives in front, so that the search is one for " at".
@@ -246,6 +255,18 @@ def _at(m: re.Match) -> str:
     return "@" if not plain or _ASKED.search(left[: len(left) - len(name)]) else m[0]
 
 
+def _dot_of_digits(m: re.Match) -> str:
+    """A dot word between two numbers with fractions is prose, but for "dot"."""
+    if "dot" in m[0].lower():
+        return "."
+    prose = _FRACTION_BEFORE.search(m.string[max(0, m.start() - 32) : m.start()]) and _FRACTION_AFTER.match(m.string[m.end() : m.end() + 32])
+    return m[0] if prose else "."
+
+
+def _as_digits(m: re.Match) -> str:
+    return "".join("0" if c in "Oo" else "1" if c in "lI" else c for c in m[0])
+
+
 def _dot(m: re.Match) -> str:
     """A bare dot word is a dot within an address: behind an @, before a usual ending."""
     left, right = m.string[max(0, m.start() - _REACH) : m.start()], m.string[m.end() : m.end() + _REACH]
@@ -267,13 +288,15 @@ def rewritten(text: str) -> Tape | None:
     if short:
         tape.rewrite(_SHORT, _spelled)
     if dots:
-        tape.rewrite(_DOT_DIGITS, lambda m: ".")
+        tape.rewrite(_DOT_DIGITS, _dot_of_digits)
     if short:
         tape.rewrite(_SHORT, _spelled)
     if "plus" in low:
         tape.rewrite(_PLUS, lambda m: "+")
     if (marked or "%40" in low) and _AT_IN_MARKS.search(tape.text):
         tape.rewrite(_AT_MARKED, lambda m: "@")
+    if marked and _A_IN_MARKS.search(tape.text):
+        tape.rewrite(_A_MARKED, lambda m: "@")
     dot_marked = marked and _DOT_IN_MARKS.search(tape.text)
     # Both look for the dot's disguise, so before that is rewritten.
     if _AT_NEAR_DOT.search(low) or "\tat" in low:
@@ -286,7 +309,8 @@ def rewritten(text: str) -> Tape | None:
         tape.rewrite(_DOT_BARE, _dot)
     if "@" in tape.text and _AT_SPACED.search(tape.text):
         tape.rewrite(_AT_DOTTED, lambda m: "@")
-    tape.rewrite(_POSING, lambda m: "".join("0" if c in "Oo" else "1" for c in m[0]))
+    tape.rewrite(_POSING, _as_digits)
+    tape.rewrite(_POSING_PARTS, _as_digits)
     return tape if tape.text != text else None
 
 

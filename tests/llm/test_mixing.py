@@ -1,3 +1,5 @@
+import random
+import time
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -158,3 +160,50 @@ def test_query(spark, sf_dir):
     got = Counter(r.doc_id for r in rows)
     assert {k for k in docs if got[k] != sure[k]} <= unsure and len(unsure) < 0.1 * len(docs)
     assert 0.3 < sum(r.tokens for r in rows) / sum(ids.values()) <= 0.6
+
+
+def slow_fill(amount, weights, room):
+    """water_fill round by round."""
+    out, active = [0] * len(weights), [k for k, w in enumerate(weights) if w > 0 and room[k] > 0]
+    left = min(amount, sum(room[k] for k in active))
+    while active:
+        total = sum(weights[k] for k in active)
+        full = [k for k in active if room[k] * total <= left * weights[k]]
+        if not full:
+            exact = {k: left * weights[k] / total for k in active}
+            for k in active:
+                out[k] = int(exact[k])
+            for k in sorted(active, key=lambda k: (int(exact[k]) - exact[k], k))[: left - sum(out[k] for k in active)]:
+                out[k] += 1
+            break
+        for k in full:
+            out[k] = room[k]
+            left -= room[k]
+        active = [k for k in active if k not in full]
+    return out
+
+
+def test_water_fill_equals_rounds_and_is_fast():
+    rng = random.Random(8)
+    for _ in range(400):
+        n = rng.randint(0, 9)
+        weights = [rng.choice([0.0, 0.5, 1.0, 3.0]) for _ in range(n)]
+        room = [rng.choice([0, 1, 7, rng.randint(0, 1000)]) for _ in range(n)]
+        amount = rng.randint(0, 1500)
+        got = mixing.water_fill(amount, weights, room)
+        assert got == slow_fill(amount, weights, room)
+        assert sum(got) == min(amount, sum(r for r, w in zip(room, weights, strict=True) if w > 0))
+    began = time.perf_counter()
+    many = mixing.water_fill(10**9, [1.0 + k % 7 for k in range(200_000)], [k % 20_000 for k in range(200_000)])
+    assert time.perf_counter() - began < 2 and sum(many) == 10**9
+
+
+def test_a_node_with_many_children_by_windows(spark):
+    rng = random.Random(9)
+    tokens = {("web", f"s{k:05d}"): rng.randint(0, 500) for k in range(3000)} | {("book", "x"): 900_000}
+    leaves = spark.createDataFrame([(*p, n) for p, n in tokens.items()], "a string, b string, n long")
+    weights = {("book",): 2.0, ("web", "s00007"): 4.0, ("web", "s00010"): 0.0}
+    for total in (10_000, 700_000, 5_000_000):
+        want = mixing.budgets(tokens, weights, total)
+        got = {(r.a, r.b): r.given for r in mixing.budget_table(leaves, ["a", "b"], weights, total).collect()}
+        assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}

@@ -206,3 +206,32 @@ def test_many_spans_and_foreign_letters_take_linear_time():
     began = time.perf_counter()
     base, added = pii.find(text)
     assert len(base) == len(added) == 20_000 and time.perf_counter() - began < 20
+
+
+def test_code_statutes_and_tables_have_no_added_spans():
+    rng = random.Random(6)
+    names = ["self", "value", "array", "b", "c", "x", "y", "z", "print", "node", "left", "index", "com_port", "io_error"]
+    code = [f"{rng.choice(names)}{o}a{c}{rng.choice(['', ' '])}{rng.choice(names)}.{rng.choice(names)}" for o, c in ["()", "[]", "{}", "<>"] for _ in range(75)]
+    statutes = [f"section {rng.randint(1, 99)}({rng.choice('abc')}) sub.section {rng.randint(1, 9)}.{rng.randint(1, 9)}, point {rng.randint(1, 9)}" for _ in range(100)]
+    tables = ["|".join(str(rng.randint(0, 10 ** rng.randint(1, 6))) for _ in range(rng.randint(3, 9))) for _ in range(2000)]
+    prose = ["see<a>www.example.com", "from 1.5 point 2.3 on", "1.5 punto 2.3", "versions 1.l and 2.O", "I.l.o.O", "x{a}y.z", "print(a) self.value"]
+    for text in code + statutes + tables + prose:
+        assert not pii.find(text)[1], text
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "source"),
+    [
+        ("host 1O0.200.3l.4 up", "ip", "1O0.200.3l.4"), ("host l92.168.0.1 up", "ip", "l92.168.0.1"), ("ip: 10.O0.0.I2, ok", "ip", "10.O0.0.I2"), ("at 192 point 168 point 0 point 1", "ip", "192 point 168 point 0 point 1"),
+        ("mail juan(a)ejemplo.es", "email", "juan(a)ejemplo.es"), ("to eva [a] firma [dot] de.", "email", "eva [a] firma [dot] de"),
+    ],
+)
+def test_letters_at_edges_and_bracketed_a(text, kind, source):
+    assert (kind, source) in [(pii.KINDS[k], text[a:b]) for k, a, b in pii.find(text)[1]]
+
+
+def test_the_query_reports_added_spans(spark, tmp_path):
+    rows = [(k, f"text {k} mail user{k} (at) example (dot) org or call plus 49 30 1234{k:04d}") for k in range(20)] + [(99, "nothing here")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op4_pii(spark, str(tmp_path)).collect()}
+    assert got[99].n_added == 0 and all(got[k].n_added == 2 and got[k].n_email == got[k].n_phone == 0 and "email:" in got[k].spans and "phone:" in got[k].spans for k in range(20))
