@@ -14,7 +14,7 @@ from augury.functions import scores as S
 from augury.functions import text as X
 from augury.functions.teams import team_aliases
 from augury.operators import backtest, candidates, consensus, ingest, models, needs, org, probs, upserts
-from augury.sources import html, registry
+from augury.sources import articles, registry
 
 
 #: A team's view lists so many candidates.
@@ -67,28 +67,24 @@ class Board:
         """Reads pages (url, html) of a source and takes their articles in; pages with a fault and the rejected ones with their reasons."""
         config = next((c for c in registry.SOURCES if c.slug == slug), registry.SourceConfig(slug))
         registry.build_parser(slug, config.parser)
-        meta = html.metadata(pages, "url", "url", "html", config, draft_year)
-        found = pages.select("url", html.extracted(F.col("html")).alias("picks"))
-        fault = F.when(F.size("picks") == 0, "no picks were found").when(F.exists("picks", lambda p: p["overall_pick"] <= 0), "a pick's number is below 1")
-        both = meta.join(found, "url").withColumn("reason", fault)
-        year = F.coalesce("draft_year", F.year(self.as_of.cast("timestamp")))
-        parsed = both.filter("reason IS NULL").select(F.lit(slug).alias("source_slug"), F.col("url").alias("article_url"), "title", year.alias("draft_year"), "published", "picks")
-        rejected = self.ingest(parsed)
-        return both.filter("reason IS NOT NULL").select(F.lit(slug).alias("source_slug"), F.col("url").alias("article_url"), year.alias("draft_year"), "reason").unionByName(rejected)
+        return self._take(pages.select(F.lit(slug).alias("source_slug"), "url", "html"), draft_year)
+
+    def _take(self, pages: DataFrame, draft_year: int | None = None) -> DataFrame:
+        """Takes pages (source_slug, url, html) of any sources in at once: source_slug, article_url, draft_year, reason of those that were not."""
+        rows = articles.parsed(pages, F.year(self.as_of.cast("timestamp")), draft_year=draft_year)
+        rejected = self.ingest(rows.filter("reason IS NULL").drop("reason"))
+        return rows.filter("reason IS NOT NULL").select("source_slug", "article_url", "draft_year", "reason").unionByName(rejected)
 
     def run_ingestion(self, pages: DataFrame, slugs: list[str] | None = None) -> DataFrame:
-        """Takes in the first pages (source_slug, url, place, html) of every automated source, one source after another; one audit row per source."""
-        faults = None
-        for config in registry.SOURCES:
-            if not (config.active and config.automated) or (slugs is not None and config.slug not in slugs):
-                continue
-            own = pages.filter((F.col("source_slug") == config.slug) & (F.col("place") < ingest.MAX_URLS)).select("url", "html")
-            found = self.ingest_pages(own, config.slug).select("source_slug", F.col("article_url").alias("url"), F.col("reason").alias("fault"))
-            faults = found if faults is None else faults.unionByName(found)
+        """Takes in the first pages (source_slug, url, place, html) of every automated source, all sources at once; one audit row per source.
+
+        Pages of other sources, and those beyond the first, are discovered but not read.
+        """
+        due = articles.due(pages, slugs=slugs)
+        faults = self._take(due.select("source_slug", "url", "html")).groupBy("source_slug", F.col("article_url").alias("url")).agg(F.min("reason").alias("fault"))
         known = self["sources"] if slugs is None else self["sources"].filter(F.col("slug").isin(slugs))
-        seen = pages.select("source_slug", "url", "place")
-        seen = seen.join(faults, ["source_slug", "url"], "left") if faults is not None else seen.withColumn("fault", F.lit(None).cast("string"))
-        return ingest.job_audit(seen, known)
+        seen = pages.select("source_slug", "url", "place").join(due.select("source_slug", "url", "place", F.lit(True).alias("read")), ["source_slug", "url", "place"], "left")
+        return ingest.job_audit(seen.join(faults, ["source_slug", "url"], "left"), known)
 
     def add_outcome(self, slot: int, name: str, round_number: int = 1, team: str | None = None) -> DataFrame:
         """Adds an outcome as it is; a later one for the slot does not remove it, the latest counts where one is needed."""
@@ -101,13 +97,18 @@ class Board:
         return self._put("outcomes", old.unionByName(row))
 
     def put_order(self, picks: DataFrame) -> DataFrame:
-        """Puts slots (slot, round, team) into the order, by slot; refuses teams that the board does not know."""
+        """Puts slots (slot, round, team) into the order, by slot; refuses teams that the board does not know.
+
+        Of several rows for a slot the last one counts, by the column `at` if there is one, else by their order in the input.
+        """
         known = self["teams"].select(F.col("code").alias("team"))
-        new = picks.select("slot", "round", F.upper("team").alias("team"))
+        at = F.col("at") if "at" in picks.columns else F.monotonically_increasing_id()
+        new = picks.select("slot", "round", F.upper("team").alias("team"), at.alias("__at"))
         if unknown := [r.team for r in new.select("team").distinct().join(known, "team", "left_anti").orderBy("team").limit(10).collect()]:
             raise ValueError(f"unknown teams: {', '.join(unknown)}")
         columns = self["order"].columns
-        return self._put("order", upserts.upsert(self["order"], new.select(*columns), ["slot"], "round"))
+        last = upserts.keep_latest(new, ["slot"], [F.desc("__at")]).select(*columns)
+        return self._put("order", self["order"].join(last.select("slot"), "slot", "left_anti").unionByName(last))
 
     def model_metadata(self) -> DataFrame:
         """The newest run of each family of models."""

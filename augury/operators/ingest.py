@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from augury.functions import text as X
 from augury.functions.teams import team_aliases
+from augury.sources.articles import MAX_URLS
 
 #: No alias has more words.
 ALIAS_WORDS = max(len(a.split(" ")) for a in team_aliases())
-MAX_URLS = 10
 
 
 def aliases(rows: DataFrame) -> DataFrame:
@@ -79,13 +79,16 @@ def ingest(parsed: DataFrame, stored_articles: DataFrame, stored_picks: DataFram
 
     A known article (same source, address and content) is not stored twice; the teams of its
     stored picks are resolved anew from the parsed ones, by slot, the first pick of a slot counting.
-    An article with an unknown source or year is rejected. Of equal articles in one batch one counts.
+    An article with an unknown source or year is rejected. Of articles of one key in one batch the
+    latest published counts, of those the one whose picks, title and year come last in their order.
     """
     keyed = with_key(parsed).join(F.broadcast(sources.select(F.col("slug").alias("source_slug"), F.lit(True).alias("__source"))), "source_slug", "left")
     keyed = keyed.join(F.broadcast(cycles.select(F.col("year").alias("draft_year"), F.lit(True).alias("__cycle"))), "draft_year", "left")
     known = F.col("__source").isNotNull() & F.col("__cycle").isNotNull()
     rejected = keyed.filter(~known).select("source_slug", "article_url", "draft_year", F.when(F.col("__source").isNull(), "unknown source").otherwise("unknown year").alias("reason"))
-    taken = keyed.filter(known).drop("__source", "__cycle").dropDuplicates(KEY)
+    last = F.struct(F.col("published"), F.col("picks"), F.col("title"), F.col("draft_year"))
+    whole = keyed.filter(known).drop("__source", "__cycle")
+    taken = whole.groupBy(*KEY).agg(F.max_by(F.struct(*[c for c in whole.columns if c not in KEY]), last).alias("__a")).select(*KEY, "__a.*")
     new = taken.join(stored_articles.select(*KEY), KEY, "left_anti")
     again = picks_of(taken.join(stored_articles.select(*KEY), KEY, "left_semi"), teams)
     fresh = again.groupBy(*KEY, "overall_pick").agg(F.min_by(F.struct("original_team_id", "current_team_id"), "place").alias("x"))
@@ -112,12 +115,14 @@ def job_audit(pages: DataFrame, sources: DataFrame) -> DataFrame:
     """One row per source: discovered, fetched, parsed, errors, status.
 
     pages: source_slug, place (from 0, in order of discovery), fault (null if the page was read and its
-    article taken in). A run reads the first MAX_URLS pages. Sources that nothing reads by itself are skipped.
+    article taken in), and whether it was read, by default if it is one of the first MAX_URLS. A page that was not
+    read is neither parsed nor an error. Sources that nothing reads by itself are skipped.
     """
+    read = F.coalesce(F.col("read"), F.lit(False)) if "read" in pages.columns else F.col("place") < MAX_URLS
     n = pages.groupBy("source_slug").agg(
         F.count(F.lit(1)).alias("discovered"),
-        F.count_if((F.col("place") < MAX_URLS) & F.col("fault").isNull()).alias("parsed"),
-        F.count_if((F.col("place") < MAX_URLS) & F.col("fault").isNotNull()).alias("errors"),
+        F.count_if(read & F.col("fault").isNull()).alias("parsed"),
+        F.count_if(read & F.col("fault").isNotNull()).alias("errors"),
     )
     rows = sources.select(F.col("slug").alias("source_slug"), "parser").join(n, "source_slug", "left").fillna(0, ["discovered", "parsed", "errors"])
     skipped = F.col("parser").isin("rss", "manual_upload")

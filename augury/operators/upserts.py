@@ -22,19 +22,26 @@ def unseen(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
     return new.join(old.select(*key), key, "left_anti")
 
 
-def get_or_create(dim: DataFrame, names: DataFrame, name: str, ident: str) -> DataFrame:
+#: New names are numbered in so many ranges, whose bounds come from a sample of names by hash.
+RANGES, SAMPLED = 128, 4096
+
+
+def get_or_create(dim: DataFrame, names: DataFrame, name: str, ident: str, ranges: int = RANGES) -> DataFrame:
     """dim with a row for every name that it lacks; new ids follow the largest one, in order of name.
 
-    New names are numbered within those that begin alike, behind the number of all that come
-    before, so no task orders them all.
+    New names are dealt into ranges of about equal size; each is numbered by its place in its range, behind
+    the number of names in the ranges before. No task orders more than a range, whatever the names begin with.
     """
-    new = unseen(names.select(name).distinct(), dim, [name]).withColumn("__head", F.substring(name, 1, 2))
-    heads = new.groupBy("__head").agg(F.count(F.lit(1)).alias("__of"))
-    before = Window.orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as pairs of characters
-    heads = heads.select("__head", F.coalesce(F.sum("__of").over(before), F.lit(0)).alias("__before"))
+    new = unseen(names.select(name).distinct(), dim, [name])
+    sample = sorted((r[0] for r in new.filter(F.col(name).isNotNull()).orderBy(F.xxhash64(name), name).limit(SAMPLED).collect()), key=str.encode)
+    bounds = sorted({sample[k * len(sample) // ranges] for k in range(1, ranges)}, key=str.encode) if sample else []
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<string>"), lambda b: b <= F.col(name)))
+    new = new.withColumn("__range", F.coalesce(at, F.lit(-1)))
+    sizes = new.groupBy("__range").agg(F.count(F.lit(1)).alias("__of"))  # a row for each range
+    before = F.coalesce(F.sum("__of").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     top = dim.agg(F.coalesce(F.max(ident), F.lit(0)).alias("__top"))
-    place = F.row_number().over(Window.partitionBy("__head").orderBy(name))
-    numbered = new.withColumn("__n", place).join(heads, "__head").join(F.broadcast(top), how="cross")  # one row
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(name))
+    numbered = new.withColumn("__n", place).join(F.broadcast(sizes.select("__range", before.alias("__before"))), "__range").join(F.broadcast(top), how="cross")  # one row
     return dim.select(ident, name).unionByName(numbered.select((F.col("__top") + F.col("__before") + F.col("__n")).alias(ident), name))
 
 

@@ -233,13 +233,35 @@ def scraped_order(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT * FROM (VALUES (1::BIGINT, 1, 'Titans', 'Cam Ward', 'QB', 'Miami'), (2, 2, 'Browns', 'Travis Hunter', 'WR/CB', NULL), (3, NULL, NULL, NULL, NULL, NULL), (4, 12, 'New England', 'T.J. O''Neil', NULL, NULL),
-       (5, 5, 'Seahawks', 'Jaxon Smith-Njigba', 'WR', 'Ohio State'), (6, NULL, NULL, NULL, NULL, NULL), (7, 7, 'Tampa Bay', 'Al Poe', NULL, 'Texas A&M')) v(id, pick, team, name, position, school)"""
+    """SELECT page_id, pick::INT AS pick, team, name, position, school FROM pages LEFT JOIN (VALUES (0::BIGINT, 1, 'Titans', 'Cam Ward', 'QB', 'Miami'), (1, 2, 'Browns', 'Travis Hunter', 'WR/CB', NULL), (3, 12, 'New England', 'T.J. O''Neil', NULL, NULL),
+       (4, 5, 'Seahawks', 'Jaxon Smith-Njigba', 'WR', 'Ohio State'), (6, 7, 'Tampa Bay', 'Al Poe', NULL, 'Texas A&M'), (7, 8, '49ers', 'José Peña', 'CB', 'Nuevo León')) v(id, pick, team, name, position, school) ON id = page_id % 8"""
 )
 def pick_lines(t: Tables) -> DataFrame:
-    lines = ["1. Titans - Cam Ward, QB, Miami", " 2) Browns: Travis Hunter, WR/CB", "no line", "12 New England - T.J. O'Neil", "5. Seahawks: Jaxon Smith-Njigba, WR, Ohio State", "100. Titans - Cam Ward", "7- Tampa Bay - Al Poe, Texas A&M"]
-    rows = t.spark.createDataFrame(list(enumerate(lines, 1)), "id long, line string")
-    return rows.select("id", X.pick_line(F.col("line")).alias("x")).select("id", "x.*")
+    """Pages as single lines of an article, some of which are picks."""
+    lines = ["1. Titans - Cam Ward, QB, Miami", " 2) Browns: Travis Hunter, WR/CB", "no line", "12 New England - T.J. O'Neil", "5. Seahawks - Jaxon Smith-Njigba, WR, Ohio State", "100. Titans - Cam Ward", "7- Tampa Bay - Al Poe, Texas A&M", "8. 49ers – José Peña, CB, Nuevo León"]
+    line = F.get(F.array(*map(F.lit, lines)), (F.col("page_id") % len(lines)).cast("int"))
+    return t.pages.select("page_id", X.pick_line(line).alias("x")).select("page_id", "x.*")
+
+
+_TEAMS, _MEN, _PLACES, _SCHOOLS = ("49ers", "Seahawks", "New York Jets", "la rams", "Nobody"), ("Jaxon Smith-Njigba", "José Peña", "T.J. O'Neil", "Al Poe Jr."), ("de", "T", "QB", "nickel"), ("Ohio St.", "Ole Miss", "Texas A&M", "Nuevo León", "Miami-Ohio", "LSU")
+
+
+@query(
+    """SELECT page_id, k::INT AS pick, ['49ERS', 'SEAHAWKS', 'NEW YORK JETS', 'LA RAMS', 'NOBODY'][(page_id + k) % 5 + 1] AS team_label, ['SF', 'SEA', 'NYJ', 'LAR', NULL][(page_id + k) % 5 + 1] AS team, ['jaxon smithnjigba', 'josé peña', 'tj oneil', 'al poe'][(page_id + k * 3) % 4 + 1] AS name,
+       ['EDGE', 'OT', 'QB', 'NICKEL'][(page_id * 5 + k) % 4 + 1] AS position, ['ohio state', 'mississippi', 'texas am', 'nuevo león', 'miamiohio', 'lsu'][(page_id // 2 + k) % 6 + 1] AS school
+       FROM pages, range(1, 10) r(k)"""
+)
+def page_picks(t: Tables) -> DataFrame:
+    """The picks of all pages, to each of which a list of nine is added, by the table function; labels made canonical."""
+    pick = lambda names, at: F.get(F.array(*map(F.lit, names)), (at % len(names)).cast("int"))
+    page = F.col("page_id")
+    line = lambda k: F.concat(F.lit("<li>"), k.cast("string"), F.lit(". "), pick(_TEAMS, page + k), F.lit(" - "), pick(_MEN, page + k * 3), F.lit(", "), pick(_PLACES, page * 5 + k), F.lit(", "), pick(_SCHOOLS, F.floor(page / 2) + k), F.lit("</li>"))
+    listed = F.concat(F.lit("<ol>"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(9)), line), ""), F.lit("</ol>"))
+    pages = t.pages.select("page_id", F.concat("html", listed).alias("html"))
+    picks = pages.lateralJoin(html.ExtractPicks(F.col("html").outer(), F.lit(html.MIN_PICKS), F.lit(False)))
+    return picks.select(
+        "page_id", "pick", F.upper("team").alias("team_label"), X.team_code(F.col("team"), team_aliases()).alias("team"), X.normalize(F.col("name")).alias("name"), X.position(F.col("position")).alias("position"), X.school(F.col("school")).alias("school"),
+    )
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from augury.api import demo_vectors
+from augury.api import DEMO_TRUTH, demo_vectors
 from augury.functions import scores as S
 from augury.operators import candidates, consensus, models, org, probs
 from augury.plans.register import query, rounded, six
@@ -224,15 +224,19 @@ def feature_groups(t: Tables) -> DataFrame:
 
 def _demo_sql() -> str:
     rows = ", ".join(f"('{m}', {k}, '{label}', {p!r}::DOUBLE)" for m, vectors in demo_vectors().items() for k, label, p in vectors)
-    return f"""WITH v AS (SELECT *, row_number() OVER (PARTITION BY model, k ORDER BY p DESC, label) AS rank FROM (VALUES {rows}) t(model, k, label, p))
-        SELECT model, round(avg(-ln(p)), 6) AS log_loss, avg((rank <= 1)::INT::DOUBLE) AS top1, avg((rank <= 3)::INT::DOUBLE) AS top3 FROM v WHERE label = ['OT', 'QB', 'CB'][k + 1] GROUP BY model"""
+    return f"""WITH d AS (SELECT n_nationkey, n_nationkey % 3 AS k, (n_nationkey // 3) % 3 AS truth FROM nation),
+        v AS (SELECT model, n_nationkey, truth, label, p, row_number() OVER (PARTITION BY model, n_nationkey ORDER BY p DESC, label) AS rank FROM (VALUES {rows}) t(model, k, label, p) JOIN d USING (k))
+        SELECT model, round(avg(-ln(p)), 6) AS log_loss, avg((rank <= 1)::INT::DOUBLE) AS top1, avg((rank <= 3)::INT::DOUBLE) AS top3 FROM v WHERE label = ['OT', 'QB', 'CB'][truth + 1] GROUP BY model"""
 
 
 @query(_demo_sql())
 def backtest_demo(t: Tables) -> DataFrame:
-    from augury.api import Board
-
-    return six(Board({"order": t.order()}, t.as_of).backtest_demo())
+    """The demonstration's vectors dealt over the nations, each with one of the three labels as its truth."""
+    k = F.col("n_nationkey")
+    truth = t.nation.select(k.cast("int").alias("row_id"), F.get(F.array(*map(F.lit, DEMO_TRUTH)), F.floor(k / 3).cast("int") % 3).alias("label"))
+    rows = t.nation.select(k.cast("int").alias("row_id"), (k % 3).alias("__k"))
+    dealt = lambda vectors: rows.join(F.broadcast(t.spark.createDataFrame(vectors, "__k int, label string, prob double")), "__k").drop("__k")
+    return six(probs.evaluate({name: dealt(vectors) for name, vectors in demo_vectors().items()}, truth, "row_id"))
 
 
 @query(

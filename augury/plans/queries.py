@@ -579,9 +579,18 @@ def needs_from_board(t: Tables) -> DataFrame:
     return rows.select("team", "position", *[c.alias(n) for n, c in records.board_need(F.col("i"), F.col("position") == F.col("wanted")).items()])
 
 
-@query("SELECT y::INT AS year, make_date(y - 1, 8, 1) AS start_date, make_date(y, 4, 25) AS draft_date FROM range(1980, 2031) t(y)")
+@query(
+    """SELECT y::INT AS year, make_date(y - 1, 8, 1) AS start_date, make_date(y, 4, 25) AS draft_date, count(o_orderkey) AS orders FROM range(1980, 2031) t(y)
+       LEFT JOIN orders ON o_orderdate::DATE >= make_date(y - 1, 8, 1) AND o_orderdate::DATE <= make_date(y, 4, 25) GROUP BY y"""
+)
 def calendar_dim(t: Tables) -> DataFrame:
-    return records.calendar(t.spark)
+    """The calendar of seasons with the orders of each; a day is in the season of its year, or from August on in the next one's."""
+    day = F.col("o_orderdate").cast("date")
+    n = t.orders.groupBy(F.when(F.month(day) >= 8, F.year(day) + 1).otherwise(F.year(day)).alias("year"), day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    seasons = F.broadcast(records.calendar(t.spark))  # a row for each of some fifty years
+    inside = (n["year"] == seasons["year"]) & (F.col("day") >= F.col("start_date")) & (F.col("day") <= F.col("draft_date"))
+    of = n.join(seasons.select("year", "start_date", "draft_date"), inside).groupBy(n["year"].alias("year")).agg(F.sum("n").alias("orders"))
+    return seasons.join(of, "year", "left").fillna(0, ["orders"])
 
 
 @query(f"SELECT n_name AS team, round(0.3 + ({_SEED} % 100) / 100.0::DOUBLE * 0.5, 6) AS score FROM nation")
@@ -606,18 +615,26 @@ _LABELS = [("de", "Ohio St.", "jets"), ("T", "Ole Miss", "New York Jets"), (" qb
 
 
 @query(
-    """SELECT * FROM (VALUES (0::BIGINT, 'EDGE', 'ohio state', 'JETS'), (1, 'OT', 'mississippi', 'NYJ'), (2, 'QB', 'yale', NULL), (3, 'NICKEL', 'lsu', 'SF'),
-       (4, '', 'lsu', 'LAR'), (5, NULL, NULL, NULL), (6, 'S', 'ohio state', NULL)) v(id, position, school, team)"""
+    """SELECT c_custkey, position, school, team FROM customer JOIN (VALUES (0::BIGINT, 'EDGE', 'ohio state', 'JETS'), (1, 'OT', 'mississippi', 'NYJ'), (2, 'QB', 'yale', NULL), (3, 'NICKEL', 'lsu', 'SF'),
+       (4, '', 'lsu', 'LAR'), (5, NULL, NULL, NULL), (6, 'S', 'ohio state', NULL)) v(id, position, school, team) ON id = c_custkey % 7"""
 )
 def canonical_labels(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(k, *x) for k, x in enumerate(_LABELS)], "id long, p string, s string, t string")
-    return rows.select("id", X.position(F.col("p")).alias("position"), X.school(F.col("s")).alias("school"), X.team_code(F.col("t"), team_aliases()).alias("team"))
+    """Customers, each with the labels of one of a few players."""
+    label = lambda k: F.get(F.array(*[F.lit(x[k]).cast("string") for x in _LABELS]), (F.col("c_custkey") % len(_LABELS)).cast("int"))
+    return t.customer.select("c_custkey", X.position(label(0)).alias("position"), X.school(label(1)).alias("school"), X.team_code(label(2), team_aliases()).alias("team"))
+
 
+_PAST = ("HOU", "LA", " stl", "SD", "OAK", "BAL1", "KC")
 
-@query("SELECT * FROM (VALUES ('HOU', 1995, 'TEN'), ('HOU', 2002, 'HOU'), ('LA', 2016, 'LAR'), (' stl', 1999, 'LAR'), ('SD', 2015, 'LAC'), ('OAK', 2019, 'LV'), ('BAL1', 1980, 'IND'), ('KC', 2020, 'KC')) v(code, season, team)")
+
+@query(
+    """SELECT season, team, count(*) AS n FROM (SELECT year(o_orderdate)::INT + 7 AS season, CASE k WHEN 0 THEN CASE WHEN year(o_orderdate) + 7 < 2002 THEN 'TEN' ELSE 'HOU' END ELSE ['LAR', 'LAR', 'LAC', 'LV', 'IND', 'KC'][k] END AS team
+       FROM (SELECT o_orderdate, o_custkey % 7 AS k FROM orders)) GROUP BY 1, 2"""
+)
 def historical_code_map(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("HOU", 1995), ("HOU", 2002), ("LA", 2016), (" stl", 1999), ("SD", 2015), ("OAK", 2019), ("BAL1", 1980), ("KC", 2020)], "code string, season int")
-    return rows.withColumn("team", X.current_code(F.col("code"), F.col("season")))
+    """Orders as moves of teams with codes of their time."""
+    code, season = F.get(F.array(*map(F.lit, _PAST)), (F.col("o_custkey") % len(_PAST)).cast("int")), F.year("o_orderdate") + 7
+    return t.orders.select(season.alias("season"), X.current_code(code, season).alias("team")).groupBy("season", "team").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, sha256(concat_ws('|', source, text, length(text)::VARCHAR)) AS content_hash FROM documents) GROUP BY 1")

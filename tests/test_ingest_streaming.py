@@ -40,6 +40,14 @@ def test_new_members_are_numbered_in_order(spark):
     want = sorted({*names} - {"known"}, key=lambda n: n.encode())
     assert {r.name: r.id for r in got.collect()} == {"known": 41} | {n: 42 + k for k, n in enumerate(want)}
     assert upserts.get_or_create(dim.limit(0), dim.select("name"), "name", "id").collect()[0].id == 1
+    assert upserts.get_or_create(dim, dim.select("name"), "name", "id").collect() == dim.collect()
+
+
+def test_names_that_begin_alike_are_dealt_over_ranges(spark):
+    names = spark.range(20_000).select(F.concat(F.lit("Player "), F.col("id")).alias("name"))
+    dim = spark.createDataFrame([], "id long, name string")
+    got = {r.name: r.id for r in upserts.get_or_create(dim, names, "name", "id").collect()}
+    assert got == {n: k for k, n in enumerate(sorted(got), 1)} and len(got) == 20_000
 
 
 def test_partition_overwrite(spark, tmp_path):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from augury.functions import text as X
 from augury.functions.teams import TEAMS, team_aliases, teams
 from augury.operators import ingest
-from augury.sources import html, records, registry
+from augury.sources import articles, html, records, registry, selectors
 
 
 def column(spark, values, kind="string"):
@@ -18,11 +18,13 @@ def column(spark, values, kind="string"):
 
 def test_line_parts_and_pick_line_agree(spark):
     rng = random.Random(1)
-    pieces = ["1", "a", "B", " ", "-", ":", ",", ".", "'", "&", "/", "Ward", " - ", ": ", ", ", "QB", ")"]
+    pieces = ["1", "a", "B", " ", "-", ":", ",", ".", "'", "&", "/", "Ward", " - ", ": ", ", ", "QB", ")", "é", "–", " — ", "49ers", "José", "e\u0301", "日本"]
     lines = [rng.choice(["1. ", "12 ", "3) ", "4- ", ""]) + "".join(rng.choice(pieces) for _ in range(rng.randint(2, 12))) for _ in range(4000)]
-    got = {r.id: r.p for r in column(spark, lines).select("id", X.pick_line(F.col("x")).alias("p")).collect()}
-    for k, line in enumerate(lines):
-        assert tuple(got[k]) == (X.line_parts(line) or (None,) * 5), line
+    for strict in (False, True):
+        got = {r.id: r.p for r in column(spark, lines).select("id", X.pick_line(F.col("x"), strict).alias("p")).collect()}
+        assert sum(p.pick is not None for p in got.values()) > 10
+        for k, line in enumerate(lines):
+            assert tuple(got[k]) == (X.line_parts(line, strict) or (None,) * 5), line
 
 
 @pytest.mark.parametrize(
@@ -32,7 +34,11 @@ def test_line_parts_and_pick_line_agree(spark):
         ("7- Tampa Bay - Al Poe, Texas A&M", (7, "Tampa Bay", "Al Poe", None, "Texas A&M")),
         ("3: St. John's - D'Andre O'Neil, S, Miami-Ohio", (3, "St. John's", "D'Andre O'Neil", "S", "Miami-Ohio")),
         ("123. Titans - Cam Ward", None),
-        ("4. 49ers - Cam Ward", None),
+        ("4. 49ers - Cam Ward", (4, "49ers", "Cam Ward", None, None)),
+        ("5. Seahawks - Jaxon Smith-Njigba, WR, Ohio State", (5, "Seahawks", "Jaxon Smith-Njigba", "WR", "Ohio State")),
+        ("6. Rams – José Ramírez-Peña, CB, Nuevo León", (6, "Rams", "José Ramírez-Peña", "CB", "Nuevo León")),
+        ("8. Jets-Al Poe", (8, "Jets", "Al Poe", None, None)),
+        ("8. Jets-Al Poe-Ray", None),
         ("4. Titans - Cam Ward, QB, Miami, more", None),
     ],
 )
@@ -40,6 +46,14 @@ def test_lines_by_class_of_character(line, want):
     assert X.line_parts(line) == want
 
 
+def test_the_strict_mode_takes_the_last_dash_and_ascii_letters():
+    assert X.line_parts("5. Seahawks - Jaxon Smith-Njigba, WR, Ohio State", True) == (5, "Seahawks - Jaxon Smith", "Njigba", "WR", "Ohio State")
+    assert X.line_parts("4. 49ers - Cam Ward", True) is None is X.line_parts("6. Rams - José Peña", True)
+    cell = "<table><tr><td>1</td><td>49ers</td><td>Jaxon Smith-Njigba, WR, Ohio State</td></tr></table>"
+    assert html.picks_of(cell) == [(1, "49ers", "Jaxon Smith-Njigba", "WR", "Ohio State")]
+    assert html.picks_of(cell, strict=True) == [(1, "49ers", "Jaxon Smith", "Njigba", "WR")]
+
+
 def test_dates(spark):
     cases = {
         "2026-03-04": "2026-03-04 00:00:00", "Apr 7, 2025": "2025-04-07 00:00:00", "November 30, 2024": "2024-11-30 00:00:00", "2023-01-02T03:04:05": "2023-01-02 03:04:05",
@@ -70,11 +84,11 @@ def test_metadata_by_selectors(spark):
         (2, "u2", "<title> Only &amp; title </title><span class='by author x'>Bob <i>B</i></span><time datetime='x'>Apr 7, 2025</time>"),
         (3, "u3", "<p>nothing</p><span class='authors'>not this</span>"),
     ]
-    got = {r.id: r for r in html.metadata(spark.createDataFrame(pages, "id int, url string, html string"), "id", "url", "html", registry.SOURCES[1]).collect()}
+    got = {r.id: r for r in html.metadata(spark.createDataFrame(pages, "id int, url string, html string"), "id", "url", "html", registry.SourceConfig("any")).collect()}
     assert (got[1].title, got[1].author, str(got[1].published), got[1].draft_year) == ("Mock Draft 2026", "Ann", "2026-03-04 05:06:07", 2026)
     assert (got[2].title, got[2].author, str(got[2].published), got[2].updated is not None) == ("Only &amp; title", "Bob B", "2025-04-07 00:00:00", True)
     assert (got[3].title, got[3].author, got[3].published, got[3].draft_year) == ("u3", None, None, None)
-    assert html.metadata(spark.createDataFrame(pages, "id int, url string, html string"), "id", "url", "html", registry.SOURCES[1], 2030).first().draft_year == 2030
+    assert html.metadata(spark.createDataFrame(pages, "id int, url string, html string"), "id", "url", "html", registry.SourceConfig("any"), 2030).first().draft_year == 2030
 
 
 def test_picks_by_strategy():
@@ -87,6 +101,85 @@ def test_picks_by_strategy():
     assert html.picks_of(f"<body><script>{lines}</script></body>") == [] == html.picks_of(None)
 
 
+def brute_select(page, selector):
+    """The texts of what a selector finds, by walking a tree made with another parser."""
+    import xml.etree.ElementTree as ET
+
+    root = ET.fromstring(f"<root>{page}</root>")
+    parents = {c: p for p in root.iter() for c in p}
+
+    def fits(e, simple):
+        tag, classes, attributes = simple.tag, simple.classes, simple.attributes
+        return (tag is None or e.tag == tag) and classes <= set(e.get("class", "").split()) and all(n in e.attrib and (v is None or e.get(n) == v) for n, v in attributes)
+
+    def chained(e, chain):
+        if not fits(e, chain[-1]):
+            return False
+        rest, up = chain[:-1], parents.get(e)
+        while rest and up is not None:
+            if fits(up, rest[-1]):
+                rest = rest[:-1]
+            up = parents.get(up)
+        return not rest
+
+    return ["".join(e.itertext()).strip() for e in root.iter() if e is not root and any(chained(e, c) for c in selectors.compiled(selector))]
+
+
+def test_selectors_equal_a_walk_over_the_tree():
+    rng = random.Random(11)
+    tags, classes = ["div", "p", "li", "ol", "section", "h1"], ["a", "b", "head-line", "a b"]
+
+    def node(depth):
+        tag = rng.choice(tags)
+        attributes = (f' class="{rng.choice(classes)}"' if rng.random() < 0.5 else "") + (f' rel="{rng.choice("xy")}"' if rng.random() < 0.3 else "")
+        inner = "".join(node(depth - 1) if rng.random() < 0.6 else rng.choice(["text ", "t", " "]) for _ in range(rng.randint(0, 3))) if depth else "leaf"
+        return f"<{tag}{attributes}>{inner}</{tag}>"
+
+    asked = ["div", ".a", "p.a", "[rel]", "[rel='x']", "li.b[rel=y]", "ol li", "section .a p", "div div", "h1, .head-line", "section  [rel='y'] , ol p.b", "*"]
+    for _ in range(150):
+        page = "".join(node(5) for _ in range(rng.randint(1, 3)))
+        matcher = selectors.Matcher({"first": tuple(asked)}, {"every": tuple(asked)})
+        found = matcher.read(page)
+        for k, selector in enumerate(asked):
+            want = brute_select(page, selector)
+            got = [e.text() for e in found.get(("every", k), [])]
+            if "," in selector:  # an element that two alternatives find is listed for each
+                assert set(got) == set(want)
+            else:
+                assert got == want
+                assert [e.text() for e in found.get(("first", k), [])] == want[:1]
+    for wrong in ("", "p >", "a:hover", "p, "):
+        with pytest.raises(ValueError, match="not a selector"):
+            selectors.compiled(wrong)
+
+
+def test_each_source_has_its_own_selectors(spark):
+    lines = "".join(f"<p>{k}. 49ers - Al Poe-Ray, QB</p>" for k in range(1, 10))
+    nested = "<table><tr><td>1</td><td>Jets</td><td>Ann Lee, QB<table><tr><td>9</td></tr></table></td></tr></table>"
+    pages = [
+        ("espn", "u1", f"<title>T</title><div class='x headline'>Mock <div>Draft</div> 2026</div><span class='author-name'>Ann</span><div class='article-body'>{lines}</div>"),
+        ("yahoo", "u1", f"<title>T</title><div class='headline'>Mock <div>Draft</div> 2026</div><div role='article'>{lines}</div>"),
+        ("pfn", "u2", f"<title> Only &amp; </title><article><header><h1>Head 2027</h1></header></article><time datetime='x'>Apr 7, 2025</time>{nested}"),
+        ("other", "u3", "<h1></h1><ol><li>0. Jets - Al Poe</li>" + "<li>2. Jets - Al Poe</li>" * 7 + "</ol>"),
+        ("espn", "u4", None),
+    ]
+    rows = {(r.source_slug, r.article_url): r for r in articles.parsed(spark.createDataFrame(pages, "source_slug string, url string, html string"), F.lit(2030)).collect()}
+    espn, yahoo, pfn = rows["espn", "u1"], rows["yahoo", "u1"], rows["pfn", "u2"]
+    assert (espn.title, espn.author, espn.draft_year, len(espn.picks), espn.reason) == ("Mock Draft 2026", "Ann", 2026, 9, None)
+    assert (yahoo.title, yahoo.author, yahoo.draft_year, len(yahoo.picks)) == ("T", None, 2030, 9)
+    assert espn.picks[0].player_name == "Al Poe-Ray" and espn.picks[0].original_team == "49ers"
+    assert (pfn.title, str(pfn.published), pfn.draft_year, pfn.picks[0].player_name) == ("Head 2027", "2025-04-07 00:00:00", 2027, "Ann Lee")
+    assert (rows["other", "u3"].title, rows["other", "u3"].reason) == ("u3", registry.BAD_NUMBER)
+    assert (rows["espn", "u4"].title, rows["espn", "u4"].reason) == ("u4", registry.NO_PICKS)
+
+
+def test_links_by_each_source_s_keyword(spark):
+    page = "<a href='/mock/1'>a</a><a href='/mock-draft/2'>b</a><a href='/news'>c</a>"
+    rows = [(s, "https://e.com/x", page) for s in ("espn", "nfl-com", "manual", "nobody")]
+    got = articles.discovered(spark.createDataFrame(rows, "source_slug string, url string, html string")).collect()
+    assert sorted(map(tuple, got)) == [("espn", 0, "https://e.com/mock/1"), ("espn", 1, "https://e.com/mock-draft/2"), ("nfl-com", 0, "https://e.com/mock-draft/2")]
+
+
 def test_parsers_and_registry():
     assert registry.build_parser("espn", "html_static").picks("<p>x</p>") == []
     assert registry.build_parser("nobody", "html_dynamic").picks("<table><tr><td>1</td><td>a</td><td>b</td></tr></table>") == []
