@@ -34,14 +34,36 @@ def longest_alias(labels: DataFrame, key: str) -> DataFrame:
     return found.groupBy(key).agg(F.min_by("code", F.struct(-F.length("alias"), F.col("place"))).alias("code"))
 
 
-def resolve_teams(rows: DataFrame, label: str, teams: DataFrame, out: str = "team_id") -> DataFrame:
-    """rows with the key of the team that the label names, null if none does.
+#: So many distinct labels are looked up without shuffling the rows.
+FEW_LABELS = 200_000
+
+
+def resolve_teams(rows: DataFrame, labels: str | dict[str, str], teams: DataFrame, out: str = "team_id") -> DataFrame:
+    """rows with the keys of the teams that their labels name, null where none does. labels: a column, or columns and the names of their keys.
 
     Steps, the first that hits counts: the label's code, its slug, the longest alias in it, a
-    team's full name, a city of one team. Each distinct label is resolved once. teams (team_id, code,
-    name, city) is a dimension of a few dozen rows.
+    team's full name, a city of one team. Each distinct label is resolved once, whatever column it is in. The
+    resolved labels are broadcast if counting shows that they are few; else rows without a label go
+    past the join, and no shuffle gathers them. teams (team_id, code, name, city) is a dimension of a few dozen rows.
     """
-    labels = rows.select(F.col(label).alias("label")).filter(F.trim(F.coalesce("label", F.lit(""))) != "").distinct()
+    named = {labels: out} if isinstance(labels, str) else labels
+    every = rows.select(F.explode(F.array_distinct(F.array(*[F.col(c) for c in named]))).alias("label"))
+    found = _resolved(every.filter(F.trim(F.coalesce("label", F.lit(""))) != "").distinct(), teams)
+    few = found.limit(FEW_LABELS + 1).count() <= FEW_LABELS
+    for label, key in named.items():
+        of = found.select(F.col("label").alias("__label"), F.col("team").alias(key))
+        on = F.col(label) == F.col("__label")
+        if few:
+            rows = rows.join(F.broadcast(of), on, "left").drop("__label")
+        else:
+            blank = F.trim(F.coalesce(F.col(label), F.lit(""))) == ""
+            team = next(f for f in of.schema if f.name == key).dataType
+            rows = rows.filter(~blank).join(of, on, "left").drop("__label").unionByName(rows.filter(blank).withColumn(key, F.lit(None).cast(team)))
+    return rows
+
+
+def _resolved(labels: DataFrame, teams: DataFrame) -> DataFrame:
+    """label, team of distinct labels."""
     code = X.team_code(F.col("label"), team_aliases())
     labels = labels.select("label", X.code8(code).alias("code"), X.code8(X.slug(code)).alias("slug"), X.normalize(F.col("label")).alias("key"))
     cities = teams.groupBy(F.lower("city").alias("city")).agg(F.min("team_id").alias("by_city"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
@@ -51,8 +73,7 @@ def resolve_teams(rows: DataFrame, label: str, teams: DataFrame, out: str = "tea
     for name, value in (("code", F.col("code")), ("slug", F.col("code")), ("alias", F.col("code")), ("key", F.lower("name"))):
         found = found.join(dim(name, value), name, "left")
     found = found.join(F.broadcast(cities), found["key"] == cities["city"], "left")
-    team = F.coalesce("by_code", "by_slug", "by_alias", "by_key", "by_city").alias(out)
-    return rows.join(found.select(F.col("label").alias("__label"), team), F.col(label) == F.col("__label"), "left").drop("__label")
+    return found.select("label", F.coalesce("by_code", "by_slug", "by_alias", "by_key", "by_city").alias("team"))
 
 
 def with_key(articles: DataFrame) -> DataFrame:
@@ -66,7 +87,7 @@ KEY = ["source_slug", "article_url", "content_hash"]
 def picks_of(articles: DataFrame, teams: DataFrame) -> DataFrame:
     """One row per pick of the articles, with both teams' keys and normalised labels."""
     rows = articles.select(*KEY, "draft_year", F.posexplode("picks").alias("place", "p")).select(*KEY, "draft_year", "place", "p.*")
-    rows = resolve_teams(resolve_teams(rows, "original_team", teams, "original_team_id"), "current_team", teams, "current_team_id")
+    rows = resolve_teams(rows, {"original_team": "original_team_id", "current_team": "current_team_id"}, teams)
     return rows.select(
         *KEY, "draft_year", "place", "overall_pick", "round_number", "original_team_id", "current_team_id", "traded",
         F.col("player_name").alias("raw_player_name"), X.normalize(F.col("player_name")).alias("player"),
@@ -74,11 +95,9 @@ def picks_of(articles: DataFrame, teams: DataFrame) -> DataFrame:
     )
 
 
-def ingest(parsed: DataFrame, stored_articles: DataFrame, stored_picks: DataFrame, sources: DataFrame, cycles: DataFrame, teams: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(articles, picks, rejected) after the parsed articles were taken in; running it again changes nothing.
+def sorted_out(parsed: DataFrame, stored_articles: DataFrame, sources: DataFrame, cycles: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(articles that are not stored yet, those that are, rejected ones with their reason), each key once.
 
-    A known article (same source, address and content) is not stored twice; the teams of its
-    stored picks are resolved anew from the parsed ones, by slot, the first pick of a slot counting.
     An article with an unknown source or year is rejected. Of articles of one key in one batch the
     latest published counts, of those the one whose picks, title and year come last in their order.
     """
@@ -89,15 +108,28 @@ def ingest(parsed: DataFrame, stored_articles: DataFrame, stored_picks: DataFram
     last = F.struct(F.col("published"), F.col("picks"), F.col("title"), F.col("draft_year"))
     whole = keyed.filter(known).drop("__source", "__cycle")
     taken = whole.groupBy(*KEY).agg(F.max_by(F.struct(*[c for c in whole.columns if c not in KEY]), last).alias("__a")).select(*KEY, "__a.*")
-    new = taken.join(stored_articles.select(*KEY), KEY, "left_anti")
-    again = picks_of(taken.join(stored_articles.select(*KEY), KEY, "left_semi"), teams)
-    fresh = again.groupBy(*KEY, "overall_pick").agg(F.min_by(F.struct("original_team_id", "current_team_id"), "place").alias("x"))
+    stored = stored_articles.select(*KEY)
+    return taken.join(stored, KEY, "left_anti"), taken.join(stored, KEY, "left_semi"), rejected
+
+
+def with_teams_of(stored_picks: DataFrame, again: DataFrame, teams: DataFrame) -> DataFrame:
+    """The stored picks, with the teams of those of known articles resolved anew, by slot, the first pick of a slot counting."""
+    fresh = picks_of(again, teams).groupBy(*KEY, "overall_pick").agg(F.min_by(F.struct("original_team_id", "current_team_id"), "place").alias("x"))
     kept = stored_picks.join(fresh, [*KEY, "overall_pick"], "left")
     now = lambda c: F.when(F.col("x").isNull(), F.col(c)).otherwise(F.col("x")[c]).alias(c)
-    columns = stored_picks.columns
-    kept = kept.select(*[now(c) if c in ("original_team_id", "current_team_id") else F.col(c) for c in columns])
+    return kept.select(*[now(c) if c in ("original_team_id", "current_team_id") else F.col(c) for c in stored_picks.columns])
+
+
+def ingest(parsed: DataFrame, stored_articles: DataFrame, stored_picks: DataFrame, sources: DataFrame, cycles: DataFrame, teams: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(articles, picks, rejected) after the parsed articles were taken in; running it again changes nothing.
+
+    A known article (same source, address and content) is not stored twice; the teams of its
+    stored picks are resolved anew from the parsed ones. See sorted_out for what is rejected.
+    """
+    new, again, rejected = sorted_out(parsed, stored_articles, sources, cycles)
     articles = stored_articles.unionByName(new.select(*stored_articles.columns))
-    return articles, kept.unionByName(picks_of(new, teams).select(*columns)), rejected
+    picks = with_teams_of(stored_picks, again, teams).unionByName(picks_of(new, teams).select(*stored_picks.columns))
+    return articles, picks, rejected
 
 
 def append(df: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from augury.functions import text as X
@@ -10,7 +10,8 @@ from augury.functions.teams import TEAMS, team_aliases, teams
 from augury.operators import ingest, upserts
 from augury.plans.register import query
 from augury.plans.tables import Tables
-from augury.sources import html, records
+from augury.sources import articles, html, records
+from augury.sources.registry import SourceConfig
 
 _PUNCT = r"""[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 _text = lambda x: "'" + x.replace("'", "''") + "'"
@@ -282,3 +283,52 @@ def replace_rows(t: Tables) -> DataFrame:
     rows = t.events.select("event_type", "event_id", "ts", "value")
     some = rows.filter("value < 100 AND event_type = 'click'")
     return upserts.unseen(rows, some, ["event_id"]).unionByName(some)
+
+
+@query(
+    """SELECT page_id, 2026 AS draft_year, (1 + k // 3)::INT AS round_number, (k % 3 + 1)::INT AS pick_in_round, (k + 1)::INT AS overall_pick, ['SF', 'NYJ', 'LAR'][(page_id + k) % 3 + 1] AS team,
+       CASE (page_id + k) % 4 WHEN 0 THEN NULL WHEN 1 THEN 'José "Pepe" Peña ' || page_id WHEN 2 THEN 'Al Poe-Ray' ELSE 'D''André ' || k END AS name
+       FROM pages, range(0, 6) r(k) WHERE (page_id + k) % 7 <> 6"""
+)
+def tracker_payloads(t: Tables) -> DataFrame:
+    """Each page with the payload of a tracker: teams by long ids, picks in falling order, some not announced, some of a team that is not listed."""
+    page = F.col("page_id")
+    ident = lambda k: F.regexp_replace(F.md5(k.cast("string").cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    teams_ = F.concat_ws(",", *[F.concat(F.lit('{"id":"'), ident(F.lit(k)), F.lit(f'","nick":{{"en":"x{{}}"}},"abbreviation":"{code}"}}')) for k, code in enumerate(("SF", "NYJ", "LAR"))])
+
+    def pick(k: Column) -> Column:
+        team = F.when((page + k) % 7 == 6, F.lit("nobody")).otherwise(ident((page + k) % 3))
+        pepe = F.concat(F.lit(r'{"id":1,"displayName":"José \"Pepe\" Peña '), page.cast("string"), F.lit('"}'))
+        andre = F.concat(F.lit(r'{"displayName":"D' + "'" + r'André '), k.cast("string"), F.lit('","stats":{"a":{}}}'))
+        spoken = [F.lit("null"), pepe, F.lit('{"person":{"displayName":"Al Poe-Ray"}}'), andre]
+        whom = F.get(F.array(*spoken), ((page + k) % 4).cast("int"))
+        return F.concat(F.lit('{"year":2026,"teamId":"'), team, F.lit('","prospect":'), whom, F.lit(',"pick":'), (k % 3 + 1).cast("string"), F.lit(',"round":'), (F.floor(k / 3) + 1).cast("string"), F.lit(',"overallPick":'), (k + 1).cast("string"), F.lit("}"))
+
+    picks = F.array_join(F.transform(F.sequence(F.lit(5), F.lit(0)), pick), ",")
+    made = F.concat(F.lit('{"teams":['), teams_, F.lit('],"picks":['), picks, F.lit(']},{"year":"none"}'))
+    escaped = F.replace(F.replace(made, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    payload = F.concat("html", F.lit('<script>push("'), escaped, F.lit('")</script>'))
+    return html.tracker(t.pages.select("page_id", payload.alias("payload")), "page_id", "payload")
+
+
+_STYLED = """<div class='big headline'>Top <div>of <b>page</b></div> {}</div><section data-testid='headline'>Other <section>part</section> {}</section>
+<p class='by-line'>Ann <p>Lee</p></p><span rel='author'>Bob</span><ul class='board'><li><th>1</th><td>49ers</td><td>Jaxon Smith-Njigba, WR, Ohio State</td><th>x</th></li></ul><div class='story'>{}</div>"""
+
+
+@query(
+    """SELECT page_id, slug AS source_slug, CASE slug WHEN 'styled' THEN 'Top of page ' || page_id ELSE 'Other part ' || page_id END AS title, CASE slug WHEN 'styled' THEN 'Ann Lee' ELSE 'Bob' END AS author,
+       CASE slug WHEN 'styled' THEN 1 ELSE 8 END AS picks, CASE slug WHEN 'styled' THEN 'Jaxon Smith-Njigba' ELSE 'José Peña' END AS first_name, CASE slug WHEN 'styled' THEN 'WR' ELSE 'CB' END AS first_position, NULL::VARCHAR AS reason
+       FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'styled' ELSE 'marked' END AS slug FROM pages)"""
+)
+def source_pages(t: Tables) -> DataFrame:
+    """The pages as those of two sources with selectors of their own, each with an elaborate end that both can read."""
+    styled = SourceConfig("styled", titles=(".missing", "div.headline"), authors=("p.by-line",), rows=(".nothing tr", "ul.board li"))
+    marked = SourceConfig("marked", titles=("[data-testid='headline']",), authors=(".by-nobody", "[rel='author']"), rows=(".nothing",), bodies=(".nobody", ".story"))
+    lines = "".join(f"{k}. Rams – José Peña, CB\n" for k in range(1, 9))
+    number = F.col("page_id").cast("string")
+    a, b, c, d = _STYLED.split("{}")
+    end = F.concat(F.lit(a), number, F.lit(b), number, F.lit(c + lines + d))
+    slug = F.when(F.col("page_id") % 2 == 0, "styled").otherwise("marked")
+    rows = articles.parsed(t.pages.select(slug.alias("source_slug"), F.concat_ws("#", "url", number).alias("url"), F.concat("html", end).alias("html")), F.lit(2026), (styled, marked))
+    page = F.regexp_extract("article_url", "#([0-9]+)$", 1).cast("long").alias("page_id")
+    return rows.select(page, "source_slug", "title", "author", F.size("picks").alias("picks"), F.col("picks")[0]["player_name"].alias("first_name"), F.col("picks")[0]["position"].alias("first_position"), "reason")

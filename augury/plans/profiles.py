@@ -103,14 +103,15 @@ def voted_candidates(t: Tables) -> DataFrame:
 
 @query(
     sql(
-        """SELECT team, list_sort(list(slot)) AS slots FROM (SELECT DISTINCT team, slot FROM draft_order WHERE slot % 3 = 0) GROUP BY team
-           UNION ALL SELECT team, list_sort(list(slot)) FROM (SELECT DISTINCT team, slot FROM votes WHERE slot <= 4 AND team IS NOT NULL AND team NOT IN (SELECT team FROM draft_order WHERE slot % 3 = 0)) GROUP BY team""",
+        """SELECT team, list_sort(list(slot)) AS slots FROM (SELECT DISTINCT team, slot FROM draft_order) GROUP BY team
+           UNION ALL SELECT team, list_sort(list(slot)) FROM (SELECT DISTINCT coalesce(team, 'club of ' || source) AS team, slot FROM votes WHERE slot <= 4) WHERE team NOT IN (SELECT team FROM draft_order) GROUP BY team""",
         "votes", "draft_order",
     )
 )
 def team_slots(t: Tables) -> DataFrame:
-    votes = t.votes().withColumn("round", F.when(F.col("slot") <= 4, 1).otherwise(2))
-    return org.slots_of(t.order().filter("slot % 3 = 0"), votes)
+    """Votes without a team stand for clubs that the order does not know."""
+    votes = t.votes().withColumns({"round": F.when(F.col("slot") <= 4, 1).otherwise(2), "team": F.coalesce("team", F.concat(F.lit("club of "), F.col("source")))})
+    return org.slots_of(t.order(), votes)
 
 
 @query(
@@ -162,7 +163,7 @@ def org_features(t: Tables) -> DataFrame:
 
 
 _CAND = """SELECT team, candidate_id, name, position, greatest(0, least(1, 0.3 * coalesce(need, 0.25) + 0.3 * prospect + 0.2 * star + 0.15 * greatest(0, 1 - coalesce(consensus_rank, 300) / 300.0::DOUBLE) + 0.025))::DOUBLE AS probability
-    FROM candidates CROSS JOIN (SELECT DISTINCT team FROM needs WHERE position <> 'PROMO') LEFT JOIN (SELECT team, position, overall AS need FROM needs WHERE position <> 'PROMO') USING (team, position)"""
+    FROM candidates CROSS JOIN (SELECT DISTINCT team FROM needs) LEFT JOIN (SELECT team, position, overall AS need FROM needs) USING (team, position)"""
 _C = lambda x: f"greatest(0, least(1, {x}))::DOUBLE"
 _RANKED = _OFFICE | {
     "pr": f"SELECT team, offense, {_C('1 - offense')} AS defense, trenches, {_C('1 - trenches')} AS skill, need_follow, bpa, stability FROM (SELECT team, {_C('(gm_offense + coach_offense + org_offense) / 3')} AS offense, {_C('(gm_trenches + coach_trenches + org_trenches) / 3')} AS trenches, {_C('(gm_need + org_need) / 2')} AS need_follow, {_C('(gm_bpa + org_bpa) / 2')} AS bpa, stability FROM of)",
@@ -176,7 +177,7 @@ _RANKED = _OFFICE | {
 
 
 def _ranked(t: Tables) -> DataFrame:
-    needs = t.needs().filter("position <> 'PROMO'").select("team", "position", F.col("overall").alias("need"))
+    needs = t.needs().select("team", "position", F.col("overall").alias("need"))
     rows = candidates.score(candidates.features(t.candidates(), needs)).select("team", "candidate_id", "name", "probability")
     labels = F.array(*map(F.lit, ("OT", "EDGE", "CB", "WR", "QB", "S")))
     named = rows.withColumn("position", F.get(labels, (F.col("candidate_id") % 6).cast("int")))
@@ -281,7 +282,7 @@ def position_model_properties(t: Tables) -> DataFrame:
 
 
 def _player_rows(t: Tables) -> DataFrame:
-    needs = t.needs().filter("position <> 'PROMO'").select("team", "position", F.col("overall").alias("need"))
+    needs = t.needs().select("team", "position", F.col("overall").alias("need"))
     rows = candidates.features(t.candidates(), needs).select(
         "team", F.col("name").alias("candidate_player_name"), "candidate_id", "position", F.col("team_need").alias("team_need_score"), F.col("prospect").alias("prospect_score"), F.col("star").alias("superstar_potential_score"),
         F.lit(0.5).alias("positional_scarcity_score"), F.col("consensus_rank").cast("int").alias("consensus_rank"), F.col("gap_best").alias("rank_gap_from_best_available"), F.col("gap_position").alias("rank_gap_within_position"), F.lit(False).alias("selected_label"),

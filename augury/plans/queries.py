@@ -277,11 +277,11 @@ def best_available_rank(t: Tables) -> DataFrame:
 
 
 def _need(t: Tables) -> DataFrame:
-    return t.needs().filter("position <> 'PROMO'").select("team", "position", F.col("overall").alias("need"))
+    return t.needs().select("team", "position", F.col("overall").alias("need"))
 
 
 _CF = {
-    "nd": "SELECT team, position, overall AS need FROM needs WHERE position <> 'PROMO'",
+    "nd": "SELECT team, position, overall AS need FROM needs",
     "cf": """SELECT team, candidate_id, name, position, prospect, star, consensus_rank, coalesce(need, 0.25)::DOUBLE AS team_need,
         (coalesce(nullif(consensus_rank, 0), 300) - (SELECT min(consensus_rank) FROM candidates))::DOUBLE AS gap_best,
         (coalesce(nullif(consensus_rank, 0), 300) - min(consensus_rank) OVER (PARTITION BY position))::DOUBLE AS gap_position,
@@ -451,14 +451,15 @@ def org_explanation(t: Tables) -> DataFrame:
 
 
 _BLEND = _ADJUSTED | {
-    "bl": "SELECT team, label, p / sum(p) OVER (PARTITION BY team) AS prob FROM (SELECT team, label, 0.45 * coalesce(a.prob, 0) + 0.55 * coalesce(b.prob, 0) AS p FROM (SELECT * FROM tv WHERE label <> 'CB') a FULL JOIN (SELECT team, label, prob FROM oa WHERE label <> 'WR') b USING (team, label))",
+    "bl": "SELECT team, label, p / sum(p) OVER (PARTITION BY team) AS prob FROM (SELECT team, label, 0.45 * coalesce(a.prob, 0) + 0.55 * coalesce(b.prob, 0) AS p FROM (SELECT team, CASE label WHEN 'CB' THEN 'NB' ELSE label END AS label, prob FROM tv) a FULL JOIN (SELECT team, CASE label WHEN 'WR' THEN 'SLOT' ELSE label END AS label, prob FROM oa) b USING (team, label))",
 }
 
 
 def _blended(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     base = _team_vectors(t)
     org = probs.org_adjusted(base, _priors(t), ["team"])
-    return base, org, probs.blend(base.filter("label <> 'CB'"), org.filter("label <> 'WR'"), ["team"])
+    called = lambda rows, old, new: rows.withColumn("label", F.when(F.col("label") == old, new).otherwise(F.col("label")))
+    return base, org, probs.blend(called(base, "CB", "NB"), called(org, "WR", "SLOT"), ["team"])  # each has a label of its own
 
 
 @query(sql("SELECT team, label, round(prob, 6) AS prob FROM bl", "org", **_BLEND))
@@ -716,14 +717,14 @@ def greedy_ladder(t: Tables) -> DataFrame:
 @query(
     sql(
         """SELECT team, n.rank::INT AS rank, position, coalesce(p.candidate_id, o.candidate_id) AS candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY round(need, 9) DESC, position) AS rank FROM nd) n
-           LEFT JOIN (SELECT team, position, min_by(candidate_id, (-round(probability, 9), candidate_id)) AS candidate_id FROM hp WHERE prospect > 0.05 GROUP BY ALL) p USING (team, position)
-           LEFT JOIN (SELECT team, min_by(candidate_id, (-round(probability, 9), candidate_id)) AS candidate_id FROM hp WHERE prospect > 0.05 GROUP BY ALL) o USING (team) WHERE n.rank <= 2""",
+           LEFT JOIN (SELECT team, position, min_by(candidate_id, (-round(probability, 9), candidate_id)) AS candidate_id FROM hp GROUP BY ALL) p USING (team, position)
+           LEFT JOIN (SELECT team, min_by(candidate_id, (-round(probability, 9), candidate_id)) AS candidate_id FROM hp GROUP BY ALL) o USING (team) WHERE n.rank <= 2""",
         "needs", "candidates", **_SCORED,
     )
 )
 def scenario_pairs(t: Tables) -> DataFrame:
     top = consensus.ranked(_need(t), ["team"], [F.round("need", 9).desc(), F.col("position")], 2)
-    rows = candidates.score(_rows(t)).filter("prospect > 0.05")
+    rows = candidates.score(_rows(t))
     first = F.min_by("candidate_id", F.struct(-F.round("probability", 9), F.col("candidate_id")))
     own, any_ = rows.groupBy("team", "position").agg(first.alias("own")), rows.groupBy("team").agg(first.alias("any"))
     return top.join(own, ["team", "position"], "left").join(any_, "team", "left").select("team", "rank", "position", F.coalesce("own", "any").alias("candidate_id"))
@@ -734,4 +735,4 @@ def result_page(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", "p_name", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey").offset(16).limit(8)
 
 
-from augury.plans import intake, profiles  # noqa: E402, F401  they register their queries
+from augury.plans import intake, kept, profiles  # noqa: E402, F401  they register their queries

@@ -52,18 +52,26 @@ class Tables:
         return slots.join(self.nation, F.col("slot") % 25 == F.col("n_nationkey")).select("slot", F.col("n_name").alias("team"), F.ceil(F.col("slot") / 8).cast("int").alias("round"))
 
     def roster(self) -> DataFrame:
-        return self._picks().select(
-            F.col("n_name").alias("team"), F.col("p_type").alias("position"), F.col("l_quantity").cast("long").alias("snaps"), (F.col("l_returnflag") == "R").cast("int").alias("starts"),
-            F.nullif((F.col("l_discount") * 100).cast("long"), F.lit(0)).cast("double").alias("age"), (F.col("l_tax") * 100).cast("long").cast("double").alias("experience"),
+        """Lines as members of a nation's rooms, whose snaps and starts are shares of all lines, so that they mean the same at any size.
+
+        Each 25th part is a room of its own, with a member or two.
+        """
+        lines = self.lineitem.agg(F.count(F.lit(1)).cast("double").alias("__lines"))
+        rows = self._picks().join(F.broadcast(lines), how="cross")  # one row
+        return rows.select(
+            F.col("n_name").alias("team"), F.when(F.col("p_partkey") % 25 == 0, F.concat(F.lit("K"), F.col("p_partkey"))).otherwise(F.col("p_type")).alias("position"),
+            (F.col("l_quantity") * 6000.0 / F.col("__lines")).alias("snaps"), F.when(F.col("l_returnflag") == "R", 30000.0 / F.col("__lines")).otherwise(0.0).alias("starts"),
+            F.nullif((F.col("l_discount") * 100).cast("long") * 2 + 19, F.lit(19)).cast("double").alias("age"), (F.col("l_tax") * 100).cast("long").cast("double").alias("experience"),
             F.when(F.col("l_linenumber") != 3, F.col("l_linestatus") == "F").alias("starter"), F.when(F.col("l_linenumber") != 4, F.col("l_returnflag") == "A").alias("injured"),
         )
 
     def needs(self) -> DataFrame:
-        """A fixed base need per nation and part type."""
+        """A fixed base need per nation and part type; a nation needs nothing of some types, and some need what no part is."""
         types = self.part.agg(F.collect_set("p_type").alias("types"))  # a handful of types, in one row
         rows = self.nation.join(F.broadcast(types), how="cross").withColumn("p_type", F.explode("types"))
-        value = 0.2 + ((F.col("n_nationkey") * 7 + F.length("p_type") * 13) % 80) / 100.0
-        return rows.select(F.col("n_name").alias("team"), F.col("p_type").alias("position"), value.alias("overall"))
+        mix = F.col("n_nationkey") * 7 + F.length("p_type") * 13
+        named = rows.filter(mix % 11 != 0).select(F.col("n_name").alias("team"), F.col("p_type").alias("position"), (0.2 + (mix % 80) / 100.0).alias("overall"))
+        return named.unionByName(self.nation.filter("n_nationkey % 5 = 0").select(F.col("n_name").alias("team"), F.lit("KICKER").alias("position"), F.lit(0.97).alias("overall")))
 
     def candidates(self) -> DataFrame:
         prospect = F.round((F.col("p_retailprice") - 900) / 100, 6)
@@ -110,11 +118,12 @@ CTES = {
                row_number() OVER (PARTITION BY l_linenumber ORDER BY sum(l_extendedprice::DECIMAL(18,2)) DESC, p_brand) AS rn
         FROM {_PICKS} WHERE o_orderdate >= TIMESTAMP '{AS_OF}' GROUP BY 1, 2) WHERE rn = 1""",
     "draft_order": "SELECT s::INT AS slot, n_name AS team, ceil(s / 8)::INT AS round FROM range(1, 41) t(s) JOIN nation ON s % 25 = n_nationkey",
-    "roster": f"""SELECT n_name AS team, p_type AS position, trunc(l_quantity)::BIGINT AS snaps, (l_returnflag = 'R')::INT AS starts,
-        nullif(trunc(l_discount * 100)::BIGINT, 0)::DOUBLE AS age, trunc(l_tax * 100)::BIGINT::DOUBLE AS experience,
+    "roster": f"""SELECT n_name AS team, CASE WHEN p_partkey % 25 = 0 THEN 'K' || p_partkey ELSE p_type END AS position, l_quantity::DOUBLE * 6000.0::DOUBLE / (SELECT count(*)::DOUBLE FROM lineitem) AS snaps,
+        CASE WHEN l_returnflag = 'R' THEN 30000.0::DOUBLE / (SELECT count(*)::DOUBLE FROM lineitem) ELSE 0.0::DOUBLE END AS starts,
+        nullif(trunc(l_discount * 100)::BIGINT * 2 + 19, 19)::DOUBLE AS age, trunc(l_tax * 100)::BIGINT::DOUBLE AS experience,
         CASE WHEN l_linenumber <> 3 THEN l_linestatus = 'F' END AS starter, CASE WHEN l_linenumber <> 4 THEN l_returnflag = 'A' END AS injured FROM {_PICKS}""",
     "needs": """SELECT n_name AS team, p_type AS position, 0.2::DOUBLE + ((n_nationkey * 7 + length(p_type) * 13) % 80) / 100.0::DOUBLE AS overall
-        FROM nation, (SELECT DISTINCT p_type FROM part)""",
+        FROM nation, (SELECT DISTINCT p_type FROM part) WHERE (n_nationkey * 7 + length(p_type) * 13) % 11 <> 0 UNION ALL SELECT n_name, 'KICKER', 0.97::DOUBLE FROM nation WHERE n_nationkey % 5 = 0""",
     "candidates": """SELECT p_partkey AS candidate_id, p_name AS name, p_type AS position, round((p_retailprice - 900) / 100, 6) AS prospect,
         round(0.95::DOUBLE * round((p_retailprice - 900) / 100, 6), 6) AS star, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey + 1 END AS consensus_rank FROM part""",
     "org": "SELECT n_name AS team, " + ", ".join(
