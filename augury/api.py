@@ -14,6 +14,7 @@ from augury.functions import scores as S
 from augury.functions import text as X
 from augury.functions.teams import team_aliases
 from augury.operators import backtest, candidates, consensus, ingest, models, needs, org, probs, upserts
+from augury.operators.stored import Store
 from augury.sources import articles, registry
 
 
@@ -194,6 +195,16 @@ class Board:
             rows = rows.withColumn("override", S.override(F.col("team_need"), F.col("talent"), F.col("probability")))
         return consensus.ranked(rows, ["slot", "team"], [F.round("probability", 9).desc(), F.col("best_available_rank")])
 
+    def keep_features(self, store: Store, year: int, slot: int | None = None, board_aware: bool = False) -> DataFrame:
+        """Scores the candidates of a slot, or of all slots of the order, and keeps what they were scored by; the year's rows of the store."""
+        candidates.keep_features(store, self._scored(self.candidate_lists(slot, board_aware)), year)
+        return store.read(candidates.FEATURES).filter(F.col("year") == year)
+
+    def pick_contexts(self, board_aware: bool = False) -> DataFrame:
+        """The context of every pick of the order; see candidates.pick_context."""
+        need = needs.adjusted(self["needs"], self["roster"]).select("team", "position", F.col("adjusted").alias("need"))
+        return candidates.pick_context(self["order"], need, self.candidate_lists(board_aware=board_aware))
+
     def compare_with_consensus(self, slot: int, board_aware: bool = False, given: DataFrame | None = None) -> DataFrame:
         """Per team the model's and the consensus' first five names of a slot, how far they disagree, and what stands behind the model's first.
 

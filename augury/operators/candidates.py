@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from augury.functions import scores as S
 from augury.functions import text as X
 from augury.operators.consensus import ranked
+from augury.operators.stored import Store, without
 
 UNRANKED = 300
 
@@ -157,6 +158,43 @@ def _featured(rows: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def context_features(rows: DataFrame) -> DataFrame:
+    """team, slot, round, board_scarcity_score, best_available_player_score, top_need_position of rows of picks' contexts, in the types that the models read."""
+    kinds = {"team": "string", "slot": "int", "round": "int", "board_scarcity_score": "double", "best_available_player_score": "double", "top_need_position": "string"}
+    return rows.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()])
+
+
+def pick_context(order: DataFrame, needs: DataFrame, lists: DataFrame) -> DataFrame:
+    """The context of every pick of the order (slot, team, round): the team's top need and its share of all of the team's needs, and the best score on the slot's list.
+
+    needs: team, position, need; lists: those of board_lists. A team without needs has neither, a slot without a list has a score of 0.
+    """
+    first = needs.groupBy("team").agg(F.min_by(F.struct("position", "need"), F.struct(-F.round("need", 9), F.col("position"))).alias("x"), F.sum("need").alias("of"))
+    best = lists.groupBy("slot").agg(F.max("prospect").alias("best_available_player_score"))
+    rows = order.select("slot", "team", "round").join(first, "team", "left").join(best, "slot", "left").fillna(0.0, ["best_available_player_score"])
+    share = F.coalesce(F.try_divide(F.col("x.need"), F.col("of")), F.lit(0.0))
+    return context_features(rows.withColumns({"board_scarcity_score": share, "top_need_position": F.col("x.position")}))
+
+
+#: A store's table of what candidates were scored by, and what its rows are replaced by.
+FEATURES, FEATURES_KEY = "candidate_features", ["year", "slot", "team"]
+
+
+def keep_features(store: Store, rows: DataFrame, year: int) -> bool:
+    """Puts scored rows (of features_by_slot and score) into the store: a year's slot of a team is replaced as a whole, others stay, readers see all of it or nothing."""
+    kept = store.staged(rows.select(
+        F.lit(year).alias("year"), "slot", "team", F.lit(1).alias("round"), "candidate_id", "name", "position", F.lit(True).alias("available"), "best_available_rank",
+        "team_need", "prospect", "star", "consensus_rank", "gap_best", "gap_position", "fit_gap", "need_vs_bpa", "probability",
+    ))
+
+    def make(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        if FEATURES not in tables:
+            return {FEATURES: kept}
+        return {FEATURES: without(tables[FEATURES], kept.select(*FEATURES_KEY).distinct(), FEATURES_KEY).unionByName(kept)}
+
+    return store.change(make, by={FEATURES: ["year"]})
+
+
 def score(rows: DataFrame, scarcity: Column | None = None) -> DataFrame:
     """Heuristic probability, talent, context and override of candidate rows."""
     rank = F.coalesce("consensus_rank", F.lit(UNRANKED)).cast("double")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from augury.functions import text as X
 from augury.operators import candidates
 from augury.operators.stored import Results, Store, shared_folder
+from augury.plans.profiles import _LISTS, _lists
 from augury.plans.queries import _SCORED
 from augury.plans.register import query, six
 from augury.plans.tables import Tables, sql
@@ -69,3 +70,43 @@ def signed_views(t: Tables) -> DataFrame:
     rows, now = views.get(asked(True), compute), asked(True)
     named = now.select(F.col("team").alias("__team"), "signature")
     return rows.join(named, F.col("team") == F.col("__team")).drop("__team")
+
+
+_SLOTTED = _LISTS | {
+    "ab": """SELECT d.slot, sc.*, row_number() OVER (PARTITION BY d.slot ORDER BY place) AS n FROM draft_order d, sc""",
+    "am": """SELECT slot, candidate_id, position, production AS prospect, coalesce(star, 0.0)::DOUBLE AS star, coalesce(nullif(consensus_rank, 0), nullif(big_board_rank, 0), slot + place)::BIGINT AS consensus_rank
+        FROM ab WHERE n <= CASE WHEN slot >= 33 THEN 48 ELSE 24 END""",
+    "mx": "SELECT * FROM am WHERE slot % 2 = 1 UNION ALL SELECT slot, candidate_id, position, prospect, star, consensus_rank FROM bb WHERE slot % 2 = 0",
+}
+
+
+@query(
+    sql(
+        """SELECT 2026 AS year, slot, n_name AS team, candidate_id, round(greatest(0, least(1, 0.3 * coalesce(overall, 0.25) + 0.3 * prospect + 0.2 * star + 0.15 * greatest(0, 1 - coalesce(consensus_rank, 300) / 300.0::DOUBLE) + 0.025))::DOUBLE, 6) AS probability
+           FROM mx CROSS JOIN nation LEFT JOIN needs ON needs.team = n_name AND needs.position = mx.position""",
+        "draft_order", "needs", **_SLOTTED,
+    )
+)
+def kept_features(t: Tables) -> DataFrame:
+    """The features of all slots are stored for an empty board; those of every second slot are then replaced by those of the board as it stands."""
+    store = Store(t.spark, shared_folder(t.spark, "features"))
+    need = t.needs().select("team", "position", F.col("overall").alias("need"))
+    scored = lambda lists: candidates.score(candidates.features_by_slot(lists, need))
+    nobody = t.drafted().filter(F.lit(False))
+    candidates.keep_features(store, scored(candidates.board_lists(t.board_prospects(), nobody, t.order())), 2026)
+    candidates.keep_features(store, scored(_lists(t).filter("slot % 2 = 0")), 2026)
+    return six(store.read(candidates.FEATURES).select("year", "slot", "team", "candidate_id", "probability"))
+
+
+@query(
+    sql(
+        """SELECT d.team, d.slot, d.round, round(coalesce(f.share, 0), 6) AS board_scarcity_score, round(b.best, 6) AS best_available_player_score, f.position AS top_need_position
+           FROM draft_order d LEFT JOIN (SELECT team, position, overall / of AS share FROM (SELECT *, sum(overall) OVER (PARTITION BY team) AS of, row_number() OVER (PARTITION BY team ORDER BY round(overall, 9) DESC, position) AS r FROM needs) WHERE r = 1) f USING (team)
+           LEFT JOIN (SELECT slot, max(prospect) AS best FROM bb GROUP BY slot) b USING (slot)""",
+        "draft_order", "needs", **_LISTS,
+    )
+)
+def pick_contexts(t: Tables) -> DataFrame:
+    """The context of every pick on the board as it stands."""
+    need = t.needs().select("team", "position", F.col("overall").alias("need"))
+    return six(candidates.pick_context(t.order(), need, _lists(t)))

@@ -35,8 +35,7 @@ def keep_articles(stream: DataFrame, path: str, checkpoint: str, sources: DataFr
         if n <= base["batches"].get(BATCHES, -1):
             return
         due = articles.due(batch)
-        rows = articles.parsed(due.select("source_slug", "url", "html"), year)
-        parsed = spark.read.schema(rows.schema).parquet(f"{store.path}/data/{store.write(rows)}")
+        parsed = store.staged(articles.parsed(due.select("source_slug", "url", "html"), year))
         stored = {t: store.read(t, schema=s, manifest=base) for t, s in (("articles", ARTICLES), ("picks", PICKS))}
         new, again, rejected = ingest.sorted_out(parsed.filter("reason IS NULL").drop("reason"), stored["articles"], sources, cycles)
         known = teams.withColumn("team_id", F.col("team_id").cast("bigint"))

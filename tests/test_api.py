@@ -110,3 +110,22 @@ def test_comparison_and_summary_know_the_board(spark, drafting):
     assert whole == set(reference_list(rows, taken, 6, 12))
     first = sorted(rows, key=lambda p: (p.consensus_rank is None, p.consensus_rank or 0, p.candidate_id))[:12]
     assert {r["name"] for r in board.org_player_vectors(6).filter("team = 'NATION_3'").collect()} == {p["name"] for p in first}
+
+
+def test_features_of_a_slot_are_replaced_as_a_whole(spark, drafting, tmp_path):
+    from augury.operators.stored import Store
+
+    board, rows, taken = drafting
+    store = Store(spark, str(tmp_path))
+    board.keep_features(store, 2025, 7)
+    board.keep_features(store, 2026, 7)
+    board.keep_features(store, 2026, 8, True)
+    now = board.keep_features(store, 2026, 7, True).filter("team = 'NATION_3'").collect()
+    by = {}
+    for r in now:
+        by.setdefault(r.slot, []).append(r.candidate_id)
+    assert {k: sorted(v) for k, v in by.items()} == {7: sorted(reference_list(rows, taken, 7)), 8: sorted(reference_list(rows, taken, 8))}
+    before = store.read("candidate_features").filter("year = 2025 AND team = 'NATION_3'").collect()
+    assert sorted(r.candidate_id for r in before) == sorted(reference_list(rows, [], 7)) and all(r.available and r.round == 1 for r in now)
+    contexts = {r.slot: r for r in board.pick_contexts(True).collect()}
+    assert sorted(contexts) == list(range(1, 41)) and all(0 < r.board_scarcity_score <= 1 and r.top_need_position for r in contexts.values())
