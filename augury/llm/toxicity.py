@@ -30,6 +30,8 @@ from augury.llm.common import batched_texts, release_memory, scratch_table, text
 TRAIN_ROWS = 20_000
 #: A lexicon has at most so many entries; stems have so many letters.
 LEXICON, STEM = 512, (3, 10)
+#: What is learned from is bounded by train_rows, and written as so few files.
+FILES = 16
 #: Words of so many letters tell near copies.
 LONG = 8
 #: An entry needs so many labelled documents, log-odds and a likelihood ratio (G squared) of at least this.
@@ -253,7 +255,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     once = known.groupBy(F.sha2("text", 256).alias("digest")).agg(F.any_value("text").alias("text"), F.max("toxic").alias("toxic"))
     long_words = F.filter(F.split("text", r"\W+"), lambda w: F.char_length(w) >= LONG)
     dealt = F.coalesce(F.array_min(F.transform(long_words, lambda w: F.xxhash64(w))), F.xxhash64("digest"))
-    return scratch_table(once.select("text", "toxic", F.pmod(dealt, F.lit(2)).cast("int").alias("half")), "labelled")
+    return scratch_table(once.select("text", "toxic", F.pmod(dealt, F.lit(2)).cast("int").alias("half")).coalesce(FILES), "labelled")
 
 
 def lexeme_counts(labelled: DataFrame) -> DataFrame:
@@ -325,7 +327,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learns a lexicon and coefficients from rows that are not held out. With labels of one kind only, or none, what is known before stays."""
     labelled = labelled_texts(docs, labels, id_col, text_col, label_col, train_rows)
     sizes = {(r.half, r.toxic): r["count"] for r in labelled.groupBy("half", "toxic").count().collect()}
-    counts = scratch_table(lexeme_counts(labelled), "lexemes")
+    counts = scratch_table(lexeme_counts(labelled).coalesce(FILES), "lexemes")
     both = counts.filter("t0 > 0 AND t1 > 0")  # what one group of near copies says is no rule
     n = {(h, x): sizes.get((h, x), 0) for h, x in itertools.product((0, 1), (0, 1))}
     halves = [learned_lexicon(counts, F.col(f"t{h}"), F.col(f"c{h}"), n[h, 1], n[h, 0]) for h in (0, 1)]
