@@ -218,7 +218,7 @@ class Board:
         b = F.broadcast(candidates.name_list(votes, "slot", "key", "rank", "consensus").groupBy().agg(F.first("consensus").alias("consensus")))  # one row, also of no votes
         first = ranked.filter("rank = 1").select("team", F.col("name").alias("top_player"), F.col("override").alias("top_override"))
         both = a.join(b, how="cross").withColumn("consensus", F.coalesce("consensus", F.array().cast("array<string>"))).join(first, "team")
-        out = {n: c for n, c in candidates.compare(F.col("model"), F.col("consensus")).items()} | S.grouped_components(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+        out = {n: c for n, c in candidates.compare(F.col("model"), F.col("consensus")).items()} | S.grouped_explanation(F.lit(0.0), F.lit(0.0), F.lit(0.0))
         return both.select("team", "model", "consensus", F.size(out["common"]).alias("agreement"), *[c.alias(n) for n, c in out.items()], "top_player", "top_override")
 
     def org_profile(self) -> DataFrame:

@@ -180,8 +180,3 @@ def feature_groups(family: Column) -> Column:
 def or_neutral(value: Column) -> Column:
     """0.5 for null and for 0."""
     return F.coalesce(F.nullif(value, F.lit(0)), F.lit(0.5)).cast("double")
-
-
-def grouped_components(need: Column, scarcity: Column, best: Column) -> dict[str, Column]:
-    """An explanation's figures by group: the need, the best candidate's talent, and the board's context."""
-    return {"need_component": need, "talent_component": best, "context_component": (scarcity + best) / 2}

@@ -735,4 +735,4 @@ def result_page(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", "p_name", "p_retailprice").orderBy(F.desc("p_retailprice"), "p_partkey").offset(16).limit(8)
 
 
-from augury.plans import intake, kept, profiles  # noqa: E402, F401  they register their queries
+from augury.plans import intake, kept, profiles, scouting  # noqa: E402, F401  they register their queries
