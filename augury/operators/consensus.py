@@ -91,35 +91,25 @@ def context_rows(votes: DataFrame, slot: int) -> DataFrame:
 def landing(votes: DataFrame, top_n: int = 5) -> DataFrame:
     """Per candidate the likeliest teams. Votes without a team count in sample_size, not in shares."""
     known = F.col("team").isNotNull()
-    # One row per candidate and article first: from there on distinct counts are plain counts of few rows.
-    per_article = votes.groupBy("cand", "article").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.collect_list("team").alias("teams"),
-        F.collect_set(F.when(known, F.col("source"))).alias("sources"),
-        F.min(F.when(known, F.col("slot"))).alias("first"),
-    )
-    # Then rows of three kinds, so that one aggregation gives the teams, the sources and the totals of a candidate.
-    row = lambda kind, key, rows, known, first: F.struct(F.lit(kind).alias("kind"), key.alias("key"), rows.alias("rows"), known.alias("known"), first.alias("first"))
-    nothing = (F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(None).cast("int"))
-    each = lambda kind, names: F.transform(names, lambda n: row(kind, n.cast("string"), F.lit(1).cast("long"), *nothing[1:]))
-    total = F.array(row("all", F.lit(None).cast("string"), F.col("rows"), F.size("teams").cast("long"), F.col("first").cast("int")))
-    tagged = per_article.select("cand", F.explode(F.concat(total, each("team", F.col("teams")), each("source", F.col("sources")))).alias("x")).select("cand", "x.*")
-    counted = tagged.groupBy("cand", "kind", "key").agg(F.sum("rows").alias("n"), F.sum("known").alias("known"), F.count_if(F.col("known") > 0).alias("articles"), F.min("first").alias("first"))
-    of = Window.partitionBy("cand")
+    # A vote as one row of each kind, so that one aggregation with a single exchange gives the totals, the teams, the
+    # sources and the articles of a candidate. Totals, teams and sources are summed before it.
+    row = lambda kind, key, first=None: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"), F.lit(None).cast("int").alias("first") if first is None else first.cast("int").alias("first"))
+    total = row("all", F.lit(None))
+    kinds = F.when(known, F.array(total, row("team", F.col("team"), F.col("slot")), row("source", F.col("source")), row("article", F.col("article")))).otherwise(F.array(total))
+    tagged = votes.select("cand", F.explode(kinds).alias("x")).select("cand", "x.*")
+    counted = tagged.groupBy("cand", "kind", "key").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
     is_kind = lambda kind: F.col("kind") == kind
-    facts = counted.withColumns(
-        {
-            "sample_size": F.max(F.when(is_kind("all"), F.col("n"))).over(of),
-            "known": F.max("known").over(of),
-            "unique_teams": F.count(F.when(is_kind("team"), 1)).over(of),
-            "unique_sources": F.count(F.when(is_kind("source"), 1)).over(of),
-            "unique_articles": F.max("articles").over(of),
-            "earliest": F.coalesce(F.min("first").over(of), F.lit(256)),
-        }
+    facts = counted.groupBy("cand").agg(
+        F.sum(F.when(is_kind("all"), F.col("n"))).alias("sample_size"),
+        F.coalesce(F.sum(F.when(is_kind("team"), F.col("n"))), F.lit(0)).alias("known"),
+        F.count_if(is_kind("team")).alias("unique_teams"),
+        F.count_if(is_kind("source") & F.col("key").isNotNull()).alias("unique_sources"),
+        F.count_if(is_kind("article") & F.col("key").isNotNull()).alias("unique_articles"),
+        F.coalesce(F.min("first"), F.lit(256)).alias("earliest"),
     )
-    # A row per team; a candidate without a known one keeps the row of its totals.
-    facts = facts.filter(is_kind("team") | (is_kind("all") & (F.col("unique_teams") == 0)))
-    facts = facts.withColumnsRenamed({"key": "team"}).withColumn("n", F.when(is_kind("team"), F.col("n")))
+    # Only teams have a first slot. A filter by kind would be moved below the aggregation, which would then run twice.
+    teams = counted.filter("first IS NOT NULL").select("cand", F.col("key").alias("team"), "n")
+    facts = facts.join(teams, "cand", "left")  # a candidate without a known team keeps one row
     k = S.evidence_pool(F.col("unique_teams"), F.col("sample_size"), F.col("unique_sources"), F.col("unique_articles"), F.col("earliest"))
     k = F.greatest(F.col("unique_teams") + 1, k)
     low = (F.col("unique_teams") <= 1) | (F.col("sample_size") <= 4) | (F.col("unique_sources") <= 2)
