@@ -78,7 +78,12 @@ def of_tally(tallied: DataFrame, top_n: int = 5) -> DataFrame:
 
 def confidence(votes: DataFrame) -> DataFrame:
     """Per slot: rows, distinct sources and articles, and whether the evidence is thin."""
-    out = votes.groupBy("slot").agg(F.count(F.lit(1)).alias("sample_size"), F.count_distinct("source").alias("unique_sources"), F.count_distinct("article").alias("unique_articles"))
+    # As in landing: one aggregation by kinds of key.
+    row = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
+    tagged = votes.select("slot", F.explode(F.array(row("all", F.lit(None)), row("source", F.col("source")), row("article", F.col("article")))).alias("x")).select("slot", "x.*")
+    counted = tagged.groupBy("slot", "kind", "key").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda kind: F.count_if((F.col("kind") == kind) & F.col("key").isNotNull())
+    out = counted.groupBy("slot").agg(F.sum(F.when(F.col("kind") == "all", F.col("n"))).alias("sample_size"), of("source").alias("unique_sources"), of("article").alias("unique_articles"))
     return out.withColumn("low_confidence", (F.col("unique_sources") <= 2) | (F.col("sample_size") <= 4))
 
 
@@ -108,8 +113,9 @@ def landing(votes: DataFrame, top_n: int = 5) -> DataFrame:
         F.coalesce(F.min("first"), F.lit(256)).alias("earliest"),
     )
     # Only teams have a first slot. A filter by kind would be moved below the aggregation, which would then run twice.
-    teams = counted.filter("first IS NOT NULL").select("cand", F.col("key").alias("team"), "n")
-    facts = facts.join(teams, "cand", "left")  # a candidate without a known team keeps one row
+    # For the same reason the join is null-safe: a filter for keys that are not null would be moved there as well.
+    teams = counted.filter("first IS NOT NULL").select(F.col("cand").alias("__cand"), F.col("key").alias("team"), "n")
+    facts = facts.join(teams, F.col("cand").eqNullSafe(F.col("__cand")), "left").drop("__cand")  # a candidate without a known team keeps one row
     k = S.evidence_pool(F.col("unique_teams"), F.col("sample_size"), F.col("unique_sources"), F.col("unique_articles"), F.col("earliest"))
     k = F.greatest(F.col("unique_teams") + 1, k)
     low = (F.col("unique_teams") <= 1) | (F.col("sample_size") <= 4) | (F.col("unique_sources") <= 2)
@@ -128,7 +134,7 @@ def live_board(votes: DataFrame, outcomes: DataFrame, order: DataFrame, as_of: C
 
     outcomes: slot, cand, team, round; order: slot, team, round. The rank is 0 if the actual is not listed.
     """
-    outcomes, order = held(outcomes), held(order)
+    outcomes = held(outcomes)
     seen = outcomes.select("slot").unionByName(order.select("slot")).filter(F.col("slot") <= max_slot).agg(F.coalesce(F.max("slot"), F.lit(0)).alias("last"))
     length = F.least(F.lit(max_slot), F.greatest(F.lit(32), F.col("last")))
     spine = seen.select(F.explode(F.sequence(F.lit(1), length)).alias("slot"))
