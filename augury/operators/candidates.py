@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from augury.functions import scores as S
 from augury.functions import text as X
-from augury.operators.consensus import ranked
+from augury.operators.consensus import HELD_ROWS, held, ranked
 from augury.operators.stored import Store, without
 
 UNRANKED = 300
@@ -133,16 +133,33 @@ def voted_candidates(board: DataFrame, votes: DataFrame, slot: int, limit: int)
     return rows.select(F.col("cand").alias("name"), "prospect", F.col("prospect").alias("star"), F.row_number().over(Window.orderBy("__order")).cast("long").alias("consensus_rank"))
 
 
+#: So many candidates are exploded over the teams in one task.
+TASK_CANDIDATES = 25_000
+
+
 def features(candidates: DataFrame, needs: DataFrame) -> DataFrame:
     """Each candidate for each team with needs (team, position, need): gaps to the best and to the need.
 
-    The teams are an array in a single row that is broadcast, and every candidate is exploded over it.
+    The teams are an array in a single row that is broadcast, and every candidate is exploded over
+    it. A position's facts (its best rank, how many candidates it has, and its needs as an array over teams)
+    meet the candidates before that, and the candidates are dealt over tasks by their number, so that
+    what a task makes, sorts or keeps is bounded: a scan of a small file is a task or two, whatever comes out of it.
     """
-    best = candidates.agg(F.min("consensus_rank").alias("best"))
-    within = candidates.groupBy("position").agg(F.min("consensus_rank").alias("best_in_position"))
+    facts = held(candidates.groupBy("position").agg(F.min("consensus_rank").alias("best_in_position"), F.count(F.lit(1)).alias("__n")))
+    total = facts.agg(F.min("best_in_position").alias("best"), F.sum("__n").alias("n"))
+    best, n = total.first()
+    tasks = -(-(n or 0) // TASK_CANDIDATES)
+    if tasks > 1:
+        candidates = candidates.repartition(tasks, "candidate_id", "name")
     teams = needs.agg(F.array_sort(F.collect_set("team")).alias("__teams"))
-    ranks = candidates.join(F.broadcast(best), how="cross").join(F.broadcast(teams), how="cross")  # one row each
-    return _featured(ranks.withColumn("team", F.explode("__teams")).join(within, "position", "left").join(needs, ["team", "position"], "left"))
+    named = needs.filter("team IS NOT NULL").groupBy("position").agg(F.collect_list(F.struct("team", "need")).alias("__needs"))
+    of = facts.drop("__n").join(named, "position", "left")
+    of = F.broadcast(of) if facts.count() <= HELD_ROWS else of
+    rows = candidates.withColumn("best", F.lit(best)).join(of, "position", "left").join(F.broadcast(teams), how="cross")  # one row
+    kind = needs.schema["need"].dataType
+    listed = F.coalesce("__needs", F.array().cast(rows.schema["__needs"].dataType))
+    others = F.transform(F.array_except("__teams", F.transform(listed, lambda x: x["team"])), lambda x: F.struct(x.alias("team"), F.lit(None).cast(kind).alias("need")))
+    return _featured(rows.withColumn("x", F.explode(F.concat(listed, others))).select(*candidates.columns, "best", "best_in_position", "x.team", "x.need"))
 
 
 def _featured(rows: DataFrame, *more: str) -> DataFrame:
