@@ -725,9 +725,12 @@ def greedy_ladder(t: Tables) -> DataFrame:
 def scenario_pairs(t: Tables) -> DataFrame:
     top = consensus.ranked(_need(t), ["team"], [F.round("need", 9).desc(), F.col("position")], 2)
     rows = candidates.score(_rows(t))
-    first = F.min_by("candidate_id", F.struct(-F.round("probability", 9), F.col("candidate_id")))
-    own, any_ = rows.groupBy("team", "position").agg(first.alias("own")), rows.groupBy("team").agg(first.alias("any"))
-    return top.join(own, ["team", "position"], "left").join(any_, "team", "left").select("team", "rank", "position", F.coalesce("own", "any").alias("candidate_id"))
+    # A team's first is the first of its positions' firsts, so the candidates are gone through once for both.
+    key = F.struct(-F.round("probability", 9), F.col("candidate_id"))
+    firsts = rows.groupBy("team", "position").agg(F.min(key).alias("first")).select("team", F.col("position").alias("of"), "first")
+    own = F.min(F.when(F.col("of") == F.col("position"), F.col("first")))["candidate_id"]
+    out = top.join(firsts, "team", "left").groupBy("team", "rank", "position").agg(own.alias("own"), F.min("first")["candidate_id"].alias("any"))
+    return out.select("team", "rank", "position", F.coalesce("own", "any").alias("candidate_id"))
 
 
 @query("SELECT p_partkey, p_name, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 8 OFFSET 16")
