@@ -23,15 +23,16 @@ class Tables:
     def as_of(self):
         return F.lit(AS_OF).cast("timestamp_ntz")
 
-    def _picks(self) -> DataFrame:
-        rows = self.lineitem.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    def _picks(self, orders: DataFrame | None = None) -> DataFrame:
+        """Lines with their order, part, supplier and nation. What orders are joined with beforehand is shuffled by orders, not by lines."""
+        rows = self.lineitem.join(self.orders if orders is None else orders, F.col("l_orderkey") == F.col("o_orderkey"))
         rows = rows.join(self.part.select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
         rows = rows.join(self.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
         return rows.join(self.nation.select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
 
     def votes(self) -> DataFrame:
         """Votes before AS_OF; suppliers with a key divisible by 5 stand for unknown teams."""
-        rows = self._picks().filter(F.col("o_orderdate") < self.as_of).join(self.customer.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+        rows = self._picks(self.orders.filter(F.col("o_orderdate") < self.as_of).join(self.customer.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")))
         pick = lambda k: F.when(F.col("c_mktsegment") == "AUTOMOBILE", WEIGHTS["AUTOMOBILE"][k]).when(F.col("c_mktsegment") == "BUILDING", WEIGHTS["BUILDING"][k]).otherwise(OTHER[k])
         return rows.select(
             F.col("l_linenumber").alias("slot"), F.col("p_brand").alias("cand"), F.col("o_orderkey").alias("article"), F.col("c_mktsegment").alias("source"),
