@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from augury.functions import text as X
 from augury.functions.teams import team_aliases
+from augury.operators.consensus import held
 from augury.sources.articles import MAX_URLS
 
 #: No alias has more words.
@@ -43,12 +44,12 @@ def resolve_teams(rows: DataFrame, labels: str | dict[str, str], teams: DataFram
 
     Steps, the first that hits counts: the label's code, its slug, the longest alias in it, a
     team's full name, a city of one team. Each distinct label is resolved once, whatever column it is in. The
-    resolved labels are broadcast if counting shows that they are few; else rows without a label go
-    past the join, and no shuffle gathers them. teams (team_id, code, name, city) is a dimension of a few dozen rows.
+    resolved labels are rows of the plan if they are very few, so that what gave them is computed once, and broadcast if counting
+    shows that they are few; else rows without a label go past the join, and no shuffle gathers them. teams (team_id, code, name, city) is a dimension of a few dozen rows.
     """
     named = {labels: out} if isinstance(labels, str) else labels
     every = rows.select(F.explode(F.array_distinct(F.array(*[F.col(c) for c in named]))).alias("label"))
-    found = _resolved(every.filter(F.trim(F.coalesce("label", F.lit(""))) != "").distinct(), teams)
+    found = held(_resolved(every.filter(F.trim(F.coalesce("label", F.lit(""))) != "").distinct(), teams))
     few = found.limit(FEW_LABELS + 1).count() <= FEW_LABELS
     for label, key in named.items():
         of = found.select(F.col("label").alias("__label"), F.col("team").alias(key))
@@ -84,12 +85,12 @@ def with_key(articles: DataFrame) -> DataFrame:
 KEY = ["source_slug", "article_url", "content_hash"]
 
 
-def picks_of(articles: DataFrame, teams: DataFrame) -> DataFrame:
-    """One row per pick of the articles, with both teams' keys and normalised labels."""
-    rows = articles.select(*KEY, "draft_year", F.posexplode("picks").alias("place", "p")).select(*KEY, "draft_year", "place", "p.*")
+def picks_of(articles: DataFrame, teams: DataFrame, *more: str) -> DataFrame:
+    """One row per pick of the articles, with both teams' keys and normalised labels, and with more of the articles' columns."""
+    rows = articles.select(*KEY, *more, "draft_year", F.posexplode("picks").alias("place", "p")).select(*KEY, *more, "draft_year", "place", "p.*")
     rows = resolve_teams(rows, {"original_team": "original_team_id", "current_team": "current_team_id"}, teams)
     return rows.select(
-        *KEY, "draft_year", "place", "overall_pick", "round_number", "original_team_id", "current_team_id", "traded",
+        *KEY, *more, "draft_year", "place", "overall_pick", "round_number", "original_team_id", "current_team_id", "traded",
         F.col("player_name").alias("raw_player_name"), X.normalize(F.col("player_name")).alias("player"),
         X.position(F.col("position")).alias("position"), X.school(F.col("school")).alias("school"),
     )
@@ -105,16 +106,22 @@ def sorted_out(parsed: DataFrame, stored_articles: DataFrame, sources: DataFrame
     keyed = keyed.join(F.broadcast(cycles.select(F.col("year").alias("draft_year"), F.lit(True).alias("__cycle"))), "draft_year", "left")
     known = F.col("__source").isNotNull() & F.col("__cycle").isNotNull()
     rejected = keyed.filter(~known).select("source_slug", "article_url", "draft_year", F.when(F.col("__source").isNull(), "unknown source").otherwise("unknown year").alias("reason"))
-    last = F.struct(F.col("published"), F.col("picks"), F.col("title"), F.col("draft_year"))
     whole = keyed.filter(known).drop("__source", "__cycle")
-    taken = whole.groupBy(*KEY).agg(F.max_by(F.struct(*[c for c in whole.columns if c not in KEY]), last).alias("__a")).select(*KEY, "__a.*")
+    order, columns = ["published", "picks", "title", "draft_year"], [c for c in whole.columns if c not in KEY]
+    # The order comes first in what is kept, so that picks are shuffled once for each article, not as a value and as an order.
+    last = F.max(F.struct(*order, *[c for c in columns if c not in order]))
+    taken = whole.groupBy(*KEY).agg(last.alias("__a")).select(*KEY, *[F.col(f"__a.{c}") for c in columns])
     stored = stored_articles.select(*KEY)
     return taken.join(stored, KEY, "left_anti"), taken.join(stored, KEY, "left_semi"), rejected
 
 
 def with_teams_of(stored_picks: DataFrame, again: DataFrame, teams: DataFrame) -> DataFrame:
     """The stored picks, with the teams of those of known articles resolved anew, by slot, the first pick of a slot counting."""
-    fresh = picks_of(again, teams).groupBy(*KEY, "overall_pick").agg(F.min_by(F.struct("original_team_id", "current_team_id"), "place").alias("x"))
+    return _with_teams(stored_picks, picks_of(again, teams))
+
+
+def _with_teams(stored_picks: DataFrame, again: DataFrame) -> DataFrame:
+    fresh = again.groupBy(*KEY, "overall_pick").agg(F.min_by(F.struct("original_team_id", "current_team_id"), "place").alias("x"))
     kept = stored_picks.join(fresh, [*KEY, "overall_pick"], "left")
     now = lambda c: F.when(F.col("x").isNull(), F.col(c)).otherwise(F.col("x")[c]).alias(c)
     return kept.select(*[now(c) if c in ("original_team_id", "current_team_id") else F.col(c) for c in stored_picks.columns])
@@ -128,7 +135,10 @@ def ingest(parsed: DataFrame, stored_articles: DataFrame, stored_picks: DataFram
     """
     new, again, rejected = sorted_out(parsed, stored_articles, sources, cycles)
     articles = stored_articles.unionByName(new.select(*stored_articles.columns))
-    picks = with_teams_of(stored_picks, again, teams).unionByName(picks_of(new, teams).select(*stored_picks.columns))
+    # Labels of new and of known articles are resolved together, so that the articles are gone through once for them.
+    both = new.withColumn("__new", F.lit(True)).unionByName(again.withColumn("__new", F.lit(False)))
+    fresh = picks_of(both, teams, "__new")
+    picks = _with_teams(stored_picks, fresh.filter("NOT __new")).unionByName(fresh.filter("__new").select(*stored_picks.columns))
     return articles, picks, rejected
 
 
