@@ -48,10 +48,10 @@ def position_vectors(model: PipelineModel, rows: DataFrame, key: list[str]) -> D
 
 
 def train_player(rows: DataFrame) -> PipelineModel:
-    """With one class only, one flipped copy of the first row by name is added."""
+    """With one class only, one flipped copy of the first row by name is added, of rows of one name the first by all columns."""
     seen = rows.agg(F.min("selected_label").alias("lo"), F.max("selected_label").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if seen["lo"] == seen["hi"]:
-        first = rows.orderBy("candidate_player_name").limit(1)
+        first = rows.orderBy("candidate_player_name", *[c for c in rows.columns if c != "candidate_player_name"]).limit(1)
         rows = rows.unionByName(first.withColumn("selected_label", ~F.col("selected_label")))
     rows = rows.withColumn("__label", F.col("selected_label").cast("double"))
     return Pipeline(stages=_pipeline("position", PLAYER_NUMBERS, seen["n"], 800, "binomial")).fit(rows)
